@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sentryspark.llm import exact_dedup, line_dedup, token_counts, warc
+from sentryspark.llm import byte_bpe, exact_dedup, language_id, line_dedup, token_counts, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.exact_dedup_query,
+    "op4_byte_bpe": byte_bpe.byte_bpe_query,
     "op5_warc": warc.warc_query,
     "op6_line_dedup": line_dedup.line_dedup_query,
     "op8_token_counts": token_counts.token_counts_query,
+    "op10_language_id": language_id.language_id_query,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
