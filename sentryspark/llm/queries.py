@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentryspark.llm import byte_bpe, exact_dedup, language_id, line_dedup, token_counts, warc
+from sentryspark.llm import byte_bpe, exact_dedup, language_id, line_dedup, packing, token_counts, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.exact_dedup_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.warc_query,
     "op6_line_dedup": line_dedup.line_dedup_query,
     "op8_token_counts": token_counts.token_counts_query,
+    "op9_packing": packing.packing_query,
     "op10_language_id": language_id.language_id_query,
 }
 ORACLES = {
