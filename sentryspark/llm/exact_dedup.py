@@ -29,6 +29,7 @@ MAX_ROUNDS = 3
 SHARDS_PER_PARTITION = 8
 
 _RUN = "shard int, run int, digest long, sha binary, keep_id long, keep_row long, n long"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def _order() -> list:
@@ -43,10 +44,10 @@ def _retain_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Of sorted entries, keep the first of each (shard, run, digest, sha) and add up the counts; a key may span batches."""
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        table = pa.table([x.cast(kind) for x, kind in zip(batch.columns, _KINDS, strict=True)], names=batch.schema.names)
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
         if not table.num_rows:
             continue
-        table = table.combine_chunks()
         first = np.zeros(table.num_rows, bool)
         first[0] = True
         for name in ("shard", "run", "digest"):
