@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 PUNCTUATION = "\n\t!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 #: Tables of units and verdicts on pairs that a worker keeps; it starts anew when one is full.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
 CACHE_PAIRS = 1_000_000
 LIMIT = 4096
 
@@ -38,6 +38,10 @@ class PrefixCounter:
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 self.score[model.id_to_piece(i)] = model.get_score(i)
         self.longest = max(map(len, self.score), default=1)
+        #: Pieces by number, without those that merging never reaches; and every beginning of a piece.
+        self.pieces = [x for x in self.score if len(self.merged(x)) == 1]
+        self.number = {x: i for i, x in enumerate(self.pieces)}
+        self.heads = {x[:i] for x in self.pieces for i in range(1, len(x) + 1)}
         self.whole = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         if any(re.search(f"[^{MARK}]{MARK}", x) for x in self.score):
             raise ValueError("pieces of this model cross word boundaries")
@@ -47,8 +51,7 @@ class PrefixCounter:
         self._units: dict[str, tuple[int, ...]] = {}
         self._totals: dict[str, int] = {}
         self._parts: dict[str, int] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        self._pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Tokens of a short string by merging the best-scored pair again and again: the definition that the table relies on."""
@@ -60,35 +63,45 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _fits(self, a: str, b: str) -> bool:
-        found = self._pairs.get((a, b))
-        if found is None:
-            if len(self._pairs) >= CACHE_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self.merged(a + b) == [a, b]
+    def _fits(self, pair: tuple[int, int]) -> bool:
+        """Whether two pieces, by number, come out as they are when their text is tokenised alone."""
+        if len(self._pairs) >= CACHE_PAIRS:
+            self._pairs.clear()
+        a, b = self.pieces[pair[0]], self.pieces[pair[1]]
+        found = self._pairs[pair] = self.merged(a + b) == [a, b]
         return found
 
-    def _reached(self, piece: str) -> bool:
-        found = self._alone.get(piece)
-        if found is None:
-            found = self._alone[piece] = len(self.merged(piece)) == 1
-        return found
-
-    def _cost(self, token: str) -> int:
-        return 1 if token in self.score else len(token.encode())
-
     def table(self, unit: str) -> tuple[int, ...]:
         """Counts of unit[:1], unit[:2], ... unit."""
-        last, counts, score, longest = [""], [0], self.score, self.longest
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - longest), end):
-                token = unit[start:end]
-                if end - start > 1 and (token not in score or not self._reached(token)):
-                    continue
-                if start == 0 or self._fits(last[start], token):
-                    last.append(token)
-                    counts.append(counts[start] + self._cost(token))
+        number, heads, pairs, size = self.number, self.heads, self._pairs, len(unit)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # of each end, the pieces that end there: start and number
+        last, counts = [-1] * (size + 1), [0] * (size + 1)
+        for start in range(size):
+            if start:
+                for at, piece in ends[start]:  # the longest first
+                    if at == 0:
+                        break
+                    pair = last[at], piece
+                    fits = pairs.get(pair)
+                    if fits or fits is None and (last[at] < 0 or self._fits(pair)):
+                        break
+                else:
+                    at, piece = start - 1, -1  # a character that is no piece: bytes
+                last[start] = piece
+                counts[start] = counts[at] + (1 if piece >= 0 else len(unit[at:start].encode()))
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                text = unit[start:end]
+                if text not in heads:
                     break
+                piece = number.get(text)
+                if piece is not None:
+                    ends[end].append((start, piece))
+        for at, piece in ends[size]:
+            if at == 0 or last[at] < 0 or pairs.get((last[at], piece)) or (last[at], piece) not in pairs and self._fits((last[at], piece)):
+                counts[size] = counts[at] + 1
+                break
+        else:
+            counts[size] = counts[size - 1] + len(unit[-1].encode())
         return tuple(counts[1:])
 
     @staticmethod
