@@ -7,7 +7,8 @@ hash of each of 2^c bins, bins being hash prefixes of c bits. A shared shingle i
 in the document with a probability of at least 0.78, whatever the sizes are. An item's minima for
 all classes are one short list: a shingle that is the minimum of its bin stays so in all finer
 ones, so each carries the first class from which it counts. Documents and items that agree in
-enough bins are candidates; these are then verified on the exact shingles.
+enough bins are candidates; these are then verified on the exact shingles. The smallest items
+form a class of their own, whose shingles are all looked up.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from sentryspark.llm.common import sized, stored
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
+#: Items of up to so many shingles are looked up by all shingles of the documents: the few minima shared with them could be missed.
+SMALL_ITEM = 8
 #: What parts two words, after lower-casing.
 GAPS = r"[^\p{L}\p{N}]+"
 
@@ -80,7 +83,11 @@ def contaminated(
     wanted = stored(items.select(items[item_id_col].cast("long").alias("id"), words(items[item_text_col]).alias("w")).where("id is not null"), "items")
     minima = stored(item_minima(wanted, n_words), "item-minima")
     known = minima.count()
-    hits = document_minima(own, n_words).join(sized(minima, known), "hash").where(F.col("class") >= F.col("first_class"))
+    hits = document_minima(own, n_words).join(sized(minima, known), "hash").where(F.col("class") >= F.col("first_class")).select("doc_id", "item_id", "hash", "n_item")
+    small = stored(minima.where(F.col("n_item") <= SMALL_ITEM).select("item_id", "hash", "n_item"), "small-items")
+    if small.limit(1).count():
+        every = _shingles(own, _hash, n_words).select(F.col("id").alias("doc_id"), F.explode("set").alias("hash"))
+        hits = hits.unionByName(every.join(sized(small), "hash").select("doc_id", "item_id", "hash", "n_item"))
     enough = F.greatest(F.lit(1), F.floor(F.col("n_item") / 5) - 1)
     pairs = stored(hits.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n"), F.min("n_item").alias("n_item")).where(F.col("n") >= enough).select("doc_id", "item_id"), "leak-pairs")
     suspects = stored(pairs.select(F.col("doc_id").alias("id")).distinct(), "leak-suspects")
