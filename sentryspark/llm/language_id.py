@@ -28,6 +28,8 @@ TRAIN_ROWS = 2000
 #: Log-probability units that a switch of language costs, and the share of a language's letters that makes a script its own.
 PENALTY = 8.0
 SCRIPT_SHARE = 0.01
+#: Texts with a lower score fit no learned language. One that mixes four languages still has 0.25 for its first.
+MIN_SCORE = 0.2
 #: Code points worked on at once, and words in a block of the path search.
 SLICE = 1 << 21
 BLOCK = 64
@@ -238,6 +240,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language and score of each text, and its spans (first and past-the-last code point, language)."""
     n, n_langs = len(texts), len(model.languages)
+    if not n_langs:
+        return ["und"] * n, [0.0] * n, [[] for _ in texts]
     owner, scores, sizes, bounds, known = [], [], [], [], []
     for codes, numbers, starts, offsets in slices_of(texts):
         words = words_of(codes)
@@ -248,11 +252,11 @@ def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple
         known.append(model.candidates[words.script].astype(np.float32))
         base = offsets[which] - starts[which]
         bounds.append((words.start + base, words.end + base))
-    letters_of = np.zeros((n, max(1, n_langs)))
-    backed = np.zeros((n, max(1, n_langs)))
+    letters_of = np.zeros((n, n_langs))
+    backed = np.zeros((n, n_langs))
     total = np.zeros(n)
     found: list[list[dict]] = [[] for _ in texts]
-    if owner and n_langs:
+    if owner:
         owner, sizes = np.concatenate(owner), np.concatenate(sizes)
         lengths = np.bincount(owner, minlength=n)
         path = best_paths(np.concatenate(scores), lengths)
@@ -267,7 +271,7 @@ def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple
             for a, b in zip(at, np.concatenate([at[1:], [len(path)]]), strict=True):
                 found[owner[a]].append({"start": int(begins[a]), "end": int(ends[b - 1]), "lang": model.languages[path[a]]})
     best = letters_of.argmax(axis=1)
-    langs = [model.languages[k] if t else "und" for k, t in zip(best, total, strict=True)] if n_langs else ["und"] * n
+    langs = [model.languages[k] if t else "und" for k, t in zip(best, total, strict=True)]
     score = np.where(total > 0, backed[np.arange(n), best] / np.maximum(total, 1), 0.0)
     return langs, np.round(score, 6).tolist(), found
 
@@ -291,6 +295,21 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>").withColumnRenamed("id", id_col)
 
 
+def of_known_language(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language by `model` and a score of min_score or more.
+
+    Null texts and texts without letters go; repeats and null ids are judged like other rows. No shuffle.
+    """
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores, _ = labelled_texts(shared.value, [x or "" for x in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
