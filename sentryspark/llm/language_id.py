@@ -31,7 +31,7 @@ SCRIPT_SHARE = 0.01
 #: Texts with a lower score fit no learned language. One that mixes four languages still has 0.25 for its first.
 MIN_SCORE = 0.2
 #: Code points worked on at once, and words in a block of the path search.
-SLICE = 1 << 21
+SLICE = 1 << 18
 BLOCK = 64
 
 #: First code points of script ranges, by the Unicode block table.
@@ -276,6 +276,16 @@ def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple
     return langs, np.round(score, 6).tolist(), found
 
 
+def labelled_in_parts(model: Model, texts: list[str], spans: bool = False) -> Iterator[tuple[list[str], list[float], list[list[dict]]]]:
+    """labelled_texts() of consecutive texts, about SLICE code points at a time, so that memory doesn't grow with the batch."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE or k == len(texts) - 1:
+            yield labelled_texts(model, texts[start : k + 1], spans)
+            start, size = k + 1, 0
+
+
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """One row for each row of docs: id_col, lang_pred, score, spans (array of start, end, lang; empty unless asked for).
 
@@ -288,9 +298,10 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, found = labelled_texts(shared.value, [x or "" for x in batch.column("text").to_pylist()], spans)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-            yield pa.record_batch([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(found, kind)], ["id", "lang_pred", "score", "spans"])
+            kind, at = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])), 0
+            for langs, scores, found in labelled_in_parts(shared.value, [x or "" for x in batch.column("text").to_pylist()], spans):
+                yield pa.record_batch([batch.column("id").slice(at, len(langs)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(found, kind)], ["id", "lang_pred", "score", "spans"])
+                at += len(langs)
 
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>").withColumnRenamed("id", id_col)
 
@@ -304,8 +315,10 @@ def of_known_language(docs: DataFrame, model: Model, text_col: str = "text", min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, _ = labelled_texts(shared.value, [x or "" for x in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            start = 0
+            for langs, scores, _ in labelled_in_parts(shared.value, [x or "" for x in batch.column(at).to_pylist()]):
+                yield batch.slice(start, len(langs)).filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+                start += len(langs)
 
     return docs.mapInArrow(run, docs.schema)
 
