@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from sentryspark.llm import near_dedup as nd
-from tests.conftest import SMALL, duck_rows, rows_of
 
 
 def brute(texts: dict[int, str | None], n_words: int, percent: int = 80) -> dict[int, tuple[int, int]]:
@@ -86,11 +85,3 @@ def test_estimate_follows_the_similarity(spark):
         row = spark.createDataFrame([(nd.planes(nd.minima(a)).tolist(), nd.planes(nd.minima(b)).tolist())], "a array<long>, b array<long>")
         assert abs(row.selectExpr(nd.estimate("a", "b")).first()[0] - true) < 0.2
 
-
-def test_query_equals_sql(spark, duck):
-    from sentryspark.llm.near_dedup import ORACLE, near_dedup_query
-
-    columns, expected = duck_rows(duck, ORACLE)
-    found = near_dedup_query(spark, SMALL)
-    assert sorted(found.columns) == columns
-    assert rows_of(found) == expected

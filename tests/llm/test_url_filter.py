@@ -1,5 +1,4 @@
-from sentryspark.llm.url_filter import ORACLE, RULES, Rule, judged, propagated, url_filter_query
-from tests.conftest import SMALL, duck_rows, rows_of
+from sentryspark.llm.url_filter import RULES, Rule, judged, propagated
 
 KIND = "page_id long, url string, html string, host string, _bad string"
 
@@ -51,9 +50,3 @@ def test_propagation_equals_a_matrix_product(spark):
 def test_empty(spark):
     assert verdicts(spark, []) == {}
 
-
-def test_query_equals_sql(spark, duck):
-    columns, expected = duck_rows(duck, ORACLE)
-    found = url_filter_query(spark, SMALL)
-    assert sorted(found.columns) == columns
-    assert rows_of(found) == expected
