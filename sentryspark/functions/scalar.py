@@ -60,7 +60,7 @@ def truncated(stamp: Column) -> Column:
 
 def bucket(stamp: Column, config: Config = DEFAULT) -> Column:
     """The day and the tumbling window of it that a time falls in, as `2024-01-30#17`; `nowindow` for none."""
-    minute = F.substring(stamp, 12, 2).cast("int") * 60 + F.substring(stamp, 15, 2).cast("int")
+    minute = F.substring(stamp, 12, 2).try_cast("int") * 60 + F.substring(stamp, 15, 2).try_cast("int")
     number = F.floor(minute / max(config.window_minutes, 1)).cast("string")
     return F.when(F.coalesce(stamp, F.lit("")) == "", F.lit("nowindow")).otherwise(F.concat(F.substring(stamp, 1, 10), F.lit("#"), number))
 
@@ -104,7 +104,7 @@ def masked(secret: Column) -> Column:
 
 def joined_sources(old: Column, new: Column) -> Column:
     """Comma-separated names of both, each once, in order of appearance; a first value stays as it is."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(",", old, new), ","), F.trim), lambda x: x != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(",", old, new), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return F.when(F.coalesce(old, F.lit("")) == "", new).when(F.coalesce(new, F.lit("")) == "", old).otherwise(F.array_join(parts, ","))
 
 
@@ -166,7 +166,7 @@ def coordinates(text: Column) -> tuple[Column, Column]:
     """Latitude and longitude of `lat,lon`, `lat/lon` or `lat lon`; null unless both are in range."""
     pattern = r"(-?\d+(?:\.\d+)?)\s*[,/ ]\s*(-?\d+(?:\.\d+)?)"
     found = [F.regexp_extract(text, pattern, k) for k in (1, 2)]
-    lat, lon = (F.when(x != "", x.cast("double")) for x in found)
+    lat, lon = (x.try_cast("double") for x in found)
     good = lat.between(-90, 90) & lon.between(-180, 180)
     return F.when(good, lat), F.when(good, lon)
 
@@ -185,7 +185,7 @@ def is_v4(ip: Column) -> Column:
 
 def _number(ip: Column) -> Column:
     parts = F.split(ip, r"\.")
-    return reduce(lambda a, b: a * 256 + b, (F.get(parts, F.lit(k)).cast("long") for k in range(4)))
+    return reduce(lambda a, b: a * 256 + b, (F.get(parts, F.lit(k)).try_cast("long") for k in range(4)))
 
 
 def _block(cidr: str) -> tuple[int, int]:

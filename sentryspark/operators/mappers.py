@@ -76,8 +76,8 @@ def shell_events(lines: DataFrame, node_id: str, protocol: str = "ssh", prefix_s
         .when(kind == "login_success", _details(username=_get("username")))
         .when(kind == "command", _details(command=_get("input")))
         .when(kind == "file_download", _details(download_url=_get("url"), file_hash=_get("shasum"), file_name=_get("outfile")))
-        .when(kind == "session_end", _details(status=F.lit("closed"), duration_seconds=_get("duration").cast("double")))
-        .when(kind == "connection", _details(destination_ip=_get("dst_ip"), destination_port=_get("dst_port").cast("int"), source_port=_get("src_port").cast("int")))
+        .when(kind == "session_end", _details(status=F.lit("closed"), duration_seconds=_get("duration").try_cast("double")))
+        .when(kind == "connection", _details(destination_ip=_get("dst_ip"), destination_port=_get("dst_port").try_cast("int"), source_port=_get("src_port").try_cast("int")))
     )
     session = F.concat(F.lit(f"{node_id}:"), _get("session")) if prefix_session else _get("session")
     rows = lines.withColumn("_kind", kind).where("_kind is not null")
@@ -101,7 +101,7 @@ def _incident_events() -> Column:
         command = F.when(origin == name, rendered(data(verb), data(arguments) if arguments else F.lit(None).cast("string"))).otherwise(command)
     link = lambda x: data(f"connection.{x}")
     return (
-        F.when(origin.isin(*ACCEPT_ORIGINS), F.array(_envelope("connection", _details(destination_ip=link("local_ip"), destination_port=link("local_port").cast("int"), source_port=link("remote_port").cast("int")))))
+        F.when(origin.isin(*ACCEPT_ORIGINS), F.array(_envelope("connection", _details(destination_ip=link("local_ip"), destination_port=link("local_port").try_cast("int"), source_port=link("remote_port").try_cast("int")))))
         .when(origin.isin(*LOGIN_ORIGINS), F.array(_envelope("login_attempt", _details(username=data("username"), password=F.nullif(data("password"), F.lit(""))))))
         .when(origin.isin(*COMMAND_ORIGINS), F.when(command.isNotNull(), F.array(_envelope("command", _details(command=command)))))
         .when(origin.isin(*DOWNLOAD_ORIGINS), F.array(_envelope("file_download", _details(download_url=data("url"), file_hash=data("md5hash"), file_name=data("file")))))
@@ -123,7 +123,7 @@ def _pairs(path: str, first: str, second: str) -> Column:
 
 def _record_events() -> Column:
     """All events that were folded into one connection record."""
-    start = F.array(_envelope("connection", _details(destination_ip=_get("dst_ip"), destination_port=_get("dst_port").cast("int"), source_port=_get("src_port").cast("int"))))
+    start = F.array(_envelope("connection", _details(destination_ip=_get("dst_ip"), destination_port=_get("dst_port").try_cast("int"), source_port=_get("src_port").try_cast("int"))))
     logins = F.transform(_pairs("credentials", "username", "password"), lambda x: _envelope("login_attempt", _details(username=x["a"], password=F.nullif(x["b"], F.lit("")))))
     typed = F.filter(F.transform(_pairs("ftp.commands", "command", "arguments"), lambda x: rendered(x["a"], x["b"])), lambda x: x.isNotNull())
     commands = F.transform(typed, lambda x: _envelope("command", _details(command=x)))

@@ -1,7 +1,7 @@
 """Detection rules over a rolling window, and what becomes of their findings.
 
 Every rule gives the same columns, so a pass is a union. Findings get name-based ids; those known already,
-repeated in the pass, or cooling down are dropped in closed form by one window per address and type, without a loop.
+repeated in the pass, or cooling down are dropped in closed form, by one aggregation per address and type, without a loop.
 """
 
 from __future__ import annotations
@@ -123,8 +123,8 @@ def evaluated(events: DataFrame, reputation: DataFrame, since: str, config: Conf
 
 
 def order() -> list:
-    """Worst first, then latest; ties by rule and key."""
-    return [rank(F.col("severity")).desc(), F.col("timestamp").desc(), F.col("rule_order"), F.col("dedupe_key")]
+    """Worst first, then latest; ties by rule and key, the last key first."""
+    return [rank(F.col("severity")).desc(), F.col("timestamp").desc(), F.col("rule_order"), F.col("dedupe_key").desc()]
 
 
 def with_ids(findings: DataFrame) -> DataFrame:
@@ -151,11 +151,11 @@ def new_alerts(findings: DataFrame, now: str, existing: DataFrame | None = None,
         rows = rows.join(ids, "alert_id", "left").join(young, ["attacker_ip", "alert_type"], "left")
         rows = rows.withColumn("known", F.coalesce("known", F.lit(False))).withColumn("cooling", F.coalesce("cooling", F.lit(False)) & ~F.col("alert_type").isin(*config.no_cooldown))
     rows = rows.withColumn("candidate", F.col("first") & ~F.col("known"))
-    quiet = rows.where(~F.col("alert_type").isin(*config.no_cooldown))
-    earlier = Window.partitionBy("attacker_ip", "alert_type").orderBy(*order()).rowsBetween(Window.unboundedPreceding, -1)
-    quiet = quiet.withColumn("blocked", F.coalesce(F.max(F.col("candidate") & F.col("fresh")).over(earlier), F.lit(False)))
-    loud = rows.where(F.col("alert_type").isin(*config.no_cooldown)).withColumn("blocked", F.lit(False))
-    kept = quiet.unionByName(loud).where("candidate and not cooling and not blocked")
+    # as one sortable value, of which the largest comes first
+    rows = rows.withColumn("place", F.struct(rank(F.col("severity")), "timestamp", -F.col("rule_order"), "dedupe_key"))
+    leaders = rows.where("candidate and fresh").groupBy("attacker_ip", "alert_type").agg(F.max("place").alias("leader"))
+    rows = rows.join(leaders, ["attacker_ip", "alert_type"], "left")
+    kept = rows.where(F.col("candidate") & ~F.col("cooling") & ~F.coalesce(F.col("leader") > F.col("place"), F.lit(False)))
     return kept.select("alert_id", "attacker_ip", "session_id", "alert_type", "severity", "timestamp", "description", F.lit("open").alias("status"))
 
 

@@ -135,7 +135,7 @@ def transcript(events: DataFrame, session_id: str | None = None) -> DataFrame:
     severity, label = classified(F.col("command"))
     out = rows.select(
         "session_id", "event_id", "event_type", "timestamp", "node_id", "attacker_ip", "protocol", *(field(k).alias(k) for k in keys),
-        F.when(field("password").isNull(), 0).otherwise(1).alias("had_password"), F.when(gap >= 60, gap).alias("gap_seconds"), F.row_number().over(line).alias("line"),
+        F.when(field("password").isNull(), 0).otherwise(1).alias("had_password"), F.when(gap >= 60, gap).alias("gap_seconds"), F.row_number().over(line).cast("long").alias("line"),
     )
     return out.withColumn("risk", severity).withColumn("risk_label", label)
 
@@ -151,7 +151,7 @@ def adjacent_sessions(sessions: DataFrame) -> DataFrame:
     """(session_id, prev, next, position, sessions) among those of the same address, newest first."""
     rows = sessions.where("attacker_ip is not null")
     line = Window.partitionBy("attacker_ip").orderBy(F.desc("start_time"), "session_id")
-    return rows.select("session_id", "attacker_ip", F.lag("session_id").over(line).alias("prev"), F.lead("session_id").over(line).alias("next"), F.row_number().over(line).alias("position"), F.count(F.lit(1)).over(Window.partitionBy("attacker_ip")).alias("sessions"))
+    return rows.select("session_id", "attacker_ip", F.lag("session_id").over(line).alias("prev"), F.lead("session_id").over(line).alias("next"), F.row_number().over(line).cast("long").alias("position"), F.count(F.lit(1)).over(Window.partitionBy("attacker_ip")).alias("sessions"))
 
 
 def events_of(events: DataFrame, ip: str, limit: int = 200) -> DataFrame:

@@ -11,10 +11,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentryspark.functions.scalar import COMMAND_PATTERNS, profile_score, projected
-from sentryspark.operators import feed, ingest, rollups, rules, search
-from sentryspark.plans import duck
+from sentryspark.functions.scalar import COMMAND_PATTERNS, field, profile_score, projected
+from sentryspark.operators import feed, ingest, mappers, rollups, rules, search
+from sentryspark.plans import duck, screens
 from sentryspark.sources import tables
+from sentryspark.streaming import pipeline
 
 SINCE, NOW, DAY, HOUR = "2024-01-23T00:00:00Z", "2024-01-31T00:00:00Z", "2024-01-30T00:00:00Z", "2024-01-30T23:00:00Z"
 #: The address and sensor that queries about one of them ask for.
@@ -163,9 +164,9 @@ add("adjacent_sessions", lambda t: search.adjacent_sessions(t.sessions), "SELECT
 
 # -- searches ---------------------------------------------------------------
 
-add("search_attackers", lambda t: search.search_attackers(t.events, t.reputation, t.alerts, {"q": "CITY1", "min_score": 20, "alerts_only": True, "node": NODE, "since": SINCE}, "score", 40, 5)[0], f"""
-    SELECT * FROM attackers WHERE (attacker_ip LIKE '%city1%' OR lower(country) LIKE '%city1%' OR lower(city) LIKE '%city1%') AND risk_score >= 20 AND alert_count > 0 AND last_seen >= '{SINCE}'
-      AND attacker_ip IN (SELECT attacker_ip FROM ev WHERE node_id = '{NODE}') ORDER BY risk_score DESC, event_count DESC, attacker_ip LIMIT 40 OFFSET 5""")
+add("search_attackers", lambda t: search.search_attackers(t.events, t.reputation, t.alerts, {"q": "iTy", "min_score": 20, "alerts_only": True, "node": NODE, "since": SINCE}, "score", 40, 2)[0], f"""
+    SELECT * FROM attackers WHERE (attacker_ip LIKE '%ity%' OR lower(country) LIKE '%ity%' OR lower(city) LIKE '%ity%') AND risk_score >= 20 AND alert_count > 0 AND last_seen >= '{SINCE}'
+      AND attacker_ip IN (SELECT attacker_ip FROM ev WHERE node_id = '{NODE}') ORDER BY risk_score DESC, event_count DESC, attacker_ip LIMIT 40 OFFSET 2""")
 add("attacker_rows", lambda t: search.attackers(t.events, t.reputation, t.alerts), "SELECT * FROM attackers")
 add("search_sessions", lambda t: search.search_sessions(t.sessions, t.events, t.reputation, {"q": "ROOT", "status": "closed", "commands_only": True}, "duration", 50, 0)[0], f"""
     SELECT * FROM session_rows WHERE (lower(session_id) LIKE '%root%' OR attacker_ip LIKE '%root%' OR lower(username) LIKE '%root%') AND status = 'closed' AND command_count > 0 ORDER BY duration_seconds DESC NULLS LAST, session_id LIMIT 50""")
@@ -229,7 +230,10 @@ add("dashboard_overview", lambda t: rollups.overview(t.events, t.sessions, t.nod
 _OVERVIEW = ("total_events", "events_last_hour", "unique_attackers", "total_sessions", "active_sessions", "nodes_online", "nodes_total", "open_alerts", "open_high_alerts", "enriched_ips", "avg_ingest_lag_seconds")
 add("overview_stats", lambda t: rollups.overview(t.events, t.sessions, t.nodes, t.alerts, t.reputation, HOUR, DAY).select(*_OVERVIEW), None)
 ORACLES["overview_stats"] = f"SELECT {', '.join(_OVERVIEW)} FROM ({ORACLES['dashboard_overview']})"
-add("rule_catalogue", lambda t: t.spark.createDataFrame([(k, p, level, label) for k, (p, level, label) in enumerate(COMMAND_PATTERNS)], "position int, pattern string, severity string, label string"))
+add("rule_catalogue", lambda t: screens.rule_catalogue(t.spark), "SELECT * FROM (VALUES ('brute_force', true, 5, 5), ('credential_spray', true, 5, 5), ('high_risk_ip', true, 75, 5), ('suspicious_command', true, NULL, 5), ('malware_staging', true, NULL, 5), ('multi_node_scan', true, 2, 5), ('post_auth_activity', true, NULL, 5)) v(rule, enabled, threshold, window_minutes)")
+add("command_patterns", lambda t: screens.command_patterns(t.spark), f"SELECT * FROM (VALUES {', '.join(str((k, *row)) for k, row in enumerate(COMMAND_PATTERNS))}) v(position, pattern, severity, label)".replace("\\\\", "\\"))
+add("health_tallies", lambda t: screens.health_tallies(t, NOW, DAY), None)
+ORACLES["health_tallies"] = f"SELECT health, count(*) AS n FROM ({ORACLES['node_health']}) GROUP BY 1"
 
 # -- validation and mapping over lines made of the events ---------------------------
 
@@ -254,6 +258,52 @@ add("validate_events", lambda t: ingest.problem_counts(ingest.validated(_lines(t
 add("normalized_events", lambda t: ingest.normalized(ingest.validated(_lines(t))).drop("details"), "SELECT * EXCLUDE (details) FROM ev WHERE seq % 9 <> 0")
 
 
+def _streamed(t: Tables) -> DataFrame:
+    """The lines, every seventh twice, through the ingest stream."""
+    landing, out, checkpoint = (tables.new_folder(t.spark, x) for x in ("landing", "log", "stream"))
+    lines = _lines(t)
+    lines.unionByName(lines.where("seq % 7 = 0")).select(F.col("line").alias("value")).write.text(landing)
+    pipeline.ingest(t.spark, landing, out, checkpoint).awaitTermination()
+    return pipeline.stored_events(t.spark, out).drop("seq", "received_at", "details")
+
+
+add("stream_dedupe", _streamed, "SELECT * EXCLUDE (seq, received_at, details) FROM ev WHERE seq % 9 <> 0")
+
+
+def _shell(t: Tables) -> DataFrame:
+    """Events as a shell sensor logs them, mapped back."""
+    name = F.create_map(*(F.lit(x) for k, v in mappers.SHELL_TYPES.items() for x in (v, k)))
+    raw = F.struct(
+        F.coalesce(F.element_at(name, F.col("event_type")), F.lit("cowrie.log.closed")).alias("eventid"), F.col("timestamp"), F.col("session_id").alias("session"), F.col("attacker_ip").alias("src_ip"),
+        field("username").alias("username"), field("password").alias("password"), field("command").alias("input"), field("download_url").alias("url"), field("file_name").alias("outfile"),
+    )
+    rows = mappers.shell_events(t.events.select(F.to_json(raw).alias("line")), "node-01")
+    return rows.select("event_type", "timestamp", "session_id", "attacker_ip", "protocol", *(field(x).alias(x) for x in ("username", "password", "command", "download_url", "file_name")))
+
+
+add("map_shell_log", _shell, "SELECT event_type, timestamp, session_id, attacker_ip, 'ssh' AS protocol, " + ", ".join(f"json_extract_string(details, '$.{k}') AS {k}" for k in ("username", "password", "command", "download_url", "file_name")) + " FROM ev WHERE event_type <> 'heartbeat'")
+
+
+def _service(t: Tables) -> DataFrame:
+    """Login attempts as connection records of a service sensor, mapped to events."""
+    user, secret = field("username").alias("username"), field("password").alias("password")
+    command = lambda verb, *words: F.struct(F.lit(verb).alias("command"), F.array(*words).alias("arguments"))
+    raw = F.struct(
+        F.struct(F.lit("accept").alias("type"), F.when(F.col("protocol") == "ftp", "ftpd").when(F.col("protocol") == "smb", "smbd").otherwise("pcap").alias("protocol")).alias("connection"),
+        F.regexp_replace("timestamp", "Z", "").alias("timestamp"), F.col("attacker_ip").alias("src_ip"), F.lit(4000).alias("src_port"), F.lit("198.51.100.1").alias("dst_ip"), F.lit(21).alias("dst_port"),
+        F.array(F.struct(user, secret)).alias("credentials"), F.struct(F.array(command("USER", field("username")), command("PASS", F.coalesce(field("password"), F.lit("x")))).alias("commands")).alias("ftp"),
+    )
+    lines = t.events.where("event_type = 'login_attempt'").select(F.to_json(raw).alias("line"))
+    rows = mappers.service_events(lines, NODE)
+    return rows.select("event_type", "timestamp", "attacker_ip", "protocol", "session_id", field("username").alias("username"), field("password").alias("password"), field("command").alias("command"))
+
+
+_PARTS = "(VALUES ('connection', 0), ('login_attempt', 1), ('command', 2), ('command', 3), ('session_end', 4)) v(event_type, part)"
+add("map_service_log", _service, f"""
+    SELECT v.event_type, timestamp, attacker_ip, protocol, '{NODE}:' || substr(sha256(attacker_ip || '|4000|198.51.100.1|21|' || replace(timestamp, 'Z', '')), 1, 16) AS session_id, CASE part WHEN 1 THEN {_USER} END AS username, CASE part WHEN 1 THEN json_extract_string(details, '$.password') END AS password,
+      CASE part WHEN 2 THEN 'USER ' || {_USER} WHEN 3 THEN 'PASS ***REDACTED***' END AS command FROM ev, {_PARTS} WHERE ev.event_type = 'login_attempt' AND protocol IN ('ftp', 'smb')""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, build=build: build(Tables(spark, sf_dir))) for name, build in BUILDS.items()}
 

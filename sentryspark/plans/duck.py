@@ -56,7 +56,7 @@ _RULES = [
       FROM (SELECT l.session_id, l.attacker_ip, l.node_id, count(c.event_id) AS n, max(c.timestamp) AS ts FROM ev l JOIN ev c ON c.session_id = l.session_id AND c.event_type = 'command' WHERE l.event_type = 'login_success' AND l.attacker_ip IS NOT NULL AND c.timestamp >= '{SINCE}' GROUP BY 1, 2, 3)""",
 ]
 _RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
-_ORDER = f"{_RANK} DESC, timestamp DESC, rule_order, dedupe_key"
+_ORDER = f"{_RANK} DESC, timestamp DESC, rule_order, dedupe_key DESC"
 _QUIET = "alert_type IN ('suspicious_command', 'malware_staging')"
 _ZERO = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("event_count", "session_count", "node_count", "login_attempts", "command_count", "download_count"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,18 +24,21 @@ from sentryspark.schema import ALERTS, EVENTS
 BATCH_SPAN = 1 << 40
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _stored(spark: SparkSession, path: str, schema: StructType, part: str, before: int | None) -> DataFrame:
+    """The rows below path, of the parts that come before `before`; none if nothing was written yet."""
+    try:
+        rows = spark.read.schema(StructType([*schema.fields, StructField(part, LongType())])).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rows = rows if before is None else rows.where(F.col(part) < before)
+    return rows.select(*schema.fieldNames())
 
 
 def stored_events(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
-    """The event log below out; `before` leaves out later batches."""
-    if not _exists(spark, f"{out}/events"):
-        return spark.createDataFrame([], EVENTS)
-    rows = spark.read.schema(StructType([*EVENTS.fields, StructField("batch", LongType())])).parquet(f"{out}/events")
-    rows = rows if before is None else rows.where(F.col("batch") < before)
-    return rows.select(*EVENTS.fieldNames())
+    """The event log below out; `before` leaves out that batch and later ones."""
+    return _stored(spark, f"{out}/events", EVENTS, "batch", before)
 
 
 def ingested(batch: DataFrame, batch_id: int, out: str, received_at, horizon: str | None = None, config: Config = DEFAULT) -> None:
@@ -86,9 +90,7 @@ def inactive_sessions(events: DataFrame, config: Config = DEFAULT, delay: str =
 def alert_pass(spark: SparkSession, out: str, reputation: DataFrame, since: str, now: str, number: int, config: Config = DEFAULT) -> DataFrame:
     """Evaluate the rules over the log below out and add what is new to its alerts, as pass `number`; a retry overwrites its own."""
     path = f"{out}/alerts"
-    old = None
-    if _exists(spark, path):
-        old = spark.read.schema(StructType([*ALERTS.fields, StructField("pass", LongType())])).parquet(path).where(F.col("pass") < number).drop("pass")
+    old = _stored(spark, path, ALERTS, "pass", number)
     fresh = new_alerts(evaluated(stored_events(spark, out), reputation, since, config), now, old, config)
     fresh.write.mode("overwrite").parquet(f"{path}/pass={number}")
     return spark.read.parquet(f"{path}/pass={number}")

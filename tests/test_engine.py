@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sentryspark.config import Config
 from sentryspark.functions import scalar
 from sentryspark.operators import feed, ingest, mappers, rollups, rules, search
+from sentryspark.plans import screens
+from sentryspark.plans.catalogue import Tables
 from sentryspark.schema import ALERTS, EVENTS, NODES, REPUTATION
 from sentryspark.sources import tables
 from sentryspark.streaming import pipeline
@@ -107,13 +109,15 @@ def test_cooldown_equals_a_loop(spark):
     findings, existing = [], []
     for k in range(400):
         kind = rng.choice(["brute_force", "post_auth_activity", "malware_staging"])
-        key = f"{kind}|{rng.randint(0, 120)}"
-        findings.append((kind, f"10.0.0.{rng.randint(1, 9)}", rng.choice(["low", "medium", "high"]), _stamp(rng.randint(0, 9000)), f"d{k}", None, key, rng.randint(0, 6)))
+        ip = f"10.0.0.{rng.randint(1, 9)}"
+        key = f"{kind}|{ip}|{rng.randint(0, 12)}"
+        findings.append((kind, ip, rng.choice(["low", "medium", "high"]), _stamp(rng.randint(0, 9000)), f"d{k}", None, key, rng.randint(0, 6)))
     for k in range(60):
-        key = f"{rng.choice(['brute_force', 'post_auth_activity'])}|{rng.randint(0, 150)}"
-        existing.append((str(uuid.uuid5(uuid.UUID("c35ac7c6-2707-528e-8e1e-398e87b6b396"), key)), f"10.0.0.{rng.randint(1, 30)}", None, key.split("|")[0], "high", _stamp(rng.randint(0, 9000)), "old", rng.choice(["open", "closed"])))
+        ip = f"10.0.0.{rng.randint(1, 30)}"
+        key = f"{rng.choice(['brute_force', 'post_auth_activity'])}|{ip}|{rng.randint(0, 15)}"
+        existing.append((str(uuid.uuid5(uuid.UUID("c35ac7c6-2707-528e-8e1e-398e87b6b396"), key)), ip, None, key.split("|")[0], "high", _stamp(rng.randint(0, 9000)), "old", rng.choice(["open", "closed"])))
     rank = {"low": 1, "medium": 2, "high": 3}
-    order = sorted(findings, key=lambda f: (f[7], f[6]))
+    order = sorted(sorted(findings, key=lambda f: f[6], reverse=True), key=lambda f: f[7])
     order = sorted(order, key=lambda f: (rank[f[2]], f[3]), reverse=True)
     table, made = list(existing), []
     for kind, ip, level, stamp, text, session, key, _ in order:
@@ -156,7 +160,7 @@ def test_scalars(spark):
     assert hits("B\\C") == [True, False, False, None] and hits("b_c") == [True, True, False, None] and hits("é") == [False, False, False, None]
     places = spark.createDataFrame([("Berlin 52.5, 13.4",), ("1/2",), ("95,10",), ("none",)], "t string")
     lat, lon = scalar.coordinates(F.col("t"))
-    assert [tuple(r) for r in places.select(lat, lon).collect()] == [(52.5, 13.4), (1.0, 2.0), (None, 10.0), (None, None)]
+    assert [tuple(r) for r in places.select(lat, lon).collect()] == [(52.5, 13.4), (1.0, 2.0), (None, None), (None, None)]
     bands = spark.createDataFrame([(None,), (10,), (40,), (75,)], "s int").select(scalar.score_band(F.col("s")).alias("b"))
     assert [r["b"] for r in bands.collect()] == ["none", "low", "medium", "high"]
 
@@ -269,6 +273,37 @@ def test_secrets_never_leak(spark):
         rows.select(feed.checked(F.to_json(F.struct("*")))).collect()
 
 
+# -- composites -------------------------------------------------------------
+
+
+def test_screens(spark, tmp_path):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for name in ("events", "reputation", "alerts", "sessions", "nodes"):
+        vars(t)[name] = getattr(t, name).cache()
+    day, now = "2024-01-30T00:00:00Z", "2024-01-31T00:00:00Z"
+    assert screens.since_of(spark, "24h", now) == day and screens.since_of(spark, "all", now) == "" and screens.since_of(spark, "x", now) == day
+    for frames in (screens.overview(t, now, day, day), screens.attacker_list(t, {}, "score"), screens.alerts_screen(t, {}), screens.nodes_screen(t, now, day), screens.statistics(t, day, day)):
+        assert all(f.count() > 0 for f in frames.values())
+    ip = t.events.where("attacker_ip is not null").first()["attacker_ip"]
+    profile = screens.attacker_profile(t, ip, "")
+    assert profile["summary"].count() == 1 and profile["sessions"].count() > 0
+    stranger = t.reputation.join(t.events, "attacker_ip", "left_anti").first()["attacker_ip"]
+    assert screens.attacker_profile(t, stranger, "")["summary"].count() == 1 and screens.attacker_profile(t, "0.0.0.0", "")["summary"].count() == 0
+    sid = t.sessions.first()["session_id"]
+    detail = screens.session_detail(t, sid)
+    assert detail["session"].count() == detail["neighbours"].count() == 1 and detail["transcript"].count() > 0
+    drawn = screens.map_screen(t, day, {"node-01": (52.5, 13.4)})
+    assert drawn["arcs"].count() > 0 and {r["node_id"] for r in drawn["unplaced"].collect()} == {"node-02", "node-03"}
+    assert screens.feed_preview(t, now, min_confidence=60)["stix"].count() > 1
+    assert screens.health_tallies(t, now, day).count() > 0
+    passed = screens.cycle(t, "2024-01-23T00:00:00Z", now, str(tmp_path / "feed"))
+    assert passed["alerts"].count() == 0 and passed["summary"].count() > 0
+    found = screens.dossier(t, ip, now)
+    body = json.loads(found["json"].first()["json"])
+    assert body["summary"]["attacker_ip"] == ip and body["sessions"] and not re.search(r'"pw\d"', json.dumps(body))
+    assert found["csv"].count() == 1
+
+
 # -- streaming --------------------------------------------------------------
 
 
@@ -309,5 +344,5 @@ def test_live_rollups(spark, tmp_path):
 
     assert len(result(pipeline.deduplicated(stream()), "append")) == 10
     batch = pipeline.windowed_activity(spark.read.parquet(str(tmp_path / "ev"))).collect()
-    assert sorted(map(tuple, result(pipeline.windowed_activity(stream()), "complete"))) == sorted(map(tuple, batch)) and len(batch) == 4 + (batch[0] is None)
+    assert sorted(map(tuple, result(pipeline.windowed_activity(stream()), "complete"))) == sorted(map(tuple, batch)) and len(batch) == 5
     assert [(r["session_id"], r["n"]) for r in result(pipeline.inactive_sessions(stream()), "append")] == [("s1", 10)]
