@@ -78,7 +78,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encodes and decodes texts by the ranks of a vocabulary file; special tokens are ordinary text."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
         import regex
 
         self.ranks = read_ranks(path)
@@ -91,6 +91,7 @@ class ByteBPE:
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.decimal = {rank: str(rank) for rank in self.bytes}
         self._cache: dict[str, tuple[int, ...]] = {}
+        self._most = cache
 
     def resolve(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -126,7 +127,7 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         pieces, cache = self.pattern.findall(text), self._cache
         new = [x for x in set(pieces) if x not in cache]
-        if len(cache) + len(new) > CACHE:
+        if len(cache) + len(new) > self._most:
             cache.clear()
             new = set(pieces)
         for x in new:
@@ -141,13 +142,14 @@ class ByteBPE:
         return ",".join(map(self.decimal.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], ByteBPE] = {}
+_CODECS: dict[tuple[str, str, int], ByteBPE] = {}
 
 
-def codec(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = ByteBPE(path, pattern)
-    return _CODECS[path, pattern]
+def codec(path: str, pattern: str, cache: int = CACHE) -> ByteBPE:
+    key = path, pattern, cache
+    if key not in _CODECS:
+        _CODECS[key] = ByteBPE(*key)
+    return _CODECS[key]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,16 +175,17 @@ def decoded(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
     return rows.select(rows[id_col].cast("long").alias("id"), rows[ids_col].alias("ids")).mapInArrow(run, "id long, bytes binary").withColumnRenamed("id", id_col)
 
 
-def round_trips(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def round_trips(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cache: int = CACHE) -> DataFrame:
     """One row for each row of docs: id_col, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes decoded from these ids), then the columns of keep.
 
     Null texts count as empty: no tokens. Rows are judged one by one, so repeats and null ids stay as they are.
+    cache is the number of pre-tokens that a worker keeps.
     """
     own = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), *keep)
     kinds = ", ".join(f"`{x}` {own.schema[x].dataType.simpleString()}" for x in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, cache)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for value in batch.column("_text"):

@@ -41,7 +41,7 @@ ASK_BLOCK, ALL_BLOCK = 256, 2048
 #: Parts that the partners of one anchor are dealt into.
 SALTS = 32
 #: Words whose hashes a worker keeps; it starts anew when the table is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 60_000
 #: Shingles whose hashes are computed at once.
 CHUNK = 4096
 
