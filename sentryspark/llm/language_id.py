@@ -8,6 +8,9 @@ many texts at once: trigrams are hashed from code points, and paths are found ov
 words whose transfer matrices are then chained.
 
 The model is fitted in Spark on a bounded sample of labelled rows: its table has FEATURES cells for each language.
+How well a text fits at all is the mean log probability of its trigrams on the best path, less what is usual for
+the path's languages; the model's cut lies halfway between what nearly all labelled rows reach, each judged by the half
+of the rows that it isn't in, and the worst fit there is.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentryspark.llm.common import stored
+
 #: Cells of the trigram table, and labelled rows of each language that the model is fitted on, about.
 FEATURES = 1 << 15
 TRAIN_ROWS = 2000
@@ -30,6 +35,11 @@ PENALTY = 8.0
 SCRIPT_SHARE = 0.01
 #: Texts with a lower score fit no learned language. One that mixes four languages still has 0.25 for its first.
 MIN_SCORE = 0.2
+#: No word fits worse than this a letter, so that a key or an address beside prose doesn't outweigh it; a text counts as if it had PRIOR usual letters more.
+FLOOR = -3.0
+PRIOR = 20
+#: The share of labelled rows that may fall below what the cut is set from.
+REJECTED = 0.001
 #: Code points worked on at once, and words in a block of the path search.
 SLICE = 1 << 18
 BLOCK = 64
@@ -131,13 +141,18 @@ class Model:
     grams: np.ndarray
     #: Whether a language is a candidate for words of a script, scripts + 1 x languages.
     candidates: np.ndarray
+    #: What a letter of each language's own texts has on average, and the fit below which a text is of no learned language.
+    typical: np.ndarray
+    cut: float = -np.inf
+
+    def sums(self, words: Words) -> np.ndarray:
+        """Words x languages: log probabilities."""
+        return np.add.reduceat(self.grams[words.cells], words.first, axis=0) if len(words.first) else np.zeros((0, len(self.languages)), np.float32)
 
-    def scores(self, words: Words) -> np.ndarray:
+    def scores(self, words: Words, sums: np.ndarray) -> np.ndarray:
         """Words x languages; languages that a word's script rules out fall behind the worst of the others by the penalty."""
-        n = len(words.first)
-        if not n:
-            return np.zeros((0, len(self.languages)), np.float32)
-        sums = np.add.reduceat(self.grams[words.cells], words.first, axis=0)
+        if not len(words.first):
+            return sums
         allowed = self.candidates[words.script]
         known = allowed.any(axis=1, keepdims=True)
         floor = np.where(allowed, sums, np.inf).min(axis=1, keepdims=True) - PENALTY
@@ -197,64 +212,98 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY
 
 def _counted(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = np.zeros((len(languages), FEATURES), np.int64)
-        scripts = np.zeros((len(languages), len(SCRIPT_NAMES) + 1), np.int64)
+        grams = np.zeros((2, len(languages), FEATURES), np.int64)
+        scripts = np.zeros((2, len(languages), len(SCRIPT_NAMES) + 1), np.int64)
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            for k, name in enumerate(languages):
-                for codes, *_ in slices_of([t for t, x in zip(texts, langs, strict=True) if x == name]):
-                    words = words_of(codes)
-                    grams[k] += np.bincount(words.cells, minlength=FEATURES)
-                    scripts[k] += np.bincount(words.script, words.end - words.start, len(SCRIPT_NAMES) + 1).astype(np.int64)
+            langs, texts, halves = (batch.column(c).to_pylist() for c in ("lang", "text", "half"))
+            for half in (0, 1):
+                for k, name in enumerate(languages):
+                    for codes, *_ in slices_of([t for t, x, h in zip(texts, langs, halves, strict=True) if x == name and h == half]):
+                        words = words_of(codes)
+                        grams[half, k] += np.bincount(words.cells, minlength=FEATURES)
+                        scripts[half, k] += np.bincount(words.script, words.end - words.start, len(SCRIPT_NAMES) + 1).astype(np.int64)
         for table, kind in ((grams, 0), (scripts, 1)):
-            lang, cell = np.nonzero(table)
-            yield pa.record_batch([pa.array(np.full(len(lang), kind), pa.int32()), pa.array(lang, pa.int32()), pa.array(cell, pa.int32()), pa.array(table[lang, cell], pa.int64())], ["kind", "lang", "cell", "n"])
+            half, lang, cell = np.nonzero(table)
+            ints = [pa.array(x, pa.int32()) for x in (np.full(len(lang), kind), half, lang, cell)]
+            yield pa.record_batch([*ints, pa.array(table[half, lang, cell], pa.int64())], ["kind", "half", "lang", "cell", "n"])
 
     return run
 
 
+def _model(languages: list[str], grams: np.ndarray, scripts: np.ndarray) -> Model:
+    smooth = grams + 0.5
+    logs = np.log(smooth / smooth.sum(axis=0))
+    typical = (grams * logs).sum(axis=0) / np.maximum(grams.sum(axis=0), 1)
+    return Model(languages, logs.astype(np.float32), scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0)), typical)
+
+
+def _cut(drawn: DataFrame, halves: list[Model]) -> float:
+    """Halfway from the fit that all but REJECTED of the rows reach, by the model of the half that they aren't in, to FLOOR. The driver gets a histogram."""
+    shared = drawn.sparkSession.sparkContext.broadcast(halves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, halves = batch.column("text").to_pylist(), batch.column("half").to_pylist()
+            for half in (0, 1):
+                for langs, _, _, fits in labelled_in_parts(shared.value[1 - half], [t for t, h in zip(texts, halves, strict=True) if h == half]):
+                    yield pa.record_batch([pa.array([round(100 * f) for x, f in zip(langs, fits, strict=True) if x != "und"], pa.int32())], ["fit"])
+
+    table = drawn.mapInArrow(run, "fit int").groupBy("fit").count().orderBy("fit").toPandas()
+    if not len(table):
+        return -np.inf
+    below = table["count"].cumsum().to_numpy()
+    return (float(table["fit"].to_numpy()[int(np.searchsorted(below, REJECTED * below[-1], "right"))]) / 100 + FLOOR) / 2
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Fit on about `rows` rows of each language, drawn by a hash of their ids; null texts and languages are left out.
 
-    What reaches the driver: a count for each language, and the model's table.
+    What reaches the driver: a count for each language, the model's table by halves of the rows, and a histogram of fits.
     """
     own = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((len(SCRIPT_NAMES) + 1, 0), bool))
+        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((len(SCRIPT_NAMES) + 1, 0), bool), np.zeros(0))
     share = F.lit(0.0)
     for name in languages:
         share = F.when(F.col("lang") == name, F.lit(min(1.0, rows / counts[name]))).otherwise(share)
-    drawn = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
-    table = drawn.mapInArrow(_counted(languages), "kind int, lang int, cell int, n long").groupBy("kind", "lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    grams = np.zeros((FEATURES, len(languages)))
-    scripts = np.zeros((len(SCRIPT_NAMES) + 1, len(languages)))
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    drawn = stored(own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang", half), "lang-rows")
+    table = drawn.mapInArrow(_counted(languages), "kind int, half int, lang int, cell int, n long").groupBy("kind", "half", "lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    grams = np.zeros((2, FEATURES, len(languages)))
+    scripts = np.zeros((2, len(SCRIPT_NAMES) + 1, len(languages)))
     for kind, into in ((0, grams), (1, scripts)):
         part = table[table["kind"] == kind]
-        into[part["cell"].to_numpy(), part["lang"].to_numpy()] = part["n"].to_numpy()
-    smooth = grams + 0.5
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0)))
+        into[part["half"].to_numpy(), part["cell"].to_numpy(), part["lang"].to_numpy()] = part["n"].to_numpy()
+    model = _model(languages, grams.sum(axis=0), scripts.sum(axis=0))
+    model.cut = _cut(drawn, [_model(languages, grams[k], scripts[k]) for k in (0, 1)])
+    return model
+
 
+def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple[list[str], list[float], list[list[dict]], list[float]]:
+    """Language and score of each text, its spans (first and past-the-last code point, language), and its fit.
 
-def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple[list[str], list[float], list[list[dict]]]:
-    """Language and score of each text, and its spans (first and past-the-last code point, language)."""
+    The fit is over letters of scripts that the path's languages were seen with: log probability a letter less what is typical.
+    """
     n, n_langs = len(texts), len(model.languages)
     if not n_langs:
-        return ["und"] * n, [0.0] * n, [[] for _ in texts]
-    owner, scores, sizes, bounds, known = [], [], [], [], []
+        return ["und"] * n, [0.0] * n, [[] for _ in texts], [0.0] * n
+    owner, scores, sizes, bounds, known, excess = [], [], [], [], [], []
     for codes, numbers, starts, offsets in slices_of(texts):
         words = words_of(codes)
         which = np.searchsorted(starts, words.start, "right") - 1
         owner.append(numbers[which])
-        scores.append(model.scores(words))
+        sums = model.sums(words)
+        scores.append(model.scores(words, sums))
         sizes.append(words.end - words.start)
+        excess.append(np.maximum(sums / sizes[-1][:, None] - model.typical, FLOOR) * sizes[-1][:, None])
         known.append(model.candidates[words.script].astype(np.float32))
         base = offsets[which] - starts[which]
         bounds.append((words.start + base, words.end + base))
     letters_of = np.zeros((n, n_langs))
     backed = np.zeros((n, n_langs))
-    total = np.zeros(n)
+    total, fit = np.zeros(n), np.zeros(n)
     found: list[list[dict]] = [[] for _ in texts]
     if owner:
         owner, sizes = np.concatenate(owner), np.concatenate(sizes)
@@ -264,6 +313,7 @@ def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple
         np.add.at(letters_of, (owner, path), sizes)
         np.add.at(backed, (owner, path), sizes * fits)
         total = np.bincount(owner, sizes, n)
+        fit = np.bincount(owner, np.concatenate(excess)[np.arange(len(path)), path] * fits, n) / (np.bincount(owner, sizes * fits, n) + PRIOR)
         if spans and len(path):
             begins, ends = np.concatenate([b for b, _ in bounds]), np.concatenate([e for _, e in bounds])
             new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (path[1:] != path[:-1])])
@@ -273,10 +323,10 @@ def labelled_texts(model: Model, texts: list[str], spans: bool = False) -> tuple
     best = letters_of.argmax(axis=1)
     langs = [model.languages[k] if t else "und" for k, t in zip(best, total, strict=True)]
     score = np.where(total > 0, backed[np.arange(n), best] / np.maximum(total, 1), 0.0)
-    return langs, np.round(score, 6).tolist(), found
+    return langs, np.round(score, 6).tolist(), found, fit.tolist()
 
 
-def labelled_in_parts(model: Model, texts: list[str], spans: bool = False) -> Iterator[tuple[list[str], list[float], list[list[dict]]]]:
+def labelled_in_parts(model: Model, texts: list[str], spans: bool = False) -> Iterator[tuple[list[str], list[float], list[list[dict]], list[float]]]:
     """labelled_texts() of consecutive texts, about SLICE code points at a time, so that memory doesn't grow with the batch."""
     start = size = 0
     for k, text in enumerate(texts):
@@ -299,7 +349,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, at = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])), 0
-            for langs, scores, found in labelled_in_parts(shared.value, [x or "" for x in batch.column("text").to_pylist()], spans):
+            for langs, scores, found, _ in labelled_in_parts(shared.value, [x or "" for x in batch.column("text").to_pylist()], spans):
                 yield pa.record_batch([batch.column("id").slice(at, len(langs)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(found, kind)], ["id", "lang_pred", "score", "spans"])
                 at += len(langs)
 
@@ -307,17 +357,17 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def of_known_language(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language by `model` and a score of min_score or more.
+    """The rows of docs, with all their columns, whose text has a language by `model`, a score of min_score or more and no fit below the model's cut.
 
-    Null texts and texts without letters go; repeats and null ids are judged like other rows. No shuffle.
+    Null texts and texts without letters go, so do gibberish and unlearned languages in a learned script; repeats and null ids are judged like other rows. No shuffle.
     """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
-            for langs, scores, _ in labelled_in_parts(shared.value, [x or "" for x in batch.column(at).to_pylist()]):
-                yield batch.slice(start, len(langs)).filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            for langs, scores, _, fits in labelled_in_parts(shared.value, [x or "" for x in batch.column(at).to_pylist()]):
+                yield batch.slice(start, len(langs)).filter(pa.array([x != "und" and s >= min_score and f >= shared.value.cut for x, s, f in zip(langs, scores, fits, strict=True)], pa.bool_()))
                 start += len(langs)
 
     return docs.mapInArrow(run, docs.schema)

@@ -96,6 +96,25 @@ def test_spans_and_odd_texts(spark):
     assert [r["lang_pred"] for r in language_id.identified(frame.where("doc_id = 1"), empty).collect()] == ["und"]
 
 
+def test_gibberish_and_unlearned_languages_go(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40))
+    planted = [finnish, turkish, gibberish, gibberish.upper(), base64.b64encode(rng.randbytes(300)).decode()]
+    clean = [r["text"] for r in docs.where("n_chars > 500").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).orderBy("lang").collect()]
+    clean += ["\n".join(clean), clean[0][:12], clean[0].upper()]
+    frame = docs.unionByName(spark.createDataFrame([(10**6 + k, t, None, "x", len(t)) for k, t in enumerate(planted + clean)], docs.schema))
+    model = language_id.fitted_on(docs)
+    assert len(model.languages) == 4
+    assert all(s > 0.2 for s in language_id.labelled_texts(model, planted)[1])  # the share of letters sees nothing
+    gone = sorted(r["doc_id"] for r in frame.join(language_id.of_known_language(frame, model), "doc_id", "left_anti").collect())
+    assert gone == [10**6 + k for k in range(len(planted))]
+
+
 # -- decontamination --------------------------------------------------------
 
 
