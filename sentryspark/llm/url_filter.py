@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from sentryspark.llm.common import sized, stored
 
 DAMPING = 0.85
-#: Steps of the propagation; it ends before if no mass moves any more.
+#: Steps of the SQL and of propagated() unless it is told otherwise; the query goes on until the masses have converged.
 STEPS = 10
+#: Converged: over EVERY steps, which are stored together, no mass of a host grew by more than this share of itself.
+TOLERANCE = 1e-10
+EVERY = 5
 #: A host is blocked if its distrust is over this share of its trust and distrust.
 THRESHOLD = 0.5
-#: Below this a difference of masses is rounding.
+#: Below this a difference of masses is rounding; in verdicts, relative to the host's mass.
 EPSILON = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The host of an absolute link.
@@ -72,11 +75,14 @@ def host_edges(pages: DataFrame, body_col: str = "html") -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, kind, mass) after `steps` steps of personalised PageRank from seeds (host, kind, mass).
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = STEPS) -> DataFrame:
+    """(host, kind, mass) after `steps` steps of personalised PageRank from seeds (host, kind, mass); None: when it has converged.
+
+    Converged masses are sums over all walks from the seeds, so they only grow, and every host that a walk reaches has one, however far
+    it is: about 140 steps on cycles, and as many more as the farthest host is away.
 
     Kind `trust` follows edges (src, dst, n) forwards and `distrust` backwards, in proportion to n.
-    Mass that reaches a host without such edges ends there. Each step is stored, so a lost executor costs a step at most.
+    Mass that reaches a host without such edges ends there. Each step, or every EVERY steps, is stored, so a lost executor costs those at most.
     """
     forward = edges.select(F.col("src").alias("host"), F.lit("trust").alias("kind"), F.col("dst").alias("to"), "n")
     backward = edges.select(F.col("dst").alias("host"), F.lit("distrust").alias("kind"), F.col("src").alias("to"), "n")
@@ -84,25 +90,40 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, ste
     totals = ways.groupBy("host", "kind").agg(F.sum("n").alias("total"))
     ways = stored(ways.join(totals, ["host", "kind"]).select("host", "kind", "to", (damping * F.col("n") / F.col("total")).alias("share")), "url-ways")
     start = seeds.select("host", "kind", ((1 - damping) * F.col("mass")).alias("mass"))
-    now, before = seeds, None
     if not ways.limit(1).count():
         return start
+
+    def step(mass: DataFrame) -> DataFrame:
+        moved = mass.join(ways, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("mass") * F.col("share")).alias("mass"))
+        return start.unionByName(moved).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
+
+    def moves(now: DataFrame, before: DataFrame, apart) -> bool:
+        both = now.join(before.withColumnRenamed("mass", "was"), ["host", "kind"], "full")
+        return both.where(apart(F.coalesce("mass", F.lit(0.0)), F.coalesce("was", F.lit(0.0)))).limit(1).count() > 0
+
+    if steps is None:
+        before, now = None, start
+        while before is None or moves(now, before, lambda mass, was: F.abs(mass - was) > TOLERANCE * mass):
+            before = now
+            for _ in range(EVERY):
+                now = step(now)
+            now = stored(now, "url-mass")
+        return now
+    now = seeds
     for _ in range(steps):
-        moved = now.join(ways, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("mass") * F.col("share")).alias("mass"))
-        before, now = now, stored(start.unionByName(moved).groupBy("host", "kind").agg(F.sum("mass").alias("mass")), "url-mass")
-        apart = F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) > EPSILON
-        if not now.join(before.withColumnRenamed("mass", "was"), ["host", "kind"], "full").where(apart).limit(1).count():
+        before, now = now, stored(step(now), "url-mass")
+        if not moves(now, before, lambda mass, was: F.abs(mass - was) > EPSILON):
             break
     return now
 
 
 def judged(
-    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", body_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, steps: int = STEPS,
+    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", body_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, steps: int | None = None,
 ) -> DataFrame:
     """One row for each row of pages: id_col, host, path, rule, verdict (allow or block).
 
     The verdict is that of the longest fitting rule, else that of the host: block if its distrust
-    is over `threshold` of its whole mass. Hosts that no mass reaches are allowed, so are urls without a host.
+    is over `threshold` of its whole mass, converged unless `steps` are given. Hosts that no mass reaches are allowed, so are urls without a host.
     Links are absolute ones in `href` attributes, and those within a host are left out. Null urls and bodies count as
     empty. Repeated rows and null ids each get their verdict; an empty table gives no rows; other columns are not read.
     """
@@ -115,7 +136,7 @@ def judged(
     mass = propagated(edges, stored(seeds, "url-seeds"), damping, steps)
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0))
     scores = mass.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
-    bad = stored(scores.where(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")) + EPSILON).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "url-blocked")
+    bad = stored(scores.where(F.col("distrust") > threshold * (1 + EPSILON) * (F.col("trust") + F.col("distrust"))).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "url-blocked")
     out = rows.drop("_body").join(sized(bad), "_host", "left")
     verdict = F.coalesce("_by_rule", F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"))
@@ -126,7 +147,7 @@ def url_filter_query(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """DuckDB SQL with the steps written out."""
+    """DuckDB SQL with STEPS steps written out: enough for tables whose walks end within them."""
     cases = sorted(RULES, key=lambda r: (-len(r.name), -len(r.host), r.name))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in cases) + " END"

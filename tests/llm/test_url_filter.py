@@ -47,6 +47,29 @@ def test_propagation_equals_a_matrix_product(spark):
     assert {r["host"]: round(r["mass"], 9) for r in found} == {h: round(x, 9) for h, x in zip(hosts, now, strict=True) if x}
 
 
+def test_converged_masses_equal_a_solved_system(spark):
+    import numpy as np
+
+    hosts, edges = ["a", "b", *(f"h{k}" for k in range(12))], [("a", "b", 1), ("b", "a", 1), *((f"h{k + 1}", f"h{k}", 1) for k in range(11))]
+    step = np.zeros((14, 14))
+    for s, d, _ in edges:
+        step[hosts.index(s), hosts.index(d)] = 1
+    seeds = spark.createDataFrame([("a", "trust", 1.0), ("h0", "distrust", 3.0)], "host string, kind string, mass double")
+    found = {(r["host"], r["kind"]): r["mass"] for r in propagated(spark.createDataFrame(edges, "src string, dst string, n long"), seeds, steps=None).collect()}
+    expected = {}
+    for kind, ways, start in (("trust", step, np.eye(14)[0]), ("distrust", step.T, 3 * np.eye(14)[2])):
+        expected |= {(h, kind): x for h, x in zip(hosts, np.linalg.solve(np.eye(14) - 0.85 * ways.T, 0.15 * start), strict=True) if x > 1e-15}
+    assert found.keys() == expected.keys() and all(abs(found[k] - x) <= 1e-9 * x for k, x in expected.items())
+    assert round(found["a", "trust"], 2) == 0.54 and ("h11", "distrust") in found
+
+
+def test_distrust_goes_down_a_long_chain(spark):
+    n = 150
+    rows = [(0, "http://bad.net/x/1", ""), (1, "http://h1.org/", "<a href='http://bad.net/'>"), *((k, f"http://h{k}.org/", f"<a href='http://h{k - 1}.org/'>") for k in range(2, n)), (n, "http://other.org/", "")]
+    found = verdicts(spark, rows, [Rule("bad.net", "/x/", "block")])
+    assert [found[k][3] for k in range(n + 1)] == ["block"] * n + ["allow"]
+
+
 def test_empty(spark):
     assert verdicts(spark, []) == {}
 
