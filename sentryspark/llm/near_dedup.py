@@ -3,20 +3,21 @@
 Texts with equal shingle sets form a class, and one row stands for each class from there on. A class has HASHES
 minima; BANDS groups of them are its band keys, and the low BITS bits of each are packed into bit planes.
 
-1. Candidates share a band key (a bucket). Buckets are never expanded into pairs: in a star round
-   one member, the anchor, is paired with the members that aren't connected with it yet. The first
-   round's anchor is the smallest id; later ones draw it from the largest component of the bucket.
-2. Bit counts over the planes estimate each pair's similarity, corrected for chance collisions of the low
-   bits. Pairs far below the threshold are dropped; the others are confirmed on the full sets.
-3. What still lies in one bucket without being connected is compared exactly, in blocks: members outside the
-   bucket's largest component against all members. So all candidates count, whatever the size of a group is.
-
-Components then follow from the confirmed links, by minimal labels and pointer jumping.
+1. Candidates share a band key (a bucket). Within a bucket, bit counts over the planes estimate each pair's similarity,
+   corrected for chance collisions of the low bits. Pairs that aren't far below the threshold connect their texts
+   into families; a text that is linked with another is in its family.
+2. The full sets are then sent to their family, each once as a rule, and pairs of a family that are close by their planes
+   are compared exactly. Components over these links are the result.
+
+Both steps are the same search. Members of a bucket or family meet in blocks of bounded size, with the smallest
+id in all of them. A block gives back a tree over each of its components, never its pairs. Where a bucket or
+family has several blocks and still falls into more than one component, a grid of blocks compares the members outside
+its largest component with all of them. So every candidate counts, whatever the size of a group is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.llm.common import sized, stored
+from sentryspark.llm.common import discarded, fits, fresh, joined, sized, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
@@ -34,16 +35,15 @@ BANDS = 32
 BITS = 4
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
-#: Star rounds, the first included, before the rest is compared in blocks.
-ROUNDS = 3
-#: Members of a bucket in one block: those asked about, and those they are compared with.
-ASK_BLOCK, ALL_BLOCK = 256, 2048
-#: Parts that the partners of one anchor are dealt into.
-SALTS = 32
+#: Members in a block of a bucket, and shingles in a block of a family: the members that ask make up a quarter of it in the grid.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 18
+#: Children of a node in the trees that blocks give back.
+FAN_OUT = 16
 #: Words whose hashes a worker keeps; it starts anew when the table is full.
 CACHE_WORDS = 60_000
-#: Shingles whose hashes are computed at once.
+#: Shingles whose hashes are computed at once, and those of a batch of sets.
 CHUNK = 4096
+BATCH = 1 << 19
 
 _MASK = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -105,13 +105,6 @@ def planes(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1)
 
 
-def estimate(a: str, b: str) -> str:
-    """SQL for the collision-corrected similarity of two columns of bit planes."""
-    per = HASHES // 64
-    apart = " + ".join("bit_count(" + " | ".join(f"({a}[{p * per + k}] ^ {b}[{p * per + k}])" for p in range(BITS)) + ")" for k in range(per))
-    return f"((1 - ({apart}) / {float(HASHES)}D) - {2.0**-BITS}D) / {1 - 2.0**-BITS}D"
-
-
 def floor(threshold: float) -> float:
     """The smallest estimate for which a pair is looked at: SLACK standard deviations below the threshold."""
     chance = 2.0**-BITS
@@ -119,6 +112,13 @@ def floor(threshold: float) -> float:
     return threshold - SLACK * (seen * (1 - seen) / HASHES) ** 0.5 / (1 - chance)
 
 
+def estimates(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarities of one text's bit planes and those of others."""
+    apart = np.bitwise_count(np.bitwise_or.reduce((others ^ own).reshape(-1, BITS, HASHES // 64), axis=1)).sum(axis=1)
+    chance = 2.0**-BITS
+    return (1 - apart / HASHES - chance) / (1 - chance)
+
+
 _SIGNED = "id long, n long, digest binary, bands array<long>, planes array<long>"
 
 
@@ -139,11 +139,24 @@ def _signed(n_words: int):
     return run
 
 
+_TO = "to array<struct<part:long,ask:boolean>>"
+
+
 def _with_sets(n_words: int):
+    """Rows (id, text, key, label, to) with the text's set and planes in place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), n_words).view(np.int64) for x in batch.column("text")]
-            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            at = size = 0
+            sets: list[np.ndarray] = []
+            for k, text in enumerate(batch.column("text")):
+                sets.append(shingles(text.as_py(), n_words))
+                size += len(sets[-1])
+                if size >= BATCH or k == batch.num_rows - 1:
+                    longs, part = pa.list_(pa.int64()), batch.slice(at, len(sets))
+                    packed = [planes(minima(x)) if len(x) else None for x in sets]
+                    yield pa.record_batch([*(part.column(c) for c in ("id", "key", "label", "to")), pa.array(list(map(len, sets)), pa.int64()), pa.array(packed, longs), pa.array([x.view(np.int64) for x in sets], longs)], ["id", "key", "label", "to", "n", "planes", "set"])
+                    at, size, sets = k + 1, 0, []
 
     return run
 
@@ -155,113 +168,131 @@ def _rows_of(column) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
-def similar(shared, a: int, b, percent: int):
-    return 100 * shared >= percent * (a + b - shared)
-
-
-def _confirmed(percent: int):
-    """Rows sorted by (anchor, salt, kind): an anchor's set (kind 0), then its partners'."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, own = None, []
-        for batch in batches:
-            a, b = [], []
-            for who, kind, other, theirs in zip(batch.column("anchor").to_pylist(), batch.column("kind").to_pylist(), batch.column("other").to_pylist(), _rows_of(batch.column("set")), strict=True):
-                if kind == 0:
-                    own = [*own, theirs.copy()] if who == anchor else [theirs.copy()]
-                    anchor = who
-                elif any(similar(int(np.isin(theirs, x, assume_unique=True).sum()), len(x), len(theirs), percent) for x in (own if who == anchor else ())):
-                    a.append(who)
-                    b.append(other)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (anchor, other) that are linked by their full sets, as (a, b). An anchor's set is sent once to each part of its partners."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int"))
-    theirs = salted.join(sets.withColumnRenamed("id", "other"), "other").select("anchor", "salt", F.lit(1).alias("kind"), "other", "set")
-    own = salted.select("anchor", "salt").distinct().join(sets.withColumnRenamed("id", "anchor"), "anchor").select("anchor", "salt", F.lit(0).alias("kind"), F.col("anchor").alias("other"), "set")
-    both = own.unionByName(theirs).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "kind")
-    return both.mapInArrow(_confirmed(percent), "a long, b long")
-
-
-_BLOCKS = "bucket long, part long, ask boolean, id long, label long, set array<long>"
-
-
-def _compared(percent: int):
-    """Rows sorted by (bucket, part): links between those with `ask` and the others, as long as they aren't connected within the block."""
+def components_of(labels: np.ndarray, asks: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """The component of each row, equal labels being connected to begin with: pairs of which one asks are compared, unless they are connected already.
 
-    def links(ids: list[int], labels: list[int], asks: list[bool], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        root = {x: x for x in labels}
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        sizes = np.array([len(s) for s in sets])
+    Without sets, pairs are connected by their estimate; with them, pairs with such an estimate are connected by their sets.
+    """
+    _, comp = np.unique(labels, return_inverse=True)
+    least = floor(percent / 100)
+    if sets is not None:
+        starts = np.concatenate([[0], np.cumsum(n)])
         values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for k in np.flatnonzero(asks).tolist():
-            mark = np.zeros(len(values), np.int32)
-            mark[codes[starts[k] : starts[k] + sizes[k]]] = 1
-            shared = np.add.reduceat(mark[codes], starts)
-            for m in np.flatnonzero(similar(shared.astype(np.int64), int(sizes[k]), sizes, percent)).tolist():
-                if ids[m] != ids[k] and top(labels[m]) != top(labels[k]):
-                    root[top(labels[m])] = top(labels[k])
-                    yield ids[k], ids[m]
+        mark = np.zeros(len(values), np.int32)
+    for k in np.flatnonzero(asks).tolist():
+        near = (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+        near[:k] &= ~asks[:k]  # these have asked for k
+        found = np.flatnonzero(near)
+        if len(found):
+            found = found[estimates(bits[k], bits[found]) >= least]
+        if sets is not None and len(found):
+            own = codes[starts[k] : starts[k + 1]]
+            mark[own] = 1
+            theirs = mark[np.concatenate([codes[starts[m] : starts[m + 1]] for m in found])]
+            shared = np.add.reduceat(theirs, np.concatenate([[0], np.cumsum(n[found])[:-1]])).astype(np.int64)
+            mark[own] = 0
+            found = found[100 * shared >= percent * (n[found] + n[k] - shared)]
+        if len(found):
+            comp[np.isin(comp, comp[found])] = comp[k]
+    return comp
+
+
+def tree(labels: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges that connect the labels of each component. The smallest, which other blocks may have, too, has one edge only."""
+    order = np.lexsort((labels, comp))
+    for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+        nodes = np.roll(np.unique(labels[rows]), -1).tolist()
+        for i in range(1, len(nodes)):
+            yield nodes[i], nodes[(i - 1) // FAN_OUT]
+
+
+def _connected(percent: int, exact: bool):
+    """Rows sorted by (key, part), a block each: trees (a, b) over the components of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        block, held = None, []
 
         def out() -> pa.RecordBatch:
-            found = list(links(*map(list, zip(*held, strict=True)))) if len(held) > 1 else []
+            labels, asks, n = (np.array([row[k] for row in held], kind) for k, kind in ((0, np.int64), (1, bool), (2, np.int64)))
+            found = list(tree(labels, components_of(labels, asks, n, np.array([row[3] for row in held]), [row[4] for row in held] if exact else None, percent)))
             return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in ("bucket", "part", "id", "label", "ask")]
-            for bucket, part, num, label, ask, own in zip(*columns, _rows_of(batch.column("set")), strict=True):
-                if (bucket, part) != key:
-                    if held:
+            columns = [batch.column(x).to_pylist() for x in ("key", "part", "label", "ask", "n")]
+            sets = _rows_of(batch.column("set")) if exact else (None for _ in range(batch.num_rows))
+            for key, part, label, ask, n, bits, own in zip(*columns, _rows_of(batch.column("planes")), sets, strict=True):
+                if (key, part) != block:
+                    if len(held) > 1:
                         yield out()
-                    key, held = (bucket, part), []
-                held.append((num, label, ask, own.copy()))
-        if held:
+                    block, held = (key, part), []
+                held.append((label, ask, n, bits.copy(), own.copy() if exact else None))
+        if len(held) > 1:
             yield out()
 
     return run
 
 
+def _blocks(payload: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Edges (a, b) from rows (key, label, to, n, planes, and set if exact), each sent to the parts of its key that `to` names."""
+    rows = payload.select("key", "label", F.explode("to").alias("at"), "n", "planes", *(["set"] if exact else [])).select("key", "at.part", "at.ask", "label", "n", "planes", *(["set"] if exact else []))
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_connected(percent, exact), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) for every end of links (a, b): the smallest id that is reachable. Each step is stored."""
+    """(id, label) for every end of links (a, b): the smallest id that is reachable. Each step is stored and replaces the one before."""
     edges = stored(links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).distinct(), "near-edges")
     labels = stored(edges.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("label")), "near-labels")
+    total = labels.count()
     while True:
         around = edges.join(labels.withColumnRenamed("id", "to"), "to").select("id", "label").union(labels.select("id", "label"))
-        least = around.groupBy("id").agg(F.min("label").alias("label"))
+        least = stored(around.groupBy("id").agg(F.min("label").alias("label")), "near-least")
         # a label's own label is at most as large
-        jumped = least.join(labels.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.least("label", "further").alias("label"))
-        new = stored(jumped, "near-labels")
+        sizes = least.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        further = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        jumped = least.join(F.broadcast(further), "label", "left") if fits(total, 64) else joined(least, further, "label", "id", sizes, total)
+        new = stored(jumped.select("id", F.least("label", "further").alias("label")), "near-labels")
         changed = new.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").limit(1).count()
+        discarded(labels, least)
         labels = new
         if not changed:
+            discarded(edges)
             return labels
 
 
-def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after further links between ids."""
-    if labels is None:
-        return components(links)
-    joined = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-    above = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))
-    moved = labels.join(above.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left").select("id", F.coalesce("top", "label").alias("label"))
-    fresh = above.join(labels.select("id"), "id", "left_anti")
-    return stored(moved.unionByName(fresh), "near-labels")
-
+def _searched(members: DataFrame, payload: Callable[[DataFrame], DataFrame], percent: int, block: int, exact: bool) -> DataFrame:
+    """(id, label) of the ids that are connected with others, from stored members (key, anchor, parts, id, weight).
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    payload gives rows (id, key, label, to) what blocks compare. A block has a weight of `block`, about.
+    """
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    all_parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("ask")))
+    to = F.when(F.col("id") == F.col("anchor"), all_parts).otherwise(F.array(F.struct(part.alias("part"), F.lit(True).alias("ask"))))
+    edges = stored(_blocks(payload(members.select("id", "key", F.col("id").alias("label"), to.alias("to"))), percent, exact), "near-trees")
+    labels = components(edges)
+    wide = members.where("parts > 1")
+    if not wide.limit(1).count():
+        discarded(edges)
+        return labels
+    at = stored(wide.withColumn("part", part).join(labels, "id", "left").select("key", "part", "parts", "id", "weight", F.coalesce("label", "id").alias("label")), "near-wide")
+    mixed = at.groupBy("key", "label", "parts").agg(F.sum("weight").alias("w")).groupBy("key", "parts").agg(F.max(F.struct("w", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("w").alias("all")).where("labels > 1")
+    mixed = mixed.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("top.label").alias("most"), "all", (F.col("all") - F.col("top.w")).alias("asking"))
+    grid = at.join(mixed, ["key", "part"]).withColumn("rows", F.ceil(4 * F.col("asking") / block)).withColumn("cols", F.ceil(F.col("all") / block))
+    grid = stored(grid.select("key", "id", "label", "most", "rows", "cols"), "near-grid")
+    if grid.limit(1).count():
+        row, col = F.pmod(F.xxhash64("id", F.lit("row")), F.col("rows")), F.pmod(F.xxhash64("id", F.lit("col")), F.col("cols"))
+        place = lambda p, ask: F.struct(p.alias("part"), F.lit(ask).alias("ask"))
+        among = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda r: place(r * F.col("cols") + col, False))
+        asking = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda c: place(row * F.col("cols") + c, True))
+        to = F.when(F.col("label") == F.col("most"), among).otherwise(F.concat(among, asking))
+        more = stored(_blocks(payload(grid.select("id", "key", "label", to.alias("to"))), percent, exact), "near-trees")
+        discarded(labels)
+        labels = components(edges.union(more))
+        discarded(more)
+    discarded(edges, at, grid)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * |A and B| >= percent * |A or B| for their sets of n_words-word
@@ -269,72 +300,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lower-cased. Fewer words than a shingle has are one shingle; null texts and texts without words have no shingles and
     are linked with nothing. Rows repeating an id are one document that has all its rows' links. Rows
     with a null id are linked with nothing, have a null component and stay. An empty table gives no
-    rows; only the two columns named are read. Links are complete but for the chance given at BANDS.
+    rows; only the two columns named are read. Very long texts are read whole; a task holds the sets of a block, or of one text if that is
+    larger. Links are complete but for the chance given at BANDS.
     """
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     signed = stored(texts.mapInArrow(_signed(n_words), _SIGNED), "near-signed")
     usable = signed.where("id is not null and n > 0")
-    classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("digest", "rep"), "near-classes")
-    known = classes.count()
-    reps = usable.join(sized(classes, known), "digest", "left").where("rep is null or rep = id")
-
-    keys = stored(reps.select("id", F.explode("bands").alias("bucket")), "near-keys")
-    shared = stored(keys.groupBy("bucket").agg(F.min("id").alias("anchor"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).where("anchor <> most").select("bucket", "anchor", "size"), "near-buckets")
-    members = stored(keys.join(sized(shared), "bucket").select("bucket", "id", "anchor", "size"), "near-members")
-    who = stored(members.select("id").distinct(), "near-candidates")
-    few = who.count()
-    if not few:
-        return _result(signed, id_col, classes, known, None)
-    bits = stored(reps.select("id", "planes").join(sized(who, few), "id", "left_semi"), "near-planes")
-    sets = stored(texts.join(sized(who, few), "id", "left_semi").mapInArrow(_with_sets(n_words), "id long, set array<long>"), "near-sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        left = bits.select(F.col("id").alias("anchor"), F.col("planes").alias("pa"))
-        right = bits.select(F.col("id").alias("other"), F.col("planes").alias("pb"))
-        close = pairs.distinct().join(right, "other").join(left, "anchor").where(F.expr(f"{estimate('pa', 'pb')} >= {floor(percent / 100)}"))
-        return stored(confirmed(stored(close.select("anchor", "other").distinct(), "near-pairs"), sets, percent), "near-links")
-
-    labels = _relabelled(None, linked(members.where("id <> anchor").select("anchor", F.col("id").alias("other"))))
-    # a bucket of two is done after the first round
-    rest, wide = stored(members.where("size > 2").select("bucket", "id"), "near-wide"), None
-    for k in range(1, rounds + 1):
-        at = rest.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        parts = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "bucket", F.lit(k)).alias("h"), "id")).alias("pick"))
-        mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", F.col("pick.id").alias("anchor"))).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all")).where("labels > 1")
-        mixed = mixed.select("bucket", F.col("top.label").alias("most"), F.col("top.anchor").alias("anchor"), "all")
-        wide = stored(at.join(mixed, "bucket"), "near-open")
-        if not wide.limit(1).count():
-            return _result(signed, id_col, classes, known, labels)
-        rest = wide.select("bucket", "id")
-        if k < rounds:
-            labels = _relabelled(labels, linked(wide.where("label <> most").select("anchor", F.col("id").alias("other"))))
-    labels = _relabelled(labels, stored(_in_blocks(wide, sets, percent), "near-links"))
-    return _result(signed, id_col, classes, known, labels)
-
-
-def _in_blocks(wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact links (a, b) between the members outside a bucket's largest component and all its members; every block has at most ASK_BLOCK and ALL_BLOCK rows, about."""
-    asked = wide.where("label <> most").groupBy("bucket").agg(F.count(F.lit(1)).alias("asking"))
-    sizes = wide.join(asked, "bucket").withColumn("rows", F.ceil(F.col("asking") / ASK_BLOCK)).withColumn("cols", F.ceil(F.col("all") / ALL_BLOCK))
-    row, col = F.pmod(F.xxhash64("id", F.lit("row")), F.col("rows")), F.pmod(F.xxhash64("id", F.lit("col")), F.col("cols"))
-    ask = sizes.where("label <> most").withColumn("row", row).select("bucket", "id", "label", F.lit(True).alias("ask"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda c: F.col("row") * F.col("cols") + c)).alias("part"))
-    rest = sizes.withColumn("col", col).select("bucket", "id", "label", F.lit(False).alias("ask"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda r: r * F.col("cols") + F.col("col"))).alias("part"))
-    dealt = ask.unionByName(rest).join(sets, "id").select("bucket", "part", "ask", "id", "label", "set")
-    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_compared(percent), "a long, b long")
-
-
-def _result(signed: DataFrame, id_col: str, classes: DataFrame, known: int, labels: DataFrame | None) -> DataFrame:
-    out = signed.select("id", "n", "digest").join(sized(classes, known), "digest", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    if labels is not None:
-        out = out.join(sized(labels.withColumnRenamed("id", "rep")), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
-    component = F.when(F.col("id").isNotNull(), F.col("rep"))
+    classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-classes")
+    known, total = classes.count(), signed.count()
+
+    def classed(rows: DataFrame, right: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(right), "digest", "left") if fits(known) else joined(rows, right, "digest", "id", classes.select("digest", "n"), total)
+
+    reps = stored(classed(usable, classes.select("digest", "rep")).where("rep is null or rep = id").select("id", "n", "bands", "planes"), "near-reps")
+    keys = reps.select("id", F.explode("bands").alias("bucket"))
+    shared = stored(keys.groupBy("bucket").agg(F.min("id").alias("anchor"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("anchor <> most"), "near-buckets")
+    one = F.lit(1).cast("long")
+    # both members of a bucket of two are known, and two texts often share several
+    twos = shared.where("n = 2").select("anchor", "most").distinct().select(F.xxhash64("anchor", "most").alias("key"), "anchor", one.alias("parts"), F.explode(F.array("anchor", "most")).alias("id"), one.alias("weight"))
+    wider = shared.where("n > 2")
+    blocked = wider.select("bucket", "anchor", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("blocks"))
+    many = keys.join(F.broadcast(blocked), "bucket") if fits(wider.count(), 64) else joined(keys, blocked, "bucket", "id", wider.select("bucket", "n"), total * BANDS, "inner")
+    members = stored(twos.union(many.select(F.col("bucket").alias("key"), "anchor", F.col("blocks").alias("parts"), "id", one.alias("weight"))), "near-members")
+    bits = reps.select("id", "n", "planes")
+    families = _searched(members, lambda rows: rows.join(bits, "id"), percent, BLOCK_MEMBERS, False)
+    discarded(shared, members)
+
+    own = stored(families.join(reps.select("id", "n"), "id").groupBy("id", "label").agg(F.sum("n").alias("weight")), "near-weights")
+    sizes = stored(own.groupBy("label").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("n")), "near-families")
+    parted = sizes.select("label", F.ceil(F.col("all") / BLOCK_SHINGLES).alias("parts"))
+    few, n_families = own.count(), sizes.count()
+    parted = own.join(F.broadcast(parted), "label") if fits(n_families, 64) else joined(own, parted, "label", "id", sizes.select("label", "n"), few, "inner")
+    members = stored(parted.select(F.col("label").alias("key"), F.col("label").alias("anchor"), "parts", "id", "weight"), "near-members")
+    with_text = lambda rows: texts.join(sized(rows, few), "id").select("id", "text", "key", "label", "to").mapInArrow(_with_sets(n_words), f"id long, key long, label long, {_TO}, n long, planes array<long>, set array<long>").where("n > 0")
+    labels = _searched(members, with_text, percent, BLOCK_SHINGLES, True)
+    discarded(families, own, sizes, members, reps)
+
+    ends = labels.withColumnRenamed("id", "rep")
+    copies = classes.join(sized(ends), "rep", "left").select("digest", F.coalesce("label", "rep").alias("copied"))
+    out = classed(signed.select("id", "n", "digest"), copies).join(sized(labels, width=64), "id", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("copied", "label", "id")).otherwise(F.col("id"))
+    component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The rows of docs whose component they stand for, with all their columns; rows with a null id stay, and so do rows that repeat an id."""
-    gone = stored(near_duplicates(docs, id_col, text_col, n_words, percent).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
-    return docs.join(sized(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = stored(near_duplicates(docs, id_col, text_col, n_words, percent).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct(), "near-gone")
+    return docs.join(sized(gone, width=64), docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def near_dedup_query(spark, sf_dir: str) -> DataFrame:

@@ -51,12 +51,18 @@ def test_equals_brute_force(spark, edits):
     assert found == brute(docs, 2)
 
 
-def test_blocks_finish_what_stars_leave(spark, monkeypatch):
-    monkeypatch.setattr(nd, "ASK_BLOCK", 4)
-    monkeypatch.setattr(nd, "ALL_BLOCK", 8)
-    docs = dict(enumerate(family(random.Random(3), 80, 16)))
+def test_blocks_and_hot_keys(spark, monkeypatch):
+    """Small blocks need the grid, and without broadcasts hot keys are dealt out."""
+    from sentryspark.llm import common
+
+    monkeypatch.setattr(nd, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts = family(random.Random(3), 80, 16)
+    docs = dict(enumerate(texts + texts[:1] * 20 + texts[5:6] * 3))
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(frame, n_words=2, rounds=1).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(frame, n_words=2).collect()}
     assert found == brute(docs, 2)
 
 
@@ -65,8 +71,8 @@ def test_edges(spark):
     assert nd.near_duplicates(spark.createDataFrame([], kind)).count() == 0
     rows = nd.near_duplicates(spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (2, "a b"), (5, None)], kind)).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == [("2", "2", True), ("3", "2", False), ("3", "2", False), ("5", "5", True), ("None", "None", True), ("None", "None", True)]
-    kept = nd.without_near_duplicates(spark.createDataFrame([(1, "a b", 7), (2, "a b", 8), (3, "", 9)], "doc_id long, text string, _x int"))
-    assert kept.columns == ["doc_id", "text", "_x"]
+    kept = nd.without_near_duplicates(spark.createDataFrame([(1, "a b", 7, 1, 1), (2, "a b", 8, 1, 1), (3, "", 9, 1, 1)], "doc_id long, text string, _x int, gone int, Gone_ int"))
+    assert kept.columns == ["doc_id", "text", "_x", "gone", "Gone_"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
@@ -76,12 +82,11 @@ def test_long_text(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (2, 1), (3, 3)]
 
 
-def test_estimate_follows_the_similarity(spark):
+def test_estimate_follows_the_similarity():
     rng = np.random.default_rng(5)
     universe = rng.integers(0, 1 << 62, 4000, dtype=np.uint64)
     for share in (0.0, 0.3, 0.6, 0.9):
         a, b = universe[:1000], np.concatenate([universe[: int(1000 * share)], universe[2000 : 3000 - int(1000 * share)]])
         true = int(1000 * share) / (2000 - int(1000 * share))
-        row = spark.createDataFrame([(nd.planes(nd.minima(a)).tolist(), nd.planes(nd.minima(b)).tolist())], "a array<long>, b array<long>")
-        assert abs(row.selectExpr(nd.estimate("a", "b")).first()[0] - true) < 0.2
-
+        bits = [nd.planes(nd.minima(x)).view(np.uint64) for x in (a, b)]
+        assert abs(nd.estimates(bits[0], np.array(bits[1:]))[0] - true) < 0.2
