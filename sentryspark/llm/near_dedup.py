@@ -10,7 +10,7 @@ minima; BANDS groups of them are its band keys, and the low BITS bits of each ar
    are compared exactly. Components over these links are the result.
 
 Both steps are the same search. Members of a bucket or family meet in blocks of bounded size, with the smallest
-id in all of them. A block gives back a tree over each of its components, never its pairs. Where a bucket or
+id in all of them. A block gives back a star over each of its components, never its pairs. Where a bucket or
 family has several blocks and still falls into more than one component, a grid of blocks compares the members outside
 its largest component with all of them. So every candidate counts, whatever the size of a group is.
 """
@@ -37,8 +37,6 @@ BITS = 4
 SLACK = 5.0
 #: Members in a block of a bucket, and shingles in a block of a family: the members that ask make up a quarter of it in the grid.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 18
-#: Children of a node in the trees that blocks give back.
-FAN_OUT = 16
 #: Words whose hashes a worker keeps; it starts anew when the table is full.
 CACHE_WORDS = 60_000
 #: Shingles whose hashes are computed at once, and those of a batch of sets.
@@ -197,24 +195,24 @@ def components_of(labels: np.ndarray, asks: np.ndarray, n: np.ndarray, bits: np.
     return comp
 
 
-def tree(labels: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges that connect the labels of each component. The smallest, which other blocks may have, too, has one edge only."""
+def star(labels: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges that connect the labels of each component with the smallest of them, which is often the same in other buckets: so they repeat."""
     order = np.lexsort((labels, comp))
     for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-        nodes = np.roll(np.unique(labels[rows]), -1).tolist()
-        for i in range(1, len(nodes)):
-            yield nodes[i], nodes[(i - 1) // FAN_OUT]
+        nodes = np.unique(labels[rows]).tolist()
+        for node in nodes[1:]:
+            yield node, nodes[0]
 
 
 def _connected(percent: int, exact: bool):
-    """Rows sorted by (key, part), a block each: trees (a, b) over the components of every block."""
+    """Rows sorted by (key, part), a block each: stars (a, b) over the components of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
 
         def out() -> pa.RecordBatch:
             labels, asks, n = (np.array([row[k] for row in held], kind) for k, kind in ((0, np.int64), (1, bool), (2, np.int64)))
-            found = list(tree(labels, components_of(labels, asks, n, np.array([row[3] for row in held]), [row[4] for row in held] if exact else None, percent)))
+            found = list(star(labels, components_of(labels, asks, n, np.array([row[3] for row in held]), [row[4] for row in held] if exact else None, percent)))
             return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -239,23 +237,30 @@ def _blocks(payload: DataFrame, percent: int, exact: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) for every end of links (a, b): the smallest id that is reachable. Each step is stored and replaces the one before."""
+    """(id, label) for every end of links (a, b): the smallest id that is reachable. Each step is stored and replaces the one before.
+
+    Labels spread over links, and a label takes the label of its own id. Both joins have hot keys, the centres of stars and the labels of large components.
+    """
     edges = stored(links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).distinct(), "near-edges")
-    labels = stored(edges.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("label")), "near-labels")
-    total = labels.count()
+    degrees = stored(edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("to"), F.first("id")).alias("label")), "near-degrees")
+    labels = stored(degrees.select("id", "label"), "near-labels")
+    total, n_edges = labels.count(), edges.count()
+    small = fits(total, 64)
+    centres = degrees.select(F.col("id").alias("to"), "n")
     while True:
-        around = edges.join(labels.withColumnRenamed("id", "to"), "to").select("id", "label").union(labels.select("id", "label"))
-        least = stored(around.groupBy("id").agg(F.min("label").alias("label")), "near-least")
+        theirs = labels.withColumnRenamed("id", "to")
+        around = edges.join(F.broadcast(theirs), "to") if small else joined(edges, theirs, "to", "id", centres, n_edges, "inner")
+        least = stored(around.select("id", "label").union(labels.select("id", "label")).groupBy("id").agg(F.min("label").alias("label")), "near-least")
         # a label's own label is at most as large
         sizes = least.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
         further = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        jumped = least.join(F.broadcast(further), "label", "left") if fits(total, 64) else joined(least, further, "label", "id", sizes, total)
+        jumped = least.join(F.broadcast(further), "label", "left") if small else joined(least, further, "label", "id", sizes, total)
         new = stored(jumped.select("id", F.least("label", "further").alias("label")), "near-labels")
         changed = new.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").limit(1).count()
         discarded(labels, least)
         labels = new
         if not changed:
-            discarded(edges)
+            discarded(edges, degrees)
             return labels
 
 
@@ -267,7 +272,7 @@ def _searched(members: DataFrame, payload: Callable[[DataFrame], DataFrame], per
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     all_parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("ask")))
     to = F.when(F.col("id") == F.col("anchor"), all_parts).otherwise(F.array(F.struct(part.alias("part"), F.lit(True).alias("ask"))))
-    edges = stored(_blocks(payload(members.select("id", "key", F.col("id").alias("label"), to.alias("to"))), percent, exact), "near-trees")
+    edges = stored(_blocks(payload(members.select("id", "key", F.col("id").alias("label"), to.alias("to"))), percent, exact), "near-stars")
     labels = components(edges)
     wide = members.where("parts > 1")
     if not wide.limit(1).count():
@@ -284,7 +289,7 @@ def _searched(members: DataFrame, payload: Callable[[DataFrame], DataFrame], per
         among = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda r: place(r * F.col("cols") + col, False))
         asking = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda c: place(row * F.col("cols") + c, True))
         to = F.when(F.col("label") == F.col("most"), among).otherwise(F.concat(among, asking))
-        more = stored(_blocks(payload(grid.select("id", "key", "label", to.alias("to"))), percent, exact), "near-trees")
+        more = stored(_blocks(payload(grid.select("id", "key", "label", to.alias("to"))), percent, exact), "near-stars")
         discarded(labels)
         labels = components(edges.union(more))
         discarded(more)
