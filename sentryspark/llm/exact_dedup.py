@@ -2,15 +2,16 @@
 
 Every partition of the input makes one sorted run of (digest, check, id) entries, reduced to
 one entry for each text. In each round, FAN_IN neighbouring runs of a digest range (a shard) meet in
-one group; Spark's external sort is the multiway merge, and a streaming pass keeps the
+one group; Spark's external sort is the multiway merge, as its shuffle doesn't keep the runs' order, and a streaming pass keeps the
 smallest identifier of each digest, after comparing the full SHA-256 (the check) so that two
 texts whose 64-bit digests collide stay apart. A digest has at most FAN_IN entries in a group, so
 thousands of copies never meet in one task. The last round leaves one run for each shard.
+
+The number of a run is stored with its keys, so nothing depends on how a later job splits the stored table.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.llm.common import sized, stored
+from sentryspark.llm.common import fits, fresh, joined, sized, stored
 
 #: White space as the text comparison sees it.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Runs that meet in one group; more where that would take over MAX_ROUNDS rounds.
+#: Runs that meet in one group.
 FAN_IN = 8
-MAX_ROUNDS = 3
 #: Shards for each shuffle partition, so that hashing deals them evenly.
 SHARDS_PER_PARTITION = 8
 
@@ -66,7 +66,7 @@ def _retain_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def merge_round(runs: DataFrame, fan_in: int, partitions: int) -> DataFrame:
     """One round: neighbouring runs of each shard are merged, retaining the smallest verified identifier."""
     return (
-        runs.withColumn("run", F.expr(f"cast(run div {fan_in} as int)"))
+        runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
         .repartition(partitions, "shard", "run")
         .sortWithinPartitions(*_order())
         .mapInArrow(_retain_smallest, _RUN)
@@ -74,12 +74,11 @@ def merge_round(runs: DataFrame, fan_in: int, partitions: int) -> DataFrame:
 
 
 def digest_runs(keyed: DataFrame, shards: int) -> DataFrame:
-    """A sorted run from each partition, without a shuffle."""
+    """The sorted runs of all partitions, without a shuffle. keyed has the run's number; a run that is read in pieces is whole after the first round."""
     return (
         keyed.select(
             F.pmod(F.shiftright("digest", 16), F.lit(shards)).cast("int").alias("shard"),
-            F.spark_partition_id().alias("run"),
-            "digest", "sha", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"),
+            "run", "digest", "sha", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"),
         )
         .sortWithinPartitions(*_order())
         .mapInArrow(_retain_smallest, _RUN)
@@ -91,7 +90,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal if identical after every run of white space became one space. The row with the
     smallest id of a group stays. Null text counts as empty; null ids sort last; of rows that
-    repeat both id and text one stays. An empty table gives no rows; other columns are not read.
+    repeat both id and text one stays. An empty table gives no rows; other columns are not read. Very long texts are
+    hashed whole, and only hashes travel.
     """
     spark = docs.sparkSession
     text = normalised(docs[text_col])
@@ -99,18 +99,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         docs.select(
             docs[id_col].cast("long").alias("id"),
             F.monotonically_increasing_id().alias("row"),
+            F.spark_partition_id().alias("run"),
             F.unhex(F.sha2(text, 256)).alias("sha"),
         ).withColumn("digest", F.xxhash64("sha")),
         "exact-keys",
     )
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = max(1, keyed.rdd.getNumPartitions())
-    fan_in = max(fan_in, math.ceil(left ** (1 / MAX_ROUNDS)))
+    last, total = keyed.agg(F.max("run"), F.count(F.lit(1))).first()
+    left = (last or 0) + 1
     runs = digest_runs(keyed, partitions * SHARDS_PER_PARTITION)
-    while left > 1:
+    while True:  # at least once, as a run may have been read in pieces
         runs, left = merge_round(runs, fan_in, partitions), -(-left // fan_in)
+        if left == 1:
+            break
     groups = stored(runs.where("n > 1").select("digest", "sha", "keep_id", "keep_row", "n"), "exact-groups")
-    found = keyed.join(sized(groups), ["digest", "sha"], "left")
+    if fits(groups.count()):
+        found = keyed.join(F.broadcast(groups), ["digest", "sha"], "left")
+    else:
+        found = joined(keyed, groups, ["digest", "sha"], "row", groups.select("digest", "sha", "n"), total)
     return found.select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -121,19 +127,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns, whatever these are called.
 
     Rows repeating both id and text are one document, of which one row stays.
     """
-    judged = stored(exact_duplicates(docs, id_col, text_col), "exact-judged")
-    key = F.sha2(normalised(docs[text_col]), 256)
-    gone = judged.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("_again")).distinct()
+    key, gone_id, gone_key, again = (fresh(docs, x) for x in ("text_key", "gone_id", "gone_key", "gone_again"))
+    judged = exact_duplicates(docs, id_col, text_col).where(~F.col("kept"))
+    gone = judged.select(F.col(id_col).alias(gone_id), F.col("text_sha256").alias(gone_key), F.col("keep_id").eqNullSafe(F.col(id_col)).alias(again)).distinct()
     gone = stored(gone, "exact-gone")
-    others = gone.where(~F.col("_again")).drop("_again")
-    out = docs.withColumn("_key", key).join(sized(others), F.col("_key").eqNullSafe(F.col("_sha")) & docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    if gone.where("_again").limit(1).count():
-        out = out.dropDuplicates([id_col, "_key"])
-    return out.drop("_key")
+    others = gone.where(~F.col(again)).drop(again)
+    out = docs.withColumn(key, F.sha2(normalised(docs[text_col]), 256))
+    out = out.join(sized(others), (out[key] == others[gone_key]) & out[id_col].cast("long").eqNullSafe(others[gone_id]), "left_anti")
+    if gone.where(again).limit(1).count():
+        out = out.dropDuplicates([id_col, key])
+    return out.drop(key)
 
 
 def exact_dedup_query(spark, sf_dir: str) -> DataFrame:
