@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sentryspark.llm import byte_bpe, exact_dedup, line_dedup, packing, token_counts
 
@@ -42,6 +43,8 @@ def test_exact_dedup(docs):
     found = exact_dedup.exact_duplicates(frame).collect()
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in found) == expected
     assert sum(r["kept"] for r in found) == len(groups)
+    for x in ("text_key", "gone_id", "_id", "_sha", "_key"):
+        frame = frame.withColumn(x, F.lit("clash"))
     kept = exact_dedup.without_duplicates(frame)
     assert kept.columns == frame.columns
     assert sorted(norm(r["text"]) for r in kept.collect()) == sorted(groups)
@@ -54,7 +57,39 @@ def test_exact_dedup_of_many_copies(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_line_dedup(docs):
+def test_exact_dedup_when_parallelism_changes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "copy") for k in range(40)], "doc_id long, text string").repartition(8)
+    name, runs = "spark.sql.files.minPartitionNum", exact_dedup.digest_runs
+
+    def later(*args):
+        spark.conf.set(name, 8)
+        return runs(*args)
+
+    monkeypatch.setattr(exact_dedup, "digest_runs", later)
+    spark.conf.set(name, 1)
+    try:
+        found = exact_dedup.exact_duplicates(docs, fan_in=2).collect()
+    finally:
+        spark.conf.unset(name)
+    assert len(found) == 40 and [r["doc_id"] for r in found if r["kept"]] == [0] and {r["group_size"] for r in found} == {40}
+
+
+def test_exact_dedup_without_broadcasts(docs, monkeypatch):
+    from sentryspark.llm import common
+
+    expected = sorted(map(str, exact_dedup.exact_duplicates(docs[0]).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    assert sorted(map(str, exact_dedup.exact_duplicates(docs[0]).collect())) == expected
+
+
+@pytest.mark.parametrize("by_list", [False, True])
+def test_line_dedup(docs, by_list, monkeypatch):
+    from sentryspark.llm import common
+
+    if by_list:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
     frame, rows = docs
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\v\f\r"))
     holders = {}
@@ -71,16 +106,23 @@ def test_line_dedup(docs):
     assert gone
     found = line_dedup.without_repeated_lines(frame).collect()
     assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in found) == sorted(expected)
+    assert line_dedup.without_repeated_lines(frame.limit(0)).count() == 0
 
 
 def test_line_runs(spark):
     frame = lambda *rows: spark.createDataFrame([(i, k.encode()) for i, k in rows], "id long, key binary")
-    runs = line_dedup.LineRuns(fan_in=2)
+    runs = line_dedup.LineRuns(spark, fan_in=2)
     for n in range(5):
-        runs.add(frame((n, "common"), (n, f"own{n}")))
+        runs.add(frame((n, "common"), (n, f"own{n}"), (n, f"pair{n // 2}")))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert sorted(bytes(r["key"]) for r in runs.unseen(frame((9, "common"), (9, "own3"), (9, "new"))).collect()) == [b"new"]
-    assert [(bytes(r["key"]), r["max_id"]) for r in runs.repeated(3).collect()] == [(b"common", 4)]
+    entries = [bytes(r["key"]) for run in runs.runs() for r in spark.table(run).collect()]
+    assert len(entries) == len(set(entries)) == 9
+    with line_dedup._sorted_scans(spark):
+        plan = runs._merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert [(bytes(r["key"]), r["n_docs"], r["max_id"]) for r in runs.repeated(3).collect()] == [(b"common", 5, 4)]
+    runs.close()
 
 
 def test_byte_bpe_is_the_library(docs):
