@@ -89,13 +89,31 @@ def contains(column: Column, query: str) -> Column:
     return low(column).like(pattern)
 
 
-def classified(command: Column) -> tuple[Column, Column]:
-    """(severity, label) of the first pattern that a command matches; null if none does."""
-    severity = label = F.lit(None).cast("string")
-    for pattern, level, name in reversed(COMMAND_PATTERNS):
-        hit = command.rlike("(?iuUd)" + pattern)
-        severity, label = F.when(hit, F.lit(level)).otherwise(severity), F.when(hit, F.lit(name)).otherwise(label)
-    return severity, label
+def once(column: Column) -> Column:
+    """The same value by way of a generator, which evaluates it once a row: a plain column would be inlined wherever it is used."""
+    return F.explode(F.array(column))
+
+
+def first_pattern(command: Column) -> Column:
+    """The place in COMMAND_PATTERNS, from 1, of the first pattern that a command matches; null if none does."""
+    place = F.lit(None).cast("int")
+    for k, (pattern, _, _) in reversed(list(enumerate(COMMAND_PATTERNS, 1))):
+        place = F.when(command.rlike("(?iuUd)" + pattern), F.lit(k)).otherwise(place)
+    return place
+
+
+def classified(place: Column) -> tuple[Column, Column]:
+    """(severity, label) of a first_pattern(), which rows should have as a column made with once()."""
+    return tuple(F.get(F.array(*(F.lit(row[k]) for row in COMMAND_PATTERNS)), place - 1) for k in (1, 2))
+
+
+def spaced_json(text: Column) -> Column:
+    """Compact JSON text with a space after every comma and colon outside strings, and control characters in lower-case hex."""
+    spaced = F.regexp_replace(text, r'\G((?:[^",:]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)([,:])', "$1$2 ")
+    lowered = spaced
+    for code in ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"):
+        lowered = F.regexp_replace(lowered, r"(?<!\\)((?:\\\\)*+)\\u" + code, r"$1\\u" + code.lower())
+    return F.when(text.contains("\\u00"), lowered).otherwise(spaced)
 
 
 def masked(secret: Column) -> Column:

@@ -14,6 +14,8 @@ from sentryspark.config import DEFAULT, MASK, Config
 from sentryspark.functions.scalar import at_least, confidence, rank, severity_of, uuid5
 from sentryspark.operators.rollups import attacker_summary
 
+#: Indicators and alerts that one document may have.
+DOCUMENT_ROWS = 10_000
 #: Keys whose values never leave local storage.
 SENSITIVE = ("password", "passwd", "pwd", "secret", "node_key", "x-node-key", "api_key")
 
@@ -93,18 +95,31 @@ def checked(text: Column) -> Column:
 # -- writers ----------------------------------------------------------------
 
 
-def feed_document(flat: DataFrame, alerts: DataFrame, generated_at: str, floor: str | None = None, config: Config = DEFAULT) -> DataFrame:
-    """The whole feed as one row `json`: header, indicators, alerts. Its size is bounded by the alerts that the feed may have; use write_feed for larger ones."""
+def _head(counts: Column, generated_at: str, floor: str | None, config: Config) -> Column:
+    return F.struct(
+        F.lit(config.feed_name).alias("name"), F.lit(config.feed_producer).alias("producer"), F.lit(config.schema_version).alias("schema_version"), F.lit(generated_at).alias("generated_at"),
+        F.lit(floor or config.feed_severity).alias("min_severity"), F.array(*(F.lit(x) for x in config.feed_statuses)).alias("statuses"), counts.alias("counts"), F.lit(config.feed_notice).alias("notice"),
+    )
+
+
+def feed_rows(flat: DataFrame, alerts: DataFrame, generated_at: str, floor: str | None = None, config: Config = DEFAULT) -> DataFrame:
+    """The feed as rows (part, json): one `feed` with the header and counts, then one for each `indicator` and `alert`. No row gathers others."""
     rows, fired = scrubbed(nested(flat)), scrubbed(alerts)
+    line = lambda frame, part: frame.select(F.lit(part).alias("part"), checked(F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"})).alias("json"))
+    counts = flat.agg(F.count(F.lit(1)).alias("indicators")).crossJoin(F.broadcast(alerts.agg(F.count(F.lit(1)).alias("alerts"))))  # one row each
+    head = counts.select(F.lit("feed").alias("part"), F.to_json(_head(F.struct("indicators", "alerts"), generated_at, floor, config), {"ignoreNullFields": "false"}).alias("json"))
+    return head.unionByName(line(rows, "indicator")).unionByName(line(fired, "alert"))
+
+
+def feed_document(flat: DataFrame, alerts: DataFrame, generated_at: str, floor: str | None = None, most: int = DOCUMENT_ROWS, config: Config = DEFAULT) -> DataFrame:
+    """The whole feed as one row `json`: header, indicators, alerts. Fails for more than `most` indicators or alerts; feed_rows and write_feed have no such bound."""
+    rows, fired = scrubbed(nested(flat)).limit(most + 1), scrubbed(alerts).limit(most + 1)
     many = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("indicators"), F.count(F.lit(1)).alias("n"))
     also = fired.agg(F.array_sort(F.collect_list(F.struct(*fired.columns))).alias("alerts"), F.count(F.lit(1)).alias("m"))
-    head = F.struct(
-        F.lit(config.feed_name).alias("name"), F.lit(config.feed_producer).alias("producer"), F.lit(config.schema_version).alias("schema_version"), F.lit(generated_at).alias("generated_at"),
-        F.lit(floor or config.feed_severity).alias("min_severity"), F.array(*(F.lit(x) for x in config.feed_statuses)).alias("statuses"),
-        F.struct(F.col("n").alias("indicators"), F.col("m").alias("alerts")).alias("counts"), F.lit(config.feed_notice).alias("notice"),
-    )
+    head = _head(F.struct(F.col("n").alias("indicators"), F.col("m").alias("alerts")), generated_at, floor, config)
     both = many.crossJoin(F.broadcast(also))  # one row each
-    return both.select(checked(F.to_json(F.struct(head.alias("feed"), "indicators", "alerts"), {"ignoreNullFields": "false", "pretty": "true"})).alias("json"))
+    text = checked(F.to_json(F.struct(head.alias("feed"), "indicators", "alerts"), {"ignoreNullFields": "false", "pretty": "true"}))
+    return both.select(F.when(F.greatest("n", "m") > most, F.raise_error(F.lit("too many rows for one document"))).otherwise(text).alias("json"))
 
 
 def flattened(flat: DataFrame) -> DataFrame:
@@ -147,6 +162,19 @@ def stix_objects(flat: DataFrame, now: str, config: Config = DEFAULT) -> DataFra
     return who.unionByName(objects)
 
 
+def stix_bundle(flat: DataFrame, now: str, config: Config = DEFAULT) -> DataFrame:
+    """(position, id, json): the objects of a bundle; position 0 is the identity, which comes first."""
+    return stix_objects(flat, now, config).withColumn("position", F.when(F.col("id").startswith("identity--"), 0).otherwise(1))
+
+
+def bundle_document(flat: DataFrame, now: str, most: int = DOCUMENT_ROWS, config: Config = DEFAULT) -> DataFrame:
+    """The bundle as one row `json` with type, id and objects, its id following from its time. Fails for more than `most` indicators."""
+    rows = stix_bundle(flat, now, config).limit(most + 2)
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("position", "id", "json"))).alias("all"))
+    text = F.concat(F.lit('{"type":"bundle","id":"bundle--'), uuid5(F.lit("bundle|" + now)), F.lit('","objects":['), F.array_join(F.transform("all", lambda x: x.json), ","), F.lit("]}"))
+    return whole.select(F.when(F.size("all") > most + 1, F.raise_error(F.lit("too many objects for one document"))).otherwise(checked(text)).alias("json"))
+
+
 def write_feed(flat: DataFrame, alerts: DataFrame, path: str, now: str, config: Config = DEFAULT) -> dict[str, str]:
     """Write indicators and alerts as JSON lines and CSV, and STIX objects as JSON lines, below path; returns the folders by name.
 

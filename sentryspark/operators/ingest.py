@@ -1,7 +1,6 @@
 """Validation of events, and the folds that turn the event log into sessions, nodes and reputation.
 
-An event comes as a line of JSON. Reasons for which it is rejected are collected by one expression; nothing is
-parsed twice in Python. Folds are single aggregations over order of arrival (seq), so their result doesn't depend on
+An event comes as a line of JSON, which is parsed once; reasons for which it is rejected are collected by one expression over the parsed fields. Folds are single aggregations over order of arrival (seq), so their result doesn't depend on
 partitioning, and replaying a batch changes nothing.
 """
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentryspark.config import DEFAULT, EVENT_TYPES, PROTOCOLS, Config
-from sentryspark.functions.scalar import field, is_private, is_usable, joined_sources, profile_score, seconds, truncated
+from sentryspark.functions.scalar import field, is_private, is_usable, joined_sources, once, profile_score, seconds, spaced_json, truncated
 
 FIELDS = ("event_id", "node_id", "event_type", "timestamp", "session_id", "attacker_ip", "protocol", "details")
 #: For each type, the keys that details may have, those it must have, and those of which one is needed.
@@ -39,8 +38,22 @@ def _reason(condition: Column, text: Column | str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.lit(text) if isinstance(text, str) else text)
 
 
+def parsed(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """lines with `event`: what is in them, each line being parsed once.
+
+    event has the top-level `keys` (null for what is no JSON object), the seven scalar FIELDS as strings, the object `inner` of details as a
+    map (null for what is none), the `kind` of details, and `details` in canonical form: keys in order at every depth, a space after commas and colons.
+    """
+    rows = lines.withColumn("event", once(F.try_parse_json(F.col(line_col))))
+    whole = F.try_variant_get("event", "$", "map<string,variant>")
+    rows = rows.withColumn("event", once(F.struct(F.map_keys(whole).alias("keys"), *(F.try_variant_get("event", f"$.{x}", "string").alias(x) for x in FIELDS[:-1]), F.try_variant_get("event", "$.details", "variant").alias("details"))))
+    details = F.col("event.details")
+    kind = F.when(F.is_variant_null(details), "VOID").otherwise(F.regexp_replace(F.schema_of_variant(details), "<.*", ""))
+    return rows.withColumn("event", once(F.struct("event.keys", *(f"event.{x}" for x in FIELDS[:-1]), F.try_variant_get(details, "$", "map<string,string>").alias("inner"), kind.alias("kind"), spaced_json(F.to_json(details)).alias("details"))))
+
+
 def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storage", line_col: str = "line") -> DataFrame:
-    """lines with `errors`, an array of reasons that is empty for a valid event.
+    """lines with `event` as in parsed(), and `errors`, an array of reasons that is empty for a valid event.
 
     As in stages: keys that are missing or unknown end the check, then an unknown type does; further reasons accumulate.
     Absent and null keys differ. Profile `collector` or `sensor` also asks for an address that parses and for
@@ -48,15 +61,10 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
     """
     if profile not in ("storage", "collector", "sensor"):
         raise ValueError(f"unknown profile {profile}")
-    line = F.col(line_col)
-    get = lambda name: F.get_json_object(line, f"$.{name}")
-    keys, inner = F.json_object_keys(line), F.json_object_keys(get("details"))
-    is_object = F.coalesce(F.try_parse_json(line).isNotNull() & F.trim(line).startswith("{"), F.lit(False))
-    missing = F.array_except(_array(FIELDS), keys)
-    unknown = F.array_sort(F.array_except(keys, _array(FIELDS)))
-    kind = get("event_type")
-    beat = kind == "heartbeat"
-    strict = profile != "storage"
+    get = lambda name: F.col(f"event.{name}")
+    missing = F.array_except(_array(FIELDS), get("keys"))
+    unknown = F.array_sort(F.array_except(get("keys"), _array(FIELDS)))
+    kind, beat, strict = get("event_type"), get("event_type") == "heartbeat", profile != "storage"
 
     shape = F.array_compact(F.concat(
         F.transform(missing, lambda x: F.format_string("missing top-level field '%s' (use null, do not omit)", x)),
@@ -78,28 +86,27 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
     reasons.append(_reason(~get("protocol").isin("", *PROTOCOLS), F.format_string("protocol '%s' is not an allowed one", get("protocol"))))
     if strict:
         reasons.append(_reason(~beat & get("attacker_ip").isNotNull() & ~is_usable(get("attacker_ip")), "attacker_ip must be an address"))
-    reasons.append(_reason(get("details").isNull(), "details must be an object, never null"))
-    # a string that looks like an object isn't one
-    flat = F.regexp_replace(F.schema_of_variant(F.variant_get(F.try_parse_json(line), "$.details", "variant")), "<.*", "")
-    whole = flat == "OBJECT"
-    reasons.append(_reason(get("details").isNotNull() & ~whole, F.concat(F.lit("details must be a JSON object, not "), F.lower(flat))))
+    inner, whole, void = get("inner"), get("inner").isNotNull(), get("kind") == "VOID"
+    reasons.append(_reason(void, "details must be an object, never null"))
+    reasons.append(_reason(~whole & ~void, F.concat(F.lit("details must be a JSON object, not "), F.lower(get("kind")))))
     allowed = F.create_map(*(x for k, v in DETAILS.items() for x in (F.lit(k), _array(v[0]))))
-    extra = F.array_sort(F.array_except(inner, F.element_at(allowed, kind)))
+    extra = F.array_sort(F.array_except(F.map_keys(inner), F.element_at(allowed, kind)))
     reasons.append(_reason(whole & (F.size(extra) > 0), F.concat(F.lit("details key(s) not allowed for '"), kind, F.lit("': "), F.array_join(extra, ", "))))
-    blank = lambda x: F.trim(get(f"details.{x}")) == "" if strict else get(f"details.{x}") == ""
+    value = lambda x: F.element_at(inner, F.lit(x))
+    blank = lambda x: F.coalesce((F.trim(value(x)) if strict else value(x)) == "", F.lit(True))
     for name, (_, required, any_of) in DETAILS.items():
         for x in required:
-            reasons.append(_reason(whole & (kind == name) & F.coalesce(blank(x), F.lit(True)), f"details.{x} is required and must be non-null for '{name}'"))
+            reasons.append(_reason(whole & (kind == name) & blank(x), f"details.{x} is required and must be non-null for '{name}'"))
         if any_of:
-            none = reduce(lambda a, b: a & b, (F.coalesce(blank(x), F.lit(True)) for x in any_of))
+            none = reduce(lambda a, b: a & b, (blank(x) for x in any_of))
             reasons.append(_reason(whole & (kind == name) & none, f"'{name}' requires at least one of: {', '.join(any_of)}"))
     errors = (
-        F.when(~is_object, F.array(F.lit("event must be a JSON object")))
-        .when(F.size(shape) > 0, shape)
+        F.when(get("keys").isNull(), F.array(F.lit("event must be a JSON object")))
+        .when((F.size(missing) > 0) | (F.size(unknown) > 0), shape)
         .when(~F.coalesce(kind.isin(*EVENT_TYPES), F.lit(False)), F.array(F.concat(F.lit("event_type '"), F.coalesce(kind, F.lit("null")), F.lit("' is not an allowed type"))))
         .otherwise(F.array_compact(F.array(*reasons)))
     )
-    return lines.withColumn("errors", errors)
+    return parsed(lines, line_col).withColumn("errors", once(errors))
 
 
 def problem_counts(checked: DataFrame, limit: int | None = None) -> DataFrame:
@@ -116,12 +123,11 @@ def batch_rejections(batches: DataFrame, most: int = 20) -> DataFrame:
     return per.select("batch_id", why.alias("reason")).where("reason is not null")
 
 
-def normalized(checked: DataFrame, line_col: str = "line") -> DataFrame:
-    """Valid lines as rows of the events table; needs the columns seq and received_at. details stays JSON text."""
-    get = lambda name: F.get_json_object(F.col(line_col), f"$.{name}")
+def normalized(checked: DataFrame) -> DataFrame:
+    """Valid lines as rows of the events table, from validated() ones with the columns seq and received_at. details is canonical JSON text."""
+    get = lambda name: F.col(f"event.{name}").alias(name)
     return checked.where(F.size("errors") == 0).select(
-        "seq", get("event_id").alias("event_id"), get("node_id").alias("node_id"), get("session_id").alias("session_id"), get("event_type").alias("event_type"),
-        truncated(get("timestamp")).alias("timestamp"), get("attacker_ip").alias("attacker_ip"), get("protocol").alias("protocol"), get("details").alias("details"), "received_at",
+        "seq", get("event_id"), get("node_id"), get("session_id"), get("event_type"), truncated(F.col("event.timestamp")).alias("timestamp"), get("attacker_ip"), get("protocol"), get("details"), "received_at",
     )
 
 

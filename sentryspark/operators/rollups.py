@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sentryspark.config import ALERT_STATUSES, DEFAULT, SEVERITIES, Config
-from sentryspark.functions.scalar import coordinates, field, masked, projected, rank, risk, seconds, stamp_of
+from sentryspark.functions.scalar import coordinates, field, marker_radius, masked, percent, projected, rank, risk, score_band, seconds, stamp_of
 
 
 def _n(condition=None):
@@ -208,6 +209,25 @@ def map_arcs(paths: DataFrame, origins: DataFrame, sensors: DataFrame) -> DataFr
     return paths.join(at(origins, "attacker_ip", "origin"), "attacker_ip").join(at(sensors, "node_id", "sensor"), "node_id")
 
 
+def map_marks(origins: DataFrame, limit: int) -> DataFrame:
+    """The busiest `limit` of attack_origins() as marks: map position, radius against the busiest of them, score band, share of their events in percent, whether a login succeeded.
+
+    origins should have up to limit + 1 rows: `truncated` says of all marks whether there are more than are drawn.
+    """
+    by = Window.orderBy(F.desc("events"), "attacker_ip")  # limit + 1 rows at most
+    rows = origins.withColumn("place", F.row_number().over(by)).withColumn("truncated", F.max("place").over(Window.partitionBy()) > limit).where(F.col("place") <= limit)
+    whole = Window.partitionBy()
+    x, y = projected(F.col("latitude"), F.col("longitude"))
+    return rows.withColumns({
+        "x": x, "y": y, "radius": marker_radius(F.col("events"), F.max("events").over(whole)), "band": score_band(F.col("risk_score")), "share": percent(F.col("events"), F.sum("events").over(whole)), "breached": F.col("login_successes") > 0,
+    }).drop("place")
+
+
+def unknown_nodes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, events) of sensors that traffic names and the fleet doesn't have."""
+    return paths.join(nodes.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.sum("events").alias("events"))
+
+
 def map_totals(paths: DataFrame) -> DataFrame:
     """(node_id, events, attackers, share) of the paths given; share is of all their events, in percent."""
     own = paths.groupBy("node_id").agg(F.sum("events").alias("events"), F.count_distinct("attacker_ip").alias("attackers"))

@@ -1,7 +1,7 @@
 """Detection rules over a rolling window, and what becomes of their findings.
 
 Every rule gives the same columns, so a pass is a union. Findings get name-based ids; those known already,
-repeated in the pass, or cooling down are dropped in closed form, by one aggregation per address and type, without a loop.
+repeated in the pass, or cooling down are dropped in closed form, by windows over an id and over an address and type, without a loop.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentryspark.config import DEFAULT, Config
-from sentryspark.functions.scalar import bucket, classified, field, rank, seconds, stamp_of, uuid5
+from sentryspark.functions.scalar import bucket, classified, field, first_pattern, once, rank, seconds, stamp_of, uuid5
 
 FINDING = ["alert_type", "attacker_ip", "severity", "timestamp", "description", "session_id", "dedupe_key"]
 Rule = Callable[[DataFrame, DataFrame, str, Config], DataFrame]
@@ -32,21 +32,57 @@ def _in_window(events: DataFrame, since: str, *kinds: str) -> DataFrame:
     return rows.where(F.col("event_type").isin(*kinds)) if kinds else rows
 
 
+def address_counters(events: DataFrame, since: str) -> DataFrame:
+    """What the rules about addresses ask for, by one aggregation of the window; sets of sensors are as large as the fleet at most."""
+    rows = _in_window(events, since)
+    tried = F.col("event_type") == "login_attempt"
+    named = F.when(F.col("event_type").isin("login_attempt", "login_success"), field("username"))
+    return rows.withColumn("name", named).groupBy("attacker_ip").agg(
+        F.count_if(tried).alias("attempts"), F.size(F.collect_set(F.when(tried, F.col("node_id")))).alias("tried_nodes"), F.max(F.when(tried, F.col("timestamp"))).alias("last_try"),
+        F.count_distinct("name").alias("usernames"), F.max(F.when(F.col("name").isNotNull(), F.col("timestamp"))).alias("last_name"),
+        F.array_sort(F.collect_set("node_id")).alias("nodes"), F.max("timestamp").alias("last_ts"),
+    )
+
+
+def _brute_force(config: Config) -> tuple:
+    text = F.format_string(f"%d failed login attempts from %s across %d node(s) within {config.window_minutes} minutes", "attempts", "attacker_ip", "tried_nodes")
+    level = F.when(F.col("attempts") >= 4 * config.brute_force, "high").otherwise("medium")
+    return F.col("attempts") >= config.brute_force, level, F.col("last_try"), text, [F.col("attacker_ip"), bucket(F.col("last_try"), config)]
+
+
+def _credential_spray(config: Config) -> tuple:
+    text = F.format_string(f"%s tried %d distinct usernames within {config.window_minutes} minutes", "attacker_ip", "usernames")
+    return F.col("usernames") >= config.credential_spray, F.lit("medium"), F.col("last_name"), text, [F.col("attacker_ip"), bucket(F.col("last_name"), config)]
+
+
+def _multi_node_scan(config: Config) -> tuple:
+    n = F.size("nodes")
+    text = F.format_string("%s observed on %d separate sensors (%s) — coordinated scanning", F.col("attacker_ip"), n, F.array_join("nodes", ","))
+    return n >= config.multi_node, F.when(n == 2, "medium").otherwise("high"), F.col("last_ts"), text, [F.col("attacker_ip"), n.cast("string"), bucket(F.col("last_ts"), config)]
+
+
+#: Rules over address_counters: condition, severity, time, description and key of a finding.
+ADDRESS_RULES = {"brute_force": _brute_force, "credential_spray": _credential_spray, "multi_node_scan": _multi_node_scan}
+
+
+def address_findings(events: DataFrame, since: str, config: Config, names: list[str]) -> DataFrame:
+    """The findings of several rules about addresses, from one aggregation."""
+    made = []
+    for name in names:
+        holds, level, stamp, text, key = ADDRESS_RULES[name](config)
+        made.append(F.when(holds, F.struct(F.lit(name).alias("alert_type"), level.alias("severity"), stamp.alias("timestamp"), text.alias("description"), F.concat_ws("|", F.lit(name), *key).alias("dedupe_key"))))
+    rows = address_counters(events, since).select("attacker_ip", F.explode(F.array_compact(F.array(*made))).alias("found"))
+    return rows.select("found.alert_type", "attacker_ip", "found.severity", "found.timestamp", "found.description", F.lit(None).cast("string").alias("session_id"), "found.dedupe_key")
+
+
 def brute_force(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
     """Many login attempts from one address."""
-    tries = _in_window(events, since, "login_attempt").groupBy("attacker_ip").agg(F.count(F.lit(1)).alias("attempts"), F.count_distinct("node_id").alias("nodes"), F.max("timestamp").alias("last_ts"))
-    tries = tries.where(F.col("attempts") >= config.brute_force)
-    text = F.format_string(f"%d failed login attempts from %s across %d node(s) within {config.window_minutes} minutes", "attempts", "attacker_ip", "nodes")
-    level = F.when(F.col("attempts") >= 4 * config.brute_force, "high").otherwise("medium")
-    return _findings(tries, "brute_force", level, F.col("last_ts"), text, [F.col("attacker_ip"), bucket(F.col("last_ts"), config)])
+    return address_findings(events, since, config, ["brute_force"])
 
 
 def credential_spray(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
     """Many different user names from one address."""
-    names = _in_window(events, since, "login_attempt", "login_success").withColumn("username", field("username")).where("username is not null")
-    names = names.groupBy("attacker_ip").agg(F.count_distinct("username").alias("usernames"), F.max("timestamp").alias("last_ts")).where(F.col("usernames") >= config.credential_spray)
-    text = F.format_string(f"%s tried %d distinct usernames within {config.window_minutes} minutes", "attacker_ip", "usernames")
-    return _findings(names, "credential_spray", F.lit("medium"), F.col("last_ts"), text, [F.col("attacker_ip"), bucket(F.col("last_ts"), config)])
+    return address_findings(events, since, config, ["credential_spray"])
 
 
 def high_risk_ip(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
@@ -59,43 +95,48 @@ def high_risk_ip(events: DataFrame, reputation: DataFrame, since: str, config: C
     return _findings(risky, "high_risk_ip", F.lit("high"), F.col("last_updated"), text, [F.col("attacker_ip"), F.floor(abuse / 10).cast("string"), F.floor(profile / 10).cast("string")])
 
 
+def event_findings(events: DataFrame, since: str, config: Config, names: list[str]) -> DataFrame:
+    """Findings about single events, from one scan: commands that match a pattern, and downloads. A command is parsed and classified once."""
+    kinds = {"suspicious_command": "command", "malware_staging": "file_download"}
+    rows = _in_window(events, since, *(kinds[x] for x in names))
+    load = F.coalesce(*(F.nullif(field(x), F.lit("")) for x in ("file_name", "download_url", "file_hash")), F.lit("unknown artefact"))
+    fetched = F.col("event_type") == "file_download"
+    rows = rows.select("attacker_ip", "event_id", "event_type", "node_id", "timestamp", "session_id", once(F.when(fetched, load).otherwise(F.coalesce(field("command"), F.lit("")))).alias("what"))
+    rows = rows.select("*", once(F.when(fetched, 0).otherwise(first_pattern(F.col("what")))).alias("place")).where("place is not null")
+    level, label = classified(F.col("place"))
+    kind = F.when(fetched, "malware_staging").otherwise("suspicious_command")
+    text = F.concat(F.when(fetched, "payload fetched").otherwise(label), F.lit(" on "), "node_id", F.lit(": "), F.substring("what", 1, 200))
+    return rows.select(kind.alias("alert_type"), "attacker_ip", F.when(fetched, "high").otherwise(level).alias("severity"), "timestamp", text.alias("description"), "session_id", F.concat_ws("|", kind, "event_id").alias("dedupe_key"))
+
+
 def suspicious_command(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
     """Each command that matches a pattern."""
-    rows = _in_window(events, since, "command").withColumn("command", F.coalesce(field("command"), F.lit("")))
-    severity, label = classified(F.col("command"))
-    rows = rows.withColumn("level", severity).withColumn("label", label).where("level is not null")
-    text = F.concat("label", F.lit(" on "), "node_id", F.lit(": "), F.substring("command", 1, 200))
-    return _findings(rows, "suspicious_command", F.col("level"), F.col("timestamp"), text, [F.col("event_id")], F.col("session_id"))
+    return event_findings(events, since, config, ["suspicious_command"])
 
 
 def malware_staging(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
     """Each download."""
-    rows = _in_window(events, since, "file_download")
-    what = F.coalesce(*(F.nullif(field(x), F.lit("")) for x in ("file_name", "download_url", "file_hash")), F.lit("unknown artefact"))
-    text = F.concat(F.lit("payload fetched on "), "node_id", F.lit(": "), F.substring(what, 1, 200))
-    return _findings(rows, "malware_staging", F.lit("high"), F.col("timestamp"), text, [F.col("event_id")], F.col("session_id"))
+    return event_findings(events, since, config, ["malware_staging"])
 
 
 def multi_node_scan(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
     """One address on several sensors."""
-    seen = _in_window(events, since).groupBy("attacker_ip").agg(F.array_sort(F.collect_set("node_id")).alias("list"), F.max("timestamp").alias("last_ts"))
-    seen = seen.withColumn("nodes", F.size("list")).where(F.col("nodes") >= config.multi_node)
-    text = F.format_string("%s observed on %d separate sensors (%s) — coordinated scanning", F.col("attacker_ip"), F.col("nodes"), F.array_join("list", ","))
-    level = F.when(F.col("nodes") == 2, "medium").otherwise("high")
-    return _findings(seen, "multi_node_scan", level, F.col("last_ts"), text, [F.col("attacker_ip"), F.col("nodes").cast("string"), bucket(F.col("last_ts"), config)])
+    return address_findings(events, since, config, ["multi_node_scan"])
 
 
 def post_auth_activity(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
     """Sessions with an accepted login and commands in the window; each login counts each command, in any order.
 
-    Both sides are counted before they are joined, so a session's rows never multiply.
+    Logins and commands are counted by one aggregation, and a session's counts then meet, so its rows never multiply.
     """
-    logins = events.where((F.col("event_type") == "login_success") & F.col("attacker_ip").isNotNull() & F.col("session_id").isNotNull())
-    logins = logins.groupBy("session_id", "attacker_ip", "node_id").agg(F.count(F.lit(1)).alias("logins"))
-    commands = events.where((F.col("event_type") == "command") & (F.col("timestamp") >= since)).groupBy("session_id").agg(F.count("event_id").alias("commands"), F.max("timestamp").alias("last_ts"))
-    both = logins.join(commands, "session_id").withColumn("n", F.col("logins") * F.col("commands"))
+    accepted = (F.col("event_type") == "login_success") & F.col("attacker_ip").isNotNull()
+    ran = (F.col("event_type") == "command") & (F.col("timestamp") >= since)
+    rows = events.where(F.col("session_id").isNotNull() & (accepted | ran)).groupBy("session_id", "attacker_ip", "node_id")
+    rows = rows.agg(F.count_if(accepted).alias("logins"), F.count(F.when(ran, F.col("event_id"))).alias("commands"), F.max(F.when(ran, F.col("timestamp"))).alias("last_ts"))
+    session = Window.partitionBy("session_id")
+    rows = rows.withColumn("last_ts", F.max("last_ts").over(session)).withColumn("n", F.col("logins") * F.sum("commands").over(session)).where("logins > 0 and last_ts is not null")
     text = F.format_string("authenticated session %s on %s executed %d command(s) after a successful login", "session_id", "node_id", "n")
-    return _findings(both, "post_auth_activity", F.lit("high"), F.col("last_ts"), text, [F.col("session_id"), F.col("n").cast("string")], F.col("session_id"))
+    return _findings(rows, "post_auth_activity", F.lit("high"), F.col("last_ts"), text, [F.col("session_id"), F.col("n").cast("string")], F.col("session_id"))
 
 
 #: The registry: a further rule is a further entry.
@@ -111,15 +152,23 @@ def window_start(events: DataFrame, config: Config = DEFAULT, minutes: int | Non
     return last["since"]
 
 
+#: Rules that share a pass: by their names, what gives the findings of several of them.
+SHARED = [(tuple(ADDRESS_RULES), address_findings), (("suspicious_command", "malware_staging"), event_findings)]
+
+
 def evaluated(events: DataFrame, reputation: DataFrame, since: str, config: Config = DEFAULT) -> DataFrame:
-    """The findings of all enabled rules, with rule_order."""
-    passes = [RULES[name](events, reputation, since, config).withColumn("rule_order", F.lit(k)) for k, name in enumerate(config.enabled_rules) if name in RULES]
-    if not passes:
+    """The findings of all enabled rules, with rule_order. Rules that read the same rows share a scan: four in all."""
+    names = [x for x in config.enabled_rules if x in RULES]
+    if not names:
         raise ValueError("no known rule is enabled")
+    together = [(make, [x for x in names if x in of]) for of, make in SHARED]
+    passes = [make(events, since, config, own) for make, own in together if own]
+    passes += [RULES[x](events, reputation, since, config) for x in names if not any(x in of for of, _ in SHARED)]
     out = passes[0]
     for one in passes[1:]:
         out = out.unionByName(one)
-    return out
+    places = F.create_map(*(F.lit(x) for k, name in enumerate(config.enabled_rules) for x in (name, k)))
+    return out.withColumn("rule_order", F.element_at(places, F.col("alert_type")))
 
 
 def order() -> list:
@@ -153,8 +202,10 @@ def new_alerts(findings: DataFrame, now: str, existing: DataFrame | None = None,
     rows = rows.withColumn("candidate", F.col("first") & ~F.col("known"))
     # as one sortable value, of which the largest comes first
     rows = rows.withColumn("place", F.struct(rank(F.col("severity")), "timestamp", -F.col("rule_order"), "dedupe_key"))
-    leaders = rows.where("candidate and fresh").groupBy("attacker_ip", "alert_type").agg(F.max("place").alias("leader"))
-    rows = rows.join(leaders, ["attacker_ip", "alert_type"], "left")
+    # rules that never cool down have a finding for each event: each is a group of its own, so that no address gathers them
+    alone = F.when(F.col("alert_type").isin(*config.no_cooldown), F.col("alert_id"))
+    leader = F.max(F.when(F.col("candidate") & F.col("fresh"), F.col("place"))).over(Window.partitionBy("attacker_ip", "alert_type", alone))
+    rows = rows.withColumn("leader", leader)
     kept = rows.where(F.col("candidate") & ~F.col("cooling") & ~F.coalesce(F.col("leader") > F.col("place"), F.lit(False)))
     return kept.select("alert_id", "attacker_ip", "session_id", "alert_type", "severity", "timestamp", "description", F.lit("open").alias("status"))
 

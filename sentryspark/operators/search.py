@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentryspark.config import SEVERITIES
-from sentryspark.functions.scalar import at_least, classified, contains, field, rank, risk, seconds
+from sentryspark.functions.scalar import at_least, classified, contains, field, first_pattern, once, rank, risk, seconds
 from sentryspark.operators.rollups import attacker_summary, public_sessions, session_counters
 
 Filters = dict[str, object]
@@ -129,15 +129,18 @@ def transcript(events: DataFrame, session_id: str | None = None) -> DataFrame:
     """Events of a session, or of all, for reading: whether a password was given, never which; the gap to the line before if it is a minute or more."""
     rows = events.where("session_id is not null") if session_id is None else events.where(F.col("session_id") == session_id)
     keys = ["username", "command", "download_url", "file_name", "file_hash", "status", "duration_seconds", "destination_ip", "destination_port", "source_port", "agent_version"]
+    head = ["session_id", "event_id", "event_type", "timestamp", "node_id", "attacker_ip", "protocol"]
     line = Window.partitionBy("session_id").orderBy("timestamp", "received_at", "seq")
     at = seconds(F.col("timestamp"))
     gap = at - F.last(at, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    severity, label = classified(F.col("command"))
-    out = rows.select(
-        "session_id", "event_id", "event_type", "timestamp", "node_id", "attacker_ip", "protocol", *(field(k).alias(k) for k in keys),
-        F.when(field("password").isNull(), 0).otherwise(1).alias("had_password"), F.when(gap >= 60, gap).alias("gap_seconds"), F.row_number().over(line).cast("long").alias("line"),
+    rows = rows.select(*head, "received_at", "seq", once(F.from_json("details", "map<string,string>")).alias("own"))
+    rows = rows.select("*", once(first_pattern(F.element_at("own", F.lit("command")))).alias("place"))
+    severity, label = classified(F.col("place"))
+    value = lambda k: F.element_at("own", F.lit(k))
+    return rows.select(
+        *head, *(value(k).alias(k) for k in keys),
+        F.when(value("password").isNull(), 0).otherwise(1).alias("had_password"), F.when(gap >= 60, gap).alias("gap_seconds"), F.row_number().over(line).cast("long").alias("line"), severity.alias("risk"), label.alias("risk_label"),
     )
-    return out.withColumn("risk", severity).withColumn("risk_label", label)
 
 
 def transcript_counts(events: DataFrame) -> DataFrame:

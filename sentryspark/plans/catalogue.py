@@ -5,13 +5,15 @@ Times are fixed: the views end on 2024-01-30, so the window starts a week before
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentryspark.functions.scalar import COMMAND_PATTERNS, field, profile_score, projected
+from sentryspark.config import ID_NAMESPACE, Config
+from sentryspark.functions.scalar import COMMAND_PATTERNS, field, percent, profile_score, projected, score_band, stamp_of
 from sentryspark.operators import feed, ingest, mappers, rollups, rules, search
 from sentryspark.plans import duck, screens
 from sentryspark.sources import tables
@@ -46,6 +48,18 @@ class Tables:
         last = F.substring("alert_id", 36, 1)
         return rules.new_alerts(self.findings, NOW).withColumn("status", F.when(last == "0", "acknowledged").when(last == "1", "closed").otherwise("open"))
 
+    @cached_property
+    def pass_findings(self) -> DataFrame:
+        """The findings, stored, as a pass over earlier alerts reads them several times."""
+        return tables.stored(self.findings, "findings")
+
+    @cached_property
+    def created(self) -> DataFrame:
+        """The new alerts of a pass that knows a third of its findings already, some of them as open alerts, and has a long cooldown."""
+        last, old = F.substring("alert_id", 36, 1), rules.with_ids(self.pass_findings)
+        existing = old.where(last.isin("2", "3", "4", "5")).withColumn("status", F.when(last.isin("2", "3"), "open").otherwise("closed"))
+        return rules.new_alerts(self.pass_findings, NOW, existing, Config(cooldown_minutes=duck.COOLDOWN_MINUTES))
+
     @cached_property
     def sessions(self) -> DataFrame:
         return ingest.folded_sessions(self.events)
@@ -77,8 +91,19 @@ for _name in rules.RULES:
     add(f"rule_{_name}", lambda t, name=_name: rules.RULES[name](t.events, t.reputation, SINCE, rules.DEFAULT), f"SELECT {duck.FINDING} FROM findings WHERE alert_type = '{_name}'")
 add("alerts_union", lambda t: t.findings, f"SELECT {duck.FINDING}, rule_order FROM findings")
 add("alerts_with_ids", lambda t: rules.with_ids(t.findings).select("alert_id", "dedupe_key"), "SELECT alert_id, dedupe_key FROM identified")
-add("alerts_after_cooldown", lambda t: rules.new_alerts(t.findings, NOW), "SELECT alert_id, attacker_ip, session_id, alert_type, severity, timestamp, description, 'open' AS status FROM alerts")
-add("alert_pass_summary", lambda t: rules.pass_summary(t.findings, rules.new_alerts(t.findings, NOW)), "SELECT f.alert_type, f.n AS findings, coalesce(a.n, 0) AS created, f.n - coalesce(a.n, 0) AS suppressed FROM (SELECT alert_type, count(*) n FROM findings GROUP BY 1) f LEFT JOIN (SELECT alert_type, count(*) n FROM alerts GROUP BY 1) a USING (alert_type)")
+add("alerts_after_cooldown", lambda t: t.created, "SELECT * FROM created")
+add("alert_pass_summary", lambda t: rules.pass_summary(t.pass_findings, t.created), "SELECT f.alert_type, f.n AS findings, coalesce(a.n, 0) AS created, f.n - coalesce(a.n, 0) AS suppressed FROM (SELECT alert_type, count(*) n FROM findings GROUP BY 1) f LEFT JOIN (SELECT alert_type, count(*) n FROM created GROUP BY 1) a USING (alert_type)")
+
+
+def _changed(t: Tables) -> DataFrame:
+    """Alerts after changes of status, some of them two for one alert, and one for an unknown id."""
+    last, ids = F.substring("alert_id", 36, 1), tables.stored(t.alerts, "alerts")
+    change = lambda rows, status, seq: rows.select("alert_id", F.lit(status).alias("status"), F.lit(seq).alias("seq"))
+    changes = change(ids.where(last.isin("6", "7")), "closed", 2).unionByName(change(ids.where(last.isin("7", "8")), "acknowledged", 3)).unionByName(change(ids.where(last == "6"), "open", 1))
+    return rules.with_statuses(ids, changes.unionByName(t.spark.createDataFrame([("none", "closed", 9)], changes.schema)))
+
+
+add("alert_status_changes", _changed, "SELECT * REPLACE (CASE substr(alert_id, 36, 1) WHEN '6' THEN 'closed' WHEN '7' THEN 'acknowledged' WHEN '8' THEN 'acknowledged' ELSE status END AS status) FROM alerts")
 add("window_start", lambda t: t.spark.range(1).select(F.lit(rules.window_start(t.events)).alias("since")), "SELECT strftime(max(strptime(timestamp, '%Y-%m-%dT%H:%M:%SZ')) - INTERVAL 5 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS since FROM ev")
 
 # -- views, folds, nodes ----------------------------------------------------
@@ -115,6 +140,14 @@ add("event_type_counts", lambda t: rollups.counts_of(t.events, "event_type", SIN
 add("severity_counts", lambda t: rollups.severity_counts(t.alerts, "open"), "SELECT severity, (SELECT count(*) FROM alerts a WHERE a.severity = v.severity AND a.status = 'open') AS n FROM (VALUES ('low'), ('medium'), ('high')) v(severity)")
 add("status_counts", lambda t: rollups.status_counts(t.alerts), "SELECT status, (SELECT count(*) FROM alerts a WHERE a.status = v.status) AS n FROM (VALUES ('open'), ('acknowledged'), ('closed')) v(status)")
 add("alert_type_stats", lambda t: rollups.alert_type_stats(t.alerts, SINCE), f"SELECT alert_type, count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open_count, count(*) FILTER (WHERE severity = 'high') AS high_count, count(DISTINCT attacker_ip) AS distinct_ips, max(timestamp) AS last_fired FROM alerts WHERE timestamp >= '{SINCE}' GROUP BY 1")
+add("event_type_shares", lambda t: rollups.counts_of(t.events, "event_type").crossJoin(F.broadcast(t.events.agg(F.count(F.lit(1)).alias("whole")))).select("event_type", percent(F.col("n"), F.col("whole")).alias("share")), "SELECT event_type, round(count(*) * 100.0 / (SELECT count(*) FROM ev), 1)::DOUBLE AS share FROM ev GROUP BY 1")
+add("activity_sliding", lambda t: pipeline.windowed_activity(t.events, "1 hour", "30 minutes").withColumn("start", stamp_of(F.unix_timestamp("start"))), f"""
+    SELECT strftime(make_timestamp(({duck.secs("timestamp")} // 1800 * 1800 - back * 1800) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS start, event_type, count(*) AS n FROM ev, (VALUES (0), (1)) b(back) GROUP BY 1, 2""")
+add("inactive_sessions", lambda t: pipeline.inactive_sessions(t.events), f"""
+    SELECT session_id, min(timestamp) AS first_event, max(timestamp) AS last_event, count(*) AS n FROM (
+      SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY timestamp, seq) AS stretch FROM (
+        SELECT session_id, timestamp, seq, CASE WHEN {duck.secs("timestamp")} - {duck.secs("lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp, seq)")} < 3600 THEN 0 ELSE 1 END AS new FROM ev WHERE session_id IS NOT NULL)) GROUP BY session_id, stretch""")
+add("rebased_events", lambda t: ingest.rebased(t.events, "2026-02-01T12:00:00Z").select("event_id", "timestamp"), f"SELECT event_id, strftime(strptime(timestamp, '%Y-%m-%dT%H:%M:%SZ') + to_seconds({duck.secs("'2026-02-01T12:00:00Z'")} - (SELECT max({duck.secs('timestamp')}) FROM ev)), '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM ev")
 add("ingest_lag", lambda t: rollups.ingest_lag(t.events), f"SELECT round(avg({duck.secs('received_at')} - {duck.secs('timestamp')}), 2) AS avg_ingest_lag_seconds FROM (SELECT * FROM ev ORDER BY received_at DESC, seq DESC LIMIT 500)")
 
 # -- top lists --------------------------------------------------------------
@@ -130,10 +163,19 @@ add("top_attackers", lambda t: rollups.top_attackers(t.events, t.reputation), "S
 
 _PLACED = f"FROM ev e JOIN rep r ON r.attacker_ip = e.attacker_ip WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND timestamp >= '{SINCE}'"
 _PATHS = f"SELECT e.attacker_ip, node_id, count(*) AS events, max(timestamp) AS last_seen {_PLACED} GROUP BY 1, 2 ORDER BY events DESC, 1, 2 LIMIT 400"
-add("attack_origins", lambda t: rollups.attack_origins(t.events, t.reputation, SINCE), f"""
+_ORIGINS = f"""
     SELECT e.attacker_ip, any_value(country) AS country, any_value(city) AS city, any_value(latitude) AS latitude, any_value(longitude) AS longitude, any_value(abuse_score) AS abuse_score, any_value(profile_score) AS profile_score,
       greatest(coalesce(any_value(abuse_score), 0), coalesce(any_value(profile_score), 0)) AS risk_score, count(*) AS events, count(DISTINCT session_id) AS sessions, count(DISTINCT node_id) AS nodes, count(*) FILTER (WHERE event_type = 'login_success') AS login_successes, max(timestamp) AS last_seen
-    {_PLACED} GROUP BY 1 ORDER BY events DESC, 1 LIMIT 200""")
+    {_PLACED} GROUP BY 1 ORDER BY events DESC, 1 LIMIT 200"""
+add("attack_origins", lambda t: rollups.attack_origins(t.events, t.reputation, SINCE), _ORIGINS)
+_MAP = lambda limit: f"""
+    SELECT o.* EXCLUDE (latitude, longitude), round(3 + 10 * sqrt(events / greatest(max(events) OVER (), 1)), 6) AS radius, round(events * 100.0 / sum(events) OVER (), 1)::DOUBLE AS share, CASE WHEN risk_score >= 75 THEN 'high' WHEN risk_score >= 37 THEN 'medium' ELSE 'low' END AS band,
+      login_successes > 0 AS breached, (SELECT count(*) FROM ({_ORIGINS})) > {limit} AS truncated FROM (SELECT * FROM ({_ORIGINS}) ORDER BY events DESC, attacker_ip LIMIT {limit}) o"""
+_marks = lambda t, limit: rollups.map_marks(rollups.attack_origins(t.events, t.reputation, SINCE, limit + 1), limit).withColumn("radius", F.round("radius", 6)).drop("x", "y", "latitude", "longitude")
+add("map_marks", lambda t: _marks(t, 30), _MAP(30))
+add("map_marks_all", lambda t: _marks(t, 199), _MAP(199))
+add("map_unknown_nodes", lambda t: rollups.unknown_nodes(rollups.attack_paths(t.events, t.reputation, SINCE), t.nodes.where("node_id <> 'node-03'")), f"SELECT node_id, sum(events)::BIGINT AS events FROM (SELECT e.attacker_ip, node_id, count(*) AS events {_PLACED} GROUP BY 1, 2 ORDER BY events DESC, 1, 2 LIMIT 400) WHERE node_id = 'node-03' GROUP BY 1")
+add("placed_nodes", lambda t: rollups.placed_nodes(t.nodes.withColumn("location", F.when(F.col("node_id") == "node-01", "Berlin 52.5, 13.4").when(F.col("node_id") == "node-02", "95, 10")), {"node-03": (1, 2)}).select("node_id", "latitude", "longitude"), "SELECT node_id, CASE node_id WHEN 'node-01' THEN 52.5 WHEN 'node-03' THEN 1.0 END::DOUBLE AS latitude, CASE node_id WHEN 'node-01' THEN 13.4 WHEN 'node-03' THEN 2.0 END::DOUBLE AS longitude FROM nodes")
 add("attack_paths", lambda t: rollups.attack_paths(t.events, t.reputation, SINCE), _PATHS)
 add("attack_extent", lambda t: rollups.attack_extent(t.events, t.reputation), f"SELECT count(*) AS events, count(DISTINCT e.attacker_ip) AS origins, min(timestamp) AS first_seen, max(timestamp) AS last_seen {_PLACED.replace(SINCE, '')}")
 add("map_totals", lambda t: rollups.map_totals(rollups.attack_paths(t.events, t.reputation, SINCE)), f"SELECT node_id, sum(events)::BIGINT AS events, count(DISTINCT attacker_ip) AS attackers, round(sum(events) * 100.0 / (SELECT sum(events) FROM ({_PATHS})), 1)::DOUBLE AS share FROM ({_PATHS}) GROUP BY 1")
@@ -182,23 +224,38 @@ add("alert_types", lambda t: rollups.vocabulary(t.alerts, "alert_type"), "SELECT
 _INPUTS = f"SELECT attacker_ip, count(*) AS event_count, count(DISTINCT session_id) AS session_count, count(DISTINCT node_id) AS node_count, count(DISTINCT {_CMD}) FILTER (WHERE event_type = 'command') AS distinct_commands, count(DISTINCT {_USER}) FILTER (WHERE {_LOGINS}) AS distinct_usernames FROM ev WHERE attacker_ip IS NOT NULL GROUP BY 1"
 add("profile_inputs", lambda t: ingest.profile_inputs(t.events), _INPUTS)
 add("profile_score", lambda t: ingest.profile_inputs(t.events).join(t.reputation, "attacker_ip").select("attacker_ip", profile_score(F.col("abuse_score"), F.col("session_count"), F.col("distinct_commands")).alias("score")), f"SELECT attacker_ip, greatest(0, least(100, coalesce(abuse_score, 0) + least(25, session_count * 5) + least(25, distinct_commands * 2)))::INT AS score FROM ({_INPUTS}) JOIN rep USING (attacker_ip)")
-add("enrichment_queue", lambda t: ingest.enrichment_queue(t.events, t.reputation.where("profile_score < 60").withColumn("last_updated", F.when(F.col("profile_score") < 20, "2024-01-01T00:00:00Z").otherwise(F.col("last_updated"))), NOW, limit=50, v6=False), "SELECT DISTINCT attacker_ip FROM ev LEFT JOIN (SELECT * FROM rep WHERE profile_score < 60) r USING (attacker_ip) WHERE attacker_ip IS NOT NULL AND (r.profile_score IS NULL OR r.profile_score < 20) ORDER BY 1 LIMIT 50")
+add("score_bands", lambda t: t.reputation.groupBy(score_band(F.col("abuse_score")).alias("band")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN abuse_score IS NULL THEN 'none' WHEN abuse_score >= 75 THEN 'high' WHEN abuse_score >= 37 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM rep GROUP BY 1")
+_KINDS = ["2606:4700::1111", "fe80::1", "::1", "2001:db8::7", "fd00::9", "10.1.2.3", "192.168.7.7", "8.8.8.8"]
+
+
+def _queue(t: Tables) -> DataFrame:
+    """The queue for the log and a few public and private addresses of both kinds."""
+    more = t.spark.createDataFrame([(x,) for x in _KINDS], "attacker_ip string")
+    known = t.reputation.where("profile_score < 60").withColumn("last_updated", F.when(F.col("profile_score") < 20, "2024-01-01T00:00:00Z").otherwise(F.col("last_updated")))
+    return ingest.enrichment_queue(t.events.select("attacker_ip").unionByName(more), known, NOW, limit=10_000)
+
+
+add("enrichment_queue_of_all_kinds", _queue, "SELECT attacker_ip FROM (SELECT DISTINCT attacker_ip FROM ev LEFT JOIN (SELECT * FROM rep WHERE profile_score < 60) r USING (attacker_ip) WHERE attacker_ip IS NOT NULL AND (r.profile_score IS NULL OR r.profile_score < 20) UNION VALUES ('2606:4700::1111'), ('2001:db8::7'), ('8.8.8.8')) ORDER BY 1 LIMIT 10000")
+add("enrichment_queue", lambda t: ingest.enrichment_queue(t.events, t.reputation.where("profile_score < 60").withColumn("last_updated", F.when(F.col("profile_score") < 20, "2024-01-01T00:00:00Z").otherwise(F.col("last_updated"))), NOW, limit=50), "SELECT DISTINCT attacker_ip FROM ev LEFT JOIN (SELECT * FROM rep WHERE profile_score < 60) r USING (attacker_ip) WHERE attacker_ip IS NOT NULL AND (r.profile_score IS NULL OR r.profile_score < 20) ORDER BY 1 LIMIT 50")
 
 
 def _new_reputation(t: Tables) -> DataFrame:
-    rows = t.reputation.where("profile_score % 2 = 0")
+    """Lookups for every address of the table, and for as many unknown ones."""
+    known = t.reputation.select("attacker_ip")
+    rows = known.unionByName(known.select(F.concat(F.lit("new-"), "attacker_ip").alias("attacker_ip")))
     return rows.select("attacker_ip", F.lit(None).cast("string").alias("country"), F.lit("moved").alias("city"), F.lit(None).cast("double").alias("latitude"), F.lit(1.5).alias("longitude"), F.lit(7).alias("abuse_score"), F.lit("ip-api, other").alias("source"), F.lit(None).cast("int").alias("profile_score"), F.lit(NOW).alias("last_updated"))
 
 
-add("reputation_merge", lambda t: ingest.merged_reputation(t.reputation.where("profile_score % 3 <> 0"), _new_reputation(t)), f"""
-    SELECT coalesce(o.attacker_ip, n.attacker_ip) AS attacker_ip, o.country, CASE WHEN n.attacker_ip IS NULL THEN o.city ELSE 'moved' END AS city, o.latitude, CASE WHEN n.attacker_ip IS NULL THEN o.longitude ELSE 1.5 END AS longitude,
-      CASE WHEN n.attacker_ip IS NULL THEN o.abuse_score ELSE 7 END AS abuse_score, CASE WHEN n.attacker_ip IS NULL THEN o.source WHEN o.attacker_ip IS NULL THEN 'ip-api, other' ELSE 'ip-api,AbuseIPDB,other' END AS source,
-      coalesce(o.profile_score, 0) AS profile_score, CASE WHEN n.attacker_ip IS NULL THEN o.last_updated ELSE '{NOW}' END AS last_updated
-    FROM (SELECT * FROM rep WHERE profile_score % 3 <> 0) o FULL JOIN (SELECT attacker_ip FROM rep WHERE profile_score % 2 = 0) n ON n.attacker_ip = o.attacker_ip""")
+add("reputation_merge", lambda t: ingest.merged_reputation(t.reputation.unionByName(t.reputation.withColumn("attacker_ip", F.concat(F.lit("old-"), "attacker_ip"))), _new_reputation(t)), f"""
+    SELECT attacker_ip, country, 'moved' AS city, latitude, 1.5 AS longitude, 7 AS abuse_score, 'ip-api,AbuseIPDB,other' AS source, profile_score, '{NOW}' AS last_updated FROM rep
+    UNION ALL SELECT 'old-' || attacker_ip, country, city, latitude, longitude, abuse_score, source, coalesce(profile_score, 0), last_updated FROM rep
+    UNION ALL SELECT 'new-' || attacker_ip, NULL, 'moved', NULL, 1.5, 7, 'ip-api, other', 0, '{NOW}' FROM rep""")
 add("enriched", lambda t: ingest.enriched(t.events.where("attacker_ip is not null").select("attacker_ip").distinct(), t.reputation.select("attacker_ip", "country", "city", "latitude", "longitude", "abuse_score", "source"), ingest.profile_inputs(t.events), NOW), f"""
     SELECT attacker_ip, r.country, r.city, r.latitude, r.longitude, r.abuse_score, coalesce(r.source, 'Error Fallback') AS source, CASE WHEN r.attacker_ip IS NULL THEN NULL ELSE greatest(0, least(100, coalesce(abuse_score, 0) + least(25, session_count * 5) + least(25, distinct_commands * 2)))::INT END AS profile_score, '{NOW}' AS last_updated
     FROM ({_INPUTS}) i LEFT JOIN rep r USING (attacker_ip)""")
 
+_IDENTITY = f"identity--{uuid.uuid5(uuid.UUID(ID_NAMESPACE), 'sentryspark')}"
+
 # -- feed -------------------------------------------------------------------
 
 
@@ -216,8 +273,32 @@ add("feed_confidence", lambda t: _flat(t).select("attacker_ip", "confidence"), "
 add("feed_alerts", lambda t: feed.feed_alerts(t.alerts, t.reputation), "SELECT * FROM feed_alerts")
 add("feed_filtered", _filtered, f"SELECT 'indicator' AS kind, attacker_ip AS name FROM indicators WHERE last_seen >= '{SINCE}' AND list_contains(string_split(alert_types, ','), 'brute_force') AND confidence >= 80 UNION ALL SELECT 'alert', alert_id FROM feed_alerts WHERE timestamp >= '{SINCE}' AND alert_type = 'brute_force'")
 add("feed_csv", lambda t: feed.flattened(_flat(t)), "SELECT attacker_ip, first_seen, last_seen, severity, confidence, alert_count, replace(alert_types, ',', ';') AS alert_types, country, city, latitude, longitude, abuse_score, profile_score, replace(coalesce(reputation_source, ''), ',', ';') AS sources, event_count AS events, session_count AS sessions, node_count AS nodes_touched, login_attempts, command_count AS commands, download_count AS downloads FROM indicators")
-add("stix_bundle", lambda t: feed.stix_objects(_flat(t), NOW))
-add("feed_document", lambda t: feed.feed_document(_flat(t), feed.feed_alerts(t.alerts, t.reputation), NOW))
+
+
+def _stix(t: Tables) -> DataFrame:
+    """What is in the objects of the bundle."""
+    get = lambda name: F.get_json_object("json", f"$.{name}").alias(name)
+    return feed.stix_bundle(_flat(t), NOW).select("position", *(get(x) for x in ("type", "id", "created_by_ref", "created", "name", "description", "pattern", "valid_from", "confidence", "labels", "identity_class", "indicator_types")))
+
+
+def _document(t: Tables) -> DataFrame:
+    """What is in the rows of the feed document."""
+    get = lambda name, path: F.get_json_object("json", f"$.{path}").alias(name)
+    rows = feed.feed_rows(_flat(t), feed.feed_alerts(t.alerts, t.reputation), NOW)
+    parts = {"attacker_ip": "attacker_ip", "first_seen": "first_seen", "severity": "severity", "confidence": "confidence", "events": "activity.events", "nodes": "activity.nodes_touched", "city": "geo.city", "abuse": "scores.abuse_score", "source": "scores.sources[0]", "alert_id": "alert_id", "indicators": "counts.indicators", "alerts": "counts.alerts", "generated_at": "generated_at"}
+    return rows.select("part", *(get(k, v) for k, v in parts.items()))
+
+
+add("stix_bundle", _stix, f"""
+    SELECT 1 AS position, 'indicator' AS type, 'indicator--' || {duck.uuid5("'indicator|' || attacker_ip")} AS id, '{_IDENTITY}' AS created_by_ref, '2024-01-31T00:00:00.000Z' AS created, 'Honeypot activity from ' || attacker_ip AS name,
+      concat_ws('. ', 'Observed on ' || node_count || ' honeypot sensor(s)', session_count || ' session(s)', login_attempts || ' login attempt(s)', CASE WHEN command_count > 0 THEN command_count || ' command(s) executed' END, CASE WHEN download_count > 0 THEN download_count || ' payload download(s)' END,
+        CASE WHEN coalesce(country, '') <> '' THEN 'geolocated to ' || country END, CASE WHEN abuse_score IS NOT NULL THEN 'AbuseIPDB score ' || abuse_score END) || '.' AS description,
+      '[ipv4-addr:value = ' || chr(39) || attacker_ip || chr(39) || ']' AS pattern, replace(coalesce(first_seen, '{NOW}'), 'Z', '.000Z') AS valid_from, confidence::VARCHAR AS confidence, '["' || replace(alert_types, ',', '","') || '"]' AS labels, NULL AS identity_class, '["malicious-activity"]' AS indicator_types FROM indicators
+    UNION ALL SELECT 0, 'identity', '{_IDENTITY}', NULL, '2024-01-31T00:00:00.000Z', 'sentryspark', NULL, NULL, NULL, NULL, NULL, 'system', NULL""")
+add("feed_document", _document, f"""
+    SELECT 'indicator' AS part, attacker_ip, first_seen, severity, confidence::VARCHAR AS confidence, event_count::VARCHAR AS events, node_count::VARCHAR AS nodes, city, abuse_score::VARCHAR AS abuse, CASE WHEN reputation_source <> '' THEN string_split(reputation_source, ',')[1] END AS source, NULL AS alert_id, NULL AS indicators, NULL AS alerts, NULL AS generated_at FROM indicators
+    UNION ALL SELECT 'alert', attacker_ip, NULL, severity, NULL, NULL, NULL, NULL, NULL, NULL, alert_id, NULL, NULL, NULL FROM feed_alerts
+    UNION ALL SELECT 'feed', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, (SELECT count(*) FROM indicators)::VARCHAR, (SELECT count(*) FROM feed_alerts)::VARCHAR, '{NOW}'""")
 
 # -- overview ---------------------------------------------------------------
 
@@ -239,23 +320,55 @@ ORACLES["health_tallies"] = f"SELECT health, count(*) AS n FROM ({ORACLES['node_
 
 
 def _lines(t: Tables) -> DataFrame:
-    """The events as lines of JSON, every ninth of them damaged in one of six ways."""
+    """The events as lines of compact JSON with the keys of details in another order, every ninth of them damaged in one of eight ways."""
     raw = {k: F.col(k) for k in ("event_id", "node_id", "event_type", "timestamp", "session_id", "attacker_ip", "protocol")}
-    way = F.when(F.col("seq") % 9 == 0, F.floor(F.col("seq") / 9) % 6)
+    way = F.when(F.col("seq") % 9 == 0, F.floor(F.col("seq") / 9) % 8)
     raw["event_id"] = F.when(way == 0, "no-uuid").otherwise(raw["event_id"])
     raw["event_type"] = F.when(way == 1, "unheard").otherwise(raw["event_type"])
     raw["timestamp"] = F.when(way == 2, "2024-13-45T00:00:00Z").otherwise(raw["timestamp"])
     raw["node_id"] = F.when(way == 3, "node-77").otherwise(raw["node_id"])
     head = F.to_json(F.struct(*(v.alias(k) for k, v in raw.items())), {"ignoreNullFields": "false"})
-    line = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(', "details": '), F.when(way == 4, "null").otherwise(F.col("details")), F.when(way == 5, ', "more": 1').otherwise(""), F.lit("}"))
+    details = F.regexp_replace(F.regexp_replace("details", r'^\{("password": .*), ("username": .*)\}$', "{$2, $1}"), r'(?<=":) |(?<=,) (?=")', "")
+    details = F.when(way == 4, "null").when(way == 6, F.regexp_replace(details, r"^\{", '{"host":1,')).when(way == 7, "{}").otherwise(details)
+    line = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"details":'), details, F.when(way == 5, ',"more":1').otherwise(""), F.lit("}"))
     return t.events.select("seq", "received_at", line.alias("line"))
 
 
-_WAY = "CASE WHEN seq % 9 = 0 THEN (seq // 9) % 6 END"
+_WAY = "CASE WHEN seq % 9 = 0 THEN (seq // 9) % 8 END"
+_NEEDS = {"heartbeat": "status", "login_attempt": "username", "command": "command", "session_end": "status"}
+_EMPTY = "CASE event_type " + " ".join(f"WHEN '{k}' THEN 'details.{v} is required and must be non-null for ' || chr(39) || '{k}' || chr(39) " for k, v in _NEEDS.items()) + "WHEN 'file_download' THEN chr(39) || 'file_download'' requires at least one of: download_url, file_hash' END"
 add("validate_events", lambda t: ingest.problem_counts(ingest.validated(_lines(t))), f"""
     SELECT problem, count(*) AS n FROM (SELECT CASE {_WAY} WHEN 0 THEN 'event_id must be a valid UUID string' WHEN 1 THEN 'event_type ''unheard'' is not an allowed type' WHEN 2 THEN 'timestamp ''2024-13-45T00:00:00Z'' is not a real date/time'
-      WHEN 3 THEN 'node_id ''node-77'' is not a registered node' WHEN 4 THEN 'details must be an object, never null' WHEN 5 THEN 'unexpected top-level field(s): more' END AS problem FROM ev) WHERE problem IS NOT NULL GROUP BY 1""")
-add("normalized_events", lambda t: ingest.normalized(ingest.validated(_lines(t))).drop("details"), "SELECT * EXCLUDE (details) FROM ev WHERE seq % 9 <> 0")
+      WHEN 3 THEN 'node_id ''node-77'' is not a registered node' WHEN 4 THEN 'details must be an object, never null' WHEN 5 THEN 'unexpected top-level field(s): more' WHEN 6 THEN 'details key(s) not allowed for ' || chr(39) || event_type || chr(39) || ': host' WHEN 7 THEN {_EMPTY} END AS problem FROM ev) WHERE problem IS NOT NULL GROUP BY 1""")
+_VALID = f"SELECT * REPLACE (CASE WHEN seq % 9 = 0 THEN chr(123) || chr(125) ELSE details END AS details) FROM ev WHERE seq % 9 <> 0 OR ({_WAY} = 7 AND {_EMPTY} IS NULL)"
+add("normalized_events", lambda t: ingest.normalized(ingest.validated(_lines(t))), _VALID)
+
+
+def _collected(t: Tables) -> DataFrame:
+    """Problems that only the collector and sensors see: an address that is none, and a user name of white space."""
+    details = F.when((F.col("event_type") == "login_attempt") & (F.col("seq") % 11 == 1), '{"username":"  "}').otherwise(F.col("details"))
+    ip = F.when((F.col("event_type") != "heartbeat") & (F.col("seq") % 11 == 0), "nowhere").otherwise(F.col("attacker_ip"))
+    head = F.to_json(F.struct("event_id", "node_id", "event_type", "timestamp", "session_id", ip.alias("attacker_ip"), "protocol"), {"ignoreNullFields": "false"})
+    lines = t.events.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"details":'), details, F.lit("}")).alias("line"))
+    found = [ingest.problem_counts(ingest.validated(lines, profile=x)).withColumn("profile", F.lit(x)) for x in ("storage", "collector", "sensor")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+add("validate_profiles", _collected, """
+    SELECT problem, n, profile FROM (SELECT 'attacker_ip must be an address' AS problem, count(*) AS n FROM ev WHERE event_type <> 'heartbeat' AND seq % 11 = 0
+      UNION ALL SELECT 'details.username is required and must be non-null for ' || chr(39) || 'login_attempt' || chr(39), count(*) FROM ev WHERE event_type = 'login_attempt' AND seq % 11 = 1), (VALUES ('collector'), ('sensor')) p(profile)""")
+
+
+def _batches(t: Tables) -> DataFrame:
+    """Batches of one sensor, of 15 or 30 events, some of them sent in another's name."""
+    part = F.floor(F.col("seq") / F.when(F.floor(F.col("seq") / 360) % 2 == 0, 45).otherwise(90))
+    sender = F.when(F.floor(F.col("seq") / 45) % 14 == 3, "node-01").otherwise(F.col("node_id"))
+    return ingest.batch_rejections(t.events.select(F.concat_ws(":", "node_id", part.cast("string")).alias("batch_id"), sender.alias("header_node"), F.to_json(F.struct("node_id")).alias("line")))
+
+
+add("batch_rejections", _batches, """
+    SELECT batch_id, CASE WHEN n > 20 THEN 'more than 20 events' ELSE 'node_id differs from the sender' || chr(39) || 's' END AS reason FROM (
+      SELECT node_id || ':' || (seq // CASE WHEN (seq // 360) % 2 = 0 THEN 45 ELSE 90 END) AS batch_id, count(*) AS n, bool_or((seq // 45) % 14 = 3 AND node_id <> 'node-01') AS alien FROM ev GROUP BY 1) WHERE n > 20 OR alien""")
 
 
 def _streamed(t: Tables) -> DataFrame:
@@ -264,10 +377,10 @@ def _streamed(t: Tables) -> DataFrame:
     lines = _lines(t)
     lines.unionByName(lines.where("seq % 7 = 0")).select(F.col("line").alias("value")).write.text(landing)
     pipeline.ingest(t.spark, landing, out, checkpoint).awaitTermination()
-    return pipeline.stored_events(t.spark, out).drop("seq", "received_at", "details")
+    return pipeline.stored_events(t.spark, out).drop("seq", "received_at")
 
 
-add("stream_dedupe", _streamed, "SELECT * EXCLUDE (seq, received_at, details) FROM ev WHERE seq % 9 <> 0")
+add("stream_dedupe", _streamed, f"SELECT * EXCLUDE (seq, received_at) FROM ({_VALID})")
 
 
 def _shell(t: Tables) -> DataFrame:

@@ -9,6 +9,8 @@ from sentryspark.functions.scalar import COMMAND_PATTERNS
 from sentryspark.sources.tables import DUCK_EVENTS, DUCK_REPUTATION
 
 SINCE, NOW = "2024-01-23T00:00:00Z", "2024-01-31T00:00:00Z"
+#: Of the pass that is compared: long enough for earlier alerts and earlier findings to hold others back.
+COOLDOWN_MINUTES = 3 * 24 * 60
 FINDING = "alert_type, attacker_ip, severity, timestamp, description, session_id, dedupe_key"
 COUNTERS = (
     "count(*) AS event_count, max(timestamp) AS last_event, count(*) FILTER (WHERE event_type = 'command') AS command_count, count(*) FILTER (WHERE event_type = 'login_attempt') AS login_attempts, "
@@ -33,7 +35,7 @@ def field(name: str) -> str:
     return f"json_extract_string(details, '$.{name}')"
 
 
-def _uuid5(name: str) -> str:
+def uuid5(name: str) -> str:
     digest = f"sha1(unhex('{ID_NAMESPACE.replace('-', '')}') || encode({name}))"
     return f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {digest} AS h))"
 
@@ -65,10 +67,15 @@ CTES = {
     "ev": DUCK_EVENTS,
     "rep": DUCK_REPUTATION,
     "findings": " UNION ALL ".join(f"SELECT {FINDING}, {k} AS rule_order FROM ({sql}) f({FINDING})" for k, sql in enumerate(_RULES)),
-    "identified": f"SELECT *, {_uuid5('dedupe_key')} AS alert_id FROM findings",
+    "identified": f"SELECT *, {uuid5('dedupe_key')} AS alert_id FROM findings",
     "ranked": f"SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY {_ORDER}) = 1 AS cand, NOT {_QUIET} AND {secs(f"'{NOW}'")} - {secs('timestamp')} < 1800 AS fresh FROM identified",
     "passed": f"SELECT *, {_QUIET} OR NOT coalesce(bool_or(cand AND fresh) OVER (PARTITION BY attacker_ip, alert_type ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS clear FROM ranked",
     "alerts": "SELECT alert_id, attacker_ip, session_id, alert_type, severity, timestamp, description, CASE substr(alert_id, 36, 1) WHEN '0' THEN 'acknowledged' WHEN '1' THEN 'closed' ELSE 'open' END AS status FROM passed WHERE cand AND clear",
+    "existing": "SELECT alert_id, attacker_ip, alert_type, timestamp, CASE WHEN substr(alert_id, 36, 1) IN ('2', '3') THEN 'open' ELSE 'closed' END AS status FROM identified WHERE substr(alert_id, 36, 1) IN ('2', '3', '4', '5')",
+    "retried": f"SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY {_ORDER}) = 1 AND alert_id NOT IN (SELECT alert_id FROM existing) AS cand, NOT {_QUIET} AND {secs(f"'{NOW}'")} - {secs('timestamp')} < {COOLDOWN_MINUTES * 60} AS fresh FROM identified",
+    "cooled": f"""SELECT *, {_QUIET} OR NOT (coalesce(bool_or(cand AND fresh) OVER (PARTITION BY attacker_ip, alert_type ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+      OR (attacker_ip, alert_type) IN (SELECT (attacker_ip, alert_type) FROM existing WHERE status = 'open' AND {secs(f"'{NOW}'")} - {secs('timestamp')} < {COOLDOWN_MINUTES * 60})) AS clear FROM retried""",
+    "created": "SELECT alert_id, attacker_ip, session_id, alert_type, severity, timestamp, description, 'open' AS status FROM cooled WHERE cand AND clear",
     "summary": "SELECT attacker_ip, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS event_count, count(DISTINCT session_id) AS session_count, count(DISTINCT node_id) AS node_count, count(*) FILTER (WHERE event_type = 'login_attempt') AS login_attempts, "
     "count(*) FILTER (WHERE event_type = 'login_success') AS login_successes, count(*) FILTER (WHERE event_type = 'command') AS command_count, count(*) FILTER (WHERE event_type = 'file_download') AS download_count FROM ev WHERE attacker_ip IS NOT NULL GROUP BY 1",
     "sessions": f"""SELECT session_id, arg_min(node_id, seq) AS node_id, arg_min(attacker_ip, seq) FILTER (WHERE attacker_ip IS NOT NULL) AS attacker_ip, arg_min(protocol, seq) FILTER (WHERE protocol IS NOT NULL) AS protocol,

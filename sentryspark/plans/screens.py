@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sentryspark.config import DEFAULT, Config
 from sentryspark.functions.scalar import COMMAND_PATTERNS, seconds, stamp_of
 from sentryspark.operators import feed, ingest, rollups, rules, search
+from sentryspark.sources.tables import stored
 
 Frames = dict[str, DataFrame]
 #: Seconds of the windows that a reader may choose; `all` has none.
@@ -78,13 +79,13 @@ def nodes_screen(t, now: str, since: str) -> Frames:
 
 def map_screen(t, since: str, sensors: dict[str, tuple[float, float]], config: Config = DEFAULT) -> Frames:
     """Origins and arcs of a window, and how many drawable events lie outside it."""
-    origins = rollups.attack_origins(t.events, t.reputation, since, config.map_origins)
+    origins = rollups.map_marks(rollups.attack_origins(t.events, t.reputation, since, config.map_origins + 1), config.map_origins)
     paths = rollups.attack_paths(t.events, t.reputation, since, config.map_paths)
     nodes = t.nodes if "location" in t.nodes.columns else t.nodes.withColumn("location", F.lit(None).cast("string"))
     placed = rollups.placed_nodes(nodes, sensors)
     whole, part = (rollups.attack_extent(t.events, t.reputation, x).select(F.col("events").alias(n)) for x, n in ((None, "whole"), (since, "part")))
     outside = whole.crossJoin(F.broadcast(part)).select(F.greatest(F.lit(0).cast("long"), F.col("whole") - F.col("part")).alias("outside_window"))  # one row each
-    return {"origins": origins, "arcs": rollups.map_arcs(paths, origins, placed), "totals": rollups.map_totals(paths), "unplaced": placed.where("latitude is null").select("node_id"), "outside": outside}
+    return {"origins": origins, "arcs": rollups.map_arcs(paths, origins, placed), "totals": rollups.map_totals(paths), "unknown": rollups.unknown_nodes(paths, nodes), "unplaced": placed.where("latitude is null").select("node_id"), "outside": outside}
 
 
 def feed_preview(t, now: str, config: Config = DEFAULT, **filters) -> Frames:
@@ -103,8 +104,8 @@ def cycle(t, since: str, now: str, path: str, config: Config = DEFAULT) -> Frame
     """One pass: nodes and sessions that went stale, new alerts, and the feed written below path."""
     nodes = ingest.with_stale_nodes_offline(t.nodes, now, config)
     sessions = ingest.closed_stale_sessions(t.sessions, t.events, now, config)
-    findings = rules.evaluated(t.events, t.reputation, since, config)
-    fresh = rules.new_alerts(findings, now, t.alerts, config)
+    findings = stored(rules.evaluated(t.events, t.reputation, since, config), "findings")
+    fresh = stored(rules.new_alerts(findings, now, t.alerts, config), "new-alerts")
     alerts = t.alerts.unionByName(fresh)
     feed.write_feed(feed.indicators(t.events, alerts, t.reputation, config=config), feed.feed_alerts(alerts, t.reputation, config=config), path, now, config)
     return {"nodes": nodes, "sessions": sessions, "alerts": fresh, "summary": rules.pass_summary(findings, fresh)}

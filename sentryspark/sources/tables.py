@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sentryspark.schema import TABLES
 
@@ -42,6 +42,13 @@ def read_lines(spark: SparkSession, path: str, since: str | None = None) -> Data
     return lines.where(F.coalesce((stamp >= since) | ~stamp.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.lit(True)))
 
 
+def file_order(lines: DataFrame, live: str) -> DataFrame:
+    """lines with `age`, the place of their file among those of a rotated log, oldest first: by what follows the name `live`, which comes last itself."""
+    suffix = F.ltrim(F.substring_index("file", "/", -1).substr(F.lit(len(live) + 1), F.lit(1 << 20)), F.lit("."))
+    files = lines.select("file").distinct().withColumn("age", F.row_number().over(Window.orderBy(suffix == "", suffix, "file")))  # a row for each file
+    return lines.join(F.broadcast(files), "file")
+
+
 def parsed_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """lines with `valid`: whether the line is a JSON object. strict fails at the first that isn't."""
     valid = F.coalesce(F.try_parse_json("line").isNotNull() & F.trim("line").startswith("{"), F.lit(False))
@@ -50,14 +57,33 @@ def parsed_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     return lines.withColumn("valid", valid)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the one set by setCheckpointDir.
+
+    Neither being set is an error on a cluster; a local master gets a folder below the warehouse, as everything is on one machine.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/shared-{uuid.uuid4().hex}")
+    return spark.sparkContext.getCheckpointDir()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; in a new local one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{where}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Live ingest and live rollups with Structured Streaming.
 
-Delivery is at least once: batches write to a folder of their own, which a retry overwrites, and an event that any
-earlier batch accepted is a duplicate. Rollups over the log are recomputed or windowed; the fold of sessions is never cut by a watermark.
+Delivery is at least once: batches write to a folder of their own, which a retry overwrites, and an event that an
+earlier batch accepted is a duplicate, within a horizon. Rollups over the log are recomputed or windowed; the fold of sessions is never cut by a watermark.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sentryspark.config import DEFAULT, Config
-from sentryspark.functions.scalar import seconds
+from sentryspark.functions.scalar import seconds, stamp_of
 from sentryspark.operators.ingest import normalized, outcomes, validated
 from sentryspark.operators.rules import evaluated, new_alerts
 from sentryspark.schema import ALERTS, EVENTS
+from sentryspark.sources.tables import new_folder, removed
 
 #: Sequence numbers that a batch may use.
 BATCH_SPAN = 1 << 40
+#: Days before a batch's earliest event within which a stored event with the same id makes one a duplicate.
+HORIZON_DAYS = 30
 
 
 def _stored(spark: SparkSession, path: str, schema: StructType, part: str, before: int | None) -> DataFrame:
@@ -41,26 +44,34 @@ def stored_events(spark: SparkSession, out: str, before: int | None = None) -> D
     return _stored(spark, f"{out}/events", EVENTS, "batch", before)
 
 
-def ingested(batch: DataFrame, batch_id: int, out: str, received_at, horizon: str | None = None, config: Config = DEFAULT) -> None:
+def ingested(batch: DataFrame, batch_id: int, out: str, received_at, horizon_days: int | None = HORIZON_DAYS, config: Config = DEFAULT) -> None:
     """Add a batch of lines (column `value`) to the log below out: valid new events to events, others with their reasons to rejected.
 
-    horizon: a time before which stored events aren't looked at for duplicates; none looks at all.
+    Duplicates are looked for among stored events from horizon_days before the batch's earliest event on, so that the cost of a batch doesn't
+    grow with the log; None looks at all of it.
     """
     spark = batch.sparkSession
     lines = batch.select(F.col("value").alias("line"), (F.lit(batch_id * BATCH_SPAN) + F.monotonically_increasing_id()).alias("seq"), received_at.alias("received_at"))
-    checked = validated(lines, config)
-    history = stored_events(spark, out, before=batch_id)
-    history = history if horizon is None else history.where(F.col("timestamp") >= horizon)
-    fresh = outcomes(normalized(checked), history).where("outcome = 'accepted'").drop("outcome")
+    path = new_folder(spark, "ingest-checked")
+    validated(lines, config).write.parquet(path)
+    checked = spark.read.parquet(path)
+    rows, history = normalized(checked), stored_events(spark, out, before=batch_id)
+    if horizon_days is not None:
+        first = rows.agg(stamp_of(F.min(seconds(F.col("timestamp"))) - 86400 * horizon_days).alias("first")).first()["first"]
+        history = history.where(F.col("timestamp") >= F.lit(first))
+    fresh = outcomes(rows, history).where("outcome = 'accepted'").drop("outcome")
     fresh.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
-    checked.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+    checked.where(F.size("errors") > 0).drop("event").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+    removed(spark, path)
 
 
-def ingest(spark: SparkSession, source: str, out: str, checkpoint: str, received_at=None, trigger: dict | None = None, files: int = 100, config: Config = DEFAULT) -> StreamingQuery:
+def ingest(
+    spark: SparkSession, source: str, out: str, checkpoint: str, received_at=None, trigger: dict | None = None, files: int = 100, horizon_days: int | None = HORIZON_DAYS, config: Config = DEFAULT,
+) -> StreamingQuery:
     """Start ingesting JSON lines that land in folder `source`; by default all that is there, then stop."""
     stream = spark.readStream.option("maxFilesPerTrigger", files).text(source)
     arrival = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if received_at is None else received_at
-    step = lambda batch, number: ingested(batch, number, out, arrival, config=config)
+    step = lambda batch, number: ingested(batch, number, out, arrival, horizon_days, config)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

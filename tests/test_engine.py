@@ -1,5 +1,6 @@
 """Validation, folds, cooldown, mappers, feed and streaming on hand-built rows."""
 
+import gzip
 import json
 import random
 import re
@@ -62,6 +63,16 @@ def test_reasons(spark):
     assert [len(r["errors"]) for r in ingest.validated(strict, profile="collector").collect()] == [1, 1, 0]
 
 
+def test_details_are_canonical(spark):
+    odd = [
+        {"username": "é", "password": "x"}, {"username": 'a":,\\"b, c: d', "password": None}, {"username": "\x1b[0m\x0b\n\\u001B", "password": "\\\\\x1f"}, {"username": [{"b": 1, "a": [1.5, True]}, {}], "password": 3},
+        {"username": "\\n," * 5000, "password": "," * 20_000},
+    ]
+    lines = spark.createDataFrame([(k, json.dumps(GOOD | {"details": d}, ensure_ascii=k % 2 == 0), "now") for k, d in enumerate(odd)], "seq int, line string, received_at string")
+    found = {r["seq"]: r["details"] for r in ingest.normalized(ingest.validated(lines)).collect()}
+    assert found == {k: json.dumps(d, ensure_ascii=False, sort_keys=True) for k, d in enumerate(odd)}
+
+
 def test_batches_and_lines(spark, tmp_path):
     rows = [("a", "node-01", json.dumps(GOOD))] * 21 + [("b", "node-02", json.dumps(GOOD)), ("c", "node-01", json.dumps(GOOD))]
     found = ingest.batch_rejections(spark.createDataFrame(rows, "batch_id string, header_node string, line string")).collect()
@@ -70,6 +81,12 @@ def test_batches_and_lines(spark, tmp_path):
     lines = tables.read_lines(spark, str(tmp_path))
     assert [r["valid"] for r in tables.parsed_lines(lines).orderBy("line").collect()] == [False, True, True]
     assert tables.read_lines(spark, str(tmp_path), since="2026-01-01T00:00:00Z").count() == 2
+    for name in ("log.json", "log.json.2026-08-07", "log.json.2026-08-06.gz"):
+        (tmp_path / "rotated").mkdir(exist_ok=True)
+        body = f'{{"from": "{name}"}}'.encode()
+        (tmp_path / "rotated" / name).write_bytes(gzip.compress(body) if name.endswith("gz") else body)
+    ordered = tables.file_order(tables.read_lines(spark, str(tmp_path / "rotated")), "log.json").orderBy("age").collect()
+    assert [json.loads(r["line"])["from"] for r in ordered] == ["log.json.2026-08-06.gz", "log.json.2026-08-07", "log.json"]
     with pytest.raises(Exception, match="not a JSON object"):
         tables.parsed_lines(lines, strict=True).collect()
     described = {r["name"]: (r["readable"], len(r["missing"])) for r in tables.describe(spark, {"events": "/root/testdata/sf0.001/events.parquet", "alerts": str(tmp_path / "none")}).collect()}
@@ -142,9 +159,9 @@ def test_cooldown_equals_a_loop(spark):
 def test_command_patterns_equal_python(spark):
     commands = ["rm -rf /", "rm -fr /tmp", "RM -RF / ", "history -c", "> .bash_history", "dd if=/dev/zero of=x", "wget x", "curl -O x", "curl x | sh", "curl x", "tftp", "busybox  wget", "cat < /dev/tcp/1/2", "nc -e sh", "chmod +x a", "chmod 0777 a", "chmod 644", "echo | base64 -d", "python3 -e x", "x|bash", "crontab -l", "authorized_keys", "passwd", "chattr", "id", "cat /proc/cpuinfo", "cat /etc/shadow", "free -m", "nmap", "apk  install x", "", "ls", "ſystemctl enable", "İD", "line\nwget"]
     rows = spark.createDataFrame([(k, c) for k, c in enumerate(commands)], "k int, c string")
-    severity, label = scalar.classified(F.col("c"))
-    found = {r["k"]: r["label"] for r in rows.select("k", label.alias("label")).collect()}
-    expected = {k: next((name for p, _, name in scalar.COMMAND_PATTERNS if re.search(p, c, re.IGNORECASE)), None) for k, c in enumerate(commands)}
+    severity, label = scalar.classified(F.col("place"))
+    found = {r["k"]: (r["severity"], r["label"]) for r in rows.select("k", scalar.once(scalar.first_pattern(F.col("c"))).alias("place")).select("k", severity.alias("severity"), label.alias("label")).collect()}
+    expected = {k: next(((level, name) for p, level, name in scalar.COMMAND_PATTERNS if re.search(p, c, re.IGNORECASE)), (None, None)) for k, c in enumerate(commands)}
     assert found == expected
 
 
@@ -256,6 +273,10 @@ def test_feed_sinks(spark, tmp_path):
     assert document["feed"]["counts"] == {"indicators": 2, "alerts": 2} and document["indicators"][0]["confidence"] == 95 and document["indicators"][0]["scores"]["sources"] == ["one", "two"]
     out = feed.write_feed(flat, alerts, str(tmp_path / "feed"), _stamp(100))
     stix = [json.loads(r["value"]) for r in spark.read.text(out["stix"]).collect()]
+    bundle = json.loads(feed.bundle_document(flat, _stamp(100)).first()["json"])
+    assert bundle["type"] == "bundle" and bundle["id"].startswith("bundle--") and [x["type"] for x in bundle["objects"]] == ["identity", "indicator", "indicator"]
+    with pytest.raises(Exception, match="too many"):
+        feed.feed_document(flat, alerts, _stamp(100), most=1).collect()
     patterns = {x["pattern"] for x in stix if x["type"] == "indicator"}
     assert patterns == {"[ipv4-addr:value = '1.2.3.4']", "[ipv6-addr:value = '2001:db8::1']"} and sum(x["type"] == "identity" for x in stix) == 1
     csv = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(out["alerts_csv"])
