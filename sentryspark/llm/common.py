@@ -1,12 +1,13 @@
-"""What the training-data operators share: the shared folder, stored tables, size-checked broadcasts and joins that deal out hot keys."""
+"""What the training-data operators share: stored tables, size-checked broadcasts and joins that deal out hot keys."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentryspark.sources.tables import new_folder as new_path
+from sentryspark.sources.tables import removed, stored
+
 #: Bytes up to which a stored table may be broadcast: its rows, counted, times the bytes that one takes in memory.
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 160
@@ -16,37 +17,7 @@ HOT_KEYS = 100_000
 #: Parts that rows without a key are dealt into.
 NULL_PARTS = 1 << 14
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the one set by setCheckpointDir.
-
-    Neither being set is an error on a cluster; a local master gets a new folder below the warehouse, as everything is on one machine.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/shared-{uuid.uuid4().hex}")
-    return spark.sparkContext.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate data that nothing reads any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["discarded", "fits", "fresh", "hot", "joined", "load", "new_path", "removed", "sized", "stored"]
 
 
 def discarded(*tables: DataFrame) -> None:
