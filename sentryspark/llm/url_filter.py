@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.llm.common import sized, stored
+from sentryspark.llm.common import fits, joined, stored
 
 DAMPING = 0.85
 #: Steps of the SQL and of propagated() unless it is told otherwise; the query goes on until the masses have converged.
@@ -86,16 +86,24 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, ste
     """
     forward = edges.select(F.col("src").alias("host"), F.lit("trust").alias("kind"), F.col("dst").alias("to"), "n")
     backward = edges.select(F.col("dst").alias("host"), F.lit("distrust").alias("kind"), F.col("src").alias("to"), "n")
-    ways = forward.unionByName(backward)
-    totals = ways.groupBy("host", "kind").agg(F.sum("n").alias("total"))
-    ways = stored(ways.join(totals, ["host", "kind"]).select("host", "kind", "to", (damping * F.col("n") / F.col("total")).alias("share")), "url-ways")
-    start = seeds.select("host", "kind", ((1 - damping) * F.col("mass")).alias("mass"))
-    if not ways.limit(1).count():
+    both, key = forward.unionByName(backward), ["host", "kind"]
+    totals = stored(both.groupBy(*key).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n")), "url-totals")
+    start = seeds.select(*key, ((1 - damping) * F.col("mass")).alias("mass"))
+    hosts = totals.count()
+    if not hosts:
         return start
+    small, n_ways = fits(hosts), 2 * edges.count()
+
+    def along(rows: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows of ways, of which a hub has many, with what right has for their host."""
+        return rows.join(F.broadcast(right), key) if small else joined(rows, right, key, "to", totals.select(*key, "n"), n_ways, "inner")
+
+    ways = stored(along(both, totals.select(*key, "total")).select(*key, "to", (damping * F.col("n") / F.col("total")).alias("share")), "url-ways")
 
     def step(mass: DataFrame) -> DataFrame:
-        moved = mass.join(ways, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("mass") * F.col("share")).alias("mass"))
-        return start.unionByName(moved).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
+        here = mass.join(totals.select(*key), key, "left_semi")
+        moved = along(ways, here).select(F.col("to").alias("host"), "kind", (F.col("mass") * F.col("share")).alias("mass"))
+        return start.unionByName(moved).groupBy(*key).agg(F.sum("mass").alias("mass"))
 
     def moves(now: DataFrame, before: DataFrame, apart) -> bool:
         both = now.join(before.withColumnRenamed("mass", "was"), ["host", "kind"], "full")
@@ -117,6 +125,15 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, ste
     return now
 
 
+def normalised(mass: DataFrame) -> DataFrame:
+    """Masses (host, kind, mass) as shares of their kind: so a trusted side with many pages doesn't outvote distrust.
+
+    Of propagated masses these are the personalised PageRank whose walks, where they end, begin again at the seeds.
+    """
+    whole = mass.groupBy("kind").agg(F.sum("mass").alias("whole"))
+    return mass.join(F.broadcast(whole), "kind").select("host", "kind", (F.col("mass") / F.col("whole")).alias("mass"))  # two rows
+
+
 def judged(
     pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", body_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, steps: int | None = None,
 ) -> DataFrame:
@@ -133,11 +150,16 @@ def judged(
     edges = stored(host_edges(rows, "_body"), "url-edges")
     kind = F.when(F.col("_by_rule") == "allow", F.lit("trust")).otherwise(F.lit("distrust"))
     seeds = rows.where("_by_rule is not null and _host <> ''").groupBy(F.col("_host").alias("host"), kind.alias("kind")).agg(F.count(F.lit(1)).cast("double").alias("mass"))
-    mass = propagated(edges, stored(seeds, "url-seeds"), damping, steps)
+    mass = normalised(propagated(edges, normalised(stored(seeds, "url-seeds")), damping, steps))
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0))
     scores = mass.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
     bad = stored(scores.where(F.col("distrust") > threshold * (1 + EPSILON) * (F.col("trust") + F.col("distrust"))).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "url-blocked")
-    out = rows.drop("_body").join(sized(bad), "_host", "left")
+    rows = rows.drop("_body")
+    if fits(bad.count()):
+        out = rows.join(F.broadcast(bad), "_host", "left")
+    else:
+        sizes = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("n"))
+        out = joined(rows, bad, "_host", "_url", sizes, pages.count())
     verdict = F.coalesce("_by_rule", F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"))
 
@@ -161,13 +183,15 @@ l AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, '')
 e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND src <> dst GROUP BY ALL),
 w0 AS (SELECT src AS host, 'trust' AS kind, dst AS nxt, n FROM e UNION ALL SELECT dst, 'distrust', src, n FROM e),
 w AS (SELECT host, kind, nxt, {DAMPING} * n / sum(n) OVER (PARTITION BY host, kind) AS share FROM w0),
-s AS (SELECT host, CASE by_rule WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, count(*)::DOUBLE AS mass FROM j WHERE by_rule IS NOT NULL AND host <> '' GROUP BY ALL),
+s0 AS (SELECT host, CASE by_rule WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, count(*)::DOUBLE AS mass FROM j WHERE by_rule IS NOT NULL AND host <> '' GROUP BY ALL),
+s AS (SELECT host, kind, mass / sum(mass) OVER (PARTITION BY kind) AS mass FROM s0),
 m0 AS (SELECT * FROM s)"""
     for k in range(1, STEPS + 1):
         sql += f""",
 m{k} AS (SELECT host, kind, sum(mass) AS mass FROM (SELECT host, kind, (1 - {DAMPING}) * mass AS mass FROM s UNION ALL SELECT nxt, m.kind, mass * share FROM m{k - 1} m JOIN w ON w.host = m.host AND w.kind = m.kind) GROUP BY ALL)"""
     return sql + f""",
-b AS (SELECT host FROM m{STEPS} GROUP BY host HAVING coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) > {THRESHOLD} * sum(mass) + {EPSILON})
+f AS (SELECT host, kind, mass / sum(mass) OVER (PARTITION BY kind) AS mass FROM m{STEPS}),
+b AS (SELECT host FROM f GROUP BY host HAVING coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) > {THRESHOLD} * sum(mass) + {EPSILON})
 SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM j LEFT JOIN b ON j.host = b.host"""
 
 

@@ -63,6 +63,25 @@ def test_converged_masses_equal_a_solved_system(spark):
     assert round(found["a", "trust"], 2) == 0.54 and ("h11", "distrust") in found
 
 
+def test_large_side_does_not_outvote(spark):
+    rules = [Rule("good.com", "/", "allow"), Rule("bad.net", "/x/", "block")]
+    link = "<a href='http://{}/'>x</a>".format
+    rows = [(k, f"http://good.com/{k}", link("mixed.org") + link("fine.org")) for k in range(200)] + [(1000, "http://bad.net/x/1", ""), (1001, "http://mixed.org/", link("bad.net")), (1002, "http://fine.org/", "")]
+    found = {k: v[3] for k, v in verdicts(spark, rows, rules).items()}
+    assert found[1001] == "block" and found[1002] == "allow"
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    from sentryspark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    edges = [("hub", f"h{k}", k + 1) for k in range(30)] + [(f"h{k}", "end", 1) for k in range(30)]
+    found = propagated(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("hub", "trust", 1.0)], "host string, kind string, mass double"), steps=2).collect()
+    mass = {r["host"]: r["mass"] for r in found}
+    assert abs(mass["end"] - 0.85**2) < 1e-9 and all(abs(mass[f"h{k}"] - 0.85 * 0.15 * (k + 1) / 465) < 1e-9 for k in range(30))
+
+
 def test_distrust_goes_down_a_long_chain(spark):
     n = 150
     rows = [(0, "http://bad.net/x/1", ""), (1, "http://h1.org/", "<a href='http://bad.net/'>"), *((k, f"http://h{k}.org/", f"<a href='http://h{k - 1}.org/'>") for k in range(2, n)), (n, "http://other.org/", "")]
