@@ -30,6 +30,8 @@ from sentryspark.llm.common import stored
 #: Cells of the trigram table, and labelled rows of each language that the model is fitted on, about.
 FEATURES = 1 << 15
 TRAIN_ROWS = 2000
+#: Languages that a model may have: it then has 26 MB, and its tables of counts have 13 million rows at most.
+MAX_LANGUAGES = 200
 #: Log-probability units that a switch of language costs, and the share of a language's letters that makes a script its own.
 PENALTY = 8.0
 SCRIPT_SHARE = 0.01
@@ -59,7 +61,7 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: 1 + its script's place in SCRIPT_NAMES, or 0 if it is no letter; and its lower-case form."""
     script, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
     starts, kinds = np.array([at for _, at in SCRIPTS]), [SCRIPT_NAMES.index(name) + 1 for name, _ in SCRIPTS]
-    for i in [*range(0x41, 0xD800), *range(0xF900, 0x18000), *range(0x1B000, 0x1B300), *range(0x1D400, 0x1F000), *range(0x20000, 0x33480)]:
+    for i in range(0x41, 0x110000):
         c = chr(i)
         if unicodedata.category(c)[0] == "L":
             script[i] = kinds[int(np.searchsorted(starts, i, "right")) - 1]
@@ -258,18 +260,20 @@ def _cut(drawn: DataFrame, halves: list[Model]) -> float:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Fit on about `rows` rows of each language, drawn by a hash of their ids; null texts and languages are left out.
 
-    What reaches the driver: a count for each language, the model's table by halves of the rows, and a histogram of fits.
+    What reaches the driver: a count for each language, the model's table by halves of the rows, and a histogram of fits. More than
+    MAX_LANGUAGES languages raise ValueError. An empty table gives a model without languages.
     """
     own = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    languages = sorted(counts)
+    counts = own.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    languages = [r["lang"] for r in counts]
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((len(SCRIPT_NAMES) + 1, 0), bool), np.zeros(0))
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, rows / counts[name]))).otherwise(share)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in counts], "lang string, share double")
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    drawn = stored(own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang", half), "lang-rows")
+    chosen = own.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    drawn = stored(chosen.select("text", "lang", half), "lang-rows")
     table = drawn.mapInArrow(_counted(languages), "kind int, half int, lang int, cell int, n long").groupBy("kind", "half", "lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     grams = np.zeros((2, FEATURES, len(languages)))
     scripts = np.zeros((2, len(SCRIPT_NAMES) + 1, len(languages)))
@@ -342,7 +346,8 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     lang_pred is `und`, with score 0, for null texts, texts without letters, or a model without
     languages. The score is the share of the text's letters in words that the best path gives to
     lang_pred and whose script that language was seen with. Ties go to the first language in
-    order. Rows are judged one by one; only the two columns named are read. No shuffle.
+    order. Rows are judged one by one; only the two columns named are read. No shuffle. Very long texts are worked on in
+    slices and have one path; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
