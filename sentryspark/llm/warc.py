@@ -7,8 +7,11 @@ writer ends a row with a separator; it is the zero byte with which a gzip member
 16 MB of text ends anyway, so it is taken off the archive first. After a longer last record the zero is
 padding, which gzip readers skip.
 
-Reading: a file is one row; a task walks through it from its start, inflates one member after
-another in chunks, frames the record by its content length and verifies block and payload digests.
+Every archive begins with a warcinfo record.
+
+Reading: a file is one row; a task walks through it from its start, CHUNK bytes at a time. While a member is inflated, its
+record is framed by its content length, and block and payload digests are verified; only the block of one record is held. The
+file itself is held, too, as Spark reads it as one value, so it may have as many bytes as a task's memory allows, and less than 2 GB.
 """
 
 from __future__ import annotations
@@ -16,14 +19,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.llm.common import new_path, sized, stored
+from sentryspark.llm.common import fits, joined, new_path, stored
 
 ARCHIVE_BYTES = 16 << 20
 CHUNK = 1 << 16
@@ -62,39 +67,92 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The text of each gzip member of an archive, inflated chunk by chunk; zero padding between members is skipped."""
-    at, end = 0, len(data)
-    while at < end:
-        if data[at] == 0:
-            at += 1
-            continue
-        inflater, parts = zlib.decompressobj(31), []
-        while not inflater.eof:
-            if at >= end:
-                raise ValueError("the archive ends within a record")
-            chunk = data[at : at + CHUNK]
-            parts.append(inflater.decompress(chunk))
-            at += len(chunk) - len(inflater.unused_data)
-        yield b"".join(parts)
+def info(first: bytes) -> bytes:
+    """The warcinfo record of an archive, named after its first member, so that a repeated task writes the same."""
+    block = b"software: sentryspark\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, hashlib.sha256(first).hexdigest())
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {_DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+class Framer:
+    """One record, fed with inflated bytes as they come: its headers, then as many bytes of block as its content length says, then its end."""
+
+    END = b"\r\n\r\n"
+
+    def __init__(self):
+        self.headers: dict[str, str] | None = None
+        self._head, self.block, self._tail = bytearray(), bytearray(), b""
+        self._size, self._sha = 0, hashlib.sha1()
+
+    def feed(self, data: bytes) -> None:
+        if self.headers is None:
+            seen = max(0, len(self._head) - 3)
+            self._head += data
+            at = self._head.find(self.END, seen)
+            if at < 0:
+                if not b"WARC/".startswith(bytes(self._head[:5])):
+                    raise ValueError("not a WARC record")
+                return
+            first, *lines = bytes(self._head[:at]).decode("utf-8", "replace").split("\r\n")
+            if not first.startswith("WARC/"):
+                raise ValueError("not a WARC record")
+            self.headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            self._size = int(self.headers["content-length"])
+            data = bytes(self._head[at + 4 :])
+            self._head = bytearray()
+        part = data[: self._size - len(self.block)]
+        self.block += part
+        self._sha.update(part)
+        self._tail += data[len(part) :]
+        if len(self._tail) > 4:
+            raise ValueError(f"the record's length isn't {self._size}")
+
+    @property
+    def payload(self) -> bytes | None:
+        """What the block carries: of a response what follows its HTTP head, of a resource or conversion all of it."""
+        kind = (self.headers or {}).get("warc-type")
+        return bytes(self.block).partition(self.END)[2] if kind == "response" else bytes(self.block) if kind in ("resource", "conversion") else None
+
+    def close(self) -> None:
+        """Raises ValueError if the frame or a digest doesn't hold."""
+        if self.headers is None:
+            raise ValueError("not a WARC record")
+        if len(self.block) != self._size or self._tail != self.END:
+            raise ValueError(f"the record's length isn't {self._size}")
+        if (said := self.headers.get("warc-block-digest", "")).startswith("sha1:") and said != f"sha1:{base64.b32encode(self._sha.digest()).decode()}":
+            raise ValueError("the block's digest differs")
+        payload = self.payload
+        if payload is not None and (said := self.headers.get("warc-payload-digest", "")).startswith("sha1:") and said != f"sha1:{sha1_base32(payload)}":
+            raise ValueError("the payload's digest differs")
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record, framed by its content length; raises ValueError if frame or digests don't hold."""
-    head, found, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    if not found or not first.startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    size = int(headers["content-length"])
-    block, tail = rest[:size], rest[size:]
-    if len(block) != size or tail != b"\r\n\r\n":
-        raise ValueError(f"the record's length isn't {size}")
-    if (said := headers.get("warc-block-digest")) and said != f"sha1:{sha1_base32(block)}":
-        raise ValueError("the block's digest differs")
-    if headers.get("warc-type") == "response" and (said := headers.get("warc-payload-digest")) and said != f"sha1:{sha1_base32(block.partition(b'\r\n\r\n')[2])}":
-        raise ValueError("the payload's digest differs")
-    return headers, block
+    """Headers and block of one record; raises ValueError or KeyError if frame or digests don't hold."""
+    framer = Framer()
+    framer.feed(data)
+    framer.close()
+    return framer.headers, bytes(framer.block)
+
+
+def records(stream: BinaryIO) -> Iterator[Framer]:
+    """The records of an archive in order, a gzip member each, read and inflated CHUNK bytes at a time; zero padding between members is skipped."""
+    rest = b""
+    while True:
+        rest = rest.lstrip(b"\0")
+        if not rest:
+            if not (rest := stream.read(CHUNK)):
+                return
+            continue
+        inflater, framer = zlib.decompressobj(31), Framer()
+        while not inflater.eof:
+            if not rest and not (rest := stream.read(CHUNK)):
+                raise ValueError("the archive ends within a record")
+            framer.feed(inflater.decompress(rest, CHUNK))
+            rest = inflater.unconsumed_tail
+        rest = inflater.unused_data
+        framer.close()
+        yield framer
 
 
 def _number(value: str | None) -> int | None:
@@ -106,7 +164,7 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        archive = b"".join(held)
+        archive = b"".join([member(info(held[0])), *held])
         return pa.record_batch([pa.array([archive[:-1] if archive.endswith(b"\0") else archive], pa.binary())], ["archive"])
 
     for batch in batches:
@@ -127,30 +185,40 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least min_bytes bytes, those with the largest id are
     responses and the others revisit it; null bodies are empty payloads. Rows repeating id and
     payload are all responses, as are rows with a null id in a group that has no other id. An empty table
-    makes one empty archive; other columns are not read.
+    makes no record; other columns are not read. Record ids are those of pages, so they repeat where page ids do. Very long bodies make one record each.
     """
     own = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[body_col], F.lit("")).alias("html"))
     large = F.octet_length("html") >= min_bytes
-    groups = own.where(large).groupBy(F.sha1("html").alias("digest")).agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
+    groups = own.where(large).groupBy(F.sha1("html").alias("digest")).agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null")
     keyed = own.withColumn("digest", F.when(large, F.sha1("html")))
-    joined = keyed.join(sized(stored(groups, "warc-groups")), "digest", "left")
-    joined = joined.withColumn("refers_to", F.when(~F.col("keeper").eqNullSafe(F.col("id")), F.col("keeper")))
-    archives = joined.select("id", "url", "html", "refers_to").mapInArrow(_written, "archive binary")
+    named = stored(groups, "warc-groups")
+    if fits(named.count()):
+        found = keyed.join(F.broadcast(named.select("digest", "keeper")), "digest", "left")
+    else:
+        found = joined(keyed, named.select("digest", "keeper"), "digest", "id", named.select("digest", "n"), own.count())
+    found = found.withColumn("refers_to", F.when(~F.col("keeper").eqNullSafe(F.col("id")), F.col("keeper")))
+    archives = found.select("id", "url", "html", "refers_to").mapInArrow(_written, "archive binary")
+    # the bytes pass through the text writer as they are
     archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
+def _row(found: Framer) -> tuple:
+    headers, payload = found.headers, found.payload
+    said = re.search(rb"(?i)\r\ncontent-length: *(\d+)", bytes(found.block).partition(Framer.END)[0]) if headers.get("warc-type") == "revisit" else None
+    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or (None if payload is None else sha1_base32(payload))
+    size = len(payload) if payload is not None else int(said[1]) if said else None
+    return _number(headers.get("warc-record-id")), headers.get("warc-type"), headers.get("warc-target-uri"), _number(headers.get("warc-refers-to")), digest, size, payload
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "record_type", "url", "refers_to", "payload_digest", "payload_bytes", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     for batch in batches:
         for content in batch.column("content"):
             rows, size = [], 0
-            for data in members(content.as_py()):
-                headers, block = parse(data)
-                http, _, payload = block.partition(b"\r\n\r\n")
-                length = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-                rows.append((_number(headers["warc-record-id"]), headers["warc-type"], headers["warc-target-uri"], _number(headers.get("warc-refers-to")), headers["warc-payload-digest"].removeprefix("sha1:"), length, payload if headers["warc-type"] == "response" else None))
-                size += len(payload)
+            for found in records(pa.BufferReader(content.as_buffer())):
+                rows.append(_row(found))
+                size += len(found.block)
                 if size > ARCHIVE_BYTES:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, size = [], 0
@@ -159,7 +227,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """The records of all archives below path: page_id, record_type, url, refers_to, payload_digest, payload_bytes, payload (null for revisits)."""
+    """The records of all archives below path: page_id, record_type, url, refers_to, payload_digest, payload_bytes, payload.
+
+    Records of any type are rows; what a record lacks is null: page_id and refers_to unless ids are those that write_archives gives, payload unless it is
+    a response, resource or conversion. Absent digests are computed. A damaged record fails the job.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, record_type string, url string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
@@ -167,7 +239,7 @@ def read_archives(spark, path: str) -> DataFrame:
 def warc_query(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path).where("record_type in ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB has no base32; the digest's 20 bytes are spelled in groups of 5 bits.
