@@ -7,8 +7,8 @@ hash of each of 2^c bins, bins being hash prefixes of c bits. A shared shingle i
 in the document with a probability of at least 0.78, whatever the sizes are. An item's minima for
 all classes are one short list: a shingle that is the minimum of its bin stays so in all finer
 ones, so each carries the first class from which it counts. Documents and items that agree in
-enough bins are candidates; these are then verified on the exact shingles. The smallest items
-form a class of their own, whose shingles are all looked up.
+enough bins are candidates; these are then verified on the exact shingles. Of the smallest items, all
+shingles count. The corpus is shingled once for all items.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.llm.common import sized, stored
+from sentryspark.llm.common import fresh, sized, stored
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-#: Items of up to so many shingles are looked up by all shingles of the documents: the few minima shared with them could be missed.
+#: Items of up to so many shingles are hit by any shingle of a document: the few minima shared with them could be missed.
 SMALL_ITEM = 8
 #: What parts two words, after lower-casing.
 GAPS = r"[^\p{L}\p{N}]+"
@@ -61,11 +61,11 @@ def item_minima(items: DataFrame, n_words: int) -> DataFrame:
 
 
 def document_minima(docs: DataFrame, n_words: int) -> DataFrame:
-    """(doc_id, class, hash): the minimal hash of each bin of each document."""
+    """(doc_id, class, hash, least): the shingles of each document, and whether one is the minimal hash of its bin."""
     own = _shingles(docs, _hash, n_words)
     own = own.withColumn("class", (F.ceil(F.log2(F.size("set"))) + 1).cast("int"))
-    least = F.expr("filter(set, (x, i) -> i = 0 or shiftrightunsigned(x, 64 - class) <> shiftrightunsigned(get(set, i - 1), 64 - class))")
-    return own.select(F.col("id").alias("doc_id"), "class", F.explode(least).alias("hash"))
+    marked = F.expr("transform(set, (x, i) -> struct(x as hash, i = 0 or shiftrightunsigned(x, 64 - class) <> shiftrightunsigned(get(set, i - 1), 64 - class) as least))")
+    return own.select(F.col("id").alias("doc_id"), "class", F.explode(marked).alias("one")).select("doc_id", "class", "one.hash", "one.least")
 
 
 def contaminated(
@@ -77,35 +77,34 @@ def contaminated(
     Words are runs of letters and digits, lower-cased. Null and empty texts have no shingles and
     match nothing; an item of fewer words than a shingle matches documents of just these words.
     Rows repeating an id are one document or item, with the shingles of all its rows; rows with a null id are
-    left out, as they can't be named. Only the columns named are read.
+    left out, as they can't be named. Only the columns named are read. Empty tables give no rows. Very long texts are shingled whole, as one row.
     """
     own = docs.select(docs[id_col].cast("long").alias("id"), words(docs[text_col]).alias("w")).where("id is not null")
     wanted = stored(items.select(items[item_id_col].cast("long").alias("id"), words(items[item_text_col]).alias("w")).where("id is not null"), "items")
     minima = stored(item_minima(wanted, n_words), "item-minima")
     known = minima.count()
-    hits = document_minima(own, n_words).join(sized(minima, known), "hash").where(F.col("class") >= F.col("first_class")).select("doc_id", "item_id", "hash", "n_item")
-    small = stored(minima.where(F.col("n_item") <= SMALL_ITEM).select("item_id", "hash", "n_item"), "small-items")
-    if small.limit(1).count():
-        every = _shingles(own, _hash, n_words).select(F.col("id").alias("doc_id"), F.explode("set").alias("hash"))
-        hits = hits.unionByName(every.join(sized(small), "hash").select("doc_id", "item_id", "hash", "n_item"))
+    counts = (F.col("least") & (F.col("class") >= F.col("first_class"))) | (F.col("n_item") <= SMALL_ITEM)
+    hits = document_minima(own, n_words).join(sized(minima, known, 64), "hash").where(counts).select("doc_id", "item_id", "hash", "n_item")
     enough = F.greatest(F.lit(1), F.floor(F.col("n_item") / 5) - 1)
     pairs = stored(hits.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n"), F.min("n_item").alias("n_item")).where(F.col("n") >= enough).select("doc_id", "item_id"), "leak-pairs")
     suspects = stored(pairs.select(F.col("doc_id").alias("id")).distinct(), "leak-suspects")
 
     exact = stored(_shingles(wanted, _string, n_words).select(F.col("id").alias("item_id"), F.explode("set").alias("shingle")).distinct(), "item-shingles")
+    longest = exact.agg(F.coalesce(F.max(F.octet_length("shingle")), F.lit(0))).first()[0]
     sizes = exact.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(sized(suspects), "id", "left_semi")
     theirs = _shingles(texts.select("id", words(F.col("text")).alias("w")), _string, n_words).select(F.col("id").alias("doc_id"), F.explode("set").alias("shingle"))
-    shared = theirs.join(sized(exact, known), "shingle").groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
+    shared = theirs.join(sized(exact, known, 64 + longest), "shingle").groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
     found = shared.join(sized(pairs), ["doc_id", "item_id"], "left_semi").join(sized(stored(sizes, "item-sizes")), "item_id")
     share = F.col("n_shared") / F.col("n_item")
     return found.where(share >= containment).select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), "n_shared", "n_item", share.alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no item; rows with a null id stay."""
-    leaks = stored(contaminated(docs, items, id_col).select(id_col).distinct(), "leaks")
-    return docs.join(sized(leaks), id_col, "left_anti")
+    """The rows of docs that hold no item, with all their columns, whatever these are called; rows with a null id stay."""
+    name = fresh(docs, "leaking")
+    leaks = stored(contaminated(docs, items, id_col).select(F.col(id_col).alias(name)).distinct(), "leaks")
+    return docs.join(sized(leaks, width=64), docs[id_col].cast("long") == leaks[name], "left_anti")
 
 
 def decontamination_query(spark, sf_dir: str) -> DataFrame:
