@@ -5,7 +5,8 @@ follow the last token of the prefix before it only if the two, joined and tokeni
 out as the same two. So the table (last token, count) for prefix i follows from those of shorter
 prefixes, and each prefix gets its exact count in one pass. Pieces never cross from a letter to a
 following space mark, so a text's table is that of its units (space marks and what follows)
-laid end to end; units repeat, and their tables are kept in a bounded cache on each worker.
+laid end to end; units repeat, and their tables are kept in a bounded cache on each worker. A table answers how much of a text fits a
+budget; that need not be where the text reaches it, as a further character can also merge tokens.
 """
 
 from __future__ import annotations
@@ -166,9 +167,12 @@ class PrefixTable:
         return [0, *flat[1:]]
 
     def truncate(self, budget: int) -> int:
-        """Characters of the longest prefix with at most `budget` tokens."""
-        counts = self.all()
-        return max(i for i, n in enumerate(counts) if n <= max(0, budget))
+        """Characters of the longest prefix with at most `budget` tokens: a search over units, then a look at one of them or two."""
+        for k in range(bisect_right(self.befores, budget - 1) - 1, -1, -1):
+            fit = [i for i, n in enumerate(self.tables[k]) if self.befores[k] + n <= budget]
+            if fit:
+                return self.starts[k] + fit[-1]  # the dummy mark takes the first place
+        return 0
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -184,7 +188,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """One row for each row of docs: id_col, n_bytes, n_tokens, and fits: for each of budgets, the characters of the longest prefix within it.
 
     Null and empty texts have 0 bytes and tokens. Rows are judged one by one, so repeats, ties and
-    null ids stay as they are; only the two columns named are read. No shuffle.
+    null ids stay as they are; only the two columns named are read. An empty table gives no rows. No shuffle. Very long texts are counted whole;
+    their table of prefixes, which is only built if the text is over a budget, has a number for each unit beside the tables that units share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +200,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 text = value.as_py() or ""
                 sizes.append(len(text.encode()))
                 tokens.append(own.count(text))
-                table = own.prefixes(text) if budgets else None
-                fits.append([table.truncate(x) for x in budgets] if table else [])
+                table = own.prefixes(text) if any(x < tokens[-1] for x in budgets) else None
+                fits.append([table.truncate(x) if table and x < tokens[-1] else len(text) for x in budgets])
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.list_(pa.int64()))], ["id", "n_bytes", "n_tokens", "fits"])
 
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, fits array<long>").withColumnRenamed("id", id_col)
@@ -205,5 +210,5 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 def token_counts_query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    out = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), budgets=(LIMIT,))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), F.get("fits", F.lit(0)).alias("chars_in_limit"))
