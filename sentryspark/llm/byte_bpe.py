@@ -179,23 +179,28 @@ def round_trips(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """One row for each row of docs: id_col, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes decoded from these ids), then the columns of keep.
 
     Null texts count as empty: no tokens. Rows are judged one by one, so repeats and null ids stay as they are.
+    An empty table gives no rows; very long texts are encoded whole. Columns of keep may have any names but those of the result.
     cache is the number of pre-tokens that a worker keeps.
     """
-    own = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), *keep)
-    kinds = ", ".join(f"`{x}` {own.schema[x].dataType.simpleString()}" for x in keep)
+    made = ("n_tokens", "ids_sha256", "decoded_sha256")
+    if clash := sorted({id_col, *made} & set(keep)):
+        raise ValueError(f"the result has its own {', '.join(clash)}")
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *(docs[x].alias(f"kept{k}") for k, x in enumerate(keep)))
+    kinds = ", ".join(f"kept{k} {own.schema[f'kept{k}'].dataType.simpleString()}" for k in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, cache)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for value in batch.column("_text"):
+            for value in batch.column("text"):
                 ids = own.encode(value.as_py() or "")
                 counts.append(len(ids))
                 ids_sha.append(sha256(own.joined(ids).encode()).hexdigest())
                 text_sha.append(sha256(own.decode(ids)).hexdigest())
-            yield pa.record_batch([batch.column("_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *(batch.column(x) for x in keep)], ["_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
+            yield pa.record_batch([batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *batch.columns[2:]], ["id", *made, *batch.schema.names[2:]])
 
-    return own.mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (kinds and ", " + kinds)).withColumnRenamed("_id", id_col)
+    out = own.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (kinds and ", " + kinds))
+    return out.toDF(id_col, *made, *keep)
 
 
 def byte_bpe_query(spark, sf_dir: str) -> DataFrame:
