@@ -140,6 +140,35 @@ def test_byte_bpe_is_the_library(docs):
     assert bytes(byte_bpe.decoded(ids, path, P.PATTERN).first()["bytes"]) == TEXTS[10].encode()
 
 
+@pytest.mark.parametrize("name", ["exact", "line", "bpe", "counts", "packing", "language", "leaks"])
+def test_empty_tables_and_very_long_texts(spark, name):
+    from sentryspark.llm import decontamination, language_id
+
+    bpe, pieces = P.path("byte_bpe_50k.tiktoken"), P.path("piece_bpe_32k.model")
+    model = language_id.fit(spark.createDataFrame([(k, "word other", "en") for k in range(4)], "doc_id long, text string, lang string"))
+    items = spark.createDataFrame([(1, "a rare line of seven words indeed here")], "item_id long, text string")
+    run = {
+        "exact": exact_dedup.exact_duplicates, "line": line_dedup.without_repeated_lines, "bpe": lambda d: byte_bpe.round_trips(d, bpe, P.PATTERN), "counts": lambda d: token_counts.token_counts(d, pieces, budgets=(10,)),
+        "packing": lambda d: packing.packed(d, bpe, P.PATTERN, 50256, row_tokens=1 << 16), "language": lambda d: language_id.identified(d, model), "leaks": lambda d: decontamination.contaminated(d, items),
+    }[name]
+    kind = "doc_id long, text string"
+    assert run(spark.createDataFrame([], kind)).count() == 0
+    long = "word other\n" * 180_000 + "a rare line of seven words indeed here\n"
+    found = run(spark.createDataFrame([(1, long), (2, long), (3, long), (4, None)], kind)).collect()
+    expected = {"packing": None, "leaks": 3}.get(name, 4)
+    assert expected is None or len(found) == expected
+    if name == "line":
+        assert {r["doc_id"]: r["n_dropped"] for r in found} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", 7, "x")], "doc_id long, text string, id int, kept0 string")
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert byte_bpe.round_trips(docs, path, P.PATTERN, keep=("id", "kept0")).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "id", "kept0"]
+    with pytest.raises(ValueError, match="doc_id"):
+        byte_bpe.round_trips(docs, path, P.PATTERN, keep=("doc_id",))
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(5000)]
     table = byte_bpe.MinimalPerfectHash(keys)

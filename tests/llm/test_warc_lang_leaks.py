@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -20,7 +21,7 @@ def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a/", "x"), (2, "http://b/ c\nd", "x"), (3, None, None), (4, "http://d/", ""), (5, "u", "é日😀" * 1000), (6, "u", "WARC/1.1\r\n\r\n"), (None, "u", "x"), (7, "u", "y"), (7, "u", "y"), (8, "u", "\r\n\r\n\x00\x00")]
     frame = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, digest string, id string").repartition(3)
     warc.write_archives(frame, str(tmp_path / "w"))
-    found = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    found = warc.read_archives(spark, str(tmp_path / "w")).where("record_type <> 'warcinfo'").collect()
     sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     expected = []
     for num, _, html in pages:
@@ -31,11 +32,48 @@ def test_archives_round_trip(spark, tmp_path):
     assert {r["url"] for r in found if r["page_id"] == 2} == {"http://b/%20c%0Ad"} and {r["url"] for r in found if r["page_id"] == 3} == {"about:blank"}
 
 
-def test_empty_table_and_rotation(spark, tmp_path, monkeypatch):
+def test_empty_table(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
-    data = warc.member(warc.record(1, "u", b"abc")) + b"\0\0" + warc.member(warc.record(2, "u", b"", 1))
-    assert [warc.parse(x)[0]["warc-type"] for x in warc.members(data)] == ["response", "revisit"]
+
+
+def test_hot_payload_without_broadcast(spark, tmp_path, monkeypatch):
+    from sentryspark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    frame = spark.createDataFrame([(k, "u", "same" if k % 3 else f"own {k}") for k in range(60)], "page_id long, url string, html string")
+    warc.write_archives(frame, str(tmp_path / "w"))
+    found = {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, str(tmp_path / "w")).where("page_id is not null").collect()}
+    assert found == {k: 59 if k % 3 and k != 59 else None for k in range(60)}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_foreign_records_read_piece_by_piece(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+
+    def record(kind, block, *lines):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    rows = [
+        record("warcinfo", b"software: other\r\n"), record("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a/"), record("response", b"HTTP/1.1 200 OK\r\n\r\nbody\r\n\r\nmore", "WARC-Target-URI: http://a/", "WARC-Record-ID: <urn:uuid:1>"),
+        record("resource", b"plain"), record("metadata", b""), record("response", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 3_000_000 if chunk > 7 else b"no head"),
+    ]
+    data = b"\0\0".join(map(warc.member, rows)) + b"\0"
+    found = [warc._row(x) for x in warc.records(io.BytesIO(data))]
+    assert [r[1] for r in found] == ["warcinfo", "request", "response", "resource", "metadata", "response"]
+    assert [r[6] for r in found[:5]] == [None, None, b"body\r\n\r\nmore", b"plain", None] and found[2][4] == warc.sha1_base32(b"body\r\n\r\nmore") and found[2][5] == 12
+    assert found[0][2] is None and found[2][2] == "http://a/" and found[2][0] is None
+    for bad in (data[:-3], data + b"\x1f\x8b", data + b"junk"):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(io.BytesIO(bad)))
+    (tmp_path / "x.warc").write_bytes(data)
+    assert warc.read_archives(spark, str(tmp_path / "x.warc")).count() == 6
+
+
+def test_archives_begin_with_their_description(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert [r["record_type"] for r in warc.read_archives(spark, str(tmp_path / "w")).collect()] == ["warcinfo", "response"]
 
 
 def test_damage_is_noticed():
@@ -45,7 +83,7 @@ def test_damage_is_noticed():
             warc.parse(bad)
     whole = warc.member(good)
     with pytest.raises((ValueError, zlib.error)):
-        list(warc.members(whole[:-9]))
+        list(warc.records(io.BytesIO(whole[:-9])))
 
 
 # -- language ID ------------------------------------------------------------
@@ -58,6 +96,29 @@ def test_held_out_accuracy(spark):
     assert n > 100 and right / n > 0.97 and 0 <= worst <= best <= 1
 
 
+def test_accuracy_of_each_language_and_of_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    from pyspark.sql import functions as F
+
+    model = language_id.fitted_on(docs)
+    rows = docs.where(language_id.held_out()).select("doc_id", "lang", "text", F.substring("text", 1, 60).alias("head")).collect()
+    for what, least in (("text", 0.93), ("head", 0.8)):
+        predicted = language_id.labelled_texts(model, [r[what] or "" for r in rows])[0]
+        for lang in model.languages:
+            own = [p == lang for p, r in zip(predicted, rows, strict=True) if r["lang"] == lang and p != "und"]
+            assert len(own) > 10 and sum(own) / len(own) > least, (what, lang)
+
+
+def test_letters_of_every_plane(spark):
+    model = language_id.fit(spark.createDataFrame([(k, "the of and", "en") for k in range(4)], "doc_id long, text string, lang string"))
+    odd = ["".join(map(chr, range(at, at + 20))) for at in (0x17000, 0x18B00, 0x1BC00, 0x1E900, 0x31350)]  # Tangut, Khitan, Duployan, Adlam, Han
+    assert language_id.labelled_texts(model, odd)[0] == ["en"] * 5
+    assert not any((language_id.letters()[0][ord(c)] > 0) != c.isalpha() for c in map(chr, [*range(0x41, 0xD800), *range(0xE000, 0x40000, 3)]))
+    many = spark.createDataFrame([(k, "the", f"l{k}") for k in range(language_id.MAX_LANGUAGES + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(many)
+
+
 def test_best_path_equals_plain_viterbi():
     rng = np.random.default_rng(2)
     lengths = np.array([0, 1, 63, 64, 65, 200, 0, 7])
@@ -153,9 +214,26 @@ def test_containment_equals_brute_force(spark):
     frame = spark.createDataFrame(doc_rows, "doc_id long, text string, item_id string, hash int")
     kept = decontamination.without_leaks(frame, spark.createDataFrame(item_rows, "item_id long, text string, doc_id string"))
     assert kept.columns == frame.columns
+    clashing = frame.withColumn("leaking", frame["hash"])
+    assert decontamination.without_leaks(clashing, spark.createDataFrame(item_rows, "item_id long, text string, doc_id string")).columns == clashing.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in doc_rows if r[0] not in {e[0] for e in expected})
 
 
+def test_recall_just_above_the_threshold(spark):
+    """Items of 9 to 30 shingles, of which a long document holds 80 to 85 percent."""
+    rng, rows, items = random.Random(21), [], []
+    say = lambda n: [f"w{rng.randrange(40_000)}" for _ in range(n)]
+    for k in range(300):
+        item = say(rng.randint(9, 30) + 4)
+        n = len(item) - 4
+        cut = n - -(-n * 8 // 10)  # shingles that may be lost
+        part = item[: len(item) - cut] if k % 2 else item[cut:]
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join(say(rng.randint(50, 1500)) + part + say(rng.randint(50, 1500)))))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k) for k in range(300)}
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = "doc_id long, text string", "item_id long, text string"
     some = spark.createDataFrame([(1, "a b c d e f")], docs)
