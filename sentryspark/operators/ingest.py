@@ -41,15 +41,13 @@ def _reason(condition: Column, text: Column | str) -> Column:
 def parsed(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """lines with `event`: what is in them, each line being parsed once.
 
-    event has the top-level `keys` (null for what is no JSON object), the seven scalar FIELDS as strings, the object `inner` of details as a
-    map (null for what is none), the `kind` of details, and `details` in canonical form: keys in order at every depth, a space after commas and colons.
+    event has the top-level `keys` (null for what is no JSON object), the seven scalar FIELDS as strings, `details` as it came, and
+    `inner`, the same as a map of strings (null for what is no object).
     """
     rows = lines.withColumn("event", once(F.try_parse_json(F.col(line_col))))
-    whole = F.try_variant_get("event", "$", "map<string,variant>")
-    rows = rows.withColumn("event", once(F.struct(F.map_keys(whole).alias("keys"), *(F.try_variant_get("event", f"$.{x}", "string").alias(x) for x in FIELDS[:-1]), F.try_variant_get("event", "$.details", "variant").alias("details"))))
-    details = F.col("event.details")
-    kind = F.when(F.is_variant_null(details), "VOID").otherwise(F.regexp_replace(F.schema_of_variant(details), "<.*", ""))
-    return rows.withColumn("event", once(F.struct("event.keys", *(f"event.{x}" for x in FIELDS[:-1]), F.try_variant_get(details, "$", "map<string,string>").alias("inner"), kind.alias("kind"), spaced_json(F.to_json(details)).alias("details"))))
+    get = lambda path, kind: F.try_variant_get("event", path, kind)
+    fields = [get(f"$.{x}", "string").alias(x) for x in FIELDS[:-1]]
+    return rows.withColumn("event", once(F.struct(F.map_keys(get("$", "map<string,variant>")).alias("keys"), *fields, get("$.details", "variant").alias("details"), get("$.details", "map<string,string>").alias("inner"))))
 
 
 def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storage", line_col: str = "line") -> DataFrame:
@@ -63,7 +61,7 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
         raise ValueError(f"unknown profile {profile}")
     get = lambda name: F.col(f"event.{name}")
     missing = F.array_except(_array(FIELDS), get("keys"))
-    unknown = F.array_sort(F.array_except(get("keys"), _array(FIELDS)))
+    unknown = F.sort_array(F.array_except(get("keys"), _array(FIELDS)))
     kind, beat, strict = get("event_type"), get("event_type") == "heartbeat", profile != "storage"
 
     shape = F.array_compact(F.concat(
@@ -86,11 +84,11 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
     reasons.append(_reason(~get("protocol").isin("", *PROTOCOLS), F.format_string("protocol '%s' is not an allowed one", get("protocol"))))
     if strict:
         reasons.append(_reason(~beat & get("attacker_ip").isNotNull() & ~is_usable(get("attacker_ip")), "attacker_ip must be an address"))
-    inner, whole, void = get("inner"), get("inner").isNotNull(), get("kind") == "VOID"
+    inner, whole, void = get("inner"), get("inner").isNotNull(), F.is_variant_null(get("details"))
     reasons.append(_reason(void, "details must be an object, never null"))
-    reasons.append(_reason(~whole & ~void, F.concat(F.lit("details must be a JSON object, not "), F.lower(get("kind")))))
+    reasons.append(_reason(~whole & ~void, F.concat(F.lit("details must be a JSON object, not "), F.lower(F.regexp_replace(F.schema_of_variant(get("details")), "<.*", "")))))
     allowed = F.create_map(*(x for k, v in DETAILS.items() for x in (F.lit(k), _array(v[0]))))
-    extra = F.array_sort(F.array_except(F.map_keys(inner), F.element_at(allowed, kind)))
+    extra = F.sort_array(F.array_except(F.map_keys(inner), F.element_at(allowed, kind)))
     reasons.append(_reason(whole & (F.size(extra) > 0), F.concat(F.lit("details key(s) not allowed for '"), kind, F.lit("': "), F.array_join(extra, ", "))))
     value = lambda x: F.element_at(inner, F.lit(x))
     blank = lambda x: F.coalesce((F.trim(value(x)) if strict else value(x)) == "", F.lit(True))
@@ -106,7 +104,7 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
         .when(~F.coalesce(kind.isin(*EVENT_TYPES), F.lit(False)), F.array(F.concat(F.lit("event_type '"), F.coalesce(kind, F.lit("null")), F.lit("' is not an allowed type"))))
         .otherwise(F.array_compact(F.array(*reasons)))
     )
-    return parsed(lines, line_col).withColumn("errors", once(errors))
+    return parsed(lines, line_col).withColumn("errors", errors)
 
 
 def problem_counts(checked: DataFrame, limit: int | None = None) -> DataFrame:
@@ -124,10 +122,14 @@ def batch_rejections(batches: DataFrame, most: int = 20) -> DataFrame:
 
 
 def normalized(checked: DataFrame) -> DataFrame:
-    """Valid lines as rows of the events table, from validated() ones with the columns seq and received_at. details is canonical JSON text."""
+    """Valid lines as rows of the events table, from validated() ones with the columns seq and received_at.
+
+    details is JSON text in canonical form: keys in order at every depth, a space after commas and colons.
+    """
     get = lambda name: F.col(f"event.{name}").alias(name)
-    return checked.where(F.size("errors") == 0).select(
-        "seq", get("event_id"), get("node_id"), get("session_id"), get("event_type"), truncated(F.col("event.timestamp")).alias("timestamp"), get("attacker_ip"), get("protocol"), get("details"), "received_at",
+    rows = checked.where(F.size("errors") == 0).withColumn("text", once(F.to_json("event.details")))
+    return rows.select(
+        "seq", get("event_id"), get("node_id"), get("session_id"), get("event_type"), truncated(F.col("event.timestamp")).alias("timestamp"), get("attacker_ip"), get("protocol"), spaced_json(F.col("text")).alias("details"), "received_at",
     )
 
 
