@@ -60,12 +60,15 @@ def item_minima(items: DataFrame, n_words: int) -> DataFrame:
     return at.select(F.col("id").alias("item_id"), "hash", first.cast("int").alias("first_class"), "n_item")
 
 
-def document_minima(docs: DataFrame, n_words: int) -> DataFrame:
-    """(doc_id, class, hash, least): the shingles of each document, and whether one is the minimal hash of its bin."""
+def document_minima(docs: DataFrame, n_words: int, others: bool = False) -> DataFrame:
+    """(doc_id, class, hash, least): the minimal hash of each bin of each document; with `others`, all hashes, and whether they are minimal."""
     own = _shingles(docs, _hash, n_words)
     own = own.withColumn("class", (F.ceil(F.log2(F.size("set"))) + 1).cast("int"))
-    marked = F.expr("transform(set, (x, i) -> struct(x as hash, i = 0 or shiftrightunsigned(x, 64 - class) <> shiftrightunsigned(get(set, i - 1), 64 - class) as least))")
-    return own.select(F.col("id").alias("doc_id"), "class", F.explode(marked).alias("one")).select("doc_id", "class", "one.hash", "one.least")
+    least = "i = 0 or shiftrightunsigned(x, 64 - class) <> shiftrightunsigned(get(set, i - 1), 64 - class)"
+    if others:
+        marked = own.select(F.col("id").alias("doc_id"), "class", F.explode(F.expr(f"transform(set, (x, i) -> struct(x as hash, {least} as least))")).alias("one"))
+        return marked.select("doc_id", "class", "one.hash", "one.least")
+    return own.select(F.col("id").alias("doc_id"), "class", F.explode(F.expr(f"filter(set, (x, i) -> {least})")).alias("hash"), F.lit(True).alias("least"))
 
 
 def contaminated(
@@ -83,8 +86,9 @@ def contaminated(
     wanted = stored(items.select(items[item_id_col].cast("long").alias("id"), words(items[item_text_col]).alias("w")).where("id is not null"), "items")
     minima = stored(item_minima(wanted, n_words), "item-minima")
     known = minima.count()
+    small = minima.where(F.col("n_item") <= SMALL_ITEM).limit(1).count() > 0
     counts = (F.col("least") & (F.col("class") >= F.col("first_class"))) | (F.col("n_item") <= SMALL_ITEM)
-    hits = document_minima(own, n_words).join(sized(minima, known, 64), "hash").where(counts).select("doc_id", "item_id", "hash", "n_item")
+    hits = document_minima(own, n_words, small).join(sized(minima, known, 64), "hash").where(counts).select("doc_id", "item_id", "hash", "n_item")
     enough = F.greatest(F.lit(1), F.floor(F.col("n_item") / 5) - 1)
     pairs = stored(hits.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n"), F.min("n_item").alias("n_item")).where(F.col("n") >= enough).select("doc_id", "item_id"), "leak-pairs")
     suspects = stored(pairs.select(F.col("doc_id").alias("id")).distinct(), "leak-suspects")
