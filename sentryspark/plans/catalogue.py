@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentryspark.config import ID_NAMESPACE, Config
+from sentryspark.config import DEFAULT, ID_NAMESPACE, Config
 from sentryspark.functions.scalar import COMMAND_PATTERNS, field, percent, profile_score, projected, score_band, stamp_of
 from sentryspark.operators import feed, ingest, mappers, rollups, rules, search
 from sentryspark.plans import duck, screens
@@ -417,6 +417,48 @@ add("map_service_log", _service, f"""
       CASE part WHEN 2 THEN 'USER ' || {_USER} WHEN 3 THEN 'PASS ***REDACTED***' END AS command FROM ev, {_PARTS} WHERE ev.event_type = 'login_attempt' AND protocol IN ('ftp', 'smb')""")
 
 
+# -- composite reads, part by part ------------------------------------------------
+
+_SENSORS = {"node-01": (52.5, 13.4), "node-02": (-33.9, 151.2)}
+_SESSION = f"(SELECT min(session_id) FROM sessions WHERE attacker_ip = '{IP}')"
+
+
+def _first_session(t: Tables) -> str:
+    return t.sessions.where(F.col("attacker_ip") == IP).agg(F.min("session_id")).first()[0]
+
+
+def _arcs(t: Tables) -> DataFrame:
+    rows = screens.map_screen(t, SINCE, _SENSORS)["arcs"]
+    return rows.select("attacker_ip", "node_id", "events", "last_seen", *(F.round(F.col(c) * 10).cast("long").alias(c) for c in ("origin_x", "origin_y", "sensor_x", "sensor_y")))
+
+
+def _at(latitude: str, longitude: str, end: str) -> str:
+    return f"round(round_even(({longitude} + 180.0) / 360.0 * 1000.0, 1) * 10)::BIGINT AS {end}_x, round(round_even((84.0 - greatest(-60.0, least(84.0, {latitude}))) / 144.0 * 400.0, 1) * 10)::BIGINT AS {end}_y"
+
+
+add("screen_overview_alerts", lambda t: screens.overview(t, NOW, HOUR, DAY)["alerts"], "SELECT a.*, country, city, abuse_score, profile_score, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS severity_rank FROM alerts a LEFT JOIN rep USING (attacker_ip) WHERE status = 'open' ORDER BY timestamp DESC, alert_id LIMIT 8")
+add("screen_overview_activity", lambda t: screens.overview(t, NOW, HOUR, DAY)["activity"])
+ORACLES["screen_overview_activity"] = ORACLES["activity_gapfilled"].replace("TIMESTAMP '2024-01-23'", "TIMESTAMP '2024-01-30'").replace(f">= '{SINCE}'", f">= '{DAY}'")
+add("screen_attackers", lambda t: screens.attacker_list(t, {"min_score": 30}, "events", 1, 25)["rows"], "SELECT * FROM attackers WHERE risk_score >= 30 ORDER BY event_count DESC, attacker_ip LIMIT 25")
+add("screen_profile", lambda t: screens.attacker_profile(t, IP, "")["summary"], f"SELECT * FROM attackers WHERE attacker_ip = '{IP}'")
+add("screen_profile_sessions", lambda t: screens.attacker_profile(t, IP, "")["sessions"], f"SELECT * FROM session_rows WHERE attacker_ip = '{IP}' ORDER BY start_time DESC, session_id LIMIT 25")
+add("screen_session", lambda t: screens.session_detail(t, _first_session(t))["session"], f"SELECT * FROM session_rows WHERE session_id = {_SESSION}")
+add("screen_session_counts", lambda t: screens.session_detail(t, _first_session(t))["counts"], f"SELECT session_id, count(*) FILTER (WHERE event_type = 'login_attempt') AS failed_logins, count(*) FILTER (WHERE event_type = 'login_success') AS successes, count(*) FILTER (WHERE event_type = 'command') AS commands, count(*) FILTER (WHERE event_type = 'file_download') AS downloads FROM ev WHERE session_id = {_SESSION} GROUP BY 1")
+add("screen_alerts", lambda t: screens.alerts_screen(t, {"status": "open"}, "type", 2, 20)["rows"], "SELECT a.*, country, city, abuse_score, profile_score, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS severity_rank FROM alerts a LEFT JOIN rep USING (attacker_ip) WHERE status = 'open' ORDER BY alert_type, timestamp DESC, alert_id LIMIT 20 OFFSET 20")
+add("screen_node_hours", lambda t: screens.nodes_screen(t, NOW, DAY)["hours"], f"SELECT node_id, substr(timestamp, 1, 13) AS bucket, count(*) AS n FROM ev WHERE timestamp >= '{DAY}' GROUP BY 1, 2")
+add("screen_node_peak", lambda t: screens.nodes_screen(t, NOW, DAY)["peak"], f"SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM ev WHERE timestamp >= '{DAY}' GROUP BY node_id, substr(timestamp, 1, 13))")
+add("screen_map_arcs", _arcs, f"""
+    SELECT p.attacker_ip, p.node_id, p.events, p.last_seen, {_at("o.latitude", "o.longitude", "origin")}, {_at("s.latitude", "s.longitude", "sensor")}
+    FROM (SELECT * FROM ({_PATHS.replace("LIMIT 400", f"LIMIT {DEFAULT.map_paths}")})) p JOIN (SELECT * FROM ({_ORIGINS}) ORDER BY events DESC, attacker_ip LIMIT {DEFAULT.map_origins}) o USING (attacker_ip)
+    JOIN (VALUES {", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in _SENSORS.items())}) s(node_id, latitude, longitude) USING (node_id)""")
+add("screen_map_outside", lambda t: screens.map_screen(t, SINCE, _SENSORS)["outside"], f"SELECT greatest(0, (SELECT count(*) {_PLACED.replace(SINCE, '')}) - (SELECT count(*) {_PLACED})) AS outside_window")
+add("screen_feed_preview", lambda t: screens.feed_preview(t, NOW, min_confidence=80)["indicators"].select("attacker_ip", "confidence", "alert_count"), "SELECT attacker_ip, confidence, alert_count FROM indicators WHERE confidence >= 80")
+add("screen_statistics", lambda t: screens.statistics(t, HOUR, DAY)["credentials"], f"SELECT {_USER} AS username, count(*) AS attempts, count(DISTINCT attacker_ip) AS distinct_ips FROM ev WHERE {_LOGINS} AND {_USER} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+add("screen_cycle_sessions", lambda t: screens.cycle(t, SINCE, NOW, tables.new_folder(t.spark, "feed"))["sessions"], None)
+ORACLES["screen_cycle_sessions"] = ORACLES["stale_session_close"].replace("2024-01-30T12:00:00Z", NOW)
+add("screen_dossier", lambda t: screens.dossier(t, IP, NOW)["csv"].drop("reputation_latitude", "reputation_longitude"), f"SELECT s.*, country AS reputation_country, city AS reputation_city, abuse_score AS reputation_abuse_score, source AS reputation_source, profile_score AS reputation_profile_score, last_updated AS reputation_last_updated FROM summary s LEFT JOIN rep USING (attacker_ip) WHERE s.attacker_ip = '{IP}'")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, build=build: build(Tables(spark, sf_dir))) for name, build in BUILDS.items()}
 
