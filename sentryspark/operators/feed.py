@@ -140,6 +140,7 @@ def stix_objects(flat: DataFrame, now: str, config: Config = DEFAULT) -> DataFra
     identity = F.concat(F.lit("identity--"), uuid5(F.lit(config.feed_producer)))
     moment = stix_time(F.lit(now))
     n = lambda c: F.col(c).cast("string")
+    # fixed values: the wording of descriptions
     text = F.concat(F.concat_ws(
         ". ",
         F.concat(F.lit("Observed on "), n("node_count"), F.lit(" honeypot sensor(s)")), F.concat(n("session_count"), F.lit(" session(s)")), F.concat(n("login_attempts"), F.lit(" login attempt(s)")),

@@ -64,6 +64,7 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
     unknown = F.sort_array(F.array_except(get("keys"), _array(FIELDS)))
     kind, beat, strict = get("event_type"), get("event_type") == "heartbeat", profile != "storage"
 
+    # fixed values: the wording of reasons
     shape = F.array_compact(F.concat(
         F.transform(missing, lambda x: F.format_string("missing top-level field '%s' (use null, do not omit)", x)),
         F.array(_reason(F.size(unknown) > 0, F.concat(F.lit("unexpected top-level field(s): "), F.array_join(unknown, ", ")))),

@@ -44,6 +44,9 @@ def address_counters(events: DataFrame, since: str) -> DataFrame:
     )
 
 
+# The wording of descriptions, here and in the rules below.
+
+
 def _brute_force(config: Config) -> tuple:
     text = F.format_string(f"%d failed login attempts from %s across %d node(s) within {config.window_minutes} minutes", "attempts", "attacker_ip", "tried_nodes")
     level = F.when(F.col("attempts") >= 4 * config.brute_force, "high").otherwise("medium")

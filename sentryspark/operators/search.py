@@ -151,7 +151,10 @@ def transcript_counts(events: DataFrame) -> DataFrame:
 
 
 def adjacent_sessions(sessions: DataFrame) -> DataFrame:
-    """(session_id, prev, next, position, sessions) among those of the same address, newest first."""
+    """(session_id, prev, next, position, sessions) among those of the same address, newest first.
+
+    An address's sessions are ordered in one task, which sorts them on disk where they don't fit: only ids, times and addresses are read.
+    """
     rows = sessions.where("attacker_ip is not null")
     line = Window.partitionBy("attacker_ip").orderBy(F.desc("start_time"), "session_id")
     return rows.select("session_id", "attacker_ip", F.lag("session_id").over(line).alias("prev"), F.lead("session_id").over(line).alias("next"), F.row_number().over(line).cast("long").alias("position"), F.count(F.lit(1)).over(Window.partitionBy("attacker_ip")).alias("sessions"))
