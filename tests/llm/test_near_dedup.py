@@ -60,7 +60,7 @@ def test_blocks_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(common, "HOT_ROWS", 3)
     texts = family(random.Random(3), 80, 16)
-    docs = dict(enumerate(texts + texts[:1] * 20 + texts[5:6] * 3))
+    docs = dict(enumerate(texts + texts[:1] * 20 + texts[5:6] * 3 + ["", None] * 3))
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(frame, n_words=2).collect()}
     assert found == brute(docs, 2)
