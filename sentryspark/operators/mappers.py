@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentryspark.config import URL_NAMESPACE
-from sentryspark.functions.scalar import is_usable, uuid5
+from sentryspark.functions.scalar import is_usable, once, uuid5
 
 REDACTED = "***REDACTED***"
 #: Fixed values of the shell sensor's log.
@@ -36,10 +36,19 @@ END_ORIGIN = "dionaea.connection.free"
 _ENVELOPE = "array<struct<event_type:string,details:string>>"
 
 
+#: What is read of a service sensor's line, and of the connection that an incident is about; nested values come as text.
+_SERVICE = "origin string, timestamp string, src_ip string, src_port string, dst_ip string, dst_port string, connection struct<type:string,protocol:string>, data string, credentials string, ftp struct<commands:string>"
+_LINK = "struct<id:string,protocol:string,remote_ip:string,remote_port:string,local_ip:string,local_port:string>"
+
+
 def _get(path: str, line: str | Column = "line") -> Column:
     return F.get_json_object(line, f"$.{path}")
 
 
+def _value(key: str, of: str) -> Column:
+    return F.element_at(F.col(of), F.lit(key))
+
+
 def _mapped(values: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
 
@@ -70,20 +79,22 @@ def rendered(verb: Column, arguments: Column) -> Column:
 
 def shell_events(lines: DataFrame, node_id: str, protocol: str = "ssh", prefix_session: bool = False) -> DataFrame:
     """Events of a shell sensor's lines; prefix_session puts the node before session ids, which several sensors may share otherwise."""
-    kind = _mapped(SHELL_TYPES, _get("eventid"))
+    get = lambda key: _value(key, "own")
+    kind = F.col("_kind")
     details = (
-        F.when(kind == "login_attempt", _details(username=_get("username"), password=_get("password")))
-        .when(kind == "login_success", _details(username=_get("username")))
-        .when(kind == "command", _details(command=_get("input")))
-        .when(kind == "file_download", _details(download_url=_get("url"), file_hash=_get("shasum"), file_name=_get("outfile")))
-        .when(kind == "session_end", _details(status=F.lit("closed"), duration_seconds=_get("duration").try_cast("double")))
-        .when(kind == "connection", _details(destination_ip=_get("dst_ip"), destination_port=_get("dst_port").try_cast("int"), source_port=_get("src_port").try_cast("int")))
+        F.when(kind == "login_attempt", _details(username=get("username"), password=get("password")))
+        .when(kind == "login_success", _details(username=get("username")))
+        .when(kind == "command", _details(command=get("input")))
+        .when(kind == "file_download", _details(download_url=get("url"), file_hash=get("shasum"), file_name=get("outfile")))
+        .when(kind == "session_end", _details(status=F.lit("closed"), duration_seconds=get("duration").try_cast("double")))
+        .when(kind == "connection", _details(destination_ip=get("dst_ip"), destination_port=get("dst_port").try_cast("int"), source_port=get("src_port").try_cast("int")))
     )
-    session = F.concat(F.lit(f"{node_id}:"), _get("session")) if prefix_session else _get("session")
-    rows = lines.withColumn("_kind", kind).where("_kind is not null")
+    session = F.concat(F.lit(f"{node_id}:"), get("session")) if prefix_session else get("session")
+    rows = lines.select("line", once(F.from_json("line", "map<string,string>")).alias("own"))
+    rows = rows.select("line", "own", once(_mapped(SHELL_TYPES, get("eventid"))).alias("_kind")).where("_kind is not null")
     return rows.select(
-        "line", F.lit(0).alias("index"), F.lit(node_id).alias("node_id"), F.col("_kind").alias("event_type"), _get("timestamp").alias("timestamp"),
-        session.alias("session_id"), _get("src_ip").alias("attacker_ip"), F.lit(protocol).alias("protocol"), details.alias("details"),
+        "line", F.lit(0).alias("index"), F.lit(node_id).alias("node_id"), kind.alias("event_type"), get("timestamp").alias("timestamp"),
+        session.alias("session_id"), get("src_ip").alias("attacker_ip"), F.lit(protocol).alias("protocol"), details.alias("details"),
     )
 
 
@@ -95,60 +106,65 @@ def skipped_shell_events(lines: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def _incident_events() -> Column:
-    origin, data = _get("origin"), lambda x: _get(f"data.{x}")
+    """From the columns own, data (a map) and link (its connection)."""
+    origin, data, link = F.col("own.origin"), lambda x: _value(x, "data"), lambda x: F.col(f"link.{x}")
     command = F.lit(None).cast("string")
     for name, (verb, arguments) in COMMAND_ORIGINS.items():
         command = F.when(origin == name, rendered(data(verb), data(arguments) if arguments else F.lit(None).cast("string"))).otherwise(command)
-    link = lambda x: data(f"connection.{x}")
     return (
         F.when(origin.isin(*ACCEPT_ORIGINS), F.array(_envelope("connection", _details(destination_ip=link("local_ip"), destination_port=link("local_port").try_cast("int"), source_port=link("remote_port").try_cast("int")))))
         .when(origin.isin(*LOGIN_ORIGINS), F.array(_envelope("login_attempt", _details(username=data("username"), password=F.nullif(data("password"), F.lit(""))))))
-        .when(origin.isin(*COMMAND_ORIGINS), F.when(command.isNotNull(), F.array(_envelope("command", _details(command=command)))))
+        .when(origin.isin(*COMMAND_ORIGINS), F.transform(F.array_compact(F.array(command)), lambda x: _envelope("command", _details(command=x))))
         .when(origin.isin(*DOWNLOAD_ORIGINS), F.array(_envelope("file_download", _details(download_url=data("url"), file_hash=data("md5hash"), file_name=data("file")))))
         .when(origin == END_ORIGIN, F.array(_envelope("session_end", _details(status=F.lit("closed")))))
     )
 
 
-def _pairs(path: str, first: str, second: str) -> Column:
+def _pairs(text: Column, first: str, second: str) -> Column:
     """(a, b) structs of a list of objects or of an object of lists."""
     pair = "struct<a:string,b:string>"
-    listed = F.from_json(_get(path), f"array<struct<`{first}`:string,`{second}`:string>>")
+    listed = F.from_json(text, f"array<struct<`{first}`:string,`{second}`:string>>")
     objects = F.transform(F.filter(listed, lambda x: x.isNotNull()), lambda x: F.struct(x[first].alias("a"), x[second].alias("b")))
-    names = F.from_json(_get(f"{path}.{first}"), "array<string>")
-    values = F.coalesce(F.from_json(_get(f"{path}.{second}"), "array<string>"), F.array().cast("array<string>"))
-    lists = F.transform(names, lambda x, k: F.struct(x.alias("a"), F.get(values, k).alias("b")))
+    both = F.from_json(text, f"struct<`{first}`:array<string>,`{second}`:array<string>>")
+    values = F.coalesce(both[second], F.array().cast("array<string>"))
+    lists = F.transform(both[first], lambda x, k: F.struct(x.alias("a"), F.get(values, k).alias("b")))
     empty = F.array().cast(f"array<{pair}>")
-    return F.when(_get(path).startswith("["), F.coalesce(objects, empty)).otherwise(F.coalesce(lists, empty))
+    return F.when(text.startswith("["), F.coalesce(objects, empty)).otherwise(F.coalesce(lists, empty))
 
 
 def _record_events() -> Column:
-    """All events that were folded into one connection record."""
-    start = F.array(_envelope("connection", _details(destination_ip=_get("dst_ip"), destination_port=_get("dst_port").try_cast("int"), source_port=_get("src_port").try_cast("int"))))
-    logins = F.transform(_pairs("credentials", "username", "password"), lambda x: _envelope("login_attempt", _details(username=x["a"], password=F.nullif(x["b"], F.lit("")))))
-    typed = F.filter(F.transform(_pairs("ftp.commands", "command", "arguments"), lambda x: rendered(x["a"], x["b"])), lambda x: x.isNotNull())
-    commands = F.transform(typed, lambda x: _envelope("command", _details(command=x)))
+    """All events that were folded into one connection record, from the columns own, pairs and typed."""
+    own = lambda x: F.col(f"own.{x}")
+    start = F.array(_envelope("connection", _details(destination_ip=own("dst_ip"), destination_port=own("dst_port").try_cast("int"), source_port=own("src_port").try_cast("int"))))
+    logins = F.transform("pairs", lambda x: _envelope("login_attempt", _details(username=x["a"], password=F.nullif(x["b"], F.lit("")))))
+    commands = F.transform(F.filter("typed", lambda x: x.isNotNull()), lambda x: _envelope("command", _details(command=x)))
     end = F.array(_envelope("session_end", _details(status=F.lit("closed"))))
     return F.concat(start, logins, commands, end)
 
 
 def service_events(lines: DataFrame, node_id: str) -> DataFrame:
-    """Events of a service sensor's lines, of either log; the format is told line by line.
+    """Events of a service sensor's lines, of either log; the format is told line by line, and each line is parsed once.
 
     Lines without a usable address, a readable time or a known protocol give none. An incident's session end has
     its duration, from the session's latest earlier accept; a connection record has no end to measure.
     """
     has_origin = F.array_contains(F.json_object_keys("line"), "origin")
-    incident = F.coalesce(has_origin, F.lit(False))
-    service = F.when(incident, _get("data.connection.protocol")).otherwise(_get("connection.protocol"))
-    ip = F.when(incident, _get("data.connection.remote_ip")).otherwise(_get("src_ip"))
-    connection = F.nullif(_get("data.connection.id"), F.lit(""))
-    seed = F.concat_ws("|", *(F.coalesce(_get(x), F.lit("None")) for x in ("src_ip", "src_port", "dst_ip", "dst_port", "timestamp")))
-    session = F.when(incident, F.substring(connection, 1, 16)).otherwise(F.substring(F.sha2(seed, 256), 1, 16))
-    record = _get("connection.type").isin("accept", "reject")
-    rows = lines.select(
-        "line", as_utc(_get("timestamp")).alias("timestamp"), F.concat(F.lit(f"{node_id}:"), session).alias("session_id"), ip.alias("attacker_ip"), _mapped(SERVICE_PROTOCOLS, service).alias("protocol"),
-        F.when(incident, _incident_events()).when(record, _record_events()).alias("events"), incident.alias("incident"),
-    )
+    rows = lines.select("line", once(F.struct(F.from_json("line", _SERVICE).alias("own"), F.coalesce(has_origin, F.lit(False)).alias("incident"))).alias("all")).select("line", "all.own", "all.incident")
+    rows = rows.select("*", once(F.from_json("own.data", "map<string,string>")).alias("data"))
+    empty = F.array().cast("array<struct<a:string,b:string>>")
+    record = ~F.col("incident") & F.coalesce(F.col("own.connection.type").isin("accept", "reject"), F.lit(False))
+    parts = F.struct(
+        F.from_json(_value("connection", "data"), _LINK).alias("link"), F.when(record, _pairs(F.col("own.credentials"), "username", "password")).otherwise(empty).alias("pairs"),
+        F.when(record, _pairs(F.col("own.ftp.commands"), "command", "arguments")).otherwise(empty).alias("sent"),
+    )
+    rows = rows.select("*", once(parts).alias("parts")).select("line", "own", "incident", "data", "parts.link", "parts.pairs", once(F.transform("parts.sent", lambda x: rendered(x["a"], x["b"]))).alias("typed"))
+    incident, own = F.col("incident"), lambda x: F.col(f"own.{x}")
+    service = F.when(incident, F.col("link.protocol")).otherwise(own("connection.protocol"))
+    ip = F.when(incident, F.col("link.remote_ip")).otherwise(own("src_ip"))
+    seed = F.concat_ws("|", *(F.coalesce(own(x), F.lit("None")) for x in ("src_ip", "src_port", "dst_ip", "dst_port", "timestamp")))
+    session = F.when(incident, F.substring(F.nullif(F.col("link.id"), F.lit("")), 1, 16)).otherwise(F.substring(F.sha2(seed, 256), 1, 16))
+    head = F.struct(as_utc(own("timestamp")).alias("timestamp"), F.concat(F.lit(f"{node_id}:"), session).alias("session_id"), ip.alias("attacker_ip"), _mapped(SERVICE_PROTOCOLS, service).alias("protocol"), F.when(incident, _incident_events()).when(record, _record_events()).alias("events"))
+    rows = rows.select("line", "incident", once(head).alias("head")).select("line", "incident", "head.*")
     rows = rows.where(F.col("timestamp").isNotNull() & F.col("session_id").isNotNull() & F.col("protocol").isNotNull() & is_usable(F.col("attacker_ip")))
     out = rows.select("*", F.posexplode("events").alias("index", "event")).select("line", "index", F.lit(node_id).alias("node_id"), "event.event_type", "timestamp", "session_id", "attacker_ip", "protocol", "event.details", "incident")
     at = F.unix_micros(F.try_to_timestamp(F.regexp_replace("timestamp", "Z$", "")))
