@@ -12,8 +12,9 @@ budget; that need not be where the text reaches it, as a further character can a
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 import re
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ PUNCTUATION = "\n\t!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 #: Tables of units and verdicts on pairs that a worker keeps; it starts anew when one is full.
 CACHE_UNITS = 1_000_000
 CACHE_PAIRS = 1_000_000
+#: Tables of all prefixes of units that a worker keeps for texts near a budget.
+CACHE_TABLES = 300_000
 LIMIT = 4096
 
 
@@ -130,28 +133,27 @@ class PrefixCounter:
         return got
 
     def prefixes(self, text: str) -> PrefixTable:
-        """The stored table of a text, for questions about its prefixes."""
-        starts, befores, tables, n = [], [], [], 0
-        for found in self.whole.finditer(self.marked(text)):
-            unit = found[0]
-            if unit not in self._units:
-                if len(self._units) >= CACHE_UNITS:
-                    self._units.clear()
-                self._units[unit] = self.table(unit)
-            starts.append(found.start())
-            befores.append(n)
-            tables.append(self._units[unit])
-            n += self._units[unit][-1]
-        return PrefixTable(starts, befores, tables)
+        """The stored table of a text, for questions about its prefixes: those of its units, which texts share, end to end."""
+        units, known = self.whole.findall(self.marked(text)), self._units
+        new = {x for x in units if x not in known}
+        if len(known) + len(new) > CACHE_TABLES:
+            known.clear()
+            new = set(units)
+        for unit in new:
+            known[unit] = self.table(unit)
+        tables = list(map(known.__getitem__, units))
+        return PrefixTable(list(accumulate(map(len, units), initial=0)), list(accumulate((x[-1] for x in tables), initial=0)), tables)
 
 
 class PrefixTable:
     """Counts of every prefix of one text, answered from stored tables without tokenising again."""
 
     def __init__(self, starts: list[int], befores: list[int], tables: list[tuple[int, ...]]):
-        self.starts, self.befores, self.tables = starts, befores, tables
+        """starts and befores: characters and tokens before each unit, and all of them last."""
+        self.starts, self.befores, self.tables = starts[:-1], befores[:-1], tables
+        self.total = befores[-1]
         #: The dummy mark before the text has no character of its own.
-        self.length = starts[-1] + len(tables[-1]) - 1 if starts else 0
+        self.length = max(0, starts[-1] - 1)
 
     def count(self, n_chars: int) -> int:
         """Tokens of text[:n_chars]."""
@@ -189,7 +191,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     Null and empty texts have 0 bytes and tokens. Rows are judged one by one, so repeats, ties and
     null ids stay as they are; only the two columns named are read. An empty table gives no rows. No shuffle. Very long texts are counted whole;
-    their table of prefixes, which is only built if the text is over a budget, has a number for each unit beside the tables that units share.
+    their table of prefixes, which is only built if the text may be over a budget, has a number for each unit beside the tables that units share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +201,9 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 sizes.append(len(text.encode()))
-                tokens.append(own.count(text))
-                table = own.prefixes(text) if any(x < tokens[-1] for x in budgets) else None
+                # a text has a token for each byte and one more at most
+                table = own.prefixes(text) if any(x <= sizes[-1] for x in budgets) else None
+                tokens.append(table.total if table else own.count(text))
                 fits.append([table.truncate(x) if table and x < tokens[-1] else len(text) for x in budgets])
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.list_(pa.int64()))], ["id", "n_bytes", "n_tokens", "fits"])
 

@@ -182,8 +182,14 @@ def test_token_counts_are_the_library(docs):
     path = P.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     expected = sorted((str(d), len((t or "").encode()), len(library.encode(t or ""))) for d, t, *_ in rows)
-    found = token_counts.token_counts(frame, path).collect()
-    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in found) == expected
+    for budgets in ((), (40,)):  # by totals, and by tables of prefixes
+        found = token_counts.token_counts(frame, path, budgets=budgets).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in found) == expected
+        if budgets:
+            texts = {d: t or "" for d, t, *_ in rows if d is not None and d > 3}
+            whole = lambda text, k: len(library.encode(text[:k])) <= 40
+            assert all(whole(texts[r["doc_id"]], r["fits"][0]) for r in found if r["doc_id"] in texts)
+            assert all(r["fits"][0] == max(k for k in range(len(t) + 1) if whole(t, k)) for r in found if (t := texts.get(r["doc_id"])) is not None and len(t) < 400)
 
 
 def test_every_prefix_counts():
