@@ -25,7 +25,7 @@ PUNCTUATION = "\n\t!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 #: Tables of units and verdicts on pairs that a worker keeps; it starts anew when one is full.
 CACHE_UNITS = 1_000_000
 CACHE_PAIRS = 1_000_000
-#: Tables of all prefixes of units that a worker keeps for texts near a budget.
+#: Tables of all prefixes of units that a worker keeps.
 CACHE_TABLES = 300_000
 LIMIT = 4096
 
@@ -112,17 +112,32 @@ class PrefixCounter:
     def marked(text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
+    def totals(self, units: list[str]) -> list[int]:
+        """Tokens of each unit."""
+        known = self._totals
+        new = {x for x in units if x not in known}
+        if len(known) + len(new) > CACHE_UNITS:
+            known.clear()
+            new = set(units)
+        for unit in new:
+            known[unit] = sum(map(self._part, self.cut.split(unit)))
+        return list(map(known.__getitem__, units))
+
+    def unit_table(self, unit: str) -> tuple[int, ...]:
+        """table() of a unit, kept."""
+        got = self._units.get(unit)
+        if got is None:
+            if len(self._units) >= CACHE_TABLES:
+                self._units.clear()
+            got = self._units[unit] = self.table(unit)
+        return got
+
+    def units_of(self, text: str) -> list[str]:
+        return self.whole.findall(self.marked(text))
+
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
-        text, totals, n = self.marked(text), self._totals, 0
-        for unit in self.whole.findall(text):
-            got = totals.get(unit)
-            if got is None:
-                if len(totals) >= CACHE_UNITS:
-                    totals.clear()
-                got = totals[unit] = sum(map(self._part, self.cut.split(unit)))
-            n += got
-        return n
+        return sum(self.totals(self.units_of(text)))
 
     def _part(self, part: str) -> int:
         got = self._parts.get(part)
@@ -133,27 +148,19 @@ class PrefixCounter:
         return got
 
     def prefixes(self, text: str) -> PrefixTable:
-        """The stored table of a text, for questions about its prefixes: those of its units, which texts share, end to end."""
-        units, known = self.whole.findall(self.marked(text)), self._units
-        new = {x for x in units if x not in known}
-        if len(known) + len(new) > CACHE_TABLES:
-            known.clear()
-            new = set(units)
-        for unit in new:
-            known[unit] = self.table(unit)
-        tables = list(map(known.__getitem__, units))
-        return PrefixTable(list(accumulate(map(len, units), initial=0)), list(accumulate((x[-1] for x in tables), initial=0)), tables)
+        """The stored table of a text, for questions about its prefixes: counts before each unit, and the tables of units, which texts share."""
+        units = self.units_of(text)
+        return PrefixTable(self, units, self.totals(units))
 
 
 class PrefixTable:
     """Counts of every prefix of one text, answered from stored tables without tokenising again."""
 
-    def __init__(self, starts: list[int], befores: list[int], tables: list[tuple[int, ...]]):
-        """starts and befores: characters and tokens before each unit, and all of them last."""
-        self.starts, self.befores, self.tables = starts[:-1], befores[:-1], tables
-        self.total = befores[-1]
+    def __init__(self, counter: PrefixCounter, units: list[str], totals: list[int]):
+        self.units, self._table = units, counter.unit_table
+        self.starts, self.befores = list(accumulate(map(len, units), initial=0)), list(accumulate(totals, initial=0))
         #: The dummy mark before the text has no character of its own.
-        self.length = max(0, starts[-1] - 1)
+        self.length, self.total = max(0, self.starts.pop() - 1), self.befores.pop()
 
     def count(self, n_chars: int) -> int:
         """Tokens of text[:n_chars]."""
@@ -161,17 +168,17 @@ class PrefixTable:
             return 0
         at = min(n_chars, self.length)  # position in the marked text of the last character
         k = bisect_right(self.starts, at) - 1
-        return self.befores[k] + self.tables[k][at - self.starts[k]]
+        return self.befores[k] + self._table(self.units[k])[at - self.starts[k]]
 
     def all(self) -> list[int]:
         """Counts of text[:0], text[:1], ... text."""
-        flat = [b + x for b, table in zip(self.befores, self.tables, strict=True) for x in table]
+        flat = [b + x for b, unit in zip(self.befores, self.units, strict=True) for x in self._table(unit)]
         return [0, *flat[1:]]
 
     def truncate(self, budget: int) -> int:
         """Characters of the longest prefix with at most `budget` tokens: a search over units, then a look at one of them or two."""
         for k in range(bisect_right(self.befores, budget - 1) - 1, -1, -1):
-            fit = [i for i, n in enumerate(self.tables[k]) if self.befores[k] + n <= budget]
+            fit = [i for i, n in enumerate(self._table(self.units[k])) if self.befores[k] + n <= budget]
             if fit:
                 return self.starts[k] + fit[-1]  # the dummy mark takes the first place
         return 0
@@ -191,7 +198,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     Null and empty texts have 0 bytes and tokens. Rows are judged one by one, so repeats, ties and
     null ids stay as they are; only the two columns named are read. An empty table gives no rows. No shuffle. Very long texts are counted whole;
-    their table of prefixes, which is only built if the text may be over a budget, has a number for each unit beside the tables that units share.
+    their table of prefixes has a number for each unit beside the tables of units, which texts share and which are built when a question needs them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +208,9 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 sizes.append(len(text.encode()))
-                # a text has a token for each byte and one more at most
-                table = own.prefixes(text) if any(x <= sizes[-1] for x in budgets) else None
-                tokens.append(table.total if table else own.count(text))
-                fits.append([table.truncate(x) if table and x < tokens[-1] else len(text) for x in budgets])
+                table = own.prefixes(text)
+                tokens.append(table.total)
+                fits.append([table.truncate(x) if x < table.total else len(text) for x in budgets])
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.list_(pa.int64()))], ["id", "n_bytes", "n_tokens", "fits"])
 
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, fits array<long>").withColumnRenamed("id", id_col)
