@@ -17,7 +17,7 @@ HOT_KEYS = 100_000
 #: Parts that rows without a key are dealt into.
 NULL_PARTS = 1 << 14
 
-__all__ = ["discarded", "fits", "fresh", "hot", "joined", "load", "new_path", "removed", "sized", "stored"]
+__all__ = ["discarded", "fits", "fresh", "hot", "joined", "load", "matched", "new_path", "removed", "sized", "stored", "text_slices"]
 
 
 def discarded(*tables: DataFrame) -> None:
@@ -70,3 +70,24 @@ def joined(left: DataFrame, right: DataFrame, key: str | list[str], spread: str,
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def matched(left: DataFrame, right: DataFrame, key: str | list[str], spread: str, rows: int | None = None, width: int = ROW_BYTES, how: str = "left") -> DataFrame:
+    """left joined with the stored table right, which has each key once: a broadcast if right's rows of at most `width` bytes fit, else joined()."""
+    key = [key] if isinstance(key, str) else key
+    if fits(right.count() if rows is None else rows, width):
+        return left.join(F.broadcast(right), key, how)
+    left = stored(left, "match")
+    return joined(left, right, key, spread, left.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), left.count(), how)
+
+
+def text_slices(batch, column: str, most: int):
+    """Slices of an Arrow batch with at most so many code points of text, or one row."""
+    at, total, sizes = 0, 0, [len(x.as_py() or "") for x in batch.column(column)]
+    for k, size in enumerate(sizes):
+        if k > at and total + size > most:
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += size
+    if at < len(sizes):
+        yield batch.slice(at)
