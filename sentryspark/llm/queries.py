@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentryspark.llm import byte_bpe, collocations, decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, resampling, token_counts, url_filter, warc
+from sentryspark.llm import byte_bpe, collocations, decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, personal_data, resampling, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.url_filter_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.token_counts_query,
     "op9_packing": packing.packing_query,
     "op10_language_id": language_id.language_id_query,
+    "op11_personal_data": personal_data.personal_data_query,
     "op12_collocations": collocations.collocations_query,
     "op13_resampling": resampling.resampling_query,
 }
