@@ -107,15 +107,6 @@ def classified(place: Column) -> tuple[Column, Column]:
     return tuple(F.get(F.array(*(F.lit(row[k]) for row in COMMAND_PATTERNS)), place - 1) for k in (1, 2))
 
 
-def spaced_json(text: Column) -> Column:
-    """Compact JSON text with a space after every comma and colon outside strings, and control characters in lower-case hex."""
-    spaced = F.regexp_replace(text, r'\G((?:[^",:]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)([,:])', "$1$2 ")
-    lowered = spaced
-    for code in ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"):
-        lowered = F.regexp_replace(lowered, r"(?<!\\)((?:\\\\)*+)\\u" + code, r"$1\\u" + code.lower())
-    return F.when(text.contains("\\u00"), lowered).otherwise(spaced)
-
-
 def masked(secret: Column) -> Column:
     return F.when(F.coalesce(secret, F.lit("")) != "", F.lit(MASK))
 
@@ -192,10 +183,13 @@ def coordinates(text: Column) -> tuple[Column, Column]:
 # -- networks ---------------------------------------------------------------
 
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}\z"
 #: IPv4 blocks that are not public, without those reserved for documentation.
 PRIVATE_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4"]
 
+#: Addresses of these blocks that are public all the same.
+PUBLIC_IN_PRIVATE = ["192.0.0.9", "192.0.0.10"]
+
 
 def is_v4(ip: Column) -> Column:
     return F.coalesce(ip.rlike(_V4), F.lit(False))
@@ -235,10 +229,29 @@ def is_private(ip: Column, v6: bool = True) -> Column:
     """
     number = _number(ip)
     local = reduce(lambda a, b: a | b, (number.between(*_block(x)) for x in PRIVATE_BLOCKS))
+    local = local & ~ip.isin(*PUBLIC_IN_PRIVATE)
     other = _private_v6(F.coalesce(ip, F.lit(""))) if v6 else F.lit(True)
     return F.when(is_v4(ip), local).otherwise(other)
 
 
+_H = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer with `::` in place of one group or more.
+_V6 = "^(" + "|".join([f"({_H}:){{7}}{_H}", "::", *(f"({_H}:){{{k}}}(:{_H}){{1,{7 - k}}}" for k in range(1, 7)), f":(:{_H}){{1,7}}", f"({_H}:){{1,7}}:"]) + r")\z"
+
+
+def is_v6(ip: Column) -> Column:
+    """Whether Python's ipaddress would take it: an IPv4 tail counts as two groups, a zone after % must be there and have no further %."""
+    address, zone = F.substring_index(ip, "%", 1), F.regexp_extract(ip, "^[^%]*%([^%]+)$", 1)
+    tail = F.substring_index(address, ":", -1)
+    plain = F.when(is_v4(tail) & address.contains(":"), F.concat(address.substr(F.lit(1), F.length(address) - F.length(tail)), F.lit("0:0"))).otherwise(address)
+    return F.coalesce(plain.rlike(_V6) & (~ip.contains("%") | (zone != "")), F.lit(False))
+
+
+def is_address(ip: Column) -> Column:
+    return is_v4(ip) | is_v6(ip)
+
+
 def is_usable(ip: Column) -> Column:
-    """An address other than the unspecified one."""
-    return (is_v4(ip) & (ip != "0.0.0.0")) | (F.coalesce(ip.rlike(r"^(?=.*:)[0-9A-Fa-f:.]{2,45}$"), F.lit(False)) & ~F.coalesce(ip.isin("::", "0:0:0:0:0:0:0:0"), F.lit(False)))
+    """An address other than the unspecified one, in whichever spelling."""
+    zero = F.when(is_v4(ip), ip == "0.0.0.0").otherwise(F.substring_index(ip, "%", 1).rlike("^[0:.]*$"))
+    return is_address(ip) & ~F.coalesce(zero, F.lit(False))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentryspark.config import DEFAULT, EVENT_TYPES, PROTOCOLS, Config
-from sentryspark.functions.scalar import field, is_private, is_usable, joined_sources, once, profile_score, seconds, spaced_json, truncated
+from sentryspark.functions import jsontext
+from sentryspark.functions.scalar import field, is_address, is_private, joined_sources, profile_score, seconds, truncated
 
 FIELDS = ("event_id", "node_id", "event_type", "timestamp", "session_id", "attacker_ip", "protocol", "details")
 #: For each type, the keys that details may have, those it must have, and those of which one is needed.
@@ -27,7 +28,6 @@ DETAILS = {
     "session_end": (("status", "duration_seconds"), ("status",), ()),
 }
 STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
-UUID = r"^(urn:uuid:)?\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
 
 
 def _array(values) -> Column:
@@ -38,16 +38,12 @@ def _reason(condition: Column, text: Column | str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.lit(text) if isinstance(text, str) else text)
 
 
-def parsed(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """lines with `event`: what is in them, each line being parsed once.
+_read = jsontext.reader(FIELDS[:-1])
 
-    event has the top-level `keys` (null for what is no JSON object), the seven scalar FIELDS as strings, `details` as it came, and
-    `inner`, the same as a map of strings (null for what is no object).
-    """
-    rows = lines.withColumn("event", once(F.try_parse_json(F.col(line_col))))
-    get = lambda path, kind: F.try_variant_get("event", path, kind)
-    fields = [get(f"$.{x}", "string").alias(x) for x in FIELDS[:-1]]
-    return rows.withColumn("event", once(F.struct(F.map_keys(get("$", "map<string,variant>")).alias("keys"), *fields, get("$.details", "variant").alias("details"), get("$.details", "map<string,string>").alias("inner"))))
+
+def parsed(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """lines with `event`, what jsontext.reader() finds in them; each line is parsed once."""
+    return lines.withColumn("event", _read(F.col(line_col)))
 
 
 def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storage", line_col: str = "line") -> DataFrame:
@@ -55,7 +51,7 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
 
     As in stages: keys that are missing or unknown end the check, then an unknown type does; further reasons accumulate.
     Absent and null keys differ. Profile `collector` or `sensor` also asks for an address that parses and for
-    required details that are strings with more than white space.
+    required details that are strings with more than white space; `collector` for strings in all fields, too.
     """
     if profile not in ("storage", "collector", "sensor"):
         raise ValueError(f"unknown profile {profile}")
@@ -63,46 +59,52 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
     missing = F.array_except(_array(FIELDS), get("keys"))
     unknown = F.sort_array(F.array_except(get("keys"), _array(FIELDS)))
     kind, beat, strict = get("event_type"), get("event_type") == "heartbeat", profile != "storage"
+    falsy, string = lambda name: F.array_contains(get("falsy"), name), lambda name: get(f"kinds.{name}") == "string"
 
     # fixed values: the wording of reasons
     shape = F.array_compact(F.concat(
         F.transform(missing, lambda x: F.format_string("missing top-level field '%s' (use null, do not omit)", x)),
         F.array(_reason(F.size(unknown) > 0, F.concat(F.lit("unexpected top-level field(s): "), F.array_join(unknown, ", ")))),
     ))
+    number = F.translate(F.regexp_replace(F.regexp_replace(get("event_id"), "urn:|uuid:", ""), r"^[{}]+|[{}]+$", ""), "-", "")
     reasons = [
-        _reason(~F.coalesce(get("event_id").rlike(UUID), F.lit(False)), "event_id must be a valid UUID string"),
-        _reason(F.coalesce(get("node_id"), F.lit("")) == "", "node_id must be non-null"),
+        _reason(~F.coalesce(number.rlike("^[0-9a-fA-F]{32}$"), F.lit(False)), "event_id must be a valid UUID string"),
+        _reason(falsy("node_id"), "node_id must be non-null"),
     ]
     if config.strict_nodes:
-        reasons.append(_reason((get("node_id") != "") & ~get("node_id").isin(*config.known_nodes), F.format_string("node_id '%s' is not a registered node", get("node_id"))))
+        reasons.append(_reason(~falsy("node_id") & ~(string("node_id") & get("node_id").isin(*config.known_nodes)), F.format_string("node_id '%s' is not a registered node", get("node_id"))))
     stamp = get("timestamp")
-    shaped = F.coalesce(stamp.rlike(STAMP), F.lit(False))
+    shaped = string("timestamp") & stamp.rlike(STAMP)
     reasons.append(_reason(~shaped, "timestamp must be ISO 8601 UTC, e.g. 2026-07-19T15:00:00Z"))
     reasons.append(_reason(shaped & seconds(stamp).isNull(), F.format_string("timestamp '%s' is not a real date/time", stamp)))
     for name in ("session_id", "attacker_ip", "protocol"):
         reasons.append(_reason(beat & get(name).isNotNull(), f"{name} must be null for heartbeat events"))
-        reasons.append(_reason(~beat & (F.coalesce(get(name), F.lit("")) == ""), F.format_string(f"{name} must be non-null for '%s' events", kind)))
-    reasons.append(_reason(~get("protocol").isin("", *PROTOCOLS), F.format_string("protocol '%s' is not an allowed one", get("protocol"))))
+        empty = falsy(name) if strict else get(name).isNull() | (string(name) & (get(name) == ""))
+        reasons.append(_reason(~beat & empty, F.format_string(f"{name} must be non-null for '%s' events", kind)))
+    if profile == "collector":
+        for name in ("event_id", "session_id", "attacker_ip", "protocol"):
+            reasons.append(_reason(get(name).isNotNull() & ~string(name), f"{name} must be a string"))
+    reasons.append(_reason(get("protocol").isNotNull() & ~(string("protocol") & get("protocol").isin("", *PROTOCOLS)), F.format_string("protocol '%s' is not an allowed one", get("protocol"))))
     if strict:
-        reasons.append(_reason(~beat & get("attacker_ip").isNotNull() & ~is_usable(get("attacker_ip")), "attacker_ip must be an address"))
-    inner, whole, void = get("inner"), get("inner").isNotNull(), F.is_variant_null(get("details"))
+        reasons.append(_reason(~beat & ~falsy("attacker_ip") & ~is_address(get("attacker_ip")), "attacker_ip must be an address"))
+    inner, whole, void = get("inner"), get("details_kind") == "object", get("details_kind") == "null"
     reasons.append(_reason(void, "details must be an object, never null"))
-    reasons.append(_reason(~whole & ~void, F.concat(F.lit("details must be a JSON object, not "), F.lower(F.regexp_replace(F.schema_of_variant(get("details")), "<.*", "")))))
+    reasons.append(_reason(~whole & ~void, F.concat(F.lit("details must be a JSON object, not "), get("details_kind"))))
     allowed = F.create_map(*(x for k, v in DETAILS.items() for x in (F.lit(k), _array(v[0]))))
     extra = F.sort_array(F.array_except(F.map_keys(inner), F.element_at(allowed, kind)))
     reasons.append(_reason(whole & (F.size(extra) > 0), F.concat(F.lit("details key(s) not allowed for '"), kind, F.lit("': "), F.array_join(extra, ", "))))
-    value = lambda x: F.element_at(inner, F.lit(x))
-    blank = lambda x: F.coalesce((F.trim(value(x)) if strict else value(x)) == "", F.lit(True))
+    flag = lambda x, name: F.coalesce(F.element_at(inner, F.lit(x))[name], F.lit(True))
     for name, (_, required, any_of) in DETAILS.items():
         for x in required:
-            reasons.append(_reason(whole & (kind == name) & blank(x), f"details.{x} is required and must be non-null for '{name}'"))
+            reasons.append(_reason(whole & (kind == name) & flag(x, "blank" if strict else "void"), f"details.{x} is required and must be non-null for '{name}'"))
         if any_of:
-            none = reduce(lambda a, b: a & b, (blank(x) for x in any_of))
+            none = reduce(lambda a, b: a & b, (flag(x, "falsy" if strict else "void") for x in any_of))
             reasons.append(_reason(whole & (kind == name) & none, f"'{name}' requires at least one of: {', '.join(any_of)}"))
+    named = string("event_type") & kind.isin(*EVENT_TYPES)
     errors = (
         F.when(get("keys").isNull(), F.array(F.lit("event must be a JSON object")))
         .when((F.size(missing) > 0) | (F.size(unknown) > 0), shape)
-        .when(~F.coalesce(kind.isin(*EVENT_TYPES), F.lit(False)), F.array(F.concat(F.lit("event_type '"), F.coalesce(kind, F.lit("null")), F.lit("' is not an allowed type"))))
+        .when(~F.coalesce(named, F.lit(False)), F.array(F.concat(F.lit("event_type '"), F.coalesce(kind, F.lit("null")), F.lit("' is not an allowed type"))))
         .otherwise(F.array_compact(F.array(*reasons)))
     )
     return parsed(lines, line_col).withColumn("errors", errors)
@@ -125,12 +127,11 @@ def batch_rejections(batches: DataFrame, most: int = 20) -> DataFrame:
 def normalized(checked: DataFrame) -> DataFrame:
     """Valid lines as rows of the events table, from validated() ones with the columns seq and received_at.
 
-    details is JSON text in canonical form: keys in order at every depth, a space after commas and colons.
+    details is JSON text in canonical form: keys in order at every depth, a space after commas and colons, numbers as Python writes them.
     """
     get = lambda name: F.col(f"event.{name}").alias(name)
-    rows = checked.where(F.size("errors") == 0).withColumn("text", once(F.to_json("event.details")))
-    return rows.select(
-        "seq", get("event_id"), get("node_id"), get("session_id"), get("event_type"), truncated(F.col("event.timestamp")).alias("timestamp"), get("attacker_ip"), get("protocol"), spaced_json(F.col("text")).alias("details"), "received_at",
+    return checked.where(F.size("errors") == 0).select(
+        "seq", get("event_id"), get("node_id"), get("session_id"), get("event_type"), truncated(F.col("event.timestamp")).alias("timestamp"), get("attacker_ip"), get("protocol"), get("details"), "received_at",
     )
 
 

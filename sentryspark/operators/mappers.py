@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentryspark.config import URL_NAMESPACE
+from sentryspark.functions.jsontext import canonical
 from sentryspark.functions.scalar import is_usable, once, uuid5
 
 REDACTED = "***REDACTED***"
@@ -188,6 +189,11 @@ def skipped_services(lines: DataFrame, limit: int = 6) -> DataFrame:
     return rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind", "name").limit(limit)
 
 
-def with_stable_ids(events: DataFrame) -> DataFrame:
-    """events with an event_id that follows from node, line and the event's place in it, so that reading a log again gives the same ids."""
-    return events.withColumn("event_id", uuid5(F.concat_ws("/", "node_id", F.col("index").cast("string"), "line"), URL_NAMESPACE)).drop("line", "index")
+def with_stable_ids(events: DataFrame, scheme: str = "sentryspark-backfill") -> DataFrame:
+    """events with an event_id that follows from node, line and the event's place in it, so that reading a log again gives the same ids.
+
+    What counts of a line is its canonical JSON, keys in order and without spaces: another layout of the same line gives the same id.
+    """
+    rows = events.withColumn("seed", canonical(F.col("line"), compact=True))
+    seed = F.concat(F.lit(f"{scheme}://"), F.concat_ws("/", "node_id", F.col("index").cast("string"), "seed"))
+    return rows.withColumn("event_id", uuid5(seed, URL_NAMESPACE)).drop("line", "index", "seed")
