@@ -37,11 +37,11 @@ HASHED = 1 << 62
 #: Bits of the filter that tells hashes of frequent words from those of others.
 FILTER_BITS = 1 << 23
 #: Code points that are looked at at once, distinct words that a task counts before it sends them on.
-BATCH_POINTS = 8 << 20
+BATCH_POINTS = 3 << 20
 COUNTED = 1 << 18
 #: Windows that a partition should have, and those that it mines at once.
-PART_WINDOWS = 1 << 20
-MINED_WINDOWS = 1 << 22
+PART_WINDOWS = 1 << 19
+MINED_WINDOWS = 1 << 21
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Piece marks become a byte that UTF-8 doesn't have, so that no white space but that between words is left.
