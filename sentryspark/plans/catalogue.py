@@ -372,11 +372,13 @@ add("batch_rejections", _batches, """
 
 
 def _streamed(t: Tables) -> DataFrame:
-    """The lines, every seventh twice, through the ingest stream."""
+    """The lines, every seventh twice, through the ingest stream; then every fifth again, a year later by its own account."""
     landing, out, checkpoint = (tables.new_folder(t.spark, x) for x in ("landing", "log", "stream"))
     lines = _lines(t)
-    lines.unionByName(lines.where("seq % 7 = 0")).select(F.col("line").alias("value")).write.text(landing)
-    pipeline.ingest(t.spark, landing, out, checkpoint).awaitTermination()
+    later = lines.where("seq % 5 = 0").withColumn("line", F.regexp_replace("line", '"timestamp":"2024', '"timestamp":"2025'))
+    for rows in (lines.unionByName(lines.where("seq % 7 = 0")), later):
+        rows.select(F.col("line").alias("value")).write.mode("append").text(landing)
+        pipeline.ingest(t.spark, landing, out, checkpoint).awaitTermination()
     return pipeline.stored_events(t.spark, out).drop("seq", "received_at")
 
 

@@ -1,7 +1,7 @@
 """Live ingest and live rollups with Structured Streaming.
 
 Delivery is at least once: batches write to a folder of their own, which a retry overwrites, and an event that an
-earlier batch accepted is a duplicate, within a horizon. Rollups over the log are recomputed or windowed; the fold of sessions is never cut by a watermark.
+earlier batch accepted is a duplicate, however old it is. Rollups over the log are recomputed or windowed; the fold of sessions is never cut by a watermark.
 """
 
 from __future__ import annotations
@@ -15,17 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sentryspark.config import DEFAULT, Config
-from sentryspark.functions.scalar import seconds, stamp_of
+from sentryspark.functions.scalar import seconds
 from sentryspark.operators.ingest import normalized, outcomes, validated
 from sentryspark.operators.rules import evaluated, new_alerts
 from sentryspark.schema import ALERTS, EVENTS
 from sentryspark.sources.tables import new_folder, removed
-
-#: Sequence numbers that a batch may use.
-BATCH_SPAN = 1 << 40
-#: Days before a batch's earliest event within which a stored event with the same id makes one a duplicate.
-HORIZON_DAYS = 30
-
+from sentryspark.streaming.ids import Ids
 
 def _stored(spark: SparkSession, path: str, schema: StructType, part: str, before: int | None) -> DataFrame:
     """The rows below path, of the parts that come before `before`; none if nothing was written yet."""
@@ -44,34 +39,46 @@ def stored_events(spark: SparkSession, out: str, before: int | None = None) -> D
     return _stored(spark, f"{out}/events", EVENTS, "batch", before)
 
 
-def ingested(batch: DataFrame, batch_id: int, out: str, received_at, horizon_days: int | None = HORIZON_DAYS, config: Config = DEFAULT) -> None:
+def numbered(rows: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """Stored rows with a column `row`, from monotonically_increasing_id(), with `seq` in its place: first, first + 1, ... without gaps; and the number after the last."""
+    parts = sorted(rows.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition of the batch
+    starts, at = {}, first
+    for r in parts:
+        starts[r["part"]] = at
+        at += r["n"]
+    table = rows.sparkSession.createDataFrame(list(starts.items()) or [(0, 0)], "part long, start long")
+    seq = F.col("start") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("part", F.shiftright("row", 33)).join(F.broadcast(table), "part").withColumn("seq", seq).drop("part", "start", "row"), at
+
+
+def ingested(batch: DataFrame, batch_id: int, out: str, received_at, config: Config = DEFAULT) -> None:
     """Add a batch of lines (column `value`) to the log below out: valid new events to events, others with their reasons to rejected.
 
-    Duplicates are looked for among stored events from horizon_days before the batch's earliest event on, so that the cost of a batch doesn't
-    grow with the log; None looks at all of it.
+    An event is a duplicate if its id came before in the batch, or in any batch before, however long ago: see ids.Ids. Lines are numbered
+    in order of arrival through all batches. A batch that is tried again replaces what it left.
     """
     spark = batch.sparkSession
-    lines = batch.select(F.col("value").alias("line"), (F.lit(batch_id * BATCH_SPAN) + F.monotonically_increasing_id()).alias("seq"), received_at.alias("received_at"))
+    lines = batch.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("row"), received_at.alias("received_at"))
     path = new_folder(spark, "ingest-checked")
-    validated(lines, config).write.parquet(path)
-    checked = spark.read.parquet(path)
-    rows, history = normalized(checked), stored_events(spark, out, before=batch_id)
-    if horizon_days is not None:
-        first = rows.agg(stamp_of(F.min(seconds(F.col("timestamp"))) - 86400 * horizon_days).alias("first")).first()["first"]
-        history = history.where(F.col("timestamp") >= F.lit(first))
-    fresh = outcomes(rows, history).where("outcome = 'accepted'").drop("outcome")
+    lines.write.parquet(f"{path}/lines")
+    known = Ids(spark, f"{out}/ids")
+    first = known.runs.state(batch_id)["note"].get("lines", 0)
+    counted, after = numbered(spark.read.schema(lines.schema).parquet(f"{path}/lines"), first)
+    validated(counted, config).write.parquet(f"{path}/checked")
+    checked = spark.read.parquet(f"{path}/checked")
+    rows = normalized(checked)
+    fresh = outcomes(rows, known.known(rows, batch_id)).where("outcome = 'accepted'").drop("outcome")
     fresh.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
     checked.where(F.size("errors") > 0).drop("event").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+    known.add(spark.read.schema(EVENTS).parquet(f"{out}/events/batch={batch_id}"), batch_id, {"lines": after})
     removed(spark, path)
 
 
-def ingest(
-    spark: SparkSession, source: str, out: str, checkpoint: str, received_at=None, trigger: dict | None = None, files: int = 100, horizon_days: int | None = HORIZON_DAYS, config: Config = DEFAULT,
-) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, out: str, checkpoint: str, received_at=None, trigger: dict | None = None, files: int = 100, config: Config = DEFAULT) -> StreamingQuery:
     """Start ingesting JSON lines that land in folder `source`; by default all that is there, then stop."""
     stream = spark.readStream.option("maxFilesPerTrigger", files).text(source)
     arrival = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if received_at is None else received_at
-    step = lambda batch, number: ingested(batch, number, out, arrival, horizon_days, config)
+    step = lambda batch, number: ingested(batch, number, out, arrival, config)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
