@@ -143,11 +143,10 @@ def _record_events() -> Column:
     return F.concat(start, logins, commands, end)
 
 
-def service_events(lines: DataFrame, node_id: str) -> DataFrame:
-    """Events of a service sensor's lines, of either log; the format is told line by line, and each line is parsed once.
+def service_rows(lines: DataFrame, node_id: str) -> DataFrame:
+    """Events of a service sensor's lines, of either log, with `incident`: whether the line is one; the format is told line by line, and each line is parsed once.
 
-    Lines without a usable address, a readable time or a known protocol give none. An incident's session end has
-    its duration, from the session's latest earlier accept; a connection record has no end to measure.
+    Lines without a usable address, a readable time or a known protocol give none. Session ends are without durations.
     """
     has_origin = F.array_contains(F.json_object_keys("line"), "origin")
     rows = lines.select("line", once(F.struct(F.from_json("line", _SERVICE).alias("own"), F.coalesce(has_origin, F.lit(False)).alias("incident"))).alias("all")).select("line", "all.own", "all.incident")
@@ -167,14 +166,26 @@ def service_events(lines: DataFrame, node_id: str) -> DataFrame:
     head = F.struct(as_utc(own("timestamp")).alias("timestamp"), F.concat(F.lit(f"{node_id}:"), session).alias("session_id"), ip.alias("attacker_ip"), _mapped(SERVICE_PROTOCOLS, service).alias("protocol"), F.when(incident, _incident_events()).when(record, _record_events()).alias("events"))
     rows = rows.select("line", "incident", once(head).alias("head")).select("line", "incident", "head.*")
     rows = rows.where(F.col("timestamp").isNotNull() & F.col("session_id").isNotNull() & F.col("protocol").isNotNull() & is_usable(F.col("attacker_ip")))
-    out = rows.select("*", F.posexplode("events").alias("index", "event")).select("line", "index", F.lit(node_id).alias("node_id"), "event.event_type", "timestamp", "session_id", "attacker_ip", "protocol", "event.details", "incident")
-    at = F.unix_micros(F.try_to_timestamp(F.regexp_replace("timestamp", "Z$", "")))
+    return rows.select("*", F.posexplode("events").alias("index", "event")).select("line", "index", F.lit(node_id).alias("node_id"), "event.event_type", "timestamp", "session_id", "attacker_ip", "protocol", "event.details", "incident")
+
+
+def micros(stamp: Column) -> Column:
+    return F.unix_micros(F.try_to_timestamp(F.regexp_replace(stamp, "Z$", "")))
+
+
+def with_durations(rows: DataFrame) -> DataFrame:
+    """service_rows() with `_lasted` in the details of incidents' session ends."""
+    ended = F.col("incident") & (F.col("event_type") == "session_end") & F.col("_lasted").isNotNull()
+    return rows.withColumn("details", F.when(ended, _details(status=F.lit("closed"), duration_seconds=F.col("_lasted"))).otherwise(F.col("details"))).drop("_lasted", "incident")
+
+
+def service_events(lines: DataFrame, node_id: str) -> DataFrame:
+    """service_rows() in which an incident's session end has its duration, from the session's latest earlier accept; a connection record has no end to measure."""
+    out = service_rows(lines, node_id)
+    at = micros(F.col("timestamp"))
     before = Window.partitionBy("session_id").orderBy("timestamp", F.when(F.col("event_type") == "connection", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, -1)
     opened = F.last(F.when(F.col("incident") & (F.col("event_type") == "connection"), at), ignorenulls=True).over(before)
-    lasted = F.round((at - opened) / 1e6, 3)
-    ended = F.col("incident") & (F.col("event_type") == "session_end") & F.col("_lasted").isNotNull()
-    out = out.withColumn("_lasted", lasted)
-    return out.withColumn("details", F.when(ended, _details(status=F.lit("closed"), duration_seconds=F.col("_lasted"))).otherwise(F.col("details"))).drop("_lasted", "incident")
+    return with_durations(out.withColumn("_lasted", F.round((at - opened) / 1e6, 3)))
 
 
 def skipped_services(lines: DataFrame, limit: int = 6) -> DataFrame:
