@@ -70,11 +70,16 @@ ADDRESS_RULES = {"brute_force": _brute_force, "credential_spray": _credential_sp
 
 def address_findings(events: DataFrame, since: str, config: Config, names: list[str]) -> DataFrame:
     """The findings of several rules about addresses, from one aggregation."""
+    return findings_of(address_counters(events, since), config, names)
+
+
+def findings_of(counters: DataFrame, config: Config, names: list[str]) -> DataFrame:
+    """The findings of several rules about addresses, from address_counters() or what equals them."""
     made = []
     for name in names:
         holds, level, stamp, text, key = ADDRESS_RULES[name](config)
         made.append(F.when(holds, F.struct(F.lit(name).alias("alert_type"), level.alias("severity"), stamp.alias("timestamp"), text.alias("description"), F.concat_ws("|", F.lit(name), *key).alias("dedupe_key"))))
-    rows = address_counters(events, since).select("attacker_ip", F.explode(F.array_compact(F.array(*made))).alias("found"))
+    rows = counters.select("attacker_ip", F.explode(F.array_compact(F.array(*made))).alias("found"))
     return rows.select("found.alert_type", "attacker_ip", "found.severity", "found.timestamp", "found.description", F.lit(None).cast("string").alias("session_id"), "found.dedupe_key")
 
 
@@ -136,8 +141,14 @@ def post_auth_activity(events: DataFrame, reputation: DataFrame, since: str, con
     ran = (F.col("event_type") == "command") & (F.col("timestamp") >= since)
     rows = events.where(F.col("session_id").isNotNull() & (accepted | ran)).groupBy("session_id", "attacker_ip", "node_id")
     rows = rows.agg(F.count_if(accepted).alias("logins"), F.count(F.when(ran, F.col("event_id"))).alias("commands"), F.max(F.when(ran, F.col("timestamp"))).alias("last_ts"))
-    session = Window.partitionBy("session_id")
-    rows = rows.withColumn("last_ts", F.max("last_ts").over(session)).withColumn("n", F.col("logins") * F.sum("commands").over(session)).where("logins > 0 and last_ts is not null")
+    # sums by session meet the groups with logins: no window gathers a session's or an address's rows
+    typed = rows.groupBy("session_id").agg(F.max("last_ts").alias("last_ts"), F.sum("commands").alias("commands")).where("last_ts is not null")
+    return post_auth_findings(rows.where("logins > 0").drop("last_ts", "commands"), typed)
+
+
+def post_auth_findings(logins: DataFrame, typed: DataFrame) -> DataFrame:
+    """Findings of (session_id, attacker_ip, node_id, logins) with the session's (session_id, commands, last_ts)."""
+    rows = logins.join(typed, "session_id").withColumn("n", F.col("logins") * F.col("commands"))
     text = F.format_string("authenticated session %s on %s executed %d command(s) after a successful login", "session_id", "node_id", "n")
     return _findings(rows, "post_auth_activity", F.lit("high"), F.col("last_ts"), text, [F.col("session_id"), F.col("n").cast("string")], F.col("session_id"))
 
@@ -167,6 +178,11 @@ def evaluated(events: DataFrame, reputation: DataFrame, since: str, config: Conf
     together = [(make, [x for x in names if x in of]) for of, make in SHARED]
     passes = [make(events, since, config, own) for make, own in together if own]
     passes += [RULES[x](events, reputation, since, config) for x in names if not any(x in of for of, _ in SHARED)]
+    return in_order(passes, config)
+
+
+def in_order(passes: list[DataFrame], config: Config = DEFAULT) -> DataFrame:
+    """The findings of several passes, with rule_order."""
     out = passes[0]
     for one in passes[1:]:
         out = out.unionByName(one)
@@ -205,10 +221,9 @@ def new_alerts(findings: DataFrame, now: str, existing: DataFrame | None = None,
     rows = rows.withColumn("candidate", F.col("first") & ~F.col("known"))
     # as one sortable value, of which the largest comes first
     rows = rows.withColumn("place", F.struct(rank(F.col("severity")), "timestamp", -F.col("rule_order"), "dedupe_key"))
-    # rules that never cool down have a finding for each event: each is a group of its own, so that no address gathers them
-    alone = F.when(F.col("alert_type").isin(*config.no_cooldown), F.col("alert_id"))
-    leader = F.max(F.when(F.col("candidate") & F.col("fresh"), F.col("place"))).over(Window.partitionBy("attacker_ip", "alert_type", alone))
-    rows = rows.withColumn("leader", leader)
+    # the leader of an address and type is a maximum, found by partial aggregation and joined back: rules that never cool down have none
+    leaders = rows.where(F.col("candidate") & F.col("fresh")).groupBy("attacker_ip", "alert_type").agg(F.max("place").alias("leader"))
+    rows = rows.join(leaders, ["attacker_ip", "alert_type"], "left")
     kept = rows.where(F.col("candidate") & ~F.col("cooling") & ~F.coalesce(F.col("leader") > F.col("place"), F.lit(False)))
     return kept.select("alert_id", "attacker_ip", "session_id", "alert_type", "severity", "timestamp", "description", F.lit("open").alias("status"))
 
