@@ -167,9 +167,8 @@ def hourly_of_node(events: DataFrame, node: str, since: str) -> DataFrame:
 # -- map --------------------------------------------------------------------
 
 
-def _placed(events: DataFrame, reputation: DataFrame, since: str | None, *columns: str) -> DataFrame:
-    where = reputation.where("latitude is not null and longitude is not null").select("attacker_ip", *columns)
-    return _since(events, since).where("attacker_ip is not null").join(where, "attacker_ip")
+def _places(reputation: DataFrame, *columns: str) -> DataFrame:
+    return reputation.where("latitude is not null and longitude is not null").select("attacker_ip", *columns)
 
 
 def attack_origins(events: DataFrame, reputation: DataFrame, since: str | None = None, limit: int = 200) -> DataFrame:
@@ -180,18 +179,20 @@ def attack_origins(events: DataFrame, reputation: DataFrame, since: str | None =
         .groupBy("attacker_ip")
         .agg(_n().alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("node_id").alias("nodes"), _n(_kind("login_success")).alias("login_successes"), F.max("timestamp").alias("last_seen"))
     )
-    where = reputation.where("latitude is not null and longitude is not null").select("attacker_ip", "country", "city", "latitude", "longitude", "abuse_score", "profile_score")
+    where = _places(reputation, "country", "city", "latitude", "longitude", "abuse_score", "profile_score")
     return own.join(where, "attacker_ip").withColumn("risk_score", risk(F.col("abuse_score"), F.col("profile_score"))).orderBy(F.desc("events"), "attacker_ip").limit(limit)
 
 
 def attack_paths(events: DataFrame, reputation: DataFrame, since: str | None = None, limit: int = 400) -> DataFrame:
     """(attacker_ip, node_id, events, last_seen) of addresses with coordinates, busiest first."""
-    rows = _placed(events, reputation, since).groupBy("attacker_ip", "node_id").agg(_n().alias("events"), F.max("timestamp").alias("last_seen"))
-    return rows.orderBy(F.desc("events"), "attacker_ip", "node_id").limit(limit)
+    own = _since(events, since).where("attacker_ip is not null").groupBy("attacker_ip", "node_id").agg(_n().alias("events"), F.max("timestamp").alias("last_seen"))
+    return own.join(_places(reputation), "attacker_ip").orderBy(F.desc("events"), "attacker_ip", "node_id").limit(limit)
 
 
 def attack_extent(events: DataFrame, reputation: DataFrame, since: str | None = None) -> DataFrame:
-    return _placed(events, reputation, since).agg(_n().alias("events"), F.count_distinct("attacker_ip").alias("origins"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    own = _since(events, since).where("attacker_ip is not null").groupBy("attacker_ip").agg(_n().alias("events"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    placed = own.join(_places(reputation), "attacker_ip")
+    return placed.agg(F.coalesce(F.sum("events"), F.lit(0).cast("long")).alias("events"), F.count(F.lit(1)).alias("origins"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def placed_nodes(nodes: DataFrame, configured: dict[str, tuple[float, float]]) -> DataFrame:
@@ -251,7 +252,8 @@ def node_statistics(nodes: DataFrame, events: DataFrame, alerts: DataFrame, sinc
         _n(new).alias("events_recent"), _n(new & ~beat).alias("attacks_recent"), _n(new & beat).alias("heartbeats_recent"),
     )
     fired = _since(alerts, since).where("session_id is not null").select("alert_id", "session_id")
-    touched = events.where("session_id is not null").select("session_id", "node_id").distinct()
+    # only the sessions of recent alerts, not those of all time, are made distinct
+    touched = events.select("session_id", "node_id").join(fired.select("session_id").distinct(), "session_id", "left_semi").distinct()
     per = fired.join(touched, "session_id").groupBy("node_id").agg(F.count_distinct("alert_id").alias("alerts_recent"))
     out = nodes.join(own, "node_id", "left").join(per, "node_id", "left")
     zero = ["events_total", "sessions_total", "attackers_total", "events_recent", "attacks_recent", "heartbeats_recent", "alerts_recent"]

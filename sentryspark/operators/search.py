@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from sentryspark.config import SEVERITIES
 from sentryspark.functions.scalar import at_least, classified, contains, field, first_pattern, once, rank, risk, seconds
 from sentryspark.operators.rollups import attacker_summary, public_sessions, session_counters
+from sentryspark.sources.tables import stored
 
 Filters = dict[str, object]
 
@@ -87,7 +88,7 @@ def matching_attackers(rows: DataFrame, filters: Filters, events: DataFrame) ->
         conditions.append(F.col("last_seen") >= str(filters["since"]))
     out = _where(rows, conditions)
     if _text(filters, "node"):
-        out = out.join(events.where(F.col("node_id") == _text(filters, "node")).select("attacker_ip"), "attacker_ip", "left_semi")
+        out = out.join(events.where(F.col("node_id") == _text(filters, "node")).select("attacker_ip").distinct(), "attacker_ip", "left_semi")
     return out
 
 
@@ -153,11 +154,27 @@ def transcript_counts(events: DataFrame) -> DataFrame:
 def adjacent_sessions(sessions: DataFrame) -> DataFrame:
     """(session_id, prev, next, position, sessions) among those of the same address, newest first.
 
-    An address's sessions are ordered in one task, which sorts them on disk where they don't fit: only ids, times and addresses are read.
+    Sessions are dealt by ranges of address and time, so one address's lie in as many partitions as its size asks for, and each partition is looked at alone.
+    What crosses borders is small: of each partition the number of its rows and the border ids of its first and its last address, from which every
+    address that lies across them gets the places and neighbours of its parts.
     """
-    rows = sessions.where("attacker_ip is not null")
-    line = Window.partitionBy("attacker_ip").orderBy(F.desc("start_time"), "session_id")
-    return rows.select("session_id", "attacker_ip", F.lag("session_id").over(line).alias("prev"), F.lead("session_id").over(line).alias("next"), F.row_number().over(line).cast("long").alias("position"), F.count(F.lit(1)).over(Window.partitionBy("attacker_ip")).alias("sessions"))
+    rows = sessions.where("attacker_ip is not null").select("session_id", "attacker_ip", F.coalesce("start_time", F.lit("")).alias("at"))
+    rows = stored(rows.repartitionByRange("attacker_ip", F.desc("at"), "session_id").withColumn("part", F.spark_partition_id()), "session-ranges")
+    line = Window.partitionBy("part", "attacker_ip").orderBy(F.desc("at"), "session_id")
+    own = rows.select("*", F.lag("session_id").over(line).alias("before"), F.lead("session_id").over(line).alias("after"), F.row_number().over(line).cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy("part", "attacker_ip")).alias("n"))
+    groups = own.groupBy("part", "attacker_ip").agg(F.max("n").alias("n"), F.max(F.when(F.col("place") == 1, F.col("session_id"))).alias("first"), F.max(F.when(F.col("place") == F.col("n"), F.col("session_id"))).alias("last"))
+    ends = rows.groupBy("part").agg(F.min("attacker_ip").alias("least"), F.max("attacker_ip").alias("most"))
+    # two rows a partition at most: only its first and last address can go on in another
+    border = groups.join(F.broadcast(ends), "part").where((F.col("attacker_ip") == F.col("least")) | (F.col("attacker_ip") == F.col("most")))
+    across, whole = Window.partitionBy("attacker_ip").orderBy("part"), Window.partitionBy("attacker_ip")
+    carried = border.select(
+        "part", "attacker_ip", F.coalesce(F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("n").over(whole).alias("all"), F.lag("last").over(across).alias("from"), F.lead("first").over(across).alias("to"),
+    )
+    out = own.join(F.broadcast(carried), ["part", "attacker_ip"], "left")
+    return out.select(
+        "session_id", "attacker_ip", F.coalesce("before", F.when(F.col("place") == 1, F.col("from"))).alias("prev"), F.coalesce("after", F.when(F.col("place") == F.col("n"), F.col("to"))).alias("next"),
+        (F.col("place") + F.coalesce("ahead", F.lit(0))).alias("position"), F.coalesce("all", "n").alias("sessions"),
+    )
 
 
 def events_of(events: DataFrame, ip: str, limit: int = 200) -> DataFrame:

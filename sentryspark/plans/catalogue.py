@@ -44,9 +44,10 @@ class Tables:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        """A pass's new alerts; a few are acknowledged or closed, by their ids."""
+        """A pass's new alerts, stored, as a system's are; a few are acknowledged or closed, by their ids."""
         last = F.substring("alert_id", 36, 1)
-        return rules.new_alerts(self.findings, NOW).withColumn("status", F.when(last == "0", "acknowledged").when(last == "1", "closed").otherwise("open"))
+        fresh = rules.new_alerts(self.pass_findings, NOW).withColumn("status", F.when(last == "0", "acknowledged").when(last == "1", "closed").otherwise("open"))
+        return tables.stored(fresh, "alerts")
 
     @cached_property
     def pass_findings(self) -> DataFrame:
@@ -467,4 +468,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts of a pass over the whole log."""
-    return rules.new_alerts(Tables(spark, sf_dir).findings, NOW)
+    return rules.new_alerts(Tables(spark, sf_dir).pass_findings, NOW)
