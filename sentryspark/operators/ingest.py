@@ -240,6 +240,28 @@ def profile_inputs(events: DataFrame) -> DataFrame:
     )
 
 
+def profile_inputs_of(events: DataFrame, addresses: DataFrame) -> DataFrame:
+    """profile_inputs() for each of (attacker_ip), with a row of zeroes for an address that has no events."""
+    wanted = addresses.select("attacker_ip").where("attacker_ip is not null").distinct()
+    found = profile_inputs(events.join(wanted, "attacker_ip", "left_semi"))
+    return wanted.join(found, "attacker_ip", "left").select("attacker_ip", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in found.columns if c != "attacker_ip"))
+
+
+def ingest_report(lines: DataFrame, history: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """(outcome, n) of lines (line, seq, received_at): accepted, duplicate and rejected, each with a row."""
+    checked = validated(lines, config)
+    good = outcomes(normalized(checked), history).select("outcome")
+    each = good.unionByName(checked.where(F.size("errors") > 0).select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    spine = lines.sparkSession.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("accepted", "duplicate", "rejected")))).alias("outcome"))
+    return spine.join(each, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def validation_report(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(lines, conforming, not_conforming) of a file of lines."""
+    bad = F.count_if(F.size("errors") > 0)
+    return validated(lines, config).agg(F.count(F.lit(1)).alias("lines"), (F.count(F.lit(1)) - bad).alias("conforming"), bad.alias("not_conforming"))
+
+
 def enriched(queue: DataFrame, lookups: DataFrame, inputs: DataFrame, now: str) -> DataFrame:
     """Reputation rows for a queue of addresses, from a dimension of lookup results (attacker_ip, country, city, latitude, longitude, abuse_score, source).
 
