@@ -184,10 +184,10 @@ def register(add, lines, valid: str, inputs: str) -> None:
         SELECT name, sender, CASE WHEN part % 7 = 6 THEN 422 WHEN part % 5 = 4 THEN 401 WHEN n > 20 THEN 422 WHEN alien THEN 403 ELSE 200 END::INT AS status FROM (
           SELECT node_id || '_' || (seq // CASE WHEN (seq // 360) % 2 = 0 THEN 45 ELSE 90 END) AS name, max(seq // CASE WHEN (seq // 360) % 2 = 0 THEN 45 ELSE 90 END) AS part, count(*) AS n,
             min(CASE WHEN (seq // 45) % 14 = 3 THEN 'node-01' ELSE node_id END) AS sender, bool_or(node_id <> 'node-01') AND min(CASE WHEN (seq // 45) % 14 = 3 THEN 'node-01' ELSE node_id END) = 'node-01' AS alien FROM ev GROUP BY 1)""")
-    last = duck.secs("(SELECT max(received_at) FROM ev)")
+    last, own_last = (duck.secs(f"(SELECT max(received_at) FROM ev{x})") for x in ("", " WHERE session_id IS NOT NULL"))
     add("stream_sessions", lambda t: _changes(t, lambda x: state.session_changes(x, arrived=_arrived()), "session_id").select(*SESSIONS.fieldNames()), f"""
         SELECT session_id, node_id, attacker_ip, protocol, username, password, start_time, CASE WHEN stale THEN coalesce(end_time, start_time) ELSE end_time END AS end_time, CASE WHEN stale THEN 'failed' ELSE status END AS status
-        FROM (SELECT s.*, coalesce(status = 'active' AND {last} - {duck.secs("coalesce(l.last, start_time)")} > 3600, false) AS stale FROM sessions s LEFT JOIN (SELECT session_id, max(timestamp) AS last FROM ev GROUP BY 1) l USING (session_id)) s""")
+        FROM (SELECT s.*, coalesce(status = 'active' AND {own_last} - {duck.secs("coalesce(l.last, start_time)")} > 3600, false) AS stale FROM sessions s LEFT JOIN (SELECT session_id, max(timestamp) AS last FROM ev GROUP BY 1) l USING (session_id)) s""")
     add("stream_nodes", lambda t: _changes(t, lambda x: state.node_changes(x, _arrived()), "node_id").select("node_id", "last_seen", "status"), f"SELECT node_id, max(timestamp) AS last_seen, CASE WHEN {last} - {duck.secs('max(timestamp)')} > 180 THEN 'offline' ELSE 'online' END AS status FROM ev GROUP BY 1")
     timed = f"""
         SELECT event_type, replace(timestamp, 'Z', '.250000Z') AS timestamp, '{NODE}:' || substr(sha256(session_id), 1, 16) AS session_id, attacker_ip, CASE WHEN event_type = 'session_end' THEN

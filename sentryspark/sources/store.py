@@ -91,7 +91,9 @@ class Runs:
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, merge: Merge | None = None, prefix: Column | None = None, order: list[str] | None = None, fan_in: int = 8, most: int = 4096, options: dict[str, str] | None = None):
         self.spark, self.path, self.schema, self.merge, self.prefix, self.order = spark, path, schema, merge, prefix, order
-        self.fan_in, self.most, self.options, self.manifests = fan_in, most, options or {}, _Manifests(spark, path)
+        self.fan_in, self.most, self.options, self.manifests = fan_in, 1, options or {}, _Manifests(spark, path)
+        while self.most * fan_in <= most:  # a power of fan_in, so that a row's prefix in a run follows from that in a larger one
+            self.most *= fan_in
 
     def state(self, before: int | None = None) -> dict:
         return self.manifests.last(before) or {"number": -1, "runs": [], "gone": [], "note": {}}

@@ -2,7 +2,7 @@
 
 Ids lie in levels of runs, partitioned by a prefix of their hash, in files with Bloom filters. A batch with few ids sends them
 as a filter to the files of their prefixes only: row groups whose range or Bloom filter excludes them are not read. A batch
-with many ids joins them. Either way no id is ever too old to be found, and a batch reads about a file of its own size for each
+with many ids joins them with the files of their prefixes. Either way no id is ever too old to be found, and a batch reads about a file of its own size for each
 of its prefixes and level, whatever the length of the log.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sentryspark.sources.store import Runs
 
 SCHEMA = StructType([StructField("event_id", StringType())])
-#: Ids that go to the files as a filter, at most.
-FILTERED_IDS = 10_000
+#: Ids that go to the files as a filter, at most: Spark makes a chain of comparisons of it.
+FILTERED_IDS = 256
 #: Bytes of a joined batch's ids that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 OPTIONS = {"parquet.bloom.filter.enabled#event_id": "true", "parquet.bloom.filter.fpp#event_id": "0.0001", "parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20)}
@@ -36,7 +36,8 @@ class Ids:
             return self._filtered({r["event_id"]: r["hash"] for r in asked}, before)
         size = ids.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("event_id")).alias("most")).first()
         small = size["n"] * (64 + size["most"]) <= BROADCAST_BYTES
-        return self.runs.rows(before).join(F.broadcast(ids) if small else ids, "event_id", "left_semi").distinct()
+        parts = [r[0] for r in ids.select(F.pmod(self.hash, F.lit(self.runs.most))).distinct().collect()]  # runs.most rows at most
+        return self.runs.rows(before, parts).join(F.broadcast(ids) if small else ids, "event_id", "left_semi").distinct()
 
     def _filtered(self, asked: dict[str, int], before: int) -> DataFrame:
         if not asked:

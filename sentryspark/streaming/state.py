@@ -121,7 +121,7 @@ def session_changes(events: DataFrame, config: Config = DEFAULT, arrived: Column
     """A stream of SESSION_CHANGES from a stream of events: ingest.folded_sessions() kept up to date.
 
     With `arrived`, a timestamp, sessions without an event for longer than the timeout fail once the watermark on it has passed that, as in
-    ingest.closed_stale_sessions(); without, there are no timers.
+    ingest.closed_stale_sessions(); without, there are no timers. Only events of sessions move that clock.
     """
     status = F.when(field("status").isin("failed", "error"), "failed").otherwise("closed")
     rows = events.where("session_id is not null").select("session_id", "seq", "node_id", "attacker_ip", "protocol", field("username").alias("username"), field("password").alias("password"), F.when(F.col("event_type") == "session_end", status).alias("ended"), "timestamp", seconds(F.col("timestamp")).alias("second"), *([] if arrived is None else [arrived.alias("arrived")]))
