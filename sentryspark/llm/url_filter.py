@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.llm.common import fits, joined, stored
+from sentryspark.llm.common import discarded, fits, joined, stored
 
 DAMPING = 0.85
 #: Steps of the SQL and of propagated() unless it is told otherwise; the query goes on until the masses have converged.
@@ -109,18 +109,19 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, ste
         both = now.join(before.withColumnRenamed("mass", "was"), ["host", "kind"], "full")
         return both.where(apart(F.coalesce("mass", F.lit(0.0)), F.coalesce("was", F.lit(0.0)))).limit(1).count() > 0
 
-    if steps is None:
-        before, now = None, start
-        while before is None or moves(now, before, lambda mass, was: F.abs(mass - was) > TOLERANCE * mass):
-            before = now
-            for _ in range(EVERY):
-                now = step(now)
-            now = stored(now, "url-mass")
-        return now
-    now = seeds
-    for _ in range(steps):
-        before, now = now, stored(step(now), "url-mass")
-        if not moves(now, before, lambda mass, was: F.abs(mass - was) > EPSILON):
+    now, left = (start, EVERY) if steps is None else (seeds, 1)
+    apart = (lambda mass, was: F.abs(mass - was) > TOLERANCE * mass) if steps is None else (lambda mass, was: F.abs(mass - was) > EPSILON)
+    rounds = 0
+    while steps is None or rounds < steps:
+        before = now
+        for _ in range(left):
+            now = step(now)
+        now = stored(now, "url-mass")
+        moving = moves(now, before, apart)
+        if rounds:
+            discarded(before)  # the round before the last one's: nothing reads it any more
+        rounds += 1
+        if not moving:
             break
     return now
 

@@ -92,3 +92,17 @@ def test_distrust_goes_down_a_long_chain(spark):
 def test_empty(spark):
     assert verdicts(spark, []) == {}
 
+
+
+def test_only_the_last_step_is_left(spark):
+    before = len(list(_masses(spark)))
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", "trust", 1.0)], "host string, kind string, mass double")
+    assert propagated(edges, seeds, steps=None).count() == 3
+    assert len(list(_masses(spark))) == before + 1
+
+
+def _masses(spark):
+    from pathlib import Path
+
+    return Path(spark.conf.get("spark.checkpoint.dir")).glob("url-mass-*")
