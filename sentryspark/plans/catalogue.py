@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sentryspark.config import DEFAULT, ID_NAMESPACE, Config
 from sentryspark.functions.scalar import COMMAND_PATTERNS, field, percent, profile_score, projected, score_band, stamp_of
 from sentryspark.operators import feed, ingest, mappers, rollups, rules, search
-from sentryspark.plans import duck, live, screens
+from sentryspark.plans import duck, edges, live, screens
 from sentryspark.sources import tables
 from sentryspark.streaming import pipeline
 
@@ -461,6 +461,7 @@ add("screen_cycle_sessions", lambda t: screens.cycle(t, SINCE, NOW, tables.new_f
 ORACLES["screen_cycle_sessions"] = ORACLES["stale_session_close"].replace("2024-01-30T12:00:00Z", NOW)
 add("screen_dossier", lambda t: screens.dossier(t, IP, NOW)["csv"].drop("reputation_latitude", "reputation_longitude"), f"SELECT s.*, country AS reputation_country, city AS reputation_city, abuse_score AS reputation_abuse_score, source AS reputation_source, profile_score AS reputation_profile_score, last_updated AS reputation_last_updated FROM summary s LEFT JOIN rep USING (attacker_ip) WHERE s.attacker_ip = '{IP}'")
 live.register(add, _lines, _VALID, _INPUTS)
+edges.register(add, _lines, _VALID)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

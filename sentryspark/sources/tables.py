@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from sentryspark.schema import TABLES
 
 
+#: Log files whose places may be broadcast.
+BROADCAST_FILES = 10_000
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One of the five tables from Parquet, by its fixed schema."""
     return spark.read.schema(TABLES[name]).parquet(path)
@@ -45,8 +49,10 @@ def read_lines(spark: SparkSession, path: str, since: str | None = None) -> Data
 def file_order(lines: DataFrame, live: str) -> DataFrame:
     """lines with `age`, the place of their file among those of a rotated log, oldest first: by what follows the name `live`, which comes last itself."""
     suffix = F.ltrim(F.substring_index("file", "/", -1).substr(F.lit(len(live) + 1), F.lit(1 << 20)), F.lit("."))
-    files = lines.select("file").distinct().withColumn("age", F.row_number().over(Window.orderBy(suffix == "", suffix, "file")))  # a row for each file
-    return lines.join(F.broadcast(files), "file")
+    files = stored(lines.select("file").distinct().select("file", (suffix == "").alias("now"), suffix.alias("suffix")), "log-files")
+    # a row for each file, of its name alone
+    own = files.withColumn("age", F.row_number().over(Window.orderBy("now", "suffix", "file"))).select("file", "age")
+    return lines.join(F.broadcast(own) if files.count() <= BROADCAST_FILES else own, "file")
 
 
 def parsed_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
