@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from sentryspark.config import DEFAULT, EVENT_TYPES, PROTOCOLS, Config
 from sentryspark.functions import jsontext
-from sentryspark.functions.scalar import field, is_address, is_private, joined_sources, profile_score, seconds, truncated
+from sentryspark.functions.scalar import field, is_address, is_private, joined_sources, once, profile_score, seconds, truncated
 
 FIELDS = ("event_id", "node_id", "event_type", "timestamp", "session_id", "attacker_ip", "protocol", "details")
 #: For each type, the keys that details may have, those it must have, and those of which one is needed.
@@ -107,7 +107,7 @@ def validated(lines: DataFrame, config: Config = DEFAULT, profile: str = "storag
         .when(~F.coalesce(named, F.lit(False)), F.array(F.concat(F.lit("event_type '"), F.coalesce(kind, F.lit("null")), F.lit("' is not an allowed type"))))
         .otherwise(F.array_compact(F.array(*reasons)))
     )
-    return parsed(lines, line_col).withColumn("errors", errors)
+    return parsed(lines, line_col).withColumn("errors", once(errors))
 
 
 def problem_counts(checked: DataFrame, limit: int | None = None) -> DataFrame:

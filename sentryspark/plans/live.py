@@ -147,7 +147,7 @@ def _kept(t) -> Rollups:
 
 
 def _panes(t) -> DataFrame:
-    panes = Panes(t.spark, tables.new_folder(t.spark, "panes"), width=21_600, fan_in=2)
+    panes = Panes(t.spark, tables.new_folder(t.spark, "panes"), width=86_400, fan_in=2)
     for number, rows in enumerate(_thirds(t)):
         panes.add(rows, number)
     return panes.evaluated(t.reputation, SINCE)

@@ -45,14 +45,14 @@ def test_ids_of_any_age_are_known(spark, tmp_path, filtered):
 
 def test_a_batch_reads_the_same_however_long_the_log_is(spark, tmp_path):
     store, cost = Ids(spark, str(tmp_path / "ids"), fan_in=3), {}
-    for number in range(41):
+    for number in range(28):
         store.add(ids(spark, range(number * 1000, number * 1000 + 1000)), number)
-        if number in (4, 13, 40):
+        if number in (4, 13, 27):
             asked = stored(ids(spark, [3, 10**7, 10**7 + 1]), "asked")
             before = bytes_read(spark)
             assert store.known(asked, number + 1).count() == 1
             cost[number] = bytes_read(spark) - before
-    assert cost[40] < 2 * cost[13] and cost[40] < 41_000 * 36 / 4  # three times the log: one level more, not three times the bytes
+    assert cost[27] < 2 * cost[13] and cost[27] < 28_000 * 36 / 3  # twice the log: one level more, not three times the bytes
 
 
 def test_sequence_numbers_never_overlap(spark, tmp_path):
