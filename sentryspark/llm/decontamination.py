@@ -22,6 +22,8 @@ SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 #: Items of up to so many shingles are hit by any shingle of a document: the few minima shared with them could be missed.
 SMALL_ITEM = 8
+#: Shingles of small items that are looked for beside a document's minima; for more of them, all its shingles are sent.
+SMALL_HASHES = 4096
 #: What parts two words, after lower-casing.
 GAPS = r"[^\p{L}\p{N}]+"
 
@@ -60,15 +62,21 @@ def item_minima(items: DataFrame, n_words: int) -> DataFrame:
     return at.select(F.col("id").alias("item_id"), "hash", first.cast("int").alias("first_class"), "n_item")
 
 
-def document_minima(docs: DataFrame, n_words: int, others: bool = False) -> DataFrame:
-    """(doc_id, class, hash, least): the minimal hash of each bin of each document; with `others`, all hashes, and whether they are minimal."""
+def document_minima(docs: DataFrame, n_words: int, small: list[int] | None = None) -> DataFrame:
+    """(doc_id, class, hash, least): the minimal hash of each bin of each document, and those of its hashes that are in `small`; None: all hashes. least says whether they are minimal."""
     own = _shingles(docs, _hash, n_words)
     own = own.withColumn("class", (F.ceil(F.log2(F.size("set"))) + 1).cast("int"))
     least = "i = 0 or shiftrightunsigned(x, 64 - class) <> shiftrightunsigned(get(set, i - 1), 64 - class)"
-    if others:
+    if small is None:
         marked = own.select(F.col("id").alias("doc_id"), "class", F.explode(F.expr(f"transform(set, (x, i) -> struct(x as hash, {least} as least))")).alias("one"))
         return marked.select("doc_id", "class", "one.hash", "one.least")
-    return own.select(F.col("id").alias("doc_id"), "class", F.explode(F.expr(f"filter(set, (x, i) -> {least})")).alias("hash"), F.lit(True).alias("least"))
+    minima = own.select(F.col("id").alias("doc_id"), "class", "set", F.expr(f"filter(set, (x, i) -> {least})").alias("minima"))
+    if not small:
+        return minima.select("doc_id", "class", F.explode("minima").alias("hash"), F.lit(True).alias("least"))
+    wanted = F.array(*(F.lit(x).cast("long") for x in small))
+    both = minima.select("doc_id", "class", once(F.col("minima")).alias("minima"), F.array_intersect("set", wanted).alias("met"))
+    hit = F.concat(F.transform("minima", lambda x: F.struct(x.alias("hash"), F.lit(True).alias("least"))), F.transform(F.array_except("met", "minima"), lambda x: F.struct(x.alias("hash"), F.lit(False).alias("least"))))
+    return both.select("doc_id", "class", F.explode(hit).alias("one")).select("doc_id", "class", "one.hash", "one.least")
 
 
 def contaminated(
@@ -86,7 +94,8 @@ def contaminated(
     wanted = stored(items.select(items[item_id_col].cast("long").alias("id"), words(items[item_text_col]).alias("w")).where("id is not null"), "items")
     minima = stored(item_minima(wanted, n_words), "item-minima")
     known = minima.count()
-    small = minima.where(F.col("n_item") <= SMALL_ITEM).limit(1).count() > 0
+    own_small = minima.where(F.col("n_item") <= SMALL_ITEM).select("hash").distinct().limit(SMALL_HASHES + 1).collect()
+    small = [r["hash"] for r in own_small] if len(own_small) <= SMALL_HASHES else None
     counts = (F.col("least") & (F.col("class") >= F.col("first_class"))) | (F.col("n_item") <= SMALL_ITEM)
     hits = document_minima(own, n_words, small).join(sized(minima, known, 64), "hash").where(counts).select("doc_id", "item_id", "hash", "n_item")
     enough = F.greatest(F.lit(1), F.floor(F.col("n_item") / 5) - 1)
