@@ -6,7 +6,6 @@ import random
 import re
 from collections import defaultdict
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
