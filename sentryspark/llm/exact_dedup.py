@@ -1,8 +1,9 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
 Every partition of the input makes one sorted run of (digest, check, id) entries, reduced to
-one entry for each text. In each round, FAN_IN neighbouring runs of a digest range (a shard) meet in
-one group; Spark's external sort is the multiway merge, as its shuffle doesn't keep the runs' order, and a streaming pass keeps the
+one entry for each text and packed into chunks, each of them sorted and known by its first digest, its head. In each round,
+FAN_IN neighbouring runs of a digest range (a shard) are merged: Spark orders chunks by their heads, and a streaming pass
+merges their entries, of which those before the newest head are done, so that it holds about a chunk of each run. It keeps the
 smallest identifier of each digest, after comparing the full SHA-256 (the check) so that two
 texts whose 64-bit digests collide stay apart. A digest has at most FAN_IN entries in a group, so
 thousands of copies never meet in one task. The last round leaves one run for each shard.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,12 @@ FAN_IN = 8
 #: Shards for each shuffle partition, so that hashing deals them evenly.
 SHARDS_PER_PARTITION = 8
 
-_RUN = "shard int, run int, digest long, sha binary, keep_id long, keep_row long, n long"
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+#: Entries in a chunk, and chunks that are merged at once.
+CHUNK = 256
+BLOCK = 64
+
+_RUN = "shard int, run int, head long, digests array<long>, shas binary, keep_ids array<long>, keep_rows array<long>, ns array<long>"
+_ENTRY = np.dtype([("shard", "i4"), ("run", "i4"), ("digest", "i8"), ("sha", "S32"), ("absent", "?"), ("id", "i8"), ("row", "i8"), ("n", "i8")])
 
 
 def _order() -> list:
@@ -40,37 +46,107 @@ def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def _retain_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted entries, keep the first of each (shard, run, digest, sha) and add up the counts; a key may span batches."""
-    held = None
+def _entries(shard, run, digest, sha: bytes, ids: pa.Array, rows, n) -> np.ndarray:
+    out = np.zeros(len(digest), _ENTRY)
+    out["shard"], out["run"], out["digest"], out["sha"], out["row"], out["n"] = shard, run, digest, np.frombuffer(sha, "S32"), rows, n
+    out["absent"], out["id"] = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _smallest(entries: np.ndarray) -> np.ndarray:
+    """Entries in order, the first of each (shard, run, digest, sha) with the sum of the counts. The sort is stable, so ordered stretches are merged."""
+    entries = entries[np.lexsort([entries[x] for x in ("row", "id", "absent", "sha", "digest", "run", "shard")])]
+    first = np.ones(len(entries), bool)
+    first[1:] = np.logical_or.reduce([entries[x][1:] != entries[x][:-1] for x in ("shard", "run", "digest", "sha")])
+    at = np.flatnonzero(first)
+    kept = entries[at]
+    kept["n"] = np.add.reduceat(entries["n"], at)
+    return kept
+
+
+def _packed(entries: np.ndarray) -> pa.RecordBatch:
+    """Ordered entries as chunks of their shard and run."""
+    new = np.ones(len(entries), bool)
+    new[1:] = (entries["shard"][1:] != entries["shard"][:-1]) | (entries["run"][1:] != entries["run"][:-1])
+    place = np.arange(len(entries))
+    starts = np.flatnonzero((place - np.maximum.accumulate(np.where(new, place, 0))) % CHUNK == 0)
+    ends = np.append(starts, len(entries)).astype(np.int32)
+
+    def lists(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends), values)
+
+    shas = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * np.int32(32)), pa.py_buffer(np.ascontiguousarray(entries["sha"]).tobytes())])
+    shard, run, head = (pa.array(np.ascontiguousarray(entries[x][starts])) for x in ("shard", "run", "digest"))
+    digests, rows, ns = (lists(pa.array(np.ascontiguousarray(entries[x]))) for x in ("digest", "row", "n"))
+    ids = lists(pa.array(np.ascontiguousarray(entries["id"]), mask=entries["absent"]))
+    return pa.record_batch([shard, run, head, digests, shas, ids, rows, ns], ["shard", "run", "head", "digests", "shas", "keep_ids", "keep_rows", "ns"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> np.ndarray:
+    lengths = pc.list_value_length(batch.column("digests")).to_numpy()
+    shard, run = (np.repeat(batch.column(x).to_numpy(), lengths) for x in ("shard", "run"))
+    digests, rows, ns = (batch.column(x).flatten().to_numpy() for x in ("digests", "keep_rows", "ns"))
+    return _entries(shard, run, digests, b"".join(batch.column("shas").to_pylist()), batch.column("keep_ids").flatten(), rows, ns)
+
+
+def _merged(blocks: Iterator[tuple[np.ndarray, tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the smallest entries of blocks, each with the (shard, run, digest) before which no later block has entries."""
+    held = np.zeros(0, _ENTRY)
+    for block, (shard, run, digest) in blocks:
+        held = _smallest(np.concatenate([held, block]))
+        done = (held["shard"] < shard) | (held["shard"] == shard) & ((held["run"] < run) | (held["run"] == run) & (held["digest"] < digest))
+        if done.any():
+            yield _packed(held[done])
+        held = held[~done]
+    if len(held):
+        yield _packed(held)
+
+
+def _run_of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of a run from its entries in order."""
+
+    def blocks():
+        for batch in batches:
+            if batch.num_rows:
+                shard, run, digest, rows, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("shard", "run", "digest", "keep_row", "n"))
+                block = _entries(shard, run, digest, b"".join(batch.column("sha").to_pylist()), batch.column("keep_id"), rows, n)
+                yield block, tuple(block[["shard", "run", "digest"]][-1].tolist())
+
+    yield from _merged(blocks())
+
+
+def _run_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of the runs that arise from those of several, which come by their heads."""
+
+    def blocks():
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield _unpacked(part), tuple(part.column(x)[-1].as_py() for x in ("shard", "run", "head"))
+
+    yield from _merged(blocks())
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries that stand for several rows."""
     for batch in batches:
-        table = pa.table([x.cast(kind) for x, kind in zip(batch.columns, _KINDS, strict=True)], names=batch.schema.names)
-        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
-        if not table.num_rows:
-            continue
-        first = np.zeros(table.num_rows, bool)
-        first[0] = True
-        for name in ("shard", "run", "digest"):
-            values = table.column(name).to_numpy()
-            first[1:] |= values[1:] != values[:-1]
-        sha = np.frombuffer(b"".join(table.column("sha").to_pylist()), dtype="S1").reshape(-1, 32)
-        first[1:] |= (sha[1:] != sha[:-1]).any(axis=1)
-        at = np.flatnonzero(first)
-        kept = table.take(pa.array(at)).set_column(6, "n", pa.array(np.add.reduceat(table.column("n").to_numpy(), at)))
-        yield from kept.slice(0, len(at) - 1).to_batches()
-        held = kept.slice(len(at) - 1)
-    if held is not None:
-        yield from held.to_batches()
+        for at in range(0, batch.num_rows, BLOCK):
+            entries = _unpacked(batch.slice(at, BLOCK))
+            entries = entries[entries["n"] > 1]
+            raw = np.ascontiguousarray(entries["sha"]).tobytes()
+            shas = pa.array([raw[k : k + 32] for k in range(0, len(raw), 32)], pa.binary())
+            digest, row, n = (pa.array(np.ascontiguousarray(entries[x])) for x in ("digest", "row", "n"))
+            yield pa.record_batch([digest, shas, pa.array(np.ascontiguousarray(entries["id"]), mask=entries["absent"]), row, n], ["digest", "sha", "keep_id", "keep_row", "n"])
 
 
 def merge_round(runs: DataFrame, fan_in: int, partitions: int) -> DataFrame:
-    """One round: neighbouring runs of each shard are merged, retaining the smallest verified identifier."""
+    """One round: neighbouring runs of each shard are merged, retaining the smallest verified identifier. Only chunks are put in order, no entries."""
     return (
         runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
         .repartition(partitions, "shard", "run")
-        .sortWithinPartitions(*_order())
-        .mapInArrow(_retain_smallest, _RUN)
-    )
+        .sortWithinPartitions("shard", "run", "head")
+        .mapInArrow(_run_of_chunks, _RUN)
+    )
 
 
 def digest_runs(keyed: DataFrame, shards: int) -> DataFrame:
@@ -81,7 +157,7 @@ def digest_runs(keyed: DataFrame, shards: int) -> DataFrame:
             "run", "digest", "sha", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"),
         )
         .sortWithinPartitions(*_order())
-        .mapInArrow(_retain_smallest, _RUN)
+        .mapInArrow(_run_of_entries, _RUN)
     )
 
 
@@ -112,7 +188,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         runs, left = merge_round(runs, fan_in, partitions), -(-left // fan_in)
         if left == 1:
             break
-    groups = stored(runs.where("n > 1").select("digest", "sha", "keep_id", "keep_row", "n"), "exact-groups")
+    groups = stored(runs.mapInArrow(_repeated, "digest long, sha binary, keep_id long, keep_row long, n long"), "exact-groups")
     if fits(groups.count()):
         found = keyed.join(F.broadcast(groups), ["digest", "sha"], "left")
     else:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,45 @@ def test_exact_dedup_when_parallelism_changes(spark, monkeypatch):
     assert len(found) == 40 and [r["doc_id"] for r in found if r["kept"]] == [0] and {r["group_size"] for r in found} == {40}
 
 
+@pytest.mark.parametrize("chunk, block, fan_in", [(1, 1, 2), (3, 2, 3), (256, 64, 8)])
+def test_merge_of_chunked_runs(monkeypatch, chunk, block, fan_in):
+    monkeypatch.setattr(exact_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(exact_dedup, "BLOCK", block)
+    rng = random.Random(chunk)
+    # digests that two texts share, digests at both ends of the range, checks that end in zeros, and null ids
+    texts = [(d, bytes([x]) * 30 + b"\0\0") for d in [-(1 << 63), -5, 0, 7, 8, 9, (1 << 63) - 1] for x in (0, 1, 255)]
+    own = [(rng.randrange(2), rng.randrange(7), *rng.choice(texts), rng.choice([None, *range(50)]), row) for row in range(600)]
+    order = lambda e: (*e[:4], e[4] is None, e[4] or 0, e[5])
+    names = ["shard", "run", "digest", "sha", "keep_id", "keep_row", "n"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = zip(*sorted(((*e, 1) for e in own), key=order), strict=True)
+    run = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    batches = list(exact_dedup._run_of_entries(run.slice(at, 50) for at in range(0, len(own), 50)))
+    left = 7
+    while left > 1:
+        left = -(-left // fan_in)
+        rows = sorted((r | {"run": r["run"] // fan_in} for b in batches for r in b.to_pylist()), key=lambda r: (r["shard"], r["run"], r["head"]))
+        chunks = pa.RecordBatch.from_pylist(rows, batches[0].schema)
+        batches = list(exact_dedup._run_of_chunks([chunks.slice(0, 0), chunks]))
+        assert max(len(r["digests"]) for b in batches for r in b.to_pylist()) <= chunk
+    held = np.concatenate([exact_dedup._unpacked(b) for b in batches])
+    expected = {}
+    for shard, _, digest, check, id_, row in sorted(own, key=lambda e: (*e[2:4], e[4] is None, e[4] or 0, e[5])):
+        least, n = expected.get((shard, digest, check), ((id_, row), 0))
+        expected[shard, digest, check] = least, n + 1
+    raw = np.ascontiguousarray(held["sha"]).tobytes()
+    found = {(e["shard"].item(), e["digest"].item(), raw[32 * k : 32 * k + 32]): ((None if e["absent"] else e["id"].item(), e["row"].item()), e["n"].item()) for k, e in enumerate(held)}
+    assert len(held) == len(found) and found == expected
+    repeated = [(r["digest"], r["sha"], r["keep_id"], r["n"]) for b in exact_dedup._repeated(batches) for r in b.to_pylist()]
+    assert sorted(repeated, key=str) == sorted(((d, s, i, n) for (_, d, s), ((i, _), n) in expected.items() if n > 1), key=str)
+
+
+def test_merge_rounds_sort_no_entries(spark):
+    runs = spark.createDataFrame([], exact_dedup._RUN)
+    plan = exact_dedup.merge_round(runs, 8, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Sort [shard" in plan and "head" in plan.split("Sort [")[1].split("]")[0]
+
+
 def test_exact_dedup_without_broadcasts(docs, monkeypatch):
     from sentryspark.llm import common
 
