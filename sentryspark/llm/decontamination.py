@@ -8,7 +8,7 @@ in the document with a probability of at least 0.78, whatever the sizes are. An
 all classes are one short list: a shingle that is the minimum of its bin stays so in all finer
 ones, so each carries the first class from which it counts. Documents and items that agree in
 enough bins are candidates; these are then verified on the exact shingles. Of the smallest items, all
-shingles count. The corpus is shingled once for all items.
+shingles count: a document sends those of its shingles, too, that pass a sieve of theirs. The corpus is shingled once for all items.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 #: Items of up to so many shingles are hit by any shingle of a document: the few minima shared with them could be missed.
 SMALL_ITEM = 8
-#: Shingles of small items that are looked for beside a document's minima; for more of them, all its shingles are sent.
-SMALL_HASHES = 4096
+#: A document's other shingles pass a sieve of the small items' hashes: 64 bits for each hash, at most 2^SIEVE_BITS (128 KB). A fuller sieve sends more of them, and none that count are lost.
+SIEVE_BITS = 20
 #: What parts two words, after lower-casing.
 GAPS = r"[^\p{L}\p{N}]+"
 
@@ -62,21 +62,31 @@ def item_minima(items: DataFrame, n_words: int) -> DataFrame:
     return at.select(F.col("id").alias("item_id"), "hash", first.cast("int").alias("first_class"), "n_item")
 
 
-def document_minima(docs: DataFrame, n_words: int, small: list[int] | None = None) -> DataFrame:
-    """(doc_id, class, hash, least): the minimal hash of each bin of each document, and those of its hashes that are in `small`; None: all hashes. least says whether they are minimal."""
+def sieve(hashes: DataFrame) -> list[int]:
+    """The bits of a sieve of distinct hashes, in longs; none without hashes. Spark sets the bits, and the driver gets 16,384 longs at most."""
+    n = hashes.count()
+    if not n:
+        return []
+    bits = 1 << min(SIEVE_BITS, (64 * n - 1).bit_length())
+    out = [0] * (bits // 64)
+    place = F.expr(f"cast(shiftrightunsigned(hash & {bits - 1}L, 6) as int)")
+    for row in hashes.groupBy(place.alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(hash & 63L as int)))").alias("long")).collect():
+        out[row["at"]] = row["long"]
+    return out
+
+
+def document_minima(docs: DataFrame, n_words: int, small: list[int]) -> DataFrame:
+    """(doc_id, class, hash, least): the minimal hash of each bin of each document, and those of its hashes that pass the sieve `small`. least says whether they are minimal."""
     own = _shingles(docs, _hash, n_words)
     own = own.withColumn("class", (F.ceil(F.log2(F.size("set"))) + 1).cast("int"))
     least = "i = 0 or shiftrightunsigned(x, 64 - class) <> shiftrightunsigned(get(set, i - 1), 64 - class)"
-    if small is None:
-        marked = own.select(F.col("id").alias("doc_id"), "class", F.explode(F.expr(f"transform(set, (x, i) -> struct(x as hash, {least} as least))")).alias("one"))
-        return marked.select("doc_id", "class", "one.hash", "one.least")
-    minima = own.select(F.col("id").alias("doc_id"), "class", "set", F.expr(f"filter(set, (x, i) -> {least})").alias("minima"))
     if not small:
+        minima = own.select(F.col("id").alias("doc_id"), "class", F.expr(f"filter(set, (x, i) -> {least})").alias("minima"))
         return minima.select("doc_id", "class", F.explode("minima").alias("hash"), F.lit(True).alias("least"))
-    wanted = F.array(*(F.lit(x).cast("long") for x in small))
-    both = minima.select("doc_id", "class", once(F.col("minima")).alias("minima"), F.array_intersect("set", wanted).alias("met"))
-    hit = F.concat(F.transform("minima", lambda x: F.struct(x.alias("hash"), F.lit(True).alias("least"))), F.transform(F.array_except("met", "minima"), lambda x: F.struct(x.alias("hash"), F.lit(False).alias("least"))))
-    return both.select("doc_id", "class", F.explode(hit).alias("one")).select("doc_id", "class", "one.hash", "one.least")
+    longs = f"cast(split('{','.join(map(str, small))}', ',') as array<bigint>)"  # one literal, which the optimizer evaluates
+    passes = f"getbit(get({longs}, cast(shiftrightunsigned(m.hash & {64 * len(small) - 1}L, 6) as int)), cast(m.hash & 63L as int)) = 1"
+    marked = F.expr(f"filter(transform(set, (x, i) -> struct(x as hash, {least} as least)), m -> m.least or {passes})")
+    return own.select(F.col("id").alias("doc_id"), "class", F.explode(marked).alias("one")).select("doc_id", "class", "one.hash", "one.least")
 
 
 def contaminated(
@@ -94,8 +104,7 @@ def contaminated(
     wanted = stored(items.select(items[item_id_col].cast("long").alias("id"), words(items[item_text_col]).alias("w")).where("id is not null"), "items")
     minima = stored(item_minima(wanted, n_words), "item-minima")
     known = minima.count()
-    own_small = minima.where(F.col("n_item") <= SMALL_ITEM).select("hash").distinct().limit(SMALL_HASHES + 1).collect()
-    small = [r["hash"] for r in own_small] if len(own_small) <= SMALL_HASHES else None
+    small = sieve(minima.where(F.col("n_item") <= SMALL_ITEM).select("hash").distinct())
     counts = (F.col("least") & (F.col("class") >= F.col("first_class"))) | (F.col("n_item") <= SMALL_ITEM)
     hits = document_minima(own, n_words, small).join(sized(minima, known, 64), "hash").where(counts).select("doc_id", "item_id", "hash", "n_item")
     enough = F.greatest(F.lit(1), F.floor(F.col("n_item") / 5) - 1)

@@ -12,9 +12,9 @@ def shingles(text, n=5):
     return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("most", [4096, 0])
-def test_small_items_equal_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(D, "SMALL_HASHES", most)
+@pytest.mark.parametrize("bits", [20, 6, 7])
+def test_small_items_equal_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(D, "SIEVE_BITS", bits)
     rng = random.Random(2)
     words = [f"w{k}" for k in range(400)]
     text = lambda n: " ".join(rng.choices(words, k=n))
@@ -33,9 +33,30 @@ def test_small_items_equal_brute_force(spark, monkeypatch, most):
     assert found == expected and len(found) > 40
 
 
-def test_a_small_item_sends_few_hashes_more(spark):
+def test_small_items_send_few_hashes_more(spark):
     rng = random.Random(3)
     docs = spark.createDataFrame([(k, " ".join(rng.choices([f"w{x}" for x in range(5000)], k=600))) for k in range(20)], "id long, text string").select("id", D.words("text").alias("w"))
-    few = D.document_minima(docs, 5, []).count()
-    some = D._shingles(docs, D._hash, 5).first()["set"][:8]
-    assert few <= D.document_minima(docs, 5, some).count() <= few + 8 and D.document_minima(docs, 5).count() == 20 * 596
+    few, sets = D.document_minima(docs, 5, []), [r["set"] for r in D._shingles(docs, D._hash, 5).collect()]
+    hashes = lambda xs: spark.createDataFrame([(x,) for x in xs], "hash long")
+    assert D.sieve(hashes([])) == []
+    own, minima = {x for own in sets for x in own[::9]}, few.count()
+    longs = D.sieve(hashes(sorted(own)))
+    assert len(longs) & (len(longs) - 1) == 0 and sum(x.bit_count() if x >= 0 else (x & ((1 << 64) - 1)).bit_count() for x in longs) <= len(own)
+    assert all(longs[(x % (64 * len(longs))) >> 6] >> (x % 64) & 1 for x in own)
+    some = D.document_minima(docs, 5, longs)
+    sent = [(r["doc_id"], r["hash"]) for r in some.collect()]
+    assert len(sent) == len(set(sent)) and own <= {x for _, x in sent}
+    assert sorted(map(str, some.where("least").drop("least").collect())) == sorted(map(str, few.drop("least").collect()))
+    assert len(sent) <= minima + len(own) + 0.05 * 20 * 596
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "as array<bigint>" not in plan  # that of words(); the sieve's is evaluated once, not once a shingle
+    assert D.document_minima(docs, 5, [-1]).count() == 20 * 596  # a full sieve lets everything through
+
+
+def test_many_small_items(spark, monkeypatch):
+    """More small items than a sieve has room for are all found."""
+    monkeypatch.setattr(D, "SIEVE_BITS", 8)
+    items = [(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(1000)]
+    docs = [(k, f"before it {' '.join(t for _, t in items[5 * k : 5 * k + 5])} and " + " ".join(f"x{k}y{m}" for m in range(300))) for k in range(200)]
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(k // 5, k) for k in range(1000)]
