@@ -127,16 +127,10 @@ def _run_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from _merged(blocks())
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries that stand for several rows."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            entries = _unpacked(batch.slice(at, BLOCK))
-            entries = entries[entries["n"] > 1]
-            raw = np.ascontiguousarray(entries["sha"]).tobytes()
-            shas = pa.array([raw[k : k + 32] for k in range(0, len(raw), 32)], pa.binary())
-            digest, row, n = (pa.array(np.ascontiguousarray(entries[x])) for x in ("digest", "row", "n"))
-            yield pa.record_batch([digest, shas, pa.array(np.ascontiguousarray(entries["id"]), mask=entries["absent"]), row, n], ["digest", "sha", "keep_id", "keep_row", "n"])
+def repeated(runs: DataFrame) -> DataFrame:
+    """(digest, sha, keep_id, keep_row, n) of the entries that stand for several rows. No Python worker is needed beside those of the merge."""
+    entry = "struct(get(digests, i) as digest, substring(shas, 32 * i + 1, 32) as sha, get(keep_ids, i) as keep_id, get(keep_rows, i) as keep_row, n)"
+    return runs.where("exists(ns, n -> n > 1)").select(F.explode(F.expr(f"filter(transform(ns, (n, i) -> {entry}), x -> x.n > 1)")).alias("entry")).select("entry.*")
 
 
 def merge_round(runs: DataFrame, fan_in: int, partitions: int) -> DataFrame:
@@ -188,7 +182,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         runs, left = merge_round(runs, fan_in, partitions), -(-left // fan_in)
         if left == 1:
             break
-    groups = stored(runs.mapInArrow(_repeated, "digest long, sha binary, keep_id long, keep_row long, n long"), "exact-groups")
+    groups = stored(repeated(runs), "exact-groups")
     if fits(groups.count()):
         found = keyed.join(F.broadcast(groups), ["digest", "sha"], "left")
     else:

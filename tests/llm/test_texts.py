@@ -76,7 +76,7 @@ def test_exact_dedup_when_parallelism_changes(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("chunk, block, fan_in", [(1, 1, 2), (3, 2, 3), (256, 64, 8)])
-def test_merge_of_chunked_runs(monkeypatch, chunk, block, fan_in):
+def test_merge_of_chunked_runs(spark, monkeypatch, chunk, block, fan_in):
     monkeypatch.setattr(exact_dedup, "CHUNK", chunk)
     monkeypatch.setattr(exact_dedup, "BLOCK", block)
     rng = random.Random(chunk)
@@ -104,7 +104,8 @@ def test_merge_of_chunked_runs(monkeypatch, chunk, block, fan_in):
     raw = np.ascontiguousarray(held["sha"]).tobytes()
     found = {(e["shard"].item(), e["digest"].item(), raw[32 * k : 32 * k + 32]): ((None if e["absent"] else e["id"].item(), e["row"].item()), e["n"].item()) for k, e in enumerate(held)}
     assert len(held) == len(found) and found == expected
-    repeated = [(r["digest"], r["sha"], r["keep_id"], r["n"]) for b in exact_dedup._repeated(batches) for r in b.to_pylist()]
+    chunks = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], exact_dedup._RUN)
+    repeated = [(r["digest"], bytes(r["sha"]), r["keep_id"], r["n"]) for r in exact_dedup.repeated(chunks).collect()]
     assert sorted(repeated, key=str) == sorted(((d, s, i, n) for (_, d, s), ((i, _), n) in expected.items() if n > 1), key=str)
 
 
