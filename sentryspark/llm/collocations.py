@@ -100,10 +100,10 @@ def coded(words: DataFrame, ranked: int = RANKED) -> tuple[DataFrame, int]:
 
 
 class _Codes(dict):
-    """Words of one language to codes; 0 for those that aren't frequent."""
+    """Words of one language to codes; 0 for those that aren't frequent, and for the end of a piece, whatever the filter says of its hash."""
 
     def __init__(self, lang: str, known: dict[bytes, int], turn: int, bits):
-        super().__init__(known)
+        super().__init__({**known, _MARK: 0})
         self.lang, self.turn, self.bits = lang, turn, bits
 
     def __missing__(self, word: bytes) -> int:

@@ -85,3 +85,9 @@ def test_windows_own_each_gram_once():
         for row, n in zip(np.stack(grams, axis=1).tolist(), sums.tolist(), strict=True):
             got[tuple(row)] += n
     assert got == expected
+
+
+def test_piece_ends_are_no_words_to_a_full_filter():
+    full = np.full(C.FILTER_BITS // 64, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    codes = C._Codes("en", {b"a": 1}, 0, full)
+    assert [codes[x] for x in C.tokens_of("a. a\nb")][1::2] == [0, 0] and codes[b"b"] >= C.HASHED
