@@ -99,8 +99,11 @@ def windowed_activity(events: DataFrame, width: str = "5 minutes", slide: str |
 
 
 def inactive_sessions(events: DataFrame, config: Config = DEFAULT, delay: str = "1 hour") -> DataFrame:
-    """(session_id, first_event, last_event, n) of stretches of a session that ended with inactivity, once the watermark has passed it."""
-    window = F.session_window("at", f"{config.stale_session_seconds} seconds")
+    """(session_id, first_event, last_event, n) of stretches of a session that ended with inactivity, once the watermark has passed it.
+
+    A pause as long as the timeout ends a stretch. Spark's session windows still join rows that are just the gap apart, so theirs is shorter by a microsecond.
+    """
+    window = F.session_window("at", f"{config.stale_session_seconds - 1} seconds 999999 microseconds")
     rows = event_time(events, delay).where("session_id is not null").groupBy(window, "session_id")
     return rows.agg(F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event"), F.count(F.lit(1)).alias("n")).select("session_id", "first_event", "last_event", "n")
 

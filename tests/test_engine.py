@@ -367,3 +367,10 @@ def test_live_rollups(spark, tmp_path):
     batch = pipeline.windowed_activity(spark.read.parquet(str(tmp_path / "ev"))).collect()
     assert sorted(map(tuple, result(pipeline.windowed_activity(stream()), "complete"))) == sorted(map(tuple, batch)) and len(batch) == 5
     assert [(r["session_id"], r["n"]) for r in result(pipeline.inactive_sessions(stream()), "append")] == [("s1", 10)]
+
+
+def test_pause_of_just_the_timeout_ends_a_stretch(spark):
+    stamps = {"a": ("00:00:00", "01:00:00"), "b": ("00:00:00", "00:59:59"), "c": ("00:00:00", "01:00:01", "02:00:01")}
+    rows = [(k, f"2024-01-01T{x}Z") for k, own in stamps.items() for x in own]
+    out = pipeline.inactive_sessions(spark.createDataFrame(rows, "session_id string, timestamp string"))
+    assert sorted((r["session_id"], r["n"]) for r in out.collect()) == [("a", 1), ("a", 1), ("b", 2), ("c", 1), ("c", 1), ("c", 1)]
