@@ -348,7 +348,7 @@ add("normalized_events", lambda t: ingest.normalized(ingest.validated(_lines(t))
 def _collected(t: Tables) -> DataFrame:
     """Problems that only the collector and sensors see: an address that is none, and a user name of white space."""
     details = F.when((F.col("event_type") == "login_attempt") & (F.col("seq") % 11 == 1), '{"username":"  "}').otherwise(F.col("details"))
-    ip = F.when((F.col("event_type") != "heartbeat") & (F.col("seq") % 11 == 0), "nowhere").otherwise(F.col("attacker_ip"))
+    ip = F.when((F.col("event_type") != "heartbeat") & (F.col("seq") % 11 == 0), "nowhere").otherwise(tables.sendable(F.col("attacker_ip")))
     head = F.to_json(F.struct("event_id", "node_id", "event_type", "timestamp", "session_id", ip.alias("attacker_ip"), "protocol"), {"ignoreNullFields": "false"})
     lines = t.events.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"details":'), details, F.lit("}")).alias("line"))
     found = [ingest.problem_counts(ingest.validated(lines, profile=x)).withColumn("profile", F.lit(x)) for x in ("storage", "collector", "sensor")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -146,6 +146,18 @@ def demo_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_REPUTATION.format(ip=_ip("c_custkey", "div"), customer=f"parquet.`{sf_dir}/customer.parquet`", nation=f"parquet.`{sf_dir}/nation.parquet`"))
 
 
+def sendable(ip: Column) -> Column:
+    """The views' address as one that a sensor can send: theirs count on past 203.0.255.255 in the third part, which is no address; here that carries to the second."""
+    third = F.split_part(ip, F.lit("."), F.lit(3)).try_cast("int")
+    return F.concat(F.lit("203."), F.floor(third / 256).cast("string"), F.lit("."), (third % 256).cast("string"), F.lit("."), F.split_part(ip, F.lit("."), F.lit(4)))
+
+
+def as_viewed(ip: Column) -> Column:
+    """The views' address of a sendable() one."""
+    part = lambda k: F.split_part(ip, F.lit("."), F.lit(k))
+    return F.concat(F.lit("203.0."), (part(2).try_cast("int") * 256 + part(3).try_cast("int")).cast("string"), F.lit("."), part(4))
+
+
 #: The same views for DuckDB, over its views of the same names.
 DUCK_EVENTS = _EVENTS.format(**_DUCK, ip=_ip("user_id", "//"), events="events")
 DUCK_REPUTATION = _REPUTATION.format(ip=_ip("c_custkey", "//"), customer="customer", nation="nation")
