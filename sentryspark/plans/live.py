@@ -53,12 +53,12 @@ def _numbers(t) -> DataFrame:
 
 def _types(t) -> DataFrame:
     session = F.when(F.col("seq") % 4 == 1, F.lit(None).cast("string")).otherwise(F.col("session_id"))
-    lines = t.events.where("event_type = 'session_end'").select(F.concat(F.regexp_replace(_head(session_id=session), '"session_id":null', '"session_id":5'), F.lit('{"status":'), _choice(STATUSES), F.lit("}}")).alias("line"))
+    lines = t.events.where("event_type = 'session_end'").select(F.concat(F.regexp_replace(_head(session_id=session, attacker_ip=tables.sendable(F.col("attacker_ip"))), '"session_id":null', '"session_id":5'), F.lit('{"status":'), _choice(STATUSES), F.lit("}}")).alias("line"))
     return ingest.problem_counts(ingest.validated(lines, profile="collector"))
 
 
 def _addresses(t) -> DataFrame:
-    spelt = F.array(*(F.struct(F.lit(x).alias("spelling"), F.concat(F.lit(x.partition("{}")[0]), F.col("attacker_ip") if "{}" in x else F.lit(""), F.lit(x.partition("{}")[2])).alias("ip")) for x in SPELLINGS))
+    spelt = F.array(*(F.struct(F.lit(x).alias("spelling"), F.concat(F.lit(x.partition("{}")[0]), tables.sendable(F.col("attacker_ip")) if "{}" in x else F.lit(""), F.lit(x.partition("{}")[2])).alias("ip")) for x in SPELLINGS))
     rows = t.events.where("attacker_ip is not null").select(F.explode(spelt).alias("x")).select("x.*")
     return rows.groupBy("spelling").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_usable(F.col("ip"))).alias("usable"))
 
@@ -105,17 +105,18 @@ def _arrived() -> F.Column:
 def _incidents(t) -> DataFrame:
     """Accepts and ends of connections as a service sensor reports them, one line each."""
     origin = F.when(F.col("event_type") == "connection", mappers.ACCEPT_ORIGINS[0]).otherwise(mappers.END_ORIGIN)
-    link = F.struct(F.sha2("session_id", 256).alias("id"), F.lit("ftpd").alias("protocol"), F.col("attacker_ip").alias("remote_ip"), F.lit("5").alias("remote_port"), F.lit("198.51.100.1").alias("local_ip"), F.lit("21").alias("local_port"))
+    link = F.struct(F.sha2("session_id", 256).alias("id"), F.lit("ftpd").alias("protocol"), tables.sendable(F.col("attacker_ip")).alias("remote_ip"), F.lit("5").alias("remote_port"), F.lit("198.51.100.1").alias("local_ip"), F.lit("21").alias("local_port"))
     rows = t.events.where("event_type in ('connection', 'session_end')")
     return rows.select("timestamp", F.to_json(F.struct(origin.alias("origin"), F.regexp_replace("timestamp", "Z", ".250000").alias("timestamp"), F.struct(link.alias("connection")).alias("data"))).alias("line"))
 
 
-_SHOWN = ("event_type", "timestamp", "session_id", "attacker_ip")
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("event_type", "timestamp", "session_id", tables.as_viewed(F.col("attacker_ip")).alias("attacker_ip"), field("duration_seconds").cast("double").alias("duration"))
 
 
 def _service_batch(t) -> DataFrame:
     rows = mappers.service_events(_incidents(t).select("line"), NODE)
-    return rows.select(*_SHOWN, field("duration_seconds").cast("double").alias("duration"))
+    return _shown(rows)
 
 
 def _service_stream(t) -> DataFrame:
@@ -127,7 +128,7 @@ def _service_stream(t) -> DataFrame:
     stream = own.readStream.schema("line string").option("maxFilesPerTrigger", 1).parquet(landing)
     step = lambda frame, number: frame.write.mode("overwrite").parquet(f"{out}/batch={number}")
     state.service_stream(stream, NODE).writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(out).select(*_SHOWN, field("duration_seconds").cast("double").alias("duration"))
+    return _shown(t.spark.read.parquet(out))
 
 
 # -- stores and partials -------------------------------------------------------
