@@ -69,7 +69,7 @@ KEYS = {f"node-0{k}": hashlib.sha256(f"key-0{k}".encode()).hexdigest() for k in
 
 
 def _sent(t) -> DataFrame:
-    """Batches as in batch_rejections, a file each, some with a wrong key or without events."""
+    """Batches as in batch_rejections, packed, some with a wrong key or without events."""
     part = F.floor(F.col("seq") / F.when(F.floor(F.col("seq") / 360) % 2 == 0, 45).otherwise(90))
     foreign = F.floor(F.col("seq") / 45) % 14 == 3
     rows = t.events.select(F.concat_ws("_", "node_id", part.cast("string")).alias("name"), "node_id", part.alias("part"), F.when(foreign, "node-01").otherwise(F.col("node_id")).alias("sender"), F.struct(*(F.col(c) for c in ("event_id", "node_id"))).alias("event"))
@@ -77,10 +77,10 @@ def _sent(t) -> DataFrame:
     key = F.when(F.col("part") % 5 == 4, "wrong").otherwise(F.concat(F.lit("key-"), F.substring("node_id", 6, 2)))
     body = F.to_json(F.struct("node_id", key.alias("node_key"), F.when(F.col("part") % 7 != 6, F.col("events")).alias("events")))
     landing, out, checkpoint = (tables.new_folder(t.spark, x) for x in ("landing", "judged", "stream"))
-    each.select("name", body.alias("value")).repartition("name").write.partitionBy("name").text(landing)
+    each.select(F.concat("name", F.lit("\t"), body).alias("value")).write.text(landing)
     step = lambda rows, number: batches.judged(rows, KEYS).drop("events").write.mode("overwrite").parquet(f"{out}/batch={number}")
-    batches.landed(t.spark, landing, 1000).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(out).select(F.regexp_extract("file", "name=([^/]*)/", 1).alias("name"), "sender", "status")
+    batches.landed_packed(t.spark, landing, 1000).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select(F.col("file").alias("name"), "sender", "status")
 
 
 def _changes(t, build: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:

@@ -61,3 +61,18 @@ def test_a_crash_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
     assert len({r["seq"] for r in log}) == 20
     decided = spark.read.parquet(f"{out}/batches").groupBy("batch_id").agg(F.max("status").alias("status"), F.count("*").alias("n")).collect()
     assert {r["batch_id"]: (r["status"], r["n"]) for r in decided} == {"bad.json": (401, 1)} | {f"{k}.json": (200, 1) for k in range(4)}
+
+
+def test_packed_batches(spark, tmp_path):
+    """Batches in lines are judged as those in files of their own; a line without an id isn't lost."""
+    good = {"node_id": "node-01", "node_key": "k1", "events": [event("a"), event("b")]}
+    bodies = {"b1": json.dumps(good), "b2": json.dumps(good | {"node_key": "k2"}), "b3": "{"}
+    source = tmp_path / "landing"
+    source.mkdir()
+    (source / "part-0.txt").write_text("".join(f"{k}\t{v}\n" for k, v in bodies.items()) + "no id\n")
+    out = str(tmp_path / "judged")
+    step = lambda rows, number: batches.judged(rows, KEYS).write.parquet(f"{out}/batch={number}")
+    batches.landed_packed(spark, str(source)).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.createDataFrame([*((v, k) for k, v in bodies.items()), ("no id", None)], "value string, file string")
+    key = lambda frame: sorted((str(r["batch_id"]), r["sender"], r["status"], r["reason"], r["events"]) for r in frame.collect())
+    assert key(spark.read.parquet(out)) == key(batches.judged(rows, KEYS))
