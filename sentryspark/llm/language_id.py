@@ -7,7 +7,7 @@ the spans, and the language with most letters on it is the text's. All of it is
 many texts at once: trigrams are hashed from code points, and paths are found over blocks of
 words whose transfer matrices are then chained.
 
-The model is fitted in Spark on a bounded sample of labelled rows: its table has FEATURES cells for each language.
+The model is fitted in Spark on all labelled rows: its table has FEATURES cells for each language, however many rows there are.
 How well a text fits at all is the mean log probability of its trigrams on the best path, less what is usual for
 the path's languages; the model's cut lies halfway between what nearly all labelled rows reach, each judged by the half
 of the rows that it isn't in, and the worst fit there is.
@@ -25,11 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.llm.common import stored
-
-#: Cells of the trigram table, and labelled rows of each language that the model is fitted on, about.
+#: Cells of the trigram table.
 FEATURES = 1 << 15
-TRAIN_ROWS = 2000
 #: Languages that a model may have: it then has 26 MB, and its tables of counts have 13 million rows at most.
 MAX_LANGUAGES = 200
 #: Log-probability units that a switch of language costs, and the share of a language's letters that makes a script its own.
@@ -239,9 +236,9 @@ def _model(languages: list[str], grams: np.ndarray, scripts: np.ndarray) -> Mode
     return Model(languages, logs.astype(np.float32), scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0)), typical)
 
 
-def _cut(drawn: DataFrame, halves: list[Model]) -> float:
+def _cut(halved: DataFrame, halves: list[Model]) -> float:
     """Halfway from the fit that all but REJECTED of the rows reach, by the model of the half that they aren't in, to FLOOR. The driver gets a histogram."""
-    shared = drawn.sparkSession.sparkContext.broadcast(halves)
+    shared = halved.sparkSession.sparkContext.broadcast(halves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,15 +247,15 @@ def _cut(drawn: DataFrame, halves: list[Model]) -> float:
                 for langs, _, _, fits in labelled_in_parts(shared.value[1 - half], [t for t, h in zip(texts, halves, strict=True) if h == half]):
                     yield pa.record_batch([pa.array([round(100 * f) for x, f in zip(langs, fits, strict=True) if x != "und"], pa.int32())], ["fit"])
 
-    table = drawn.mapInArrow(run, "fit int").groupBy("fit").count().orderBy("fit").toPandas()
+    table = halved.mapInArrow(run, "fit int").groupBy("fit").count().orderBy("fit").toPandas()
     if not len(table):
         return -np.inf
     below = table["count"].cumsum().to_numpy()
     return (float(table["fit"].to_numpy()[int(np.searchsorted(below, REJECTED * below[-1], "right"))]) / 100 + FLOOR) / 2
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on about `rows` rows of each language, drawn by a hash of their ids; null texts and languages are left out.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on all rows, which are read three times: store them if they are dear to make; null texts and languages are left out.
 
     What reaches the driver: a count for each language, the model's table by halves of the rows, and a histogram of fits. More than
     MAX_LANGUAGES languages raise ValueError. An empty table gives a model without languages.
@@ -270,18 +267,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((len(SCRIPT_NAMES) + 1, 0), bool), np.zeros(0))
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in counts], "lang string, share double")
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    chosen = own.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    drawn = stored(chosen.select("text", "lang", half), "lang-rows")
-    table = drawn.mapInArrow(_counted(languages), "kind int, half int, lang int, cell int, n long").groupBy("kind", "half", "lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    halved = own.select("text", "lang", half)
+    table = halved.mapInArrow(_counted(languages), "kind int, half int, lang int, cell int, n long").groupBy("kind", "half", "lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     grams = np.zeros((2, FEATURES, len(languages)))
     scripts = np.zeros((2, len(SCRIPT_NAMES) + 1, len(languages)))
     for kind, into in ((0, grams), (1, scripts)):
         part = table[table["kind"] == kind]
         into[part["half"].to_numpy(), part["cell"].to_numpy(), part["lang"].to_numpy()] = part["n"].to_numpy()
     model = _model(languages, grams.sum(axis=0), scripts.sum(axis=0))
-    model.cut = _cut(drawn, [_model(languages, grams[k], scripts[k]) for k in (0, 1)])
+    model.cut = _cut(halved, [_model(languages, grams[k], scripts[k]) for k in (0, 1)])
     return model
 
 

@@ -10,6 +10,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sentryspark.llm import decontamination, language_id, warc
 from tests.conftest import SMALL
@@ -279,3 +280,12 @@ def test_pipeline_stages(spark):
     last = cp.STAGES[-1][1](spark, docs, SMALL).collect()
     assert {r["doc_id"]: r["decoded_sha256"] for r in last} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in rows.items()}
     assert cp.run(spark, SMALL).count() == len(rows)
+
+
+def test_language_model_learns_from_every_row(spark):
+    """A word is only in rows that a draw of 2,000 by the ids' hash would have left out."""
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("place"))
+    own = ids.select("doc_id", F.when(F.col("place") < 666_667, "mnolk").otherwise("pqrst").alias("text"), F.lit("xx").alias("lang"))
+    other = spark.range(3000, 3010).select(F.col("id").alias("doc_id"), F.lit("pqrst" + " vwxyz" * 10).alias("text"), F.lit("yy").alias("lang"))
+    model = language_id.fit(own.unionByName(other))
+    assert language_id.labelled_texts(model, ["pqrst pqrst", "vwxyz"])[0] == ["xx", "yy"]
