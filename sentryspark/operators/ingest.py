@@ -248,12 +248,20 @@ def profile_inputs_of(events: DataFrame, addresses: DataFrame) -> DataFrame:
 
 
 def ingest_report(lines: DataFrame, history: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
-    """(outcome, n) of lines (line, seq, received_at): accepted, duplicate and rejected, each with a row."""
-    checked = validated(lines, config)
-    good = outcomes(normalized(checked), history).select("outcome")
-    each = good.unionByName(checked.where(F.size("errors") > 0).select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-    spine = lines.sparkSession.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("accepted", "duplicate", "rejected")))).alias("outcome"))
-    return spine.join(each, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    """(outcome, n) of lines (line, seq, received_at): accepted, duplicate and rejected, each with a row.
+
+    As outcomes() has them, but counted by id: lines are parsed once, and no id's lines are put in order to tell the first.
+    """
+    checked = validated(lines, config).select((F.size("errors") == 0).alias("good"), F.col("event.event_id").alias("event_id"))
+    per = checked.groupBy("good", F.when(F.col("good"), F.col("event_id")).alias("event_id")).agg(F.count(F.lit(1)).alias("n"))
+    fresh = F.col("good")
+    if history is not None:
+        per = per.join(history.select("event_id").distinct().withColumn("known", F.lit(True)), "event_id", "left")
+        fresh = fresh & F.col("known").isNull()
+    accepted, rejected = F.count_if(fresh), F.coalesce(F.sum(F.when(~F.col("good"), F.col("n"))), F.lit(0).cast("long"))
+    duplicate = F.coalesce(F.sum(F.when(F.col("good"), F.col("n"))), F.lit(0).cast("long")) - accepted
+    named = F.array(*(F.struct(F.lit(name).alias("outcome"), n.alias("n")) for name, n in (("accepted", accepted), ("duplicate", duplicate), ("rejected", rejected))))
+    return per.agg(named.alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
 def validation_report(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:

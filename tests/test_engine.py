@@ -374,3 +374,14 @@ def test_pause_of_just_the_timeout_ends_a_stretch(spark):
     rows = [(k, f"2024-01-01T{x}Z") for k, own in stamps.items() for x in own]
     out = pipeline.inactive_sessions(spark.createDataFrame(rows, "session_id string, timestamp string"))
     assert sorted((r["session_id"], r["n"]) for r in out.collect()) == [("a", 1), ("a", 1), ("b", 2), ("c", 1), ("c", 1), ("c", 1)]
+
+
+def test_ingest_report_parses_lines_once(spark):
+    lines = [json.dumps(GOOD)] * 3 + [json.dumps(GOOD | {"event_id": str(uuid.UUID(int=k))}) for k in (1, 1, 2, 3)] + ["{", "", None]
+    rows = spark.createDataFrame([(x, k, "2026-07-19T15:00:09Z") for k, x in enumerate(lines)], "line string, seq long, received_at string")
+    history = spark.createDataFrame([(str(uuid.UUID(int=k)),) for k in (2, 2, 9)], "event_id string")
+    report = lambda *x: {r["outcome"]: r["n"] for r in ingest.ingest_report(*x).collect()}
+    assert report(rows, history) == {"accepted": 3, "duplicate": 4, "rejected": 3}
+    assert report(rows) == {"accepted": 4, "duplicate": 3, "rejected": 3}
+    assert report(rows.limit(0), history) == {"accepted": 0, "duplicate": 0, "rejected": 0}
+    assert ingest.ingest_report(rows, history)._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
