@@ -154,8 +154,8 @@ def outcomes(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("outcome", F.when(F.col("_first") & F.col("_known").isNull(), "accepted").otherwise("duplicate")).drop("_first", "_known")
 
 
-def folded_sessions(events: DataFrame) -> DataFrame:
-    """The sessions table: one aggregation of the event log.
+def folded_sessions(events: DataFrame, *more: Column) -> DataFrame:
+    """The sessions table: one aggregation of the event log, or of a stream of it; more are further sums.
 
     First arrivals give node, address and protocol, last ones user name and password; start_time is the
     earliest time. The last session_end to arrive closes the session, as failed if it says so.
@@ -171,7 +171,7 @@ def folded_sessions(events: DataFrame) -> DataFrame:
         .agg(
             F.min_by("node_id", "seq").alias("node_id"), first(F.col("attacker_ip")).alias("attacker_ip"), first(F.col("protocol")).alias("protocol"),
             last(field("username")).alias("username"), last(field("password")).alias("password"), F.min("timestamp").alias("start_time"),
-            F.max_by("timestamp", ends).alias("end_time"), F.coalesce(F.max_by(status, ends), F.lit("active")).alias("status"),
+            F.max_by("timestamp", ends).alias("end_time"), F.coalesce(F.max_by(status, ends), F.lit("active")).alias("status"), *more,
         )
     )
 

@@ -8,14 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentryspark.functions.scalar import field, is_usable
+from sentryspark.functions.scalar import field, is_usable, seconds
 from sentryspark.operators import ingest, mappers, trigrams
 from sentryspark.plans import duck
-from sentryspark.schema import EVENTS, REPUTATION, SESSIONS
+from sentryspark.schema import REPUTATION
 from sentryspark.sources import tables
 from sentryspark.sources.store import Snapshot
 from sentryspark.streaming import batches, state
 from sentryspark.streaming.partials import Panes, Rollups
+from sentryspark.streaming.session_log import SessionLog, session_folds
 
 SINCE, DAY = "2024-01-23T00:00:00Z", "2024-01-30T00:00:00Z"
 #: Times of arrival at which the log is cut into the batches of a stream.
@@ -83,19 +84,27 @@ def _sent(t) -> DataFrame:
     return t.spark.read.parquet(out).select(F.col("file").alias("name"), "sender", "status")
 
 
-def _changes(t, build: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """The latest change of each key, of a stream over the log in three batches by arrival."""
-    landing, out, checkpoint = (tables.new_folder(t.spark, x) for x in ("landing", "changes", "stream"))
-    rows = tables.stored(t.events, "log")
-    for a, b in zip(CUTS[:-1], CUTS[1:], strict=True):
-        rows.where((F.col("received_at") >= a) & (F.col("received_at") < b)).coalesce(1).write.mode("append").parquet(landing)
+def _played(t, rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], mode: str, step: Callable[[DataFrame, int], None]) -> None:
+    """A stream over rows, which land in three parts by `order`, in files of any number; each part is a micro-batch, as it lands when the one before is done."""
+    landing, checkpoint = (tables.new_folder(t.spark, x) for x in ("landing", "stream"))
     own = state.prepared(t.spark.newSession())
+    for a, b in zip(CUTS[:-1], CUTS[1:], strict=True):
+        rows.where((F.col(order) >= a) & (F.col(order) < b)).write.mode("append").parquet(landing)
+        build(own.readStream.schema(rows.schema).parquet(landing)).writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _nodes(t) -> DataFrame:
+    """The latest change of each sensor, of a stream over the log."""
+    out = tables.new_folder(t.spark, "changes")
     step = lambda frame, number: frame.write.mode("overwrite").parquet(f"{out}/batch={number}")
-    stream = own.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(landing)
-    build(stream).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    found = t.spark.read.parquet(out)
-    latest = found.groupBy(key).agg(F.max_by(F.struct(*(c for c in found.columns if c != key)), F.struct("batch", F.col("change") == "time")).alias("last"))
-    return latest.select(key, "last.*")
+    _played(t, tables.stored(t.events, "log"), "received_at", lambda x: state.node_changes(x, _arrived()), "update", step)
+    return t.spark.read.parquet(out).groupBy("node_id").agg(F.max_by(F.struct("last_seen", "status"), F.struct("batch", F.col("change") == "time")).alias("last")).select("node_id", "last.*")
+
+
+def _sessions(t) -> DataFrame:
+    log = SessionLog(t.spark, tables.new_folder(t.spark, "sessions"))
+    _played(t, tables.stored(t.events, "log"), "received_at", lambda x: session_folds(x, seconds(F.col("received_at"))), "update", log.add)
+    return log.rows()
 
 
 def _arrived() -> F.Column:
@@ -186,10 +195,10 @@ def register(add, lines, valid: str, inputs: str) -> None:
           SELECT node_id || '_' || (seq // CASE WHEN (seq // 360) % 2 = 0 THEN 45 ELSE 90 END) AS name, max(seq // CASE WHEN (seq // 360) % 2 = 0 THEN 45 ELSE 90 END) AS part, count(*) AS n,
             min(CASE WHEN (seq // 45) % 14 = 3 THEN 'node-01' ELSE node_id END) AS sender, bool_or(node_id <> 'node-01') AND min(CASE WHEN (seq // 45) % 14 = 3 THEN 'node-01' ELSE node_id END) = 'node-01' AS alien FROM ev GROUP BY 1)""")
     last, own_last = (duck.secs(f"(SELECT max(received_at) FROM ev{x})") for x in ("", " WHERE session_id IS NOT NULL"))
-    add("stream_sessions", lambda t: _changes(t, lambda x: state.session_changes(x, arrived=_arrived()), "session_id").select(*SESSIONS.fieldNames()), f"""
+    add("stream_sessions", _sessions, f"""
         SELECT session_id, node_id, attacker_ip, protocol, username, password, start_time, CASE WHEN stale THEN coalesce(end_time, start_time) ELSE end_time END AS end_time, CASE WHEN stale THEN 'failed' ELSE status END AS status
         FROM (SELECT s.*, coalesce(status = 'active' AND {own_last} - {duck.secs("coalesce(l.last, start_time)")} > 3600, false) AS stale FROM sessions s LEFT JOIN (SELECT session_id, max(timestamp) AS last FROM ev GROUP BY 1) l USING (session_id)) s""")
-    add("stream_nodes", lambda t: _changes(t, lambda x: state.node_changes(x, _arrived()), "node_id").select("node_id", "last_seen", "status"), f"SELECT node_id, max(timestamp) AS last_seen, CASE WHEN {last} - {duck.secs('max(timestamp)')} > 180 THEN 'offline' ELSE 'online' END AS status FROM ev GROUP BY 1")
+    add("stream_nodes", _nodes, f"SELECT node_id, max(timestamp) AS last_seen, CASE WHEN {last} - {duck.secs('max(timestamp)')} > 180 THEN 'offline' ELSE 'online' END AS status FROM ev GROUP BY 1")
     timed = f"""
         SELECT event_type, replace(timestamp, 'Z', '.250000Z') AS timestamp, '{NODE}:' || substr(sha256(session_id), 1, 16) AS session_id, attacker_ip, CASE WHEN event_type = 'session_end' THEN
           ({duck.secs('timestamp')} - {duck.secs("max(CASE WHEN event_type = 'connection' THEN timestamp END) OVER (PARTITION BY session_id ORDER BY timestamp, event_type <> 'connection' ROWS UNBOUNDED PRECEDING)")})::DOUBLE END AS duration
