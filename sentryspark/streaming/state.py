@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from sentryspark.config import DEFAULT, Config
 from sentryspark.functions.scalar import field, seconds
@@ -171,9 +172,24 @@ class NodeClock(StatefulProcessor):
             yield _named(NODE_CHANGES, key[0], seen, "offline", "time", now)
 
 
+_SEEN = StructType([StructField("node_id", StringType()), StructField("timestamp", StringType()), StructField("arrived", TimestampType())])
+
+
+def _latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each Arrow batch a row for each sensor: its latest time and arrival."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).sort_by([("node_id", "ascending"), ("timestamp", "descending")])  # nulls come last
+        last = rows.group_by("node_id", use_threads=False).aggregate([("timestamp", "first"), ("arrived", "max")])
+        yield from last.rename_columns(["node_id", "timestamp", "arrived"]).cast(batch.schema).to_batches()
+
+
 def node_changes(events: DataFrame, arrived: Column, config: Config = DEFAULT, delay: str = "0 seconds") -> DataFrame:
-    """A stream of NODE_CHANGES from a stream of events: ingest.touched_nodes() and with_stale_nodes_offline() kept up to date."""
-    rows = _clocked(events.select("node_id", "timestamp", seconds(F.col("timestamp")).alias("second"), arrived.alias("arrived")), F.col("arrived"), delay)
+    """A stream of NODE_CHANGES from a stream of events: ingest.touched_nodes() and with_stale_nodes_offline() kept up to date.
+
+    Sensors are few and their events many: only the latest of each Arrow batch are shuffled, so no task gets a sensor's events.
+    """
+    few = events.select("node_id", "timestamp", arrived.cast("timestamp").alias("arrived")).mapInArrow(_latest, _SEEN)
+    rows = _clocked(few.withColumn("second", seconds(F.col("timestamp"))), F.col("arrived"), delay)
     return rows.groupBy("node_id").transformWithState(NodeClock(config.offline_seconds), NODE_CHANGES, "Update", "EventTime")
 
 

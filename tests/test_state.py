@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,9 @@ def test_open_connections_stay_bounded():
     assert sorted(one.accepts) == [(96,), (97,), (98,), (99,)]
     list(one.handleExpiredTimer(("s",), None, None))
     assert not one.accepts and not one.until.exists()
+
+
+def test_a_sensors_events_are_reduced_before_they_are_shuffled(spark):
+    rows = pa.table({"node_id": ["b", "a", "b", None, "c", "b"], "timestamp": ["1", "5", "3", "4", None, None], "arrived": pa.array([7, 9, 8, 1, 2, 3], pa.timestamp("us", "UTC"))})
+    out = [r for b in state._latest(iter(rows.to_batches())) for r in b.to_pylist()]
+    assert sorted((str(r["node_id"]), str(r["timestamp"]), r["arrived"].microsecond) for r in out) == [("None", "4", 1), ("a", "5", 9), ("b", "3", 8), ("c", "None", 2)]
