@@ -86,9 +86,12 @@ class Runs:
 
     merge makes the rows of several runs one run's, such as by adding partial sums; without it rows are kept as they are. With
     prefix, a whole number of 0 or more for each row, a run is partitioned by prefix modulo fan_in ** level: a file then has about as many rows as a
-    batch, however large the log is, and readers who know the prefixes they want open only these.
+    batch, however large the log is, and readers who know the prefixes they want open only these. A batch whose number of rows is given begins
+    with more parts, so that none has many more than PART_ROWS, and no task a whole batch.
     """
 
+    PART_ROWS = 250_000
+
     def __init__(self, spark: SparkSession, path: str, schema: StructType, merge: Merge | None = None, prefix: Column | None = None, order: list[str] | None = None, fan_in: int = 8, most: int = 4096, options: dict[str, str] | None = None):
         self.spark, self.path, self.schema, self.merge, self.prefix, self.order = spark, path, schema, merge, prefix, order
         self.fan_in, self.most, self.options, self.manifests = fan_in, 1, options or {}, _Manifests(spark, path)
@@ -98,14 +101,18 @@ class Runs:
     def state(self, before: int | None = None) -> dict:
         return self.manifests.last(before) or {"number": -1, "runs": [], "gone": [], "note": {}}
 
-    def _parts(self, level: int) -> int:
-        return min(self.most, self.fan_in**level)
+    def _parts(self, size: int) -> int:
+        """Parts of a batch of so many rows: a power of fan_in, too."""
+        parts = 1
+        while parts * self.PART_ROWS < size and parts < self.most:
+            parts *= self.fan_in
+        return parts
 
     def _folder(self, run: dict) -> str:
         return f"{self.path}/{run['name']}"
 
-    def _written(self, rows: DataFrame, name: str, level: int) -> dict:
-        run = {"name": name, "level": level, "parts": self._parts(level), "full": []}
+    def _written(self, rows: DataFrame, name: str, level: int, parts: int) -> dict:
+        run = {"name": name, "level": level, "parts": parts, "full": []}
         if self.prefix is not None:
             part = F.pmod(self.prefix, F.lit(run["parts"])).cast("int")
             rows = rows.withColumn("prefix", part)
@@ -134,11 +141,11 @@ class Runs:
             out = out.union(one)
         return out
 
-    def add(self, rows: DataFrame, number: int, note: dict | None = None) -> None:
-        """Add batch `number`, which replaces that batch if it was added before. note is kept with the state."""
+    def add(self, rows: DataFrame, number: int, note: dict | None = None, size: int = 0) -> None:
+        """Add batch `number`, which replaces that batch if it was added before. note is kept with the state; size is the number of rows, about."""
         before = self.state(number)
         runs, gone = list(before["runs"]), []
-        made = self._written(rows.select(*self.schema.fieldNames()), f"run-{number:012d}-0", 0)
+        made = self._written(rows.select(*self.schema.fieldNames()), f"run-{number:012d}-0", 0, self._parts(size))
         runs.append(made)
         level = 0
         while len(full := [x for x in runs if x["level"] == level]) >= self.fan_in:
@@ -148,7 +155,7 @@ class Runs:
                 whole = one if whole is None else whole if one is None else whole.union(one)
             whole = self.spark.createDataFrame([], self.schema) if whole is None else whole
             whole = self.merge(whole).select(*self.schema.fieldNames()) if self.merge else whole
-            runs = [x for x in runs if x["level"] != level] + [self._written(whole, f"run-{number:012d}-{level + 1}", level + 1)]
+            runs = [x for x in runs if x["level"] != level] + [self._written(whole, f"run-{number:012d}-{level + 1}", level + 1, min(self.most, self.fan_in * max(x["parts"] for x in full)))]
             gone += [x["name"] for x in full]
             level += 1
         self.manifests.put({"number": number, "runs": runs, "gone": gone, "note": note or {}})

@@ -29,15 +29,16 @@ class Ids:
         self.runs = Runs(spark, path, SCHEMA, prefix=self.hash, order=["event_id"], fan_in=fan_in, options=OPTIONS)
 
     def known(self, batch: DataFrame, before: int) -> DataFrame:
-        """(event_id) of those ids of `batch` that a batch before number `before` added. batch is read twice at most: store it."""
-        ids = batch.select("event_id").where("event_id is not null").distinct()
+        """(event_id) of those ids of `batch` that a batch before number `before` added. batch is read three times at most, its ids only: store it."""
+        if not self.runs.state(before)["runs"]:
+            return self.spark.createDataFrame([], SCHEMA)
+        ids = batch.select("event_id").where("event_id is not null")
         asked = ids.select("event_id", self.hash.alias("hash")).limit(self.filtered + 1).collect()  # FILTERED_IDS + 1 rows at most
         if len(asked) <= self.filtered:
             return self._filtered({r["event_id"]: r["hash"] for r in asked}, before)
-        size = ids.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("event_id")).alias("most")).first()
+        size = ids.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("event_id")).alias("most"), F.collect_set(F.pmod(self.hash, F.lit(self.runs.most))).alias("parts")).first()  # runs.most parts at most
         small = size["n"] * (64 + size["most"]) <= BROADCAST_BYTES
-        parts = [r[0] for r in ids.select(F.pmod(self.hash, F.lit(self.runs.most))).distinct().collect()]  # runs.most rows at most
-        return self.runs.rows(before, parts).join(F.broadcast(ids) if small else ids, "event_id", "left_semi").distinct()
+        return self.runs.rows(before, size["parts"]).join(F.broadcast(ids) if small else ids, "event_id", "left_semi").distinct()
 
     def _filtered(self, asked: dict[str, int], before: int) -> DataFrame:
         if not asked:
@@ -50,5 +51,6 @@ class Ids:
 
     def add(self, batch: DataFrame, number: int, note: dict | None = None) -> None:
         """Add the ids of batch `number`, which none before has."""
-        self.runs.options = OPTIONS | {"parquet.bloom.filter.expected.ndv#event_id": str(max(1000, batch.count()))}  # a file of any level has about as many
-        self.runs.add(batch.select("event_id"), number, note)
+        size = batch.count()
+        self.runs.options = OPTIONS | {"parquet.bloom.filter.expected.ndv#event_id": str(max(1000, min(size, self.runs.PART_ROWS)))}  # a file of any level has about as many
+        self.runs.add(batch.select("event_id"), number, note, size)

@@ -116,3 +116,15 @@ def test_a_failed_upsert_leaves_the_old_snapshot(spark, tmp_path):
     snapshot.upsert(old.withColumn("city", F.lit("c")), 1, ingest.merged_reputation)  # tried again
     assert {r["city"] for r in Snapshot(spark, str(tmp_path / "rep"), REPUTATION, "attacker_ip", buckets=99).rows().collect()} == {"c"}
     assert snapshot.upsert(old.limit(0), 2, ingest.merged_reputation) == [] and snapshot.rows().count() == 20
+
+
+def test_a_large_batch_of_ids_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Runs, "PART_ROWS", 100)
+    store = Ids(spark, str(tmp_path / "ids"), fan_in=2, filtered=10)
+    for number in range(3):
+        store.add(stored(ids(spark, range(number * 1000, number * 1000 + 1000)), "batch"), number)
+    assert sorted((x["level"], x["parts"], len(x["full"])) for x in store.runs.state()["runs"]) == [(0, 16, 16), (1, 32, 32)]
+    asked = stored(ids(spark, range(900, 3100)), "asked")
+    assert store.known(asked, 3).count() == 2100 and store.known(asked, 0).count() == 0
+    few = stored(ids(spark, [3, 2999, 5000]), "few")
+    assert store.known(few, 3).count() == 2
