@@ -457,7 +457,12 @@ add("screen_map_arcs", _arcs, f"""
 add("screen_map_outside", lambda t: screens.map_screen(t, SINCE, _SENSORS)["outside"], f"SELECT greatest(0, (SELECT count(*) {_PLACED.replace(SINCE, '')}) - (SELECT count(*) {_PLACED})) AS outside_window")
 add("screen_feed_preview", lambda t: screens.feed_preview(t, NOW, min_confidence=80)["indicators"].select("attacker_ip", "confidence", "alert_count"), "SELECT attacker_ip, confidence, alert_count FROM indicators WHERE confidence >= 80")
 add("screen_statistics", lambda t: screens.statistics(t, HOUR, DAY)["credentials"], f"SELECT {_USER} AS username, count(*) AS attempts, count(DISTINCT attacker_ip) AS distinct_ips FROM ev WHERE {_LOGINS} AND {_USER} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
-add("screen_cycle_sessions", lambda t: screens.cycle(t, SINCE, NOW, tables.new_folder(t.spark, "feed"))["sessions"], None)
+def _cycled(t: Tables) -> DataFrame:
+    t.events = tables.stored(t.events, "log")  # a system's log is stored; a cycle scans it ten times
+    return screens.cycle(t, SINCE, NOW, tables.new_folder(t.spark, "feed"))["sessions"]
+
+
+add("screen_cycle_sessions", _cycled, None)
 ORACLES["screen_cycle_sessions"] = ORACLES["stale_session_close"].replace("2024-01-30T12:00:00Z", NOW)
 add("screen_dossier", lambda t: screens.dossier(t, IP, NOW)["csv"].drop("reputation_latitude", "reputation_longitude"), f"SELECT s.*, country AS reputation_country, city AS reputation_city, abuse_score AS reputation_abuse_score, source AS reputation_source, profile_score AS reputation_profile_score, last_updated AS reputation_last_updated FROM summary s LEFT JOIN rep USING (attacker_ip) WHERE s.attacker_ip = '{IP}'")
 live.register(add, _lines, _VALID, _INPUTS)

@@ -107,7 +107,9 @@ def cycle(t, since: str, now: str, path: str, config: Config = DEFAULT) -> Frame
     findings = stored(rules.evaluated(t.events, t.reputation, since, config), "findings")
     fresh = stored(rules.new_alerts(findings, now, t.alerts, config), "new-alerts")
     alerts = t.alerts.unionByName(fresh)
-    feed.write_feed(feed.indicators(t.events, alerts, t.reputation, config=config), feed.feed_alerts(alerts, t.reputation, config=config), path, now, config)
+    # the feed is written in five forms, each of which would go through the log again
+    flat, fired = stored(feed.indicators(t.events, alerts, t.reputation, config=config), "indicators"), stored(feed.feed_alerts(alerts, t.reputation, config=config), "feed-alerts")
+    feed.write_feed(flat, fired, path, now, config)
     return {"nodes": nodes, "sessions": sessions, "alerts": fresh, "summary": rules.pass_summary(findings, fresh)}
 
 
