@@ -137,9 +137,15 @@ def _ip(x: str, div: str) -> str:
     return f"concat('203.0.', cast(113 + {x} {div} 256 as string), '.', cast({x} % 256 as string))"
 
 
-def demo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as sensor telemetry, deterministic; every twentieth row is a heartbeat."""
-    return spark.sql(_EVENTS.format(**_SPARK, ip=_ip("user_id", "div"), events="{events}").replace("{events}", f"parquet.`{sf_dir}/events.parquet`"))
+def demo_events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The events table as sensor telemetry, deterministic; every twentieth row is a heartbeat.
+
+    With spread, the table's own rows are shuffled before their texts are made, so that a file of few row groups keeps all cores busy.
+    """
+    rows = f"parquet.`{sf_dir}/events.parquet`"
+    if spread:
+        rows = f"(select /*+ repartition(event_id) */ event_id, ts, user_id, event_type, props from {rows})"
+    return spark.sql(_EVENTS.format(**_SPARK, ip=_ip("user_id", "div"), events="{events}").replace("{events}", rows))
 
 
 def demo_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ these by the hour in levels of runs; windows of rules keep them in panes, of whi
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -24,12 +24,28 @@ def _schema(strings: str, longs: str = "") -> StructType:
 
 # -- rollups ----------------------------------------------------------------
 
-_SUMS = _schema("hour attacker_ip node_id event_type first last", "n lag_sum lags lag_max")
+_SUMS = _schema("hour attacker_ip node_id event_type odd", "first last n lag_sum lags lag_max")
 _MEMBERS = _schema("attacker_ip node_id session_id")
 
 
+def _numbered(stamp: Column) -> tuple[Column, Column]:
+    """(number, odd) of a time: its digits as a number, whose order is that of the texts; or 0 and the text, if it has another form.
+
+    Numbers are kept by hashing; Spark finds the least or largest text of each group by sorting all rows. So many rows are reduced with numbers, odd texts being a part of their key.
+    """
+    plain = stamp.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z")
+    return F.when(plain, F.translate(stamp, "-:TZ", "").cast("long")).when(stamp.isNotNull(), 0), F.when(~plain, stamp)
+
+
+def _text(number: str) -> Column:
+    """The time of a number of a reduced row, null if it has none."""
+    digits = F.lpad(F.col(number).cast("string"), 14, "0")
+    plain = F.concat(*(x for at, size, end in ((1, 4, "-"), (5, 2, "-"), (7, 2, "T"), (9, 2, ":"), (11, 2, ":"), (13, 2, "Z")) for x in (F.substring(digits, at, size), F.lit(end))))
+    return F.when(F.col(number).isNotNull(), F.coalesce("odd", plain))
+
+
 def _added(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("hour", "attacker_ip", "node_id", "event_type").agg(
+    return rows.groupBy("hour", "attacker_ip", "node_id", "event_type", "odd").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), *(F.sum(c).alias(c) for c in ("n", "lag_sum", "lags")), F.max("lag_max").alias("lag_max")
     )
 
@@ -49,8 +65,9 @@ class Rollups:
     def add(self, events: DataFrame, number: int) -> None:
         """Add the events of batch `number`, which replaces what it added before; read twice: store them."""
         lag = rollups.lag(events)
+        digits, odd = _numbered(F.col("timestamp"))
         own = events.select(
-            F.substring("timestamp", 1, 13).alias("hour"), "attacker_ip", "node_id", "event_type", F.col("timestamp").alias("first"), F.col("timestamp").alias("last"), F.lit(1).cast("long").alias("n"),
+            F.substring("timestamp", 1, 13).alias("hour"), "attacker_ip", "node_id", "event_type", odd.alias("odd"), digits.alias("first"), digits.alias("last"), F.lit(1).cast("long").alias("n"),
             F.coalesce(lag, F.lit(0)).cast("long").alias("lag_sum"), F.when(lag.isNotNull(), 1).otherwise(0).cast("long").alias("lags"), lag.cast("long").alias("lag_max"),
         )
         self.sums.add(_added(own), number)
@@ -58,10 +75,14 @@ class Rollups:
 
     def attacker_summary(self) -> DataFrame:
         kind = lambda x: F.coalesce(F.sum(F.when(F.col("event_type") == x, F.col("n"))), F.lit(0).cast("long"))
-        own = self.sums.rows().where("attacker_ip is not null").groupBy("attacker_ip").agg(
-            F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.sum("n").alias("event_count"), F.count_distinct("node_id").alias("node_count"),
+        each = self.sums.rows().where("attacker_ip is not null").groupBy("attacker_ip", "node_id", "odd").agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("event_count"),
             kind("login_attempt").alias("login_attempts"), kind("login_success").alias("login_successes"), kind("command").alias("command_count"), kind("file_download").alias("download_count"),
         )
+        own = each.groupBy("attacker_ip").agg(
+            F.min(_text("first")).alias("first_seen"), F.max(_text("last")).alias("last_seen"), F.count_distinct("node_id").alias("node_count"),
+            *(F.sum(c).alias(c) for c in ("event_count", "login_attempts", "login_successes", "command_count", "download_count")),
+        )
         sessions = self.members.rows().where("attacker_ip is not null").groupBy("attacker_ip").agg(F.count_distinct("session_id").alias("session_count"))
         out = own.join(sessions, "attacker_ip", "left").withColumn("session_count", F.coalesce("session_count", F.lit(0).cast("long")))
         return out.select("attacker_ip", "first_seen", "last_seen", "event_count", "session_count", "node_count", "login_attempts", "login_successes", "command_count", "download_count")
@@ -77,14 +98,20 @@ class Rollups:
         _whole_hour(since)
         new, beat = F.col("hour") >= since[:13], F.col("event_type") == "heartbeat"
         n = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("long"))
-        own = self.sums.rows().groupBy("node_id").agg(
-            F.sum("n").alias("events_total"), F.count_distinct("attacker_ip").alias("attackers_total"), F.max("last").alias("last_event"), F.max(F.when(beat, F.col("last"))).alias("last_heartbeat"),
-            (F.sum("lag_sum") / F.sum("lags")).alias("avg_lag_seconds"), F.max("lag_max").alias("max_lag_seconds"), n(new).alias("events_recent"), n(new & ~beat).alias("attacks_recent"), n(new & beat).alias("heartbeats_recent"),
+        each = self.sums.rows().groupBy("node_id", "attacker_ip", "odd").agg(
+            F.sum("n").alias("events_total"), F.max("last").alias("last_event"), F.max(F.when(beat, F.col("last"))).alias("last_heartbeat"), F.sum("lag_sum").alias("lag_sum"), F.sum("lags").alias("lags"),
+            F.max("lag_max").alias("max_lag_seconds"), n(new).alias("events_recent"), n(new & ~beat).alias("attacks_recent"), n(new & beat).alias("heartbeats_recent"),
+        )
+        own = each.groupBy("node_id").agg(
+            F.sum("events_total").alias("events_total"), F.count_distinct("attacker_ip").alias("attackers_total"), F.max(_text("last_event")).alias("last_event"), F.max(_text("last_heartbeat")).alias("last_heartbeat"),
+            (F.sum("lag_sum") / F.sum("lags")).alias("avg_lag_seconds"), F.max("max_lag_seconds").alias("max_lag_seconds"), *(F.sum(c).alias(c) for c in ("events_recent", "attacks_recent", "heartbeats_recent")),
         )
         members = self.members.rows().select("node_id", "session_id")
         held = members.groupBy("node_id").agg(F.count_distinct("session_id").alias("sessions_total"))
         fired = alerts.where((F.col("timestamp") >= since) & F.col("session_id").isNotNull()).select("alert_id", "session_id")
-        per = fired.join(members.distinct(), "session_id").groupBy("node_id").agg(F.count_distinct("alert_id").alias("alerts_recent"))
+        # only the sessions of recent alerts, not those of all time, are made distinct
+        touched = members.join(fired.select("session_id").distinct(), "session_id", "left_semi").distinct()
+        per = fired.join(touched, "session_id").groupBy("node_id").agg(F.count_distinct("alert_id").alias("alerts_recent"))
         out = nodes.join(own, "node_id", "left").join(held, "node_id", "left").join(per, "node_id", "left")
         zero = ["events_total", "sessions_total", "attackers_total", "events_recent", "attacks_recent", "heartbeats_recent", "alerts_recent"]
         return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in zero})

@@ -65,3 +65,21 @@ def test_findings_from_panes_at_each_step(spark, tmp_path):
     with pytest.raises(ValueError, match="pane"):
         panes.counters("2026-01-01T10:00:01Z")
     assert panes.counters("2027-01-01T00:00:00Z").count() == 0
+
+
+def test_many_rows_are_reduced_without_sorting(spark, tmp_path):
+    """Times of any form count as in the log, and neither adding a batch nor merging runs sorts its rows."""
+    kept, own = Rollups(spark, str(tmp_path / "r")), []
+    merge = kept.sums.merge
+    kept.sums.merge = lambda x: own.append(merge(x)) or own[-1]
+    odd = ["2026-01-01T10:59:59.5Z", "2026-01-01T10:59", "2026-01-01T10:59:59Z\n", "0026-01-01T10:00:00Z", None]
+    rows = [(k, str(k), "node-01", "s", "heartbeat" if k % 2 else "command", stamp, None if k % 2 else "10.0.0.1", None, "{}", _stamp(36_000)) for k, stamp in enumerate([*odd, *odd, *(_stamp(36_000 + 700 * j) for j in range(6))])]
+    log = stored(spark.createDataFrame(rows, EVENTS), "batch")
+    for number in range(8):
+        kept.add(log.where(f"seq % 8 = {number}"), number)
+    assert [x["level"] for x in kept.sums.state()["runs"]] == [1] and own
+    plan = own[0]._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    none, nodes = spark.createDataFrame([], ALERTS), ingest.touched_nodes(log)
+    assert rows_of(kept.attacker_summary()) == rows_of(rollups.attacker_summary(log))
+    assert rows_of(kept.node_statistics(nodes, none, "2026-01-01T10:00:00Z")) == rows_of(rollups.node_statistics(nodes, log, none, "2026-01-01T10:00:00Z"))
