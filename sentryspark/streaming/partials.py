@@ -120,8 +120,8 @@ class Rollups:
 # -- panes ------------------------------------------------------------------
 
 _PANES = {
-    "counts": _schema("attacker_ip last_try last_name last_ts", "attempts"), "members": _schema("attacker_ip kind value"),
-    "findings": _schema("alert_type attacker_ip severity timestamp description session_id dedupe_key"), "typed": _schema("session_id last_ts", "commands"),
+    "counts": _schema("attacker_ip odd", "last_try last_name last_ts attempts"), "members": _schema("attacker_ip kind value"),
+    "findings": _schema("alert_type attacker_ip severity timestamp description session_id dedupe_key"), "typed": _schema("session_id odd", "last_ts commands"),
 }
 _LOGINS = _schema("session_id attacker_ip node_id", "logins")
 #: Sessions whose logins are looked up by their prefixes; more of them are joined with all.
@@ -145,7 +145,7 @@ class Panes:
         return (F.floor(seconds(stamp) / self.width) * self.width).cast("long")
 
     def _write(self, name: str, rows: DataFrame, number: int) -> None:
-        out = rows.select(*_PANES[name].fieldNames(), "pane", F.lit(number).cast("long").alias("batch")).repartition("pane")
+        out = rows.select(*_PANES[name].fieldNames(), "pane", F.lit(number).cast("long").alias("batch")).hint("rebalance", "pane")  # a large pane is no one task's
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pane", "batch").parquet(f"{self.path}/{name}")
 
     def _read(self, name: str, since: int) -> DataFrame:
@@ -155,12 +155,13 @@ class Panes:
         return self.spark.read.schema(_PANES[name]).option("recursiveFileLookup", True).parquet(*(f"{self.path}/{name}/{x}" for x in held))
 
     def add(self, events: DataFrame, number: int) -> None:
-        """Add the events of batch `number`, which replaces what it added before; read five times: store them."""
+        """Add the events of batch `number`, which replaces what it added before; read six times: store them."""
+        digits, odd = _numbered(F.col("timestamp"))
         rows = events.where("attacker_ip is not null").withColumn("pane", self._pane(F.col("timestamp")))
         tried, named = F.col("event_type") == "login_attempt", F.when(F.col("event_type").isin("login_attempt", "login_success"), field("username"))
         own = rows.withColumn("name", named)
-        self._write("counts", own.groupBy("pane", "attacker_ip").agg(
-            F.max(F.when(tried, F.col("timestamp"))).alias("last_try"), F.max(F.when(F.col("name").isNotNull(), F.col("timestamp"))).alias("last_name"), F.max("timestamp").alias("last_ts"), F.count_if(tried).alias("attempts"),
+        self._write("counts", own.groupBy("pane", "attacker_ip", odd.alias("odd")).agg(
+            F.max(F.when(tried, digits)).alias("last_try"), F.max(F.when(F.col("name").isNotNull(), digits)).alias("last_name"), F.max(digits).alias("last_ts"), F.count_if(tried).alias("attempts"),
         ), number)
         pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
         sets = F.array(pair("node", F.col("node_id")), pair("tried", F.when(tried, F.col("node_id"))), pair("name", F.col("name")))
@@ -168,9 +169,9 @@ class Panes:
         found = rules.event_findings(events, "", self.config, ["suspicious_command", "malware_staging"])
         self._write("findings", found.withColumn("pane", self._pane(F.col("timestamp"))), number)
         ran = events.where("session_id is not null and event_type = 'command'").withColumn("pane", self._pane(F.col("timestamp")))
-        self._write("typed", ran.groupBy("pane", "session_id").agg(F.max("timestamp").alias("last_ts"), F.count("event_id").alias("commands")), number)
+        self._write("typed", ran.groupBy("pane", "session_id", odd.alias("odd")).agg(F.max(digits).alias("last_ts"), F.count("event_id").alias("commands")), number)
         accepted = events.where("session_id is not null and event_type = 'login_success' and attacker_ip is not null")
-        self.logins.add(accepted.groupBy("session_id", "attacker_ip", "node_id").agg(F.count(F.lit(1)).alias("logins")), number)
+        self.logins.add(accepted.groupBy("session_id", "attacker_ip", "node_id").agg(F.count(F.lit(1)).alias("logins")), number, size=accepted.count())
 
     def drop(self, before: str) -> None:
         """Delete the panes that no window needs any more: those before a time."""
@@ -189,7 +190,9 @@ class Panes:
     def counters(self, since: str) -> DataFrame:
         """Equal to rules.address_counters()."""
         start = self._start(since)
-        sums = self._read("counts", start).groupBy("attacker_ip").agg(F.sum("attempts").alias("attempts"), *(F.max(c).alias(c) for c in ("last_try", "last_name", "last_ts")))
+        last = ["last_try", "last_name", "last_ts"]
+        each = self._read("counts", start).groupBy("attacker_ip", "odd").agg(F.sum("attempts").alias("attempts"), *(F.max(c).alias(c) for c in last))
+        sums = each.groupBy("attacker_ip").agg(F.sum("attempts").alias("attempts"), *(F.max(_text(c)).alias(c) for c in last))
         value = lambda kind: F.when(F.col("kind") == kind, F.col("value"))
         sets = self._read("members", start).groupBy("attacker_ip").agg(F.count_distinct(value("name")).alias("usernames"), F.size(F.collect_set(value("tried"))).alias("tried_nodes"), F.array_sort(F.collect_set(value("node"))).alias("nodes"))
         return sums.join(sets, "attacker_ip")
@@ -200,7 +203,7 @@ class Panes:
         if "high_risk_ip" in known:
             passes.append(rules.high_risk_ip(self._read("counts", start), reputation, since, self.config))
         if "post_auth_activity" in known:
-            typed = self._read("typed", start).groupBy("session_id").agg(F.max("last_ts").alias("last_ts"), F.sum("commands").alias("commands"))
+            typed = self._read("typed", start).groupBy("session_id").agg(F.max(_text("last_ts")).alias("last_ts"), F.sum("commands").alias("commands"))
             wanted = [r["hash"] for r in typed.select(self.hash.alias("hash")).limit(FILTERED_SESSIONS + 1).collect()]
             logins = self.logins.rows(prefixes=wanted if len(wanted) <= FILTERED_SESSIONS else None)
             passes.append(rules.post_auth_findings(logins.groupBy("session_id", "attacker_ip", "node_id").agg(F.sum("logins").alias("logins")), typed))

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sentryspark.operators import ingest, rollups, rules
 from sentryspark.schema import ALERTS, EVENTS, REPUTATION
@@ -83,3 +84,20 @@ def test_many_rows_are_reduced_without_sorting(spark, tmp_path):
     none, nodes = spark.createDataFrame([], ALERTS), ingest.touched_nodes(log)
     assert rows_of(kept.attacker_summary()) == rows_of(rollups.attacker_summary(log))
     assert rows_of(kept.node_statistics(nodes, none, "2026-01-01T10:00:00Z")) == rows_of(rollups.node_statistics(nodes, log, none, "2026-01-01T10:00:00Z"))
+
+
+def test_panes_of_large_batches(spark, tmp_path):
+    """Logins of a large batch begin in several parts, panes are reduced without sorting, and times of another form count as in the log."""
+    panes, written = Panes(spark, str(tmp_path / "p"), fan_in=2), {}
+    panes.logins.PART_ROWS = 40
+    write = panes._write
+    panes._write = lambda name, rows, number: (written.setdefault(name, rows), write(name, rows, number))
+    log = batch_of(spark, random.Random(3), 1, n=600)
+    odd = stored(log.withColumn("timestamp", F.when(F.col("seq") % 5 == 0, F.concat(F.substring("timestamp", 1, 19), F.lit(".5Z"))).otherwise(F.col("timestamp"))), "batch")
+    panes.add(odd, 0)
+    assert panes.logins.state()["runs"][0]["parts"] > 1
+    for name in ("counts", "typed"):
+        plan = written[name]._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "Sort" not in plan
+    reputation, since = spark.createDataFrame([], REPUTATION), _stamp(36_000 - 360)
+    assert rows_of(panes.evaluated(reputation, since)) == rows_of(rules.evaluated(odd, reputation, since))
